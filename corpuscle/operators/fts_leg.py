@@ -17,13 +17,13 @@ def build_postings(chunks: DataFrame) -> DataFrame:
 
     Positions run on from field to field. A chunk's words come out of its own row: no shuffle.
     """
-    fields = [
-        F.transform(
-            tx.index_terms(F.coalesce(F.col(field), F.lit(""))),
-            lambda t, weight=weight: F.struct(t.alias("term"), F.lit(weight).alias("weight")),
+    def weighted(field: str, weight: int) -> Column:
+        terms = tx.index_terms(F.coalesce(F.col(field), F.lit("")))
+        return F.transform(
+            terms, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"))
         )
-        for field, weight in WEIGHTS.items()
-    ]
+
+    fields = [weighted(field, weight) for field, weight in WEIGHTS.items()]
     return chunks.select(
         "snapshot_id", "chunk_id", F.posexplode(F.concat(*fields)).alias("at", "p")
     ).select(
@@ -164,29 +164,32 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     )
 
 
-def fts_and(plans: DataFrame, postings: DataFrame, *, k: int = FTS_LIMIT) -> DataFrame:
+def query_lists(plans: DataFrame, postings: DataFrame) -> DataFrame:
+    """Lists for every term of the plans, all-words and any-word alike, so that both searches
+    read one shuffle."""
+    return matching_lists(postings, and_terms(plans).unionByName(any_terms(plans)))
+
+
+def fts_and(plans: DataFrame, lists: DataFrame, *, k: int = FTS_LIMIT) -> DataFrame:
     """Hits that hold every term of the query, by cover density."""
-    terms = and_terms(plans)
-    return ranked(cover_density(all_words(terms, matching_lists(postings, terms))), k)
+    return ranked(cover_density(all_words(and_terms(plans), lists)), k)
 
 
 def fts_or(
-    plans: DataFrame, and_hits: DataFrame, postings: DataFrame, *, k: int = FTS_LIMIT
+    plans: DataFrame, and_hits: DataFrame, lists: DataFrame, *, k: int = FTS_LIMIT
 ) -> DataFrame:
     """For queries without an all-words hit: chunks with any term, by the weight of its words.
 
-    Weights add up per chunk and term before any query is involved, and again per query before
+    Weights are added up per chunk and term before any query is involved, and per query before
     the shuffle; the best `k` are kept per task first.
     """
     terms = any_terms(plans.join(and_hits.select("query_id"), "query_id", "left_anti"))
-    wanted = terms.select("snapshot_id", "term").distinct()
-    weights = (
-        postings.join(wanted, ["snapshot_id", "term"], "left_semi")
-        .groupBy("snapshot_id", "term", "chunk_id")
-        .agg(F.sum("weight").alias("weight"))
-    )
+    weight = F.aggregate("places", F.lit(0), lambda s, p: s + p["weight"])
     scored = (
-        terms.join(weights, ["snapshot_id", "term"])
+        terms.join(
+            lists.select("snapshot_id", "term", "chunk_id", weight.alias("weight")),
+            ["snapshot_id", "term"],
+        )
         .groupBy("query_id", "chunk_id")
         .agg((F.sum("weight") * UNIT).alias("score"))
     )

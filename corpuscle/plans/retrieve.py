@@ -56,9 +56,9 @@ def search_legs(
 ) -> Legs:
     """Run the three legs; without vectors the vector leg is unavailable and the others go on."""
     identifiers, symbol = search_symbols(plans, chunks)
-    postings = fts_leg.build_postings(chunks)
-    and_hits = fts_leg.fts_and(plans, postings)
-    or_hits = fts_leg.fts_or(plans, and_hits, postings)
+    lists = fts_leg.query_lists(plans, fts_leg.build_postings(chunks))
+    and_hits = fts_leg.fts_and(plans, lists)
+    or_hits = fts_leg.fts_or(plans, and_hits, lists)
     vector = None
     if embeddings is not None and query_vectors is not None:
         asked = plans.select("query_id", "snapshot_id").join(query_vectors, "query_id")

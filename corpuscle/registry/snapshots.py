@@ -1,2 +1,449 @@
-QUERIES = {}
-ORACLES = {}
+"""Incremental embedding over the documents' chunks; snapshot upkeep over orders as snapshots."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuscle.functions import text as tx
+from corpuscle.operators import embeddings as em
+from corpuscle.operators import snapshots as sn
+from corpuscle.registry import adapters as ad
+from corpuscle.registry import files as rf
+from corpuscle.registry.adapters import MODEL, table
+from corpuscle.registry.sql import select, view
+
+BATCH = {"max_tokens": 10_000, "max_items": 12}
+BUDGET = 45_000
+
+# ── Embeddings ────────────────────────────────────────────────────────────────
+
+
+def pending(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(pending, reused) of the documents against the given vectors."""
+    return em.pending_embeddings(
+        ad.document_chunks(spark, sf), ad.vectors(spark, sf), MODEL
+    )
+
+
+def pending_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    hashes, reused = pending(spark, sf)
+    return reused.join(hashes, "snapshot_id", "left")
+
+
+def hash_texts(spark: SparkSession, sf: str) -> DataFrame:
+    hashes, _ = pending(spark, sf)
+    return em.hash_texts(ad.document_chunks(spark, sf), hashes)
+
+
+def token_batches(spark: SparkSession, sf: str) -> DataFrame:
+    hashes, _ = pending(spark, sf)
+    return em.token_batches(hashes, **BATCH)
+
+
+def embed_budget(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = ad.document_chunks(spark, sf)
+    every, _ = em.pending_embeddings(chunks, ad.vectors(spark, sf), "another model")
+    return em.embed_budget(every, cap=BUDGET)
+
+
+def stored_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches with the usage a provider reports, a fifth over the estimate."""
+    usage = (
+        token_batches(spark, sf)
+        .groupBy("snapshot_id", "batch_id")
+        .agg(F.floor(F.sum("tokens") * 6 / 5).cast("bigint").alias("tokens"))
+    )
+    return em.stored_batches(usage, cap=20_000)
+
+
+def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """A vector for every distinct document, described by its size and length."""
+    chunks = ad.document_chunks(spark, sf)
+    texts = em.hash_texts(chunks, chunks)
+    vectors = em.embed_documents(texts, em.hashed_token_vectors(64), "hashed-64")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    return vectors.select(
+        "content_hash", "model", F.size("embedding").alias("dims"), F.round(norm, 3).alias("norm")
+    )
+
+
+def insert_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Given vectors, then the same vectors offered for the documents with twice their id."""
+    twice = table(spark, sf, "documents").select(
+        F.expr("doc_id / 2").alias("half"), tx.content_hash(F.col("text")).alias("content_hash")
+    )
+    offered = (
+        table(spark, sf, "embeddings")
+        .join(twice, F.col("half") == F.col("vec_id"))
+        .select("content_hash", F.lit(MODEL).alias("model"), "embedding")
+    )
+    kept = em.insert_missing(ad.vectors(spark, sf), offered)
+    first = F.round(F.element_at("embedding", 1).cast("double"), 6)
+    return kept.select("content_hash", "model", first.alias("first"))
+
+
+def embed_cost(spark: SparkSession, sf: str) -> DataFrame:
+    hashes, reused = pending(spark, sf)
+    return em.embed_cost(em.token_batches(hashes, **BATCH), reused)
+
+
+def index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of the documents' files; a chunk per page of 1,000 characters, a symbol per line
+    of parsed files, and parse errors in every fifth."""
+    files = rf.routed(spark, sf).withColumn(
+        "parse_errors", F.when(F.pmod(F.length("path") + F.col("size_bytes"), F.lit(5)) == 0, 1).otherwise(0)
+    )
+    given = files.filter("text IS NOT NULL").select("snapshot_id", "path", "mode", "text")
+    pages = F.sequence(F.lit(0), F.floor(F.length("text") / 1000).cast("int"))
+    chunks = given.select("snapshot_id", "path", F.explode(pages).alias("page"))
+    lines = F.explode(tx.line_array(F.col("text")))
+    symbols = given.filter("mode = 'symbols'").select(
+        "snapshot_id", "path", F.lit("function").alias("kind"), lines.alias("line")
+    )
+    stats = sn.index_stats(files.drop("content", "text"), chunks, symbols)
+    return stats.select(
+        "snapshot_id", "files", "chunks", F.to_json("by_mode").alias("by_mode"),
+        F.to_json("skipped").alias("skipped"), F.to_json("by_language").alias("by_language"),
+        "files_with_parse_errors",
+    )
+
+
+# ── Orders as snapshots ───────────────────────────────────────────────────────
+
+STATUS = """
+CASE WHEN o_orderkey = newest THEN 'active' WHEN o_orderstatus = 'F' THEN 'retired'
+WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'building' END
+"""
+
+
+def snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order as a snapshot of its customer's repository, the newest finished one active."""
+    orders = table(spark, sf, "orders")
+    newest = (
+        orders.filter("o_orderstatus = 'F'")
+        .groupBy("o_custkey")
+        .agg(F.max("o_orderkey").alias("newest"))
+    )
+    return orders.join(newest, "o_custkey", "left").select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_custkey").alias("repo_id"),
+        F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 40).alias("commit_sha"),
+        F.col("o_orderpriority").alias("branch"),
+        F.expr(STATUS).alias("status"),
+        F.lit("{}").alias("stats"),
+        F.expr("CASE WHEN o_orderkey = newest THEN 'before' END").alias("indexed_at"),
+        F.when(F.col("o_totalprice") > 100_000, "large").otherwise("small").alias("model"),
+    )
+
+
+view(
+    "v_snapshots",
+    f"""
+SELECT o_orderkey AS id, o_custkey AS repo_id, left(sha256(CAST(o_orderkey AS VARCHAR)), 40)
+  AS commit_sha, o_orderpriority AS branch, {STATUS} AS status, '{{}}' AS stats,
+  CASE WHEN o_orderkey = newest THEN 'before' END AS indexed_at,
+  CASE WHEN o_totalprice > 100000 THEN 'large' ELSE 'small' END AS model
+FROM (SELECT *, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END)
+  OVER (PARTITION BY o_custkey) AS newest FROM orders)
+""",
+)
+
+
+def repos(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer as a repository."""
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.col("c_mktsegment").alias("owner"),
+        F.col("c_name").alias("name"),
+        F.concat(F.lit("https://example.com/"), "c_name").alias("url"),
+        F.lit(None).cast("string").alias("summary"),
+        F.lit(None).cast("array<string>").alias("suggested_questions"),
+    )
+
+
+def activate_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """Urgent orders finish building."""
+    urgent = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(
+        F.col("o_orderkey").alias("id"),
+        F.concat(F.lit('{"files":'), F.col("o_custkey").cast("string"), F.lit("}")).alias("stats"),
+        F.lit("now").alias("indexed_at"),
+    )
+    return sn.activate_snapshot(snapshots(spark, sf), urgent)
+
+
+def fail_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    low = table(spark, sf, "orders").filter("o_orderpriority = '5-LOW'").select(
+        F.col("o_orderkey").alias("id")
+    )
+    return sn.fail_snapshots(snapshots(spark, sf), low).select("id", "status")
+
+
+def restart_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """After a restart nothing is building."""
+    return sn.fail_snapshots(snapshots(spark, sf)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def active_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    return sn.active_snapshots(repos(spark, sf), snapshots(spark, sf))
+
+
+def sweep_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as files and as chunks of their order; what is left of all three."""
+    items = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("snapshot_id"), F.col("l_linenumber").alias("no")
+    )
+    kept, files, chunks = sn.sweep_snapshots(snapshots(spark, sf), items, items)
+    return (
+        kept.select(F.lit("snapshot").alias("what"), F.col("id"), F.lit(0).alias("no"))
+        .unionByName(files.select(F.lit("file").alias("what"), F.col("snapshot_id").alias("id"), "no"))
+        .unionByName(chunks.select(F.lit("chunk").alias("what"), F.col("snapshot_id").alias("id"), "no"))
+    )
+
+
+def upsert_repos(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers in debt move, those of one segment get a summary, suppliers are new."""
+    moved = table(spark, sf, "customer").filter("c_acctbal < 0").select(
+        F.col("c_mktsegment").alias("owner"),
+        F.col("c_name").alias("name"),
+        F.concat(F.lit("https://example.org/"), "c_name").alias("url"),
+        F.when(F.expr("c_mktsegment = 'BUILDING'"), F.lit("It builds.")).alias("summary"),
+    )
+    added = table(spark, sf, "supplier").select(
+        F.lit("suppliers").alias("owner"),
+        F.col("s_name").alias("name"),
+        F.concat(F.lit("https://example.org/"), "s_name").alias("url"),
+        F.lit(None).cast("string").alias("summary"),
+    )
+    new = moved.unionByName(added).withColumn(
+        "suggested_questions", F.when(F.col("summary").isNotNull(), F.array(F.lit("What?"), F.lit("How?")))
+    )
+    merged = sn.upsert_repos(repos(spark, sf), new.withColumn("requested_at", F.lit(1)))
+    return merged.withColumn("suggested_questions", F.array_join("suggested_questions", " "))
+
+
+def skip_unchanged(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order asks to index its customer's repository at its own commit."""
+    orders = table(spark, sf, "orders")
+    requests = orders.select(
+        F.col("o_orderkey").alias("request_id"),
+        F.col("o_custkey").alias("repo_id"),
+        F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 40).alias("commit_sha"),
+        F.lit("large").alias("model"),
+        (F.col("o_orderpriority") == "5-LOW").alias("force"),
+    )
+    return sn.skip_unchanged(requests, snapshots(spark, sf)).select("request_id", "repo_id")
+
+
+def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents before and after a clean-up: toxic ones removed, poor ones edited."""
+    before = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels")
+    after = (
+        before.join(labels.filter("toxic = 1"), "doc_id", "left_anti")
+        .join(labels.filter("quality = 0").select("doc_id", "quality"), "doc_id", "left")
+        .select(F.when(F.col("quality").isNotNull(), F.concat("text", F.lit("\nedited"))).otherwise(F.col("text")).alias("text"))
+    )
+    chunks = (
+        before.select(F.lit(1).alias("snapshot_id"), "text")
+        .unionByName(after.select(F.lit(2).alias("snapshot_id"), "text"))
+        .withColumn("content_hash", tx.content_hash(F.col("text")))
+    )
+    return sn.snapshot_diff(chunks, 1, 2)
+
+
+QUERIES = {
+    "pending_embeddings": pending_embeddings,
+    "hash_texts": hash_texts,
+    "token_batches": token_batches,
+    "embed_budget": embed_budget,
+    "stored_batches": stored_batches,
+    "embed_documents": embed_documents,
+    "insert_missing": insert_missing,
+    "embed_cost": embed_cost,
+    "index_stats": index_stats,
+    "activate_snapshot": activate_snapshot,
+    "fail_snapshots": fail_snapshots,
+    "restart_sweep": restart_sweep,
+    "active_snapshots": active_snapshots,
+    "sweep_snapshots": sweep_snapshots,
+    "upsert_repos": upsert_repos,
+    "skip_unchanged": skip_unchanged,
+    "snapshot_diff": snapshot_diff,
+}
+
+# ── Reference SQL ─────────────────────────────────────────────────────────────
+
+view(
+    "v_pending",
+    """
+SELECT DISTINCT snapshot_id, content_hash, tokens FROM v_chunks
+WHERE content_hash NOT IN (SELECT content_hash FROM v_vectors)
+""",
+)
+view(
+    "v_numbered",
+    """
+SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY content_hash) AS i FROM v_pending
+""",
+)
+view(
+    "r_batches",
+    f"""
+SELECT snapshot_id, content_hash, tokens, i, CAST(0 AS INTEGER) AS batch_id,
+  CAST(tokens AS BIGINT) AS total, 1 AS items FROM v_numbered WHERE i = 1
+UNION ALL
+SELECT n.snapshot_id, n.content_hash, n.tokens, n.i, CAST(b.batch_id + CAST(fresh AS INTEGER) AS INTEGER),
+  CASE WHEN fresh THEN 0 ELSE b.total END + n.tokens, CASE WHEN fresh THEN 0 ELSE b.items END + 1
+FROM (SELECT b.*, n.tokens AS more, b.total + n.tokens > {BATCH["max_tokens"]}
+    OR b.items = {BATCH["max_items"]} AS fresh
+  FROM r_batches b JOIN v_numbered n ON n.snapshot_id = b.snapshot_id AND n.i = b.i + 1) b
+JOIN v_numbered n ON n.snapshot_id = b.snapshot_id AND n.i = b.i + 1
+""",
+)
+view(
+    "v_stat_files",
+    """
+SELECT *, (length(path) + size_bytes) % 5 = 0 AS broken,
+  CASE WHEN text IS NULL THEN 0 ELSE length(text) // 1000 + 1 END AS chunks,
+  CASE WHEN mode <> 'symbols' OR text = '' THEN 0 ELSE len(string_split(regexp_replace(
+    replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10))) END AS symbols
+FROM v_routed
+""",
+)
+
+
+def tally(key: str, value: str, where: str) -> str:
+    """SQL for one JSON map of counts."""
+    return f"""(SELECT '{{' || string_agg('"' || k || '":' || v, ',' ORDER BY k) || '}}' FROM (
+    SELECT {key} AS k, {value} AS v FROM v_stat_files WHERE {where} GROUP BY 1))"""
+
+
+_COUNTS = """'{"files":' || count(*) || ',"symbols":' || CAST(sum(symbols) AS BIGINT) || ',"chunks":'
+  || CAST(sum(chunks) AS BIGINT) || '}'"""
+
+ORACLES = {
+    "pending_embeddings": select(
+        """
+SELECT * FROM (SELECT snapshot_id, count(DISTINCT CASE WHEN v.content_hash IS NULL THEN c.content_hash END)
+    AS pending, count(DISTINCT v.content_hash) AS reused
+  FROM v_chunks c LEFT JOIN v_vectors v USING (content_hash) GROUP BY snapshot_id)
+LEFT JOIN v_pending USING (snapshot_id)
+"""
+    ),
+    "hash_texts": select(
+        """
+SELECT DISTINCT content_hash, text FROM v_chunks
+WHERE content_hash IN (SELECT content_hash FROM v_pending)
+"""
+    ),
+    "token_batches": select("SELECT snapshot_id, content_hash, tokens, batch_id FROM r_batches"),
+    "embed_budget": select(
+        f"""
+SELECT snapshot_id, CAST(sum(tokens) AS BIGINT) AS tokens, sum(tokens) > {BUDGET} AS refused
+FROM (SELECT DISTINCT snapshot_id, content_hash, tokens FROM v_chunks) GROUP BY snapshot_id
+"""
+    ),
+    "stored_batches": select(
+        """
+SELECT *, used > 20000 AS over FROM (SELECT *, CAST(sum(tokens) OVER (PARTITION BY snapshot_id
+    ORDER BY batch_id) AS BIGINT) AS used
+  FROM (SELECT snapshot_id, batch_id, CAST(sum(tokens) * 6 // 5 AS BIGINT) AS tokens FROM r_batches
+    GROUP BY ALL))
+WHERE used - tokens <= 20000
+"""
+    ),
+    "embed_documents": """
+SELECT DISTINCT sha256(text) AS content_hash, 'hashed-64' AS model, CAST(64 AS INTEGER) AS dims,
+  CAST(1.0 AS DOUBLE) AS norm FROM documents
+""",
+    "insert_missing": select(
+        f"""
+SELECT content_hash, model, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM v_vectors
+UNION ALL
+SELECT content_hash, '{MODEL}', round(CAST(min(embedding)[1] AS DOUBLE), 6)
+FROM (SELECT sha256(text) AS content_hash, embedding FROM documents JOIN embeddings ON doc_id = vec_id * 2)
+WHERE content_hash NOT IN (SELECT content_hash FROM v_vectors) GROUP BY content_hash
+"""
+    ),
+    "embed_cost": select(
+        """
+SELECT snapshot_id, count(DISTINCT v.content_hash) AS reused, coalesce(any_value(embedded), 0) AS embedded,
+  coalesce(any_value(used), 0) AS tokens, round(coalesce(any_value(used), 0) * 0.12 / 1000000, 6)::DOUBLE
+  AS cost_usd
+FROM v_chunks c LEFT JOIN v_vectors v USING (content_hash)
+LEFT JOIN (SELECT snapshot_id, count(*) AS embedded, CAST(sum(tokens) AS BIGINT) AS used FROM v_pending
+  GROUP BY snapshot_id) USING (snapshot_id)
+GROUP BY snapshot_id
+"""
+    ),
+    "index_stats": select(
+        f"""
+SELECT CAST(1 AS BIGINT) AS snapshot_id, (SELECT count(*) FROM v_stat_files) AS files,
+  (SELECT CAST(sum(chunks) AS BIGINT) FROM v_stat_files) AS chunks,
+  {tally("mode", "count(*)", "true")} AS by_mode,
+  {tally("skip_reason", "count(*)", "skip_reason IS NOT NULL")} AS skipped,
+  {tally("coalesce(language, 'text')", _COUNTS, "skip_reason IS NULL")} AS by_language,
+  (SELECT count(*) FROM v_stat_files WHERE broken AND skip_reason IS NULL) AS files_with_parse_errors
+"""
+    ),
+    "activate_snapshot": select(
+        """
+SELECT id, repo_id, commit_sha, branch, CASE WHEN turned AND id = latest THEN 'active'
+  WHEN turned OR (status = 'active' AND latest IS NOT NULL) THEN 'retired' ELSE status END AS status,
+  CASE WHEN turned THEN '{"files":' || repo_id || '}' ELSE stats END AS stats,
+  CASE WHEN turned THEN 'now' ELSE indexed_at END AS indexed_at, model
+FROM (SELECT *, max(CASE WHEN turned THEN id END) OVER (PARTITION BY repo_id) AS latest
+  FROM (SELECT *, status = 'building' AND branch = '1-URGENT' AS turned FROM v_snapshots))
+"""
+    ),
+    "fail_snapshots": select(
+        """
+SELECT id, CASE WHEN status = 'building' AND branch = '5-LOW' THEN 'failed' ELSE status END AS status
+FROM v_snapshots
+"""
+    ),
+    "restart_sweep": select(
+        """
+SELECT CASE WHEN status = 'building' THEN 'failed' ELSE status END AS status, count(*) AS n
+FROM v_snapshots GROUP BY 1
+"""
+    ),
+    "active_snapshots": select(
+        """
+SELECT c_custkey AS id, c_mktsegment AS owner, c_name AS name, 'https://example.com/' || c_name AS url,
+  s.id AS snapshot_id, commit_sha, indexed_at
+FROM customer JOIN v_snapshots s ON s.repo_id = c_custkey AND status = 'active'
+"""
+    ),
+    "sweep_snapshots": select(
+        """
+SELECT w.what, k.id, CAST(CASE WHEN w.what = 'snapshot' THEN 0 ELSE l.l_linenumber END AS INTEGER) AS no
+FROM (SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, status = 'building'
+    ORDER BY id DESC) AS n FROM v_snapshots) WHERE status NOT IN ('retired', 'failed') OR n <= 2) k
+CROSS JOIN (VALUES ('snapshot'), ('file'), ('chunk')) AS w(what)
+LEFT JOIN lineitem l ON w.what <> 'snapshot' AND l.l_orderkey = k.id
+WHERE w.what = 'snapshot' OR l.l_orderkey IS NOT NULL
+"""
+    ),
+    "upsert_repos": """
+SELECT c_custkey AS id, c_mktsegment AS owner, c_name AS name, 'https://example.' || CASE WHEN
+  c_acctbal < 0 THEN 'org/' ELSE 'com/' END || c_name AS url, CASE WHEN c_acctbal < 0 AND
+  c_mktsegment = 'BUILDING' THEN 'It builds.' END AS summary, CASE WHEN c_acctbal < 0 AND
+  c_mktsegment = 'BUILDING' THEN 'What? How?' END AS suggested_questions FROM customer
+UNION ALL
+SELECT ('0x' || left(sha256('suppliers/' || s_name), 15))::BIGINT, 'suppliers', s_name,
+  'https://example.org/' || s_name, NULL, NULL FROM supplier
+""",
+    "skip_unchanged": select(
+        """
+SELECT o_orderkey AS request_id, o_custkey AS repo_id FROM orders WHERE o_orderpriority = '5-LOW'
+  OR o_orderkey NOT IN (SELECT id FROM v_snapshots WHERE status = 'active' AND model = 'large')
+"""
+    ),
+    "snapshot_diff": """
+SELECT coalesce(o.h, n.h) AS content_hash, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL
+  THEN 'removed' ELSE 'kept' END AS change
+FROM (SELECT DISTINCT sha256(text) AS h FROM documents) o
+FULL JOIN (SELECT DISTINCT sha256(CASE WHEN quality = 0 THEN text || chr(10) || 'edited' ELSE text END) AS h
+  FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) <> 1) n ON o.h = n.h
+""",
+}

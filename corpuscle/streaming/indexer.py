@@ -10,6 +10,8 @@ from corpuscle.sources.tables import write_partitioned
 
 BATCH_FILES = 50  # fixed value: files per commit
 FILE_SCHEMA = "repo string, snapshot_id bigint, path string, size_bytes bigint, content binary"
+VECTOR_SCHEMA = "content_hash string, model string, embedding array<float>, batch int"
+CHUNK_KEY = ("path", "kind", "qualname", "start_line", "part")
 
 
 def stream_index(
@@ -36,11 +38,12 @@ def stream_index(
         index = build_index(files)
         write_partitioned(index.files.select("*", stamp), f"{out_path}/files", "batch")
         write_partitioned(index.chunks.select("*", stamp), f"{out_path}/chunks", "batch")
-        chunks = session.read.parquet(f"{out_path}/chunks").filter(F.col("batch") == batch_id)
-        known = _earlier(session, f"{out_path}/embeddings", batch_id, model)
-        pending, _ = em.pending_embeddings(chunks, known, model)
-        with_id = chunks.withColumn("chunk_id", F.xxhash64("snapshot_id", *CHUNK_KEY))
-        fresh = em.embed_documents(em.hash_texts(with_id, pending), embed, model)
+        stored = session.read.schema(index.chunks.select("*", stamp).schema)
+        chunks = stored.parquet(f"{out_path}/chunks").filter(F.col("batch") == batch_id)
+        keyed = chunks.withColumn("chunk_id", F.xxhash64("snapshot_id", *CHUNK_KEY))
+        known = _earlier(session, f"{out_path}/embeddings", batch_id)
+        pending, _ = em.pending_embeddings(keyed, known, model)
+        fresh = em.embed_documents(em.hash_texts(keyed, pending), embed, model)
         write_partitioned(fresh.select("*", stamp), f"{out_path}/embeddings", "batch")
 
     return (
@@ -54,13 +57,8 @@ def stream_index(
     )
 
 
-CHUNK_KEY = ("path", "kind", "qualname", "start_line", "part")
-
-
-def _earlier(spark: SparkSession, path: str, batch_id: int, model: str) -> DataFrame:
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     """Vectors committed by the batches before this one; none before the first."""
     if batch_id == 0:
-        return spark.createDataFrame(
-            [], "content_hash string, model string, embedding array<float>, batch int"
-        )
-    return spark.read.parquet(path).filter(F.col("batch") < batch_id)
+        return spark.createDataFrame([], VECTOR_SCHEMA)
+    return spark.read.schema(VECTOR_SCHEMA).parquet(path).filter(F.col("batch") < batch_id)

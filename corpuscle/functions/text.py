@@ -33,6 +33,12 @@ IDENTIFIER_BOUNDARY = (
     r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})"
 )
 
+# The same, and alphanumerics with something else between them, as a plain search.
+SEVERAL_PARTS = (
+    r"\p{Ll}\p{Lu}|\p{Lu}\p{Lu}\p{Ll}|\p{L}\p{N}|\p{N}\p{L}|"
+    r"[\p{L}\p{N}][^\p{L}\p{N}]+[\p{L}\p{N}]"
+)
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate `value` once and use it several times inside `body`."""
@@ -51,7 +57,7 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The white-space separated tokens of a string."""
-    return F.filter(F.split(text, f"{SPACE}+"), lambda t: t != "")
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
 # ── Lines ─────────────────────────────────────────────────────────────────────
@@ -96,18 +102,21 @@ def collapse(body: Column) -> Column:
     A blank line stays when the line above it has text and some line below has text too, so the
     rule looks at neighbours only and needs no running state.
     """
-    def keep(body: Column) -> Column:
-        last = F.element_at(F.filter(body, lambda x: ~is_blank(x["line"])), -1)["n"]
+    def keep(body: Column, end: Column) -> Column:
+        return F.filter(
+            body,
+            lambda x, i: ~is_blank(x["line"])
+            | ((i > 0) & (x["n"] < end) & ~is_blank(F.get(body, i - 1)["line"])),
+        )
+
+    def outer(body: Column) -> Column:
+        texts = F.filter(body, lambda x: ~is_blank(x["line"]))
         return let(
-            last,
-            lambda end: F.filter(
-                body,
-                lambda x, i: ~is_blank(x["line"])
-                | ((i > 0) & (x["n"] < end) & ~is_blank(F.get(body, i - 1)["line"])),
-            ),
+            F.when(F.size(texts) > 0, F.element_at(texts, -1)["n"]).otherwise(-1),
+            lambda end: keep(body, end),
         )
 
-    return F.when(any_text(body), keep(body)).otherwise(F.slice(body, 1, 0))
+    return let(body, outer)
 
 
 # ── Paths ─────────────────────────────────────────────────────────────────────
@@ -142,32 +151,26 @@ def module_qualname(path: Column) -> Column:
 def identifier_parts(token: Column) -> Column:
     """The words inside one token: `getHTTPUrl2` has get, HTTP, Url, 2."""
     spaced = F.regexp_replace(token, IDENTIFIER_BOUNDARY, " ")
-    return F.filter(F.split(spaced, f"{NOT_ALNUM}+"), lambda p: p != "")
-
-
-def split_tokens(text: Column) -> Column:
-    """Every token, each followed by its parts when it has more than one, as an array."""
-    return F.flatten(
-        F.transform(
-            words(text),
-            lambda token: let(
-                identifier_parts(token),
-                lambda parts: F.when(F.size(parts) > 1, F.concat(F.array(token), parts)).otherwise(
-                    F.array(token)
-                ),
-            ),
-        )
-    )
+    return F.array_remove(F.split(spaced, f"{NOT_ALNUM}+"), "")
 
 
 def split_identifiers(text: Column) -> Column:
-    """`split_tokens` as one space-separated string, ready for a word index."""
-    return F.array_join(split_tokens(text), " ")
+    """The words of a text joined by spaces, each followed by its parts when it has several.
+
+    Most words have one part, which one plain test shows; only the others are taken apart.
+    """
+    expanded = F.transform(
+        words(text),
+        lambda w: F.when(
+            w.rlike(SEVERAL_PARTS), F.concat_ws(" ", w, identifier_parts(w))
+        ).otherwise(w),
+    )
+    return F.array_join(expanded, " ")
 
 
 def index_terms(text: Column) -> Column:
     """Lower-cased alphanumeric runs of a string, in order; no stop words are dropped."""
-    return F.filter(F.split(F.lower(text), f"{NOT_ALNUM}+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), f"{NOT_ALNUM}+"), "")
 
 
 def candidate_tokens(query: Column, identifiers: Column, cap: int = MAX_CANDIDATES) -> Column:

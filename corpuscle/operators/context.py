@@ -196,7 +196,7 @@ def expand_top(top: DataFrame, runs: DataFrame, *, budget: int = EXPAND_TOKENS)
     )
     alone = F.array("hit_chunk_id")
     return hit.join(own, ["query_id", "hit_chunk_id"], "left").select(
-        "query_id", "hit_chunk_id", F.posexplode(F.coalesce("blocks", alone)).alias("block", "chunk_id")
+        "query_id", "hit_chunk_id", F.posexplode_outer(F.coalesce("blocks", alone)).alias("block", "chunk_id")
     )
 
 

@@ -24,29 +24,26 @@ def build_postings(chunks: DataFrame) -> DataFrame:
         )
 
     fields = [weighted(field, weight) for field, weight in WEIGHTS.items()]
-    return chunks.select(
-        "snapshot_id", "chunk_id", F.posexplode(F.concat(*fields)).alias("at", "p")
-    ).select(
+    rows = chunks.select(
+        "snapshot_id", "chunk_id", F.posexplode_outer(F.concat(*fields)).alias("at", "p")
+    )
+    return rows.filter("at IS NOT NULL").select(
         "snapshot_id", "chunk_id", "p.term", (F.col("at") + 1).alias("pos"), "p.weight"
     )
 
 
 def and_terms(plans: DataFrame) -> DataFrame:
     """Distinct terms a chunk must all hold: query_id, snapshot_id, term."""
-    return plans.select(
-        "query_id",
-        "snapshot_id",
-        F.explode(
-            F.array_distinct(tx.index_terms(tx.split_identifiers(F.col("query"))))
-        ).alias("term"),
-    )
+    terms = F.array_distinct(tx.index_terms(tx.split_identifiers(F.col("query"))))
+    rows = plans.select("query_id", "snapshot_id", F.explode_outer(terms).alias("term"))
+    return rows.filter("term IS NOT NULL")
 
 
 def any_terms(plans: DataFrame) -> DataFrame:
     """Distinct terms of the any-word fallback: query_id, snapshot_id, term."""
-    return plans.select(
-        "query_id", "snapshot_id", F.explode(tx.or_terms(F.col("query"))).alias("term")
-    )
+    terms = tx.or_terms(F.col("query"))
+    rows = plans.select("query_id", "snapshot_id", F.explode_outer(terms).alias("term"))
+    return rows.filter("term IS NOT NULL")
 
 
 def matching_lists(postings: DataFrame, terms: DataFrame) -> DataFrame:
@@ -114,6 +111,11 @@ def cover_score(matches: Column) -> Column:
             )
         )
     )
+    return tx.let(places, lambda at_hand: _cover_score(at_hand, matches))
+
+
+def _cover_score(places: Column, matches: Column) -> Column:
+    """`cover_score` from the sorted (pos, term, weight) places of all terms."""
     unseen = F.transform(matches, lambda _: F.lit(0))
     state = F.struct(
         unseen.alias("last"), F.lit(0).alias("start"), F.lit(0.0).cast("double").alias("score")

@@ -20,9 +20,10 @@ QUALNAME, NAME, SUFFIX, CONTAINS = 1, 2, 3, 4
 def candidate_identifiers(plans: DataFrame, *, cap: int = tx.MAX_CANDIDATES) -> DataFrame:
     """Identifier candidates of each plan in order: query_id, snapshot_id, ord from 1, identifier."""
     tokens = tx.candidate_tokens(F.col("query"), F.col("identifiers"), cap)
-    return plans.select(
-        "query_id", "snapshot_id", F.posexplode(tokens).alias("ord", "identifier")
-    ).withColumn("ord", F.col("ord") + 1)
+    rows = plans.select(
+        "query_id", "snapshot_id", F.posexplode_outer(tokens).alias("ord", "identifier")
+    )
+    return rows.filter("ord IS NOT NULL").withColumn("ord", F.col("ord") + 1)
 
 
 def symbol_aliases(chunks: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def symbol_aliases(chunks: DataFrame) -> DataFrame:
         at(others, SUFFIX),
     )
     return chunks.select(
-        "snapshot_id", "chunk_id", "path", "start_line", "part", F.inline(rungs)
+        "snapshot_id", "chunk_id", "path", "start_line", "part", F.inline_outer(rungs)
     ).filter("alias <> ''")
 
 
@@ -122,7 +123,7 @@ def containing_names(identifiers: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     wanted = identifiers.select("snapshot_id", "identifier").distinct()
     names = chunks.filter("name <> ''").select("snapshot_id", "name").distinct()
-    index = names.withColumn("gram", F.explode(grams(F.col("name"))))
+    index = names.withColumn("gram", F.explode_outer(grams(F.col("name"))))
     short = F.least(F.length("identifier"), F.lit(GRAM))
     own = F.filter(grams(F.col("identifier")), lambda g: F.length(g) == short)
     probes = wanted.withColumn("gram", F.explode(own))

@@ -7,6 +7,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.sources.tables import stored
+
 VECTOR_LIMIT = 20  # fixed value: vector hits per query
 BLOCK_VECTORS, BLOCK_QUERIES = 50_000, 5_000  # rows of either side one task holds at a time
 TILE = 256  # queries scored in one matrix product
@@ -160,8 +162,8 @@ def vector_topk_approx(
     than `k` chunks this way (few of them in its snapshot) is searched exactly instead.
     """
     first = first_chunks(chunks, k)
-    vectors = hash_vectors(first, embeddings, model)
-    points = embeddings.filter(F.col("model") == model).select(
+    vectors = stored(hash_vectors(first, embeddings, model), "vectors")
+    points = vectors.select(
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
     )
     means = KMeans(k=cells, seed=42, maxIter=10).fit(points)
@@ -198,7 +200,7 @@ def vector_topk_approx(
     probing = asked.withColumn(
         "cell", F.explode(F.transform(nearest, lambda x: x["cell"]))
     )
-    found = chunk_hits(block_scores(placed, probing, k), first, k)
+    found = stored(chunk_hits(block_scores(placed, probing, k), first, k), "approximate")
     enough = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
     short = asked.join(enough, "query_id", "left_anti")
     here = chunks.join(short.select("snapshot_id").distinct(), "snapshot_id", "left_semi")

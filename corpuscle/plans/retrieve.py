@@ -1,10 +1,14 @@
-"""Hybrid retrieval for a table of plans: three legs, fusion, one hit per symbol, the floor."""
+"""Hybrid retrieval for a table of plans: three legs, fusion, one hit per symbol, the floor.
+
+Each leg's hits, at most fifty per query, are written once and read by fusion, trace and floor.
+"""
 
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from corpuscle.operators import fts_leg, fusion, symbol_leg, vector_leg
+from corpuscle.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -41,10 +45,18 @@ def search_symbols(plans: DataFrame, chunks: DataFrame) -> tuple[DataFrame, Data
     """(identifiers, hits) of the symbol leg."""
     aliases = symbol_leg.top_aliases(symbol_leg.symbol_aliases(chunks))
     candidates = symbol_leg.candidate_identifiers(plans)
-    identifiers = symbol_leg.resolve_identifiers(candidates, aliases)
+    identifiers = stored(symbol_leg.resolve_identifiers(candidates, aliases), "identifiers")
     exact = symbol_leg.ladder_exact(identifiers, aliases)
     contains = symbol_leg.ladder_contains(identifiers, chunks, exact)
-    return identifiers, symbol_leg.symbol_search(exact, contains, chunks)
+    hits = symbol_leg.symbol_search(exact, contains, chunks)
+    return identifiers, stored(hits, "symbol")
+
+
+def search_texts(plans: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all-words hits, any-word hits) of the full-text leg, from one list of occurrences."""
+    lists = stored(fts_leg.query_lists(plans, fts_leg.build_postings(chunks)), "lists")
+    and_hits = stored(fts_leg.fts_and(plans, lists), "fts-and")
+    return and_hits, stored(fts_leg.fts_or(plans, and_hits, lists), "fts-or")
 
 
 def search_legs(
@@ -56,13 +68,11 @@ def search_legs(
 ) -> Legs:
     """Run the three legs; without vectors the vector leg is unavailable and the others go on."""
     identifiers, symbol = search_symbols(plans, chunks)
-    lists = fts_leg.query_lists(plans, fts_leg.build_postings(chunks))
-    and_hits = fts_leg.fts_and(plans, lists)
-    or_hits = fts_leg.fts_or(plans, and_hits, lists)
+    and_hits, or_hits = search_texts(plans, chunks)
     vector = None
     if embeddings is not None and query_vectors is not None:
         asked = plans.select("query_id", "snapshot_id").join(query_vectors, "query_id")
-        vector = vector_leg.vector_topk(asked, chunks, embeddings, model)
+        vector = stored(vector_leg.vector_topk(asked, chunks, embeddings, model), "vector")
     return Legs(symbol, and_hits, or_hits, vector, identifiers)
 
 

@@ -1,7 +1,4 @@
-"""Session settings and the shared folder for written intermediate tables."""
-
-import tempfile
-import uuid
+"""Session settings."""
 
 from pyspark.sql import SparkSession
 
@@ -28,23 +25,3 @@ def local_session(cores: int | str = 8, *, name: str = "corpuscle") -> SparkSess
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, which the cluster sets.
-
-    Only a session on one machine that names none gets a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder all executors can reach.")
-    made = tempfile.mkdtemp(prefix="corpuscle-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/corpuscle/{name}-{uuid.uuid4().hex[:12]}"

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from corpuscle.functions import text as tx
 from corpuscle.registry.sql import view
 from corpuscle.sources.files import LFS_POINTER
+from corpuscle.sources.tables import spread
 
+LONG_TEXTS = ("documents", "pages", "conversations")
 MODEL = "given"  # the model name of the vectors in the embeddings table
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """One of the given tables; those with long texts are dealt out when they come as one file."""
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows) if name in LONG_TEXTS else rows
 
 
 # ── Documents as files ────────────────────────────────────────────────────────
@@ -175,7 +178,7 @@ def outlines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     )
     symbols = (
         sources.select("path", total.alias("n"))
-        .select("path", F.inline(F.concat(module, F.filter(made, lambda s: s["start_line"] <= F.col("n")))))
+        .select("path", F.inline_outer(F.concat(module, F.filter(made, lambda s: s["start_line"] <= F.col("n")))))
     )
     return sources, symbols
 

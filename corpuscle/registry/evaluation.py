@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from corpuscle.operators import evaluation as ev
 from corpuscle.operators import querylog as ql
-from corpuscle.plans.session import work_path
 from corpuscle.registry import adapters as ad
 from corpuscle.registry import retrieval as rr
 from corpuscle.registry.adapters import table
@@ -73,7 +72,7 @@ SELECT *, (input * 2.0::DOUBLE + output * 10.0::DOUBLE + cache_read * 0.2::DOUBL
 
 def log_queries(spark: SparkSession, sf: str) -> DataFrame:
     """The log appended to in two halves by outcome, and read back."""
-    out = work_path(spark, "log")
+    out = tables.work_path(spark, "log")
     rows = log(spark, sf)
     tables.log_queries(rows.filter("answer IS NOT NULL"), out)
     tables.log_queries(rows.filter("answer IS NULL"), out)
@@ -278,7 +277,7 @@ def paired_compare(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_index(spark: SparkSession, sf: str) -> DataFrame:
     """The documents' files landed as Parquet, indexed as a stream until all are done."""
-    landed, out = work_path(spark, "landed"), work_path(spark, "stream")
+    landed, out = tables.work_path(spark, "landed"), tables.work_path(spark, "stream")
     (
         ad.files(spark, sf)
         .repartition(4, "path")
@@ -286,7 +285,7 @@ def stream_index(spark: SparkSession, sf: str) -> DataFrame:
         .parquet(landed)
     )
     start_index(
-        spark, landed, out, work_path(spark, "stream-state"), files_per_batch=2
+        spark, landed, out, tables.work_path(spark, "stream-state"), files_per_batch=2
     ).awaitTermination()
     chunks = tables.read_table(spark, f"{out}/chunks")
     vectors = tables.read_table(spark, f"{out}/embeddings").select("content_hash", "model")

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as tx
-from corpuscle.plans.session import work_path
 from corpuscle.registry import adapters as ad
 from corpuscle.registry.sql import select, view
 from corpuscle.sources import files as fs
@@ -117,7 +116,7 @@ def repo_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 def write_index(spark: SparkSession, sf: str) -> DataFrame:
     """Files and their chunks written by repository and snapshot, and read back."""
-    out = work_path(spark, "index")
+    out = tables.work_path(spark, "index")
     rows = routed(spark, sf)
     chunks = rows.filter("text IS NOT NULL").select(
         "repo", "snapshot_id", "path", tx.content_hash(F.col("text")).alias("content_hash")

@@ -12,6 +12,7 @@ from corpuscle.plans import retrieve as rt
 from corpuscle.registry import adapters as ad
 from corpuscle.registry.adapters import MODEL, split_sql, terms_sql
 from corpuscle.registry.sql import select, view
+from corpuscle.sources.tables import stored
 
 # ── Symbol leg ────────────────────────────────────────────────────────────────
 
@@ -82,7 +83,8 @@ def build_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 def lists(spark: SparkSession, sf: str) -> DataFrame:
     """Occurrences of the plans' terms in the corpus."""
-    return fts.query_lists(ad.plans(spark, sf), fts.build_postings(ad.corpus(spark, sf)))
+    found = fts.query_lists(ad.plans(spark, sf), fts.build_postings(ad.corpus(spark, sf)))
+    return stored(found, "lists")
 
 
 def cover_density(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,8 +99,8 @@ def fts_and(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fts_or(spark: SparkSession, sf: str) -> DataFrame:
-    plans, found = ad.plans(spark, sf), lists(spark, sf)
-    return hit_rows(fts.fts_or(plans, fts.fts_and(plans, found), found))
+    _, hits = rt.search_texts(ad.plans(spark, sf), ad.corpus(spark, sf))
+    return hit_rows(hits)
 
 
 # ── Vector leg ────────────────────────────────────────────────────────────────
@@ -108,7 +110,7 @@ def vector_hits(spark: SparkSession, sf: str, search=vl.vector_topk) -> DataFram
     """The nearest chunks of each plan's vector."""
     asked = ad.query_vectors(spark, sf).withColumn("snapshot_id", F.lit(1).cast("bigint"))
     chunks = ad.corpus(spark, sf).select("snapshot_id", "content_hash", "chunk_id")
-    return search(asked, chunks, ad.vectors(spark, sf), MODEL)
+    return stored(search(asked, chunks, ad.vectors(spark, sf), MODEL), "vector")
 
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,4 +1,10 @@
-"""Parquet sinks: the index of a snapshot and the query log. Rewriting a batch is idempotent."""
+"""Parquet tables: the index of a snapshot, the query log, and intermediate results.
+
+Rewriting a batch is idempotent, and everything is written where every executor can read it.
+"""
+
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +45,46 @@ def log_queries(rows: DataFrame, path: str) -> None:
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A stored table."""
     return spark.read.parquet(path)
+
+
+# ── Intermediate results ──────────────────────────────────────────────────────
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach: `spark.checkpoint.dir`, which the cluster sets.
+
+    Only a session on one machine that names none gets a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder all executors can reach.")
+    made = tempfile.mkdtemp(prefix="corpuscle-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/corpuscle/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written once to the shared folder and read back.
+
+    For results that several later steps read: it cuts their lineage, survives lost executors, and
+    lets the planner see how large they are.
+    """
+    path = work_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table stored in fewer files than there are cores, dealt out over the cores.
+
+    A table of many files, which is any large one, is returned as it is and nothing moves.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows

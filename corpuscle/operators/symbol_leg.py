@@ -15,6 +15,8 @@ GRAM = 3  # longest character run in the containment index
 
 # Rungs of the ladder, best first.
 QUALNAME, NAME, SUFFIX, CONTAINS = 1, 2, 3, 4
+RUNGS = 8  # more than any rung
+LONGEST = 1 << 32  # more than the length of any name
 
 
 def candidate_identifiers(plans: DataFrame, *, cap: int = tx.MAX_CANDIDATES) -> DataFrame:
@@ -74,12 +76,22 @@ def ladder_exact(identifiers: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def first_match(identifiers: DataFrame, matches: DataFrame) -> DataFrame:
-    """Identifiers joined to their matches, one row per query and chunk at the lowest ord."""
+    """Identifiers joined to their matches, one row per query and chunk at the lowest ord.
+
+    Ord and rung are packed into one number, which a hash aggregate can take the least of.
+    """
+    packed = F.min(F.col("ord") * RUNGS + F.col("rung"))
     return (
         identifiers.join(matches, ["snapshot_id", "identifier"])
         .groupBy("query_id", "snapshot_id", "chunk_id")
-        .agg(F.min(F.struct("ord", "rung")).alias("m"))
-        .select("query_id", "snapshot_id", "chunk_id", "m.ord", "m.rung")
+        .agg(packed.alias("m"))
+        .select(
+            "query_id",
+            "snapshot_id",
+            "chunk_id",
+            F.floor(F.col("m") / RUNGS).cast("int").alias("ord"),
+            (F.col("m") % RUNGS).alias("rung"),
+        )
     )
 
 
@@ -191,8 +203,14 @@ def ladder_contains(
     return (
         identifiers.join(found, ["snapshot_id", "identifier"])
         .groupBy("query_id", "snapshot_id", "chunk_id")
-        .agg(F.min(F.struct("ord", "length")).alias("m"))
-        .select("query_id", "snapshot_id", "chunk_id", "m.ord", "m.length")
+        .agg(F.min(F.col("ord").cast("bigint") * LONGEST + F.col("length")).alias("m"))
+        .select(
+            "query_id",
+            "snapshot_id",
+            "chunk_id",
+            F.floor(F.col("m") / LONGEST).cast("int").alias("ord"),
+            (F.col("m") % LONGEST).alias("length"),
+        )
         .join(exact.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
         .join(full, "query_id", "left_anti")
         .withColumn("n", F.row_number().over(order))

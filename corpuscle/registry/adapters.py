@@ -268,12 +268,12 @@ FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY 1
 # ── Documents as a searchable corpus ──────────────────────────────────────────
 #
 # Three documents make one symbol in three parts, thirty make one file. Some symbols are modules
-# or classes, some chunks are unnamed windows.
+# or classes, some chunks are unnamed windows. Documents with a language are snapshot 1.
 
 SYMBOL_NO = "CAST(floor(doc_id / 3) AS BIGINT)"
 MODULE_NO = "CAST(floor(doc_id / 30) AS BIGINT)"
 CORPUS = f"""
-CAST(1 AS BIGINT) AS snapshot_id, doc_id AS chunk_id,
+CAST(lang IS NOT NULL AS BIGINT) AS snapshot_id, doc_id AS chunk_id,
 'src/m' || CAST({MODULE_NO} AS STRING) || '.py' AS path,
 CASE WHEN {SYMBOL_NO} % 7 = 3 THEN 'window' WHEN {SYMBOL_NO} % 5 = 0 THEN 'module'
   WHEN {SYMBOL_NO} % 5 = 1 THEN 'class' ELSE 'function' END AS kind,
@@ -370,7 +370,7 @@ def plans(spark: SparkSession, sf: str) -> DataFrame:
     )
     return table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"),
-        F.lit(1).cast("bigint").alias("snapshot_id"),
+        F.col("text").isNotNull().cast("bigint").alias("snapshot_id"),
         F.col("text").alias("query"),
         identifiers.alias("identifiers"),
         intent.alias("intent"),

@@ -137,7 +137,7 @@ def expand_top(spark: SparkSession, sf: str) -> DataFrame:
 def hits(spark: SparkSession, sf: str) -> DataFrame:
     """The vector leg's hits as retrieved ones."""
     return rr.vector_hits(spark, sf).select(
-        "query_id", F.lit(1).cast("bigint").alias("snapshot_id"), "rank", "chunk_id",
+        "query_id", F.col("score").isNotNull().cast("bigint").alias("snapshot_id"), "rank", "chunk_id",
         F.lit("vector").alias("tier"),
     )
 

@@ -108,7 +108,9 @@ def fts_or(spark: SparkSession, sf: str) -> DataFrame:
 
 def vector_hits(spark: SparkSession, sf: str, search=vl.vector_topk) -> DataFrame:
     """The nearest chunks of each plan's vector."""
-    asked = ad.query_vectors(spark, sf).withColumn("snapshot_id", F.lit(1).cast("bigint"))
+    asked = ad.query_vectors(spark, sf).withColumn(
+        "snapshot_id", F.col("embedding").isNotNull().cast("bigint")
+    )
     chunks = ad.corpus(spark, sf).select("snapshot_id", "content_hash", "chunk_id")
     return stored(search(asked, chunks, ad.vectors(spark, sf), MODEL), "vector")
 

@@ -82,9 +82,9 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a table stored in fewer files than there are cores, dealt out over the cores.
+    """Rows of a table that is read in fewer tasks than there are cores, dealt out over the cores.
 
-    A table of many files, which is any large one, is returned as it is and nothing moves.
+    Any large table is read in many tasks; it is returned as it is and nothing moves.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -10,6 +10,7 @@ from corpuscle.registry import retrieval as rr
 from corpuscle.registry.adapters import table
 from corpuscle.registry.sql import select, view
 from corpuscle.sources import tables
+from corpuscle.sources.tables import stored
 from corpuscle.streaming.indexer import stream_index as start_index
 
 # ── Events as a query log ─────────────────────────────────────────────────────
@@ -199,7 +200,7 @@ def placed(spark: SparkSession, sf: str) -> DataFrame:
     """The vector leg's hits with path and names."""
     chunks = ad.corpus(spark, sf).select("chunk_id", "path", "name", "qualname")
     hits = rr.vector_hits(spark, sf).select("query_id", "rank", "chunk_id", "score")
-    return hits.join(chunks, "chunk_id").withColumn("tier", F.lit("vector"))
+    return stored(hits.join(chunks, "chunk_id").withColumn("tier", F.lit("vector")), "placed")
 
 
 def match_expected(spark: SparkSession, sf: str) -> DataFrame:
@@ -221,8 +222,8 @@ def absent_targets(spark: SparkSession, sf: str) -> DataFrame:
     return ev.absent_targets(cases(spark, sf), ad.corpus(spark, sf))
 
 
-def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """Outcomes of the cases; some failed, some were skipped."""
+def outcomes(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
+    """Outcomes of the cases by their hits; some failed, some were skipped."""
     given = cases(spark, sf)
     answers = given.select(
         "case_id",
@@ -231,27 +232,30 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("case_id % 11 = 3").alias("skipped"),
     )
     absent = ev.absent_targets(given, ad.corpus(spark, sf))
-    return ev.case_outcomes(given, ranks(spark, sf), absent, answers)
+    ranked = ev.rank_at_k(ev.match_expected(hits, given))
+    return ev.case_outcomes(given, ranked, absent, answers)
 
 
 def case_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return outcomes(spark, sf)
+    return outcomes(spark, sf, placed(spark, sf))
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
     """Results of two runs (odd and even cases) with each case's best cosine, time and price."""
-    best = placed(spark, sf).groupBy(F.col("query_id").alias("case_id")).agg(
+    hits = placed(spark, sf)
+    best = hits.groupBy(F.col("query_id").alias("case_id")).agg(
         F.max("score").alias("cosine")
     )
     spent = ql.cost_usd(log(spark, sf)).select(
         F.col("id").alias("case_id"), F.col("timings.total_ms").alias("ms"), "usd"
     )
-    return (
-        outcomes(spark, sf)
+    rows = (
+        outcomes(spark, sf, hits)
         .join(best, "case_id", "left")
         .join(spent, "case_id", "left")
         .withColumn("run_id", F.expr("case_id % 2"))
     )
+    return stored(rows, "results")
 
 
 def eval_report(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,4 +13,6 @@ from corpuscle.plans.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     """The session, with the settings the engine relies on."""
-    return local_session()
+    session = local_session()
+    session.conf.set("spark.sql.shuffle.partitions", "2")  # the test tables are tiny
+    return session

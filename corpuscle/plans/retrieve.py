@@ -46,7 +46,7 @@ def search_symbols(plans: DataFrame, chunks: DataFrame) -> tuple[DataFrame, Data
     aliases = symbol_leg.top_aliases(symbol_leg.symbol_aliases(chunks))
     candidates = symbol_leg.candidate_identifiers(plans)
     identifiers = stored(symbol_leg.resolve_identifiers(candidates, aliases), "identifiers")
-    exact = symbol_leg.ladder_exact(identifiers, aliases)
+    exact = stored(symbol_leg.ladder_exact(identifiers, aliases), "exact")
     contains = symbol_leg.ladder_contains(identifiers, chunks, exact)
     hits = symbol_leg.symbol_search(exact, contains, chunks)
     return identifiers, stored(hits, "symbol")

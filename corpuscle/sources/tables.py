@@ -3,7 +3,6 @@
 Rewriting a batch is idempotent, and everything is written where every executor can read it.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,21 +52,19 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`, which the cluster sets.
 
-    Only a session on one machine that names none gets a folder of its own.
+    A session that names none (tests, a notebook) uses its warehouse folder, which is shared as tables are.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("Set spark.checkpoint.dir to a folder all executors can reach.")
-    made = tempfile.mkdtemp(prefix="corpuscle-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/work").rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/corpuscle/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in this run's part of the shared folder, which goes when the session's JVM ends."""
+    jvm = spark.sparkContext._jvm
+    folder = f"{shared_dir(spark)}/corpuscle/{spark.sparkContext.applicationId}"
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import simhash
+from corpuscle.llm import naming, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +20,25 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("code").alias("fingerprint"), "component_id")
 
 
+def op7_block_naming(spark: SparkSession, sf: str) -> DataFrame:
+    """What stays of equal documents."""
+    return naming.exact_duplicates(_table(spark, sf, "documents")).drop("n_chars")
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(length(text), 0) AS n_chars,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS squeezed FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY squeezed ORDER BY n_chars DESC, doc_id) AS rank,
+        first_value(doc_id) OVER (PARTITION BY squeezed ORDER BY n_chars DESC, doc_id) AS keep_id,
+        count(*) OVER (PARTITION BY squeezed) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, rank = 1 AS kept, sha256(squeezed) AS text_sha256 FROM r
+"""
+
 QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
+    "op7_block_naming": op7_block_naming,
+}
+ORACLES: dict[str, str] = {
+    "op7_block_naming": OP7_SQL,
 }
-ORACLES: dict[str, str] = {}

@@ -5,15 +5,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import naming, simhash
+from corpuscle.llm import bpe, naming, simhash, token_files
+from corpuscle.sources.tables import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of the ids of every document and of their decoding."""
+    path = tokenizer_file("word_bpe_49k.json")
+    found = bpe.decode(bpe.encode(_table(spark, sf, "documents"), path), path)
+    digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+    return found.select("doc_id", "n_tokens", *digests)
+
+
 def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(_table(spark, sf, "documents"))
@@ -35,9 +51,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY squeezed ORDER BY n_chars DESC,
 SELECT doc_id, keep_id, group_size, rank = 1 AS kept, sha256(squeezed) AS text_sha256 FROM r
 """
 
+def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each document's ids are in the token files, and their checksum as read back."""
+    out = work_path(spark, "token-files")
+    token_files.write_ids(_table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), out)
+    return token_files.read_ids(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Query] = {
+    "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op7_block_naming": op7_block_naming,
+    "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {
     "op7_block_naming": OP7_SQL,

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, naming, simhash, token_files
+from corpuscle.llm import bpe, mixing, naming, simhash, token_files
 from corpuscle.sources.tables import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,41 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of every document in the mix."""
+    return mixing.taken_words(_table(spark, sf, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5(concat_ws('|', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))) AS mixed FROM documents),
+s0 AS (SELECT source, sum(size)::DOUBLE AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+s1 AS (SELECT *, [5.0, 2.0, 1.0][place % 3 + 1]::DOUBLE AS w FROM s0),
+fill(step, source, place, s, w, held) AS (
+  SELECT 0, source, place, s, w, false FROM s1
+  UNION ALL
+  SELECT step + 1, source, place, s, w, held OR
+    (1.5 * sum(s) OVER () - coalesce(sum(2 * s) FILTER (WHERE held) OVER (), 0)) * w
+    >= 2 * s * sum(w) FILTER (WHERE NOT held) OVER ()
+  FROM fill WHERE step < 60),
+f AS (SELECT * FROM fill WHERE step = 60),
+t AS (SELECT source, place, s, CASE WHEN held THEN 2 * s ELSE w *
+    (1.5 * sum(s) OVER () - coalesce(sum(2 * s) FILTER (WHERE held) OVER (), 0)) / sum(w) FILTER (WHERE NOT held) OVER () END
+    AS target FROM f),
+v AS (SELECT *, floor(sum(target) OVER (ORDER BY place) / sum(target) OVER () * 2147483648) AS high FROM t),
+i AS (SELECT *, coalesce(lag(high) OVER (ORDER BY place), 0) AS low FROM v),
+slots AS (SELECT slot % 2147483648 * 1327217885 % 2147483648 AS point
+  FROM range((SELECT CASE WHEN sum(target) > 0 THEN floor(sum(target) * 1.01 / 128)::BIGINT + 8 * count(*) + 1 ELSE 0 END FROM t)) r(slot)),
+c AS (SELECT place, count(*) * 128 AS words FROM slots JOIN i ON point >= low AND point < high GROUP BY place),
+q AS (SELECT t.*, least(floor(target), 2 * s, coalesce(words, 0)) AS quota FROM t LEFT JOIN c USING (place)),
+o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY mixed, doc_id ROWS UNBOUNDED PRECEDING) - size AS pos FROM d)
+SELECT o.doc_id, o.size::BIGINT AS size, q.s::BIGINT AS source_size, q.target,
+  (greatest(0, least(pos + size, quota) - pos) + greatest(0, least(pos + size + s, quota) - pos - s))::BIGINT AS taken
+FROM o JOIN q ON o.source IS NOT DISTINCT FROM q.source
+"""
+
+
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of the ids of every document and of their decoding."""
     path = tokenizer_file("word_bpe_49k.json")
@@ -59,11 +94,13 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op7_block_naming": op7_block_naming,
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {
+    "op1_mixing": OP1_SQL,
     "op7_block_naming": OP7_SQL,
 }

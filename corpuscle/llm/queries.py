@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, mixing, naming, simhash, token_files
+from corpuscle.llm import bpe, mixing, naming, quality, simhash, token_files
 from corpuscle.sources.tables import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY squeezed ORDER BY n_chars DESC,
 SELECT doc_id, keep_id, group_size, rank = 1 AS kept, sha256(squeezed) AS text_sha256 FROM r
 """
 
+def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    found = quality.scores(docs, _table(spark, sf, "labels"))
+    return found.select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     """Where each document's ids are in the token files, and their checksum as read back."""
     out = work_path(spark, "token-files")
@@ -98,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op7_block_naming": op7_block_naming,
+    "op9_quality": op9_quality,
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {

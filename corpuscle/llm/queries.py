@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, mixing, naming, quality, simhash, token_files
+from corpuscle.llm import bpe, mixing, naming, ngram_lm, quality, simhash, token_files
 from corpuscle.sources.tables import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,13 @@ FROM o JOIN q ON o.source IS NOT DISTINCT FROM q.source
 """
 
 
+def op3_ngram_lm(spark: SparkSession, sf: str) -> DataFrame:
+    """Language-model scores of every document, learnt from six folds of seven."""
+    held_out = ngram_lm.held_out_fold(F.col("doc_id"))
+    found = ngram_lm.score_documents(_table(spark, sf, "documents"), learn=~held_out)
+    return found.withColumn("held_out", held_out)
+
+
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of the ids of every document and of their decoding."""
     path = tokenizer_file("word_bpe_49k.json")
@@ -107,6 +114,7 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op3_ngram_lm": op3_ngram_lm,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op7_block_naming": op7_block_naming,

@@ -5,7 +5,6 @@ published as a file and memory-mapped by the workers. Words it does not hold are
 the lexicon holds changes the speed and nothing else.
 """
 
-import hashlib
 import itertools
 import json
 import re
@@ -127,14 +126,13 @@ def publish_lexicon(texts: DataFrame, path: str, limit: int = LEXICON_WORDS) ->
     chosen = frequent(stored_counts(texts), limit, "word").column("word").to_pylist()
     words = {piece for word in chosen for piece in bpe.words(word)}
     data = compile_lexicon((w.encode(), bpe.merge(w)) for w in words)
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work_path(spark, 'lexicon')}/{name}")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_path(spark, "lexicon"))
     stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
     for first in range(0, len(data), 1 << 20):
         stream.write(bytearray(data[first : first + (1 << 20)]))
     stream.close()
     spark.sparkContext.addFile(place.toString())
-    return name
+    return place.getName()
 
 
 # ── Encoding and decoding ─────────────────────────────────────────────────────

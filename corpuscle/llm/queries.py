@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, mixing, naming, ngram_lm, quality, simhash, token_files
+from corpuscle.llm import bpe, crf, mixing, naming, ngram_lm, private_data, quality, simhash, token_files
 from corpuscle.sources.tables import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,20 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("code").alias("fingerprint"), "component_id")
 
 
+def op6_private_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data of every document."""
+    docs = _table(spark, sf, "documents")
+    found = private_data.find_private(docs, private_data.train(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in crf.KINDS],
+        F.sha2(private_data.written(F.col("base")), 256).alias("base_sha256"),
+        private_data.written(private_data.ordered(F.concat("base", "added"))).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
 def op7_block_naming(spark: SparkSession, sf: str) -> DataFrame:
     """What stays of equal documents."""
     return naming.exact_duplicates(_table(spark, sf, "documents")).drop("n_chars")
@@ -117,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op3_ngram_lm": op3_ngram_lm,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
+    "op6_private_data": op6_private_data,
     "op7_block_naming": op7_block_naming,
     "op9_quality": op9_quality,
     "op10_token_files": op10_token_files,

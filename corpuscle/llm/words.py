@@ -54,6 +54,7 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray  # word at which each text begins, one more entry at the end
+    origin: np.ndarray  # where each word begins in the texts on end
 
     @property
     def count(self) -> np.ndarray:
@@ -92,7 +93,7 @@ def split_words(texts: pa.Array, *, lower: bool = True) -> Words:
     out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 32, np.uint8)
     chars = data[solid]
     out[np.arange(len(chars)) + np.repeat(np.arange(len(lengths)), lengths)] = _LOWER[chars] if lower else chars
-    return Words(out, ends - lengths, ends, np.searchsorted(begins, at))
+    return Words(out, ends - lengths, ends, np.searchsorted(begins, at), begins)
 
 
 # ── Hashes ────────────────────────────────────────────────────────────────────

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bpe, crf, mixing, naming, ngram_lm, private_data, quality, simhash, token_files
+from corpuscle.llm import binary_codes, bpe, crf, mixing, naming, ngram_lm, private_data, quality, simhash, token_files
 from corpuscle.sources.tables import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,22 @@ r AS (SELECT *, row_number() OVER (PARTITION BY squeezed ORDER BY n_chars DESC,
 SELECT doc_id, keep_id, group_size, rank = 1 AS kept, sha256(squeezed) AS text_sha256 FROM r
 """
 
+def op8_binary_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and component of every vector."""
+    return binary_codes.near_vectors(_table(spark, sf, "embeddings"))
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id != b.vec_id
+      AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
 def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Quality score of every document."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
@@ -133,10 +149,12 @@ QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
     "op6_private_data": op6_private_data,
     "op7_block_naming": op7_block_naming,
+    "op8_binary_codes": op8_binary_codes,
     "op9_quality": op9_quality,
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1_SQL,
     "op7_block_naming": OP7_SQL,
+    "op8_binary_codes": OP8_SQL,
 }

@@ -72,7 +72,7 @@ def hex_digits(code: str, size: int = 8) -> Column:
 # ── The trie joined with itself ───────────────────────────────────────────────
 
 
-class _Forest:
+class Forest:
     """Which fingerprints are connected already, and the links that connected them."""
 
     def __init__(self, size: int) -> None:
@@ -121,7 +121,7 @@ def trie_links(group: np.ndarray, codes: np.ndarray, budget: int) -> tuple[np.nd
     `group` is sorted and `codes` (rows of unsigned words) are sorted within it. Each group is the root of a trie. Node pairs go
     down one bit at a time, adding one when the bits differ, and end beyond the budget.
     """
-    forest = _Forest(len(group))
+    forest = Forest(len(group))
     cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     lo, hi = cuts[:-1], cuts[1:]
     many = hi - lo > 1

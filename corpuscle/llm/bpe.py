@@ -5,6 +5,7 @@ published as a file and memory-mapped by the workers. Words it does not hold are
 the lexicon holds changes the speed and nothing else.
 """
 
+import gc
 import itertools
 import json
 import re
@@ -40,6 +41,17 @@ def _is_latin(text: str) -> bool:
     return True
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies."""
+    shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    out: dict[int, str] = {}
+    for code in (*range(128), *range(128, 2048, 32), *range(128, 192)):  # every byte that UTF-8 has up to two bytes
+        out |= dict(zip(chr(code).encode(), shown.pre_tokenize_str(chr(code))[0][0], strict=True))
+    for code in (0x800, *range(0x1000, 0xD001, 0x1000), 0xE000, 0xF000, 0x10000, 0x40000, 0x80000, 0xC0000, 0x100000):
+        out |= dict(zip(chr(code).encode(), shown.pre_tokenize_str(chr(code))[0][0], strict=True))
+    return out
+
+
 class _Places(dict):
     """Numbers words in the order in which they are first asked for."""
 
@@ -63,13 +75,7 @@ class WordBPE:
             added = [x["content"] for x in json.load(file)["added_tokens"]]
         self._special = {x: tokenizer.token_to_id(x) for x in added}
         self._split = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
-        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self._letter = {}  # the letter that stands for each byte that is not printable ASCII
-        for first, size in ((0, 128), (128, 64), (192, 2048 - 192)):
-            for code in range(first, first + size):
-                shown = letters.pre_tokenize_str(chr(code))[0][0]
-                for byte, letter in zip(chr(code).encode(), shown, strict=True):
-                    self._letter[byte] = letter
+        self._letter = byte_letters()
         size = tokenizer.get_vocab_size(with_added_tokens=True)
         tokens = [(tokenizer.id_to_token(k) or "").encode() + b" " for k in range(size)]
         self._starts = np.concatenate([[0], np.cumsum([len(x) for x in tokens])])
@@ -199,6 +205,7 @@ def encode(docs: DataFrame, path: str, *, limit: int = LEXICON_WORDS) -> DataFra
     name = publish_lexicon(texts.select("text"), path, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # many remembered words, and no cycles among them
         encoder = WordEncoder(WordBPE(path), Lexicon.mapped(SparkFiles.get(name)))
         for batch in batches:
             for part in text_slices(batch):

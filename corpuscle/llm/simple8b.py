@@ -16,49 +16,81 @@ SHAPES = tuple((n, 60 // n) for n in (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3))
 _COUNTS = np.array([n for n, _ in SHAPES])
 
 
+_LIMITS = np.array([(1 << width) - 1 for _, width in SHAPES], np.uint32)  # ids below it fit the width
+_SMALL = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint32), side="right").astype(np.int8)
+_PAD = 64  # zeros after each run, so that no window sees the next run
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """The first shape that is wide enough for each id."""
+    if not len(ids) or ids.max() < len(_SMALL):
+        return _SMALL[ids]
+    return np.searchsorted(_LIMITS, ids, side="right").astype(np.int8)
+
+
+def _window_maxima(x: np.ndarray) -> dict[int, np.ndarray]:
+    """The largest of the next n entries, for every number of ids that a word can hold."""
+    most = {1: x}
+    sums = ((1, 1), (2, 1), (2, 2), (4, 1), (4, 2), (4, 3), (4, 4), (8, 2), (8, 4), (8, 7), (8, 8), (16, 4), (15, 15), (30, 30))
+    for a, b in sums:
+        most[a + b] = _both(most[a], most[b], a)
+    return most
+
+
+def _both(first: np.ndarray, second: np.ndarray, shift: int) -> np.ndarray:
+    """The larger of an entry and the one `shift` further on; nothing follows the end."""
+    out = first.copy()
+    np.maximum(first[:-shift], second[shift:], out=out[:-shift])
+    return out
+
+
 def encode_block(ids: np.ndarray, escaped: int = ESCAPED) -> bytes:
     """One block of ids (any unsigned 32-bit integers)."""
     ids = np.asarray(ids, np.uint32)
     size = len(ids)
     runs = -(-size // RUN)
-    away = ids >= (1 << escaped) - 1
-    # the least width whose all-ones value is above the id; an escape fits any
-    bits = np.searchsorted(np.array([(1 << w) - 1 for _, w in SHAPES], np.uint32), ids, side="right").astype(np.int8)
-    bits[away] = 0
-    at = np.arange(size, dtype=np.int32)
-    ends = np.minimum((at // RUN + 1) * RUN, size).astype(np.int32)
-    left = ends - at
-    room = np.zeros(size, np.int32)  # ids of the largest word that can begin here
-    shape = np.full(size, -1, np.int8)
-    for k in range(len(SHAPES) - 1, -1, -1):
-        count = SHAPES[k][0]
-        wide = np.where(bits > k, at, np.int32(size))  # the next id that does not fit
-        after = np.minimum.accumulate(wide[::-1])[::-1] if size else wide
-        fits = after - at >= np.minimum(np.int32(count), left)
-        shape[fits], room[fits] = k, count
-    jumps = np.minimum(at + room, ends).tolist()
-    starts, spot = [], 0
-    while spot < size:
-        starts.append(spot)
-        spot = jumps[spot]
+    away = np.flatnonzero(ids >= (1 << escaped) - 1)
+    padded = np.zeros((runs, RUN + _PAD), np.uint32)
+    full = size // RUN
+    padded[:full, :RUN] = ids[: full * RUN].reshape(full, RUN)
+    padded[full:, : size - full * RUN] = ids[full * RUN :]
+    flat = padded.ravel()
+    widths = _widths(flat)
+    gone = away // RUN * (RUN + _PAD) + away % RUN
+    widths[gone] = 0  # an escape fits any width
+    most = _window_maxima(widths)
+    shape = np.full(len(flat), len(SHAPES), np.int8)  # what fits narrow also fits wide, so the first that fits
+    for k, (count, _) in enumerate(SHAPES):
+        shape -= most[count] <= k
+    kinds = shape.tobytes()
+    counts = [n for n, _ in SHAPES]
+    starts: list[int] = []
+    offsets = []
+    for run in range(runs):
+        spot = run * (RUN + _PAD)
+        stop = spot + min(RUN, size - run * RUN)
+        offsets.append(len(starts))
+        while spot < stop:
+            starts.append(spot)
+            spot += counts[kinds[spot]]
     first = np.array(starts, np.int64)
-    kinds = shape[first] if size else np.zeros(0, np.int8)
-    words = kinds.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([ids, np.zeros(64, np.uint32)]).astype(np.uint64)
-    flags = np.concatenate([away, np.zeros(64, bool)])
-    stops = ends[first] if size else first
+    kind = shape[first] if size else np.zeros(0, np.int8)
+    words = kind.astype(np.uint64) << np.uint64(60)
+    values = flat.astype(np.uint64)
+    values[gone] = np.uint64((1 << 60) - 1)
     for k, (count, width) in enumerate(SHAPES):
-        mine = np.flatnonzero(kinds == k)
-        if not len(mine):
-            continue
-        spots = first[mine, None] + np.arange(count)
-        values = np.where(flags[spots], np.uint64((1 << width) - 1), padded[spots])
-        values[spots >= stops[mine, None]] = 0
-        words[mine] |= np.bitwise_or.reduce(values << (np.arange(count) * width).astype(np.uint64), axis=1)
-    offsets = np.searchsorted(first, np.arange(runs) * RUN).astype(np.uint32)
-    table = np.concatenate([offsets, ids[away]])
+        mine = np.flatnonzero(kind == k)
+        begin = first[mine]
+        packed = np.zeros(len(mine), np.uint64)
+        for place in range(count if len(mine) else 0):
+            value = values[begin + place]
+            if len(gone):
+                value &= np.uint64((1 << width) - 1)  # an escape becomes all ones
+            packed |= value << np.uint64(place * width)
+        words[mine] |= packed
+    table = np.concatenate([np.array(offsets, np.uint32), ids[away]])
     table = np.concatenate([table, np.zeros(len(table) % 2, np.uint32)])
-    head = np.array([MAGIC, size, len(words), int(away.sum()), runs, 0], "<u4")
+    head = np.array([MAGIC, size, len(words), len(away), runs, 0], "<u4")
     return head.tobytes() + table.astype("<u4").tobytes() + words.astype("<u8").tobytes()
 
 

@@ -4,6 +4,7 @@ A file set is a Parquet folder, so any store that Spark writes will do: one fold
 with a block of ids (`simple8b`), the documents it holds with their lengths, and how many ids of its range come before it.
 """
 
+import gc
 import itertools
 import re
 from collections.abc import Iterator
@@ -14,12 +15,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
+from corpuscle.llm.bpe import byte_letters
 from corpuscle.llm.simple8b import decode_block, encode_block
 from corpuscle.llm.words import text_slices
 
 END_ID = 2
-BLOCK_IDS = 1 << 16  # a block is closed once it holds so many ids; documents are not split
+BLOCK_IDS = 1 << 18  # a block is closed once it holds so many ids; documents are not split
 MEMO_PIECES = 1 << 18
 RANGES_PER_PARTITION = 4
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -33,36 +36,45 @@ _LATIN = re.compile(
 class _Memo(dict):
     """Pieces seen and their ids as bytes; forgets everything when full."""
 
-    def __init__(self, tokenizer: Tokenizer) -> None:
+    def __init__(self, model: BPE, special: dict[str, int], dtype: str) -> None:
         super().__init__()
-        self._tokenizer = tokenizer
+        self._model, self._special, self._dtype = model, special, dtype
+        self._letters = byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO_PIECES:
             self.clear()
-        ids = self._tokenizer.encode(piece, add_special_tokens=False).ids
-        data = self[piece] = np.array(ids, "<u4").tobytes()
+        if piece in self._special:
+            ids = [self._special[piece]]
+        else:
+            ids = [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]
+        data = self[piece] = np.array(ids, self._dtype).tobytes()
         return data
 
 
 class ByteBPE:
-    """A byte-level BPE file; texts are cut into pieces as the file's library does, and each piece is encoded once."""
+    """A byte-level BPE file; texts are cut into pieces as the file's library does, and each piece is merged once.
+
+    Special tokens are found in the raw text first, as the library does. Ids are little-endian unsigned integers of 16
+    bits when the vocabulary allows, else of 32.
+    """
 
     def __init__(self, path: str) -> None:
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+        added = {x.content: k for k, x in tokenizer.get_added_tokens_decoder().items()}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")")
-        self._memo = _Memo(tokenizer)
-        self._added = bool(added)
+        self._marks = [x for x in added if x]
+        self.dtype = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self._memo = _Memo(tokenizer.model, added, self.dtype)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        parts = self._special.split(text) if self._added else [text]
-        pieces: list[str] = []
-        for k, part in enumerate(parts):
-            pieces += [part] if k % 2 else self._pieces(part)
+        """Ids of a text on end."""
+        if any(mark in text for mark in self._marks):
+            pieces: list[str] = []
+            for k, part in enumerate(self._special.split(text)):
+                pieces += [part] if k % 2 else self._pieces(part)
+        else:
+            pieces = self._pieces(text)
         return b"".join(map(self._memo.__getitem__, pieces))
 
     @staticmethod
@@ -75,14 +87,15 @@ class ByteBPE:
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """`doc_id, ids`: ids of every text with `end_id` after them, as little-endian unsigned 32-bit integers.
+    """`doc_id, ids`: ids of every text with `end_id` after them, in the width of the vocabulary.
 
     A null or empty text has the end id only. Other columns are not read.
     """
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # a million remembered pieces, and no cycles among them
         bpe = ByteBPE(path)
+        end = np.array([end_id], bpe.dtype).tobytes()
         for batch in batches:
             for part in text_slices(batch):
                 ids = [bpe.encode(t or "") + end for t in part.column("text").to_pylist()]
@@ -112,6 +125,7 @@ def write_ids(docs: DataFrame, path: str, out: str, *, end_id: int = END_ID) ->
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = _cuts(docs, partitions * RANGES_PER_PARTITION)
+    dtype = np.dtype(ByteBPE(path).dtype)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +140,7 @@ def write_ids(docs: DataFrame, path: str, out: str, *, end_id: int = END_ID) ->
             seq, before, docs_, held = 0, 0, [], 0
             for _, doc_id, ids in group:
                 docs_.append((doc_id, ids))
-                held += len(ids) // 4
+                held += len(ids) // dtype.itemsize
                 if held >= BLOCK_IDS:
                     yield block(key, seq, before, docs_)
                     seq, before, docs_, held = seq + 1, before + held, [], 0
@@ -134,8 +148,8 @@ def write_ids(docs: DataFrame, path: str, out: str, *, end_id: int = END_ID) ->
                 yield block(key, seq, before, docs_)
 
     def block(key: int, seq: int, before: int, rows: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(x for _, x in rows), "<u4")
-        values = [key, seq, before, len(ids), [d for d, _ in rows], [len(x) // 4 for _, x in rows], encode_block(ids)]
+        ids = np.frombuffer(b"".join(x for _, x in rows), dtype)
+        values = [key, seq, before, len(ids), [d for d, _ in rows], [len(x) // dtype.itemsize for _, x in rows], encode_block(ids)]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         arrays = [pa.array([v], k) for v, k in zip(values, kinds, strict=True)]
         return pa.record_batch(arrays, ["range", "seq", "before", "n_ids", "doc_ids", "lengths", "block"])

@@ -19,7 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.5 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.scores(docs, labels).where("score >= 0.5").drop("score")
+    return quality.scores(docs, labels).where("score >= 0.5").select("doc.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,19 +150,23 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     is such a column, counts what is left. Of rows alike in id and text it does not matter which is which.
     """
     rows, pieces = mix(docs, **options)
-    takes = pieces.groupBy("row", "epoch").agg(F.sum("n_words").alias("_n"))
-    takes = takes.groupBy("row").agg(F.sort_array(F.collect_list("_n")).alias("_takes"))  # one entry per epoch
-    twins = Window.partitionBy("_id", "_mixed").orderBy("_id")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    chosen = rows.join(takes, "row").select(key.alias("_id"), F.col("mixed").alias("_mixed"), "size", "_takes")
-    chosen = chosen.withColumn("_twin", F.row_number().over(twins)).withColumnRenamed("size", "_size")
-    keyed = docs.withColumn("_id", key).withColumn("_mixed", _mixed())
-    keyed = keyed.withColumn("_twin", F.row_number().over(twins))
-    out = keyed.join(chosen, ["_id", "_mixed", "_twin"]).withColumn("_n", F.explode("_takes"))
-    words = F.split(F.col("text").cast("string"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.concat_ws("", F.slice(words, F.lit(1), F.col("_n").cast("int")))
-    out = out.withColumn("text", F.when(F.col("_n") < F.col("_size"), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_n") < F.col("_size"), n_chars).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    takes = pieces.groupBy("row", "epoch").agg(F.sum("n_words").alias("n"))
+    takes = takes.groupBy("row").agg(F.sort_array(F.collect_list("n")).alias("takes"))  # one entry per epoch
+    twins = Window.partitionBy("id", "mixed").orderBy("id")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id")
+    chosen = rows.join(takes, "row").select(key, "mixed", "size", "takes").withColumn("twin", F.row_number().over(twins))
+    keyed = docs.select(key, _mixed().alias("mixed"), F.col("text").cast("string").alias("text"), F.struct("*").alias("doc"))
+    keyed = keyed.withColumn("twin", F.row_number().over(twins))
+    out = keyed.join(chosen, ["id", "mixed", "twin"]).withColumn("n", F.explode("takes"))
+    words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    part = F.col("n") < F.col("size")
+    cut = F.when(part, F.concat_ws("", F.slice(words, F.lit(1), F.col("n").cast("int")))).otherwise(F.col("text"))
+    columns = []
+    for field in docs.schema:
+        column = F.col("doc").getField(field.name)
+        if field.name == "text":
+            column = F.when(part, F.col("cut")).otherwise(column)
+        if field.name == "n_chars":
+            column = F.when(part, F.char_length("cut").cast(field.dataType)).otherwise(column)
+        columns.append(column.alias(field.name))
+    return out.withColumn("cut", cut).select(*columns)

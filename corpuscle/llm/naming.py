@@ -133,21 +133,11 @@ def exact_duplicates(docs: DataFrame, *, key: Callable[[Column, int], Column] =
 
 def without_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    same = [
-        F.coalesce("doc_id", F.lit(0)).alias("_id"),
-        F.col("doc_id").isNull().alias("_none"),
-        F.col("text_sha256").alias("_sha"),
-        F.col("n_chars").cast("int").alias("_chars"),
-    ]
-    kept = exact_duplicates(docs).where("kept").select(*same)
-    text = F.col("text").cast("string")
-    keyed = docs.withColumns(
-        {
-            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-            "_none": F.col("doc_id").isNull(),
-            "_sha": F.sha2(squeezed(text), 256),
-            "_chars": F.coalesce(F.char_length(text), F.lit(0)),
-        }
-    )
-    keys = ["_id", "_none", "_sha", "_chars"]
-    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    keys = ["id", "none", "sha", "chars"]
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    sha, chars = F.sha2(squeezed(text), 256), F.coalesce(F.char_length(text), F.lit(0))
+    identity = [F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none")]
+    kept = exact_duplicates(docs).where("kept")
+    kept = kept.select(*identity, F.col("text_sha256").alias("sha"), F.col("n_chars").alias("chars"))
+    keyed = docs.select(*identity, sha.alias("sha"), chars.alias("chars"), F.struct("*").alias("doc"))
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select("doc.*")

@@ -200,18 +200,17 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unl
 
 
 def scores(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
-    """All columns of `docs` with `score`, the chance that a text is good.
+    """`doc, score`: every row of `docs` as a struct, and the chance that its text is good.
 
-    A null or empty text is scored as a row of zeros. Without any label to learn from every score is 0.5.
+    A null or empty text is scored as a row of zeros. Without a good label to learn from every score is 0.5.
     """
     model = train(docs, labels, **bounds)
-    names = [f.name for f in docs.schema]
-    schema = docs.withColumn("_score", F.lit(0.0)).schema
+    rows = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 found = model.score(features(part.column("text"))) if model else np.full(part.num_rows, 0.5)
-                yield pa.record_batch([*part.columns, pa.array(found)], [*names, "_score"])
+                yield pa.record_batch([part.column("doc"), pa.array(found)], ["doc", "score"])
 
-    return docs.mapInArrow(run, schema).withColumnRenamed("_score", "score")
+    return rows.mapInArrow(run, rows.select("doc").withColumn("score", F.lit(0.0)).schema)

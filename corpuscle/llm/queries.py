@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import binary_codes, bpe, crf, mixing, naming, ngram_lm, private_data, quality, simhash, token_files
+from corpuscle.llm import binary_codes, bpe, crf, licences, mixing, naming, ngram_lm, private_data, quality, simhash, token_files
 from corpuscle.sources.tables import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,33 @@ FROM o JOIN q ON o.source IS NOT DISTINCT FROM q.source
 """
 
 
+def op2_licences(spark: SparkSession, sf: str) -> DataFrame:
+    """Licences and notices of every document."""
+    return licences.scan_licences(_table(spark, sf, "documents"), licences.known_licences(spark))
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical form of a text in SQL."""
+    out = f"regexp_replace(lower(coalesce({text}, '')), '{licences.COPYRIGHT_LINE}', ' ', 'g')"
+    out = f"' ' || regexp_replace({out}, '{licences.NOT_WORD}', ' ', 'g') || ' '"
+    for other, kept in licences.SPELLINGS:
+        out = f"replace({out}, ' {other} ', ' {kept} ')"
+    return f"trim({out})"
+
+
+_KNOWN = ", ".join("('{}', '{}')".format(key, text.replace("'", "''")) for key, text in licences.known_texts())
+OP2_SQL = f"""
+WITH t(licence, text) AS (VALUES {_KNOWN}),
+k AS (SELECT sha256({_canonical_sql("text")}) AS digest, min(licence) AS licence FROM t GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, text, sha256({_canonical_sql("text")}) AS digest FROM documents),
+l AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d),
+n AS (SELECT r, count(*) AS n_notices, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
+      FROM (SELECT r, sha256({_canonical_sql("line")}) AS digest FROM l WHERE line != '') JOIN k USING (digest) GROUP BY r)
+SELECT doc_id, digest, licence, coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices
+FROM d LEFT JOIN k USING (digest) LEFT JOIN n USING (r)
+"""
+
+
 def op3_ngram_lm(spark: SparkSession, sf: str) -> DataFrame:
     """Language-model scores of every document, learnt from six folds of seven."""
     held_out = ngram_lm.held_out_fold(F.col("doc_id"))
@@ -126,7 +153,7 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Quality score of every document."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    found = quality.scores(docs, _table(spark, sf, "labels"))
+    found = quality.scores(docs, _table(spark, sf, "labels")).select("doc.doc_id", "score")
     return found.select(
         "doc_id",
         quality.held_out(F.col("doc_id")).alias("held_out"),
@@ -144,6 +171,7 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op2_licences": op2_licences,
     "op3_ngram_lm": op3_ngram_lm,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
@@ -155,6 +183,7 @@ QUERIES: dict[str, Query] = {
 }
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1_SQL,
+    "op2_licences": OP2_SQL,
     "op7_block_naming": OP7_SQL,
     "op8_binary_codes": OP8_SQL,
 }

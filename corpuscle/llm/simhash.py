@@ -262,5 +262,6 @@ def without_near_duplicates(docs: DataFrame, *, words: int = 5, bits: int = 512,
     """
     found = near_duplicates(docs, words=words, bits=bits, budget=budget, parts=parts)
     gone = found.where("doc_id IS NULL OR doc_id != component_id").where("component_id IS NOT NULL")
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = gone.select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("doc"))
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("gone")), "left_anti").select("doc.*")

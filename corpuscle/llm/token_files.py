@@ -23,7 +23,7 @@ from corpuscle.llm.words import text_slices
 
 END_ID = 2
 BLOCK_IDS = 1 << 18  # a block is closed once it holds so many ids; documents are not split
-MEMO_PIECES = 1 << 18
+MEMO_PIECES = 1 << 19
 RANGES_PER_PARTITION = 4
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # The same for Latin-1 text, in which these are all letters, digits and white space.
@@ -86,11 +86,13 @@ class ByteBPE:
         return _LATIN.findall(text)
 
 
-def encode_ids(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """`doc_id, ids`: ids of every text with `end_id` after them, in the width of the vocabulary.
+def encode_ids(docs: DataFrame, path: str, end_id: int = END_ID, cuts: np.ndarray | None = None) -> DataFrame:
+    """`range, doc_id, ids`: ids of every text with `end_id` after them, in the width of the vocabulary.
 
-    A null or empty text has the end id only. Other columns are not read.
+    The range counts the `cuts` up to the doc_id, from 1; a null id is in range 0. A null or empty text has the end id only.
+    Other columns are not read.
     """
+    edges = np.zeros(0, np.int64) if cuts is None else cuts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # a million remembered pieces, and no cycles among them
@@ -99,10 +101,13 @@ def encode_ids(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch):
                 ids = [bpe.encode(t or "") + end for t in part.column("text").to_pylist()]
-                yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                doc_id = part.column("doc_id")
+                at = np.searchsorted(edges, doc_id.fill_null(0).to_numpy(zero_copy_only=False), side="right") + 1
+                ranges = np.where(doc_id.is_valid().to_numpy(zero_copy_only=False), at, 0).astype(np.int32)
+                yield pa.record_batch([pa.array(ranges), doc_id, pa.array(ids, pa.binary())], ["range", "doc_id", "ids"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, ids binary")
+    return texts.mapInArrow(run, "range int, doc_id long, ids binary")
 
 
 # ── Files ─────────────────────────────────────────────────────────────────────
@@ -127,13 +132,6 @@ def write_ids(docs: DataFrame, path: str, out: str, *, end_id: int = END_ID) ->
     cuts = _cuts(docs, partitions * RANGES_PER_PARTITION)
     dtype = np.dtype(ByteBPE(path).dtype)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            ranges = np.where(known, np.searchsorted(cuts, ids, side="right") + 1, 0).astype(np.int32)
-            yield pa.record_batch([pa.array(ranges), *batch.columns], ["range", "doc_id", "ids"])
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for key, group in itertools.groupby(rows, key=lambda r: r[0]):
@@ -154,8 +152,7 @@ def write_ids(docs: DataFrame, path: str, out: str, *, end_id: int = END_ID) ->
         arrays = [pa.array([v], k) for v, k in zip(values, kinds, strict=True)]
         return pa.record_batch(arrays, ["range", "seq", "before", "n_ids", "doc_ids", "lengths", "block"])
 
-    placed = encode_ids(docs, path, end_id).mapInArrow(place, "range int, doc_id long, ids binary")
-    dealt = placed.repartition(partitions, "range").sortWithinPartitions("range", "doc_id", "ids")
+    dealt = encode_ids(docs, path, end_id, cuts).repartition(partitions, "range").sortWithinPartitions("range", "doc_id", "ids")
     dealt.mapInArrow(pack, _BLOCKS).write.partitionBy("range").parquet(out)
 
 

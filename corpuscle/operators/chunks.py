@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import text as tx
 from corpuscle.operators.lines import (
+    file_key,
     line_windows,
     markdown_sections,
     weighted_windows,
@@ -117,14 +118,26 @@ def finish_chunks(bodies: DataFrame) -> DataFrame:
     hashed = texts.withColumn("content_hash", tx.content_hash(F.col("text"))).withColumn(
         "tokens", tx.estimate_tokens(F.col("text"))
     )
-    return search_fields(hashed).drop("prefix", "lead", "parts", "code", "body")
+    return with_ids(search_fields(hashed).drop("prefix", "lead", "parts", "code", "body"))
+
+
+def with_ids(chunks: DataFrame) -> DataFrame:
+    """Add `chunk_id`: 62 bits of a digest of the chunk's key, the same whenever the same file is indexed again.
+
+    Keys are told apart by the digest's text, so names with separators in them do not meet; `chunk_key_check` over ids
+    finds the two that would.
+    """
+    columns = [*file_key(chunks), "kind", "qualname", "start_line", "part"]
+    key = F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]))
+    digits = F.substring(F.sha2(key, 256), 1, 15)
+    return chunks.withColumn("chunk_id", F.conv(digits, 16, 10).cast("bigint"))
 
 
 def chunk_key_check(chunks: DataFrame) -> DataFrame:
-    """Chunk keys that occur more than once: (path, kind, qualname, start_line, part, n)."""
+    """Chunk keys that occur more than once: (file key, kind, qualname, start_line, part, n)."""
     return (
         chunks.withColumn("qualname", F.coalesce("qualname", F.lit("")))
-        .groupBy("path", "kind", "qualname", "start_line", "part")
+        .groupBy(*file_key(chunks), "kind", "qualname", "start_line", "part")
         .agg(F.count("*").alias("n"))
         .filter("n > 1")
     )

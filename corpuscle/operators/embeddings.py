@@ -1,20 +1,23 @@
 """Incremental embedding: which hashes need a vector, request batches, budget, and the vectors."""
 
-from collections.abc import Callable, Iterator, Sequence
+import bisect
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.functions import text as tx
+from corpuscle.sources.tables import stored
+
 # Provider request limits, the per-snapshot budget and the price per million tokens.
 BATCH_TOKENS = 100_000
 BATCH_ITEMS = 1_000
 SNAPSHOT_TOKENS = 5_000_000
 EMBED_USD_PER_MTOK = 0.12
 
-Embedder = Callable[[Sequence[str]], np.ndarray]
+Embedder = Callable[[DataFrame], DataFrame]  # (content_hash, text) to (content_hash, embedding)
 
 
 def pending_embeddings(
@@ -58,39 +61,60 @@ def token_batches(
     *,
     max_tokens: int = BATCH_TOKENS,
     max_items: int = BATCH_ITEMS,
-    cap: int = SNAPSHOT_TOKENS,
+    range_tokens: int = SNAPSHOT_TOKENS,
 ) -> DataFrame:
     """Pending hashes with the request batch (from 0, in hash order per snapshot) each goes in.
 
-    A batch closes when the next hash would exceed either limit; an oversize hash goes alone. The
-    rule depends on everything before, so a snapshot is read in order by one task. A snapshot over
-    the budget is refused as a whole and has no batches, so no task gets more than `cap` tokens;
-    within that the rows stream: one Arrow batch in memory, three numbers carried over.
+    A batch closes when the next hash would exceed either limit; an oversize hash goes alone. Whatever a snapshot holds gets
+    batches. The rule depends on everything before, so a snapshot is cut into ranges of its hashes' first digits, as many as
+    bring a range to `range_tokens` on average; batches start anew with each range, and ranges are read by different tasks.
     """
-    within = embed_budget(pending, cap=cap).filter(~F.col("refused")).select("snapshot_id")
+    sizes = embed_budget(pending).select(
+        "snapshot_id",
+        F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("tokens") / range_tokens))).cast("int").alias("digits"),
+    )
+    keyed = pending.join(sizes, "snapshot_id").select(
+        "snapshot_id", F.expr("substring(content_hash, 1, digits)").alias("range"), "content_hash", "tokens"
+    )
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        snapshot, batch, total, items = None, 0, 0, 0
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, total, items = None, 0, 0, 0
         for rows in batches:
-            ids = []
-            for at, tokens in zip(rows["snapshot_id"], rows["tokens"], strict=True):
-                if at != snapshot:
-                    snapshot, batch, total, items = at, 0, 0, 0
-                if items and (total + tokens > max_tokens or items == max_items):
-                    batch, total, items = batch + 1, 0, 0
-                total, items = total + tokens, items + 1
-                ids.append(batch)
-            yield rows.assign(batch_id=np.array(ids, dtype="int32"))
-
-    return (
-        pending.select("snapshot_id", "content_hash", "tokens")
-        .join(within, "snapshot_id", "left_semi")
-        .repartition("snapshot_id")
-        .sortWithinPartitions("snapshot_id", "content_hash")
-        .mapInPandas(
-            assign, "snapshot_id bigint, content_hash string, tokens int, batch_id int"
-        )
-    )
+            if not rows.num_rows:
+                continue
+            keys = list(zip(rows.column("snapshot_id").to_pylist(), rows.column("range").to_pylist(), strict=True))
+            tokens = rows.column("tokens").to_numpy().astype(np.int64)
+            ids = np.zeros(len(tokens), np.int32)
+            first = 0
+            while first < len(tokens):
+                last = bisect.bisect_right(keys, keys[first], first)  # rows are sorted by key
+                if keys[first] != held:
+                    held, at, total, items = keys[first], 0, 0, 0
+                upto = np.cumsum(tokens[first:last])
+                spot = 0
+                while spot < len(upto):
+                    before = int(upto[spot - 1]) if spot else 0
+                    fits = int(np.searchsorted(upto, before + max_tokens - total, side="right"))
+                    stop = min(fits, spot + max_items - items, len(upto))
+                    if stop <= spot and items:
+                        at, total, items = at + 1, 0, 0
+                        continue
+                    stop = max(stop, spot + 1)
+                    ids[first + spot : first + stop] = at
+                    total, items = total + int(upto[stop - 1]) - before, items + stop - spot
+                    spot = stop
+                first = last
+            yield pa.record_batch([*rows.columns, pa.array(ids)], [*rows.schema.names, "at"])
+
+    schema = "snapshot_id bigint, range string, content_hash string, tokens int, at int"
+    order = ["snapshot_id", "range", "content_hash"]
+    assigned = keyed.repartition("snapshot_id", "range").sortWithinPartitions(*order).mapInArrow(assign, schema)
+    assigned = stored(assigned, "batches")
+    earlier = Window.partitionBy("snapshot_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = assigned.groupBy("snapshot_id", "range").agg((F.max("at") + 1).alias("n"))
+    firsts = counts.select("snapshot_id", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    batch_id = (F.col("first") + F.col("at")).cast("int").alias("batch_id")
+    return assigned.join(firsts, ["snapshot_id", "range"]).select("snapshot_id", "content_hash", "tokens", batch_id)
 
 
 def embed_budget(pending: DataFrame, *, cap: int = SNAPSHOT_TOKENS) -> DataFrame:
@@ -116,38 +140,37 @@ def stored_batches(usage: DataFrame, *, cap: int = SNAPSHOT_TOKENS) -> DataFrame
 def hashed_token_vectors(dims: int = 64) -> Embedder:
     """The built-in embedder: each word adds +-1 to a hashed dimension; unit norm.
 
-    Equal texts have equal vectors and texts that share words are close; no model, no network.
+    Equal texts have equal vectors and texts that share words are close; no model, no network, and no Python: words are
+    counted per text and dimension before they move. A text whose words cancel out, or without any, is the first unit vector.
     """
 
-    def embed(texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dims), dtype=np.float32)
-        for row, text in zip(out, texts, strict=True):
-            for word in text.lower().split():
-                code = xxhash.xxh64_intdigest(word)
-                row[code % dims] += 1.0 if code >> 63 else -1.0
-            norm = np.sqrt(np.dot(row, row))
-            if norm == 0.0:
-                row[0] = norm = 1.0
-            row /= norm
-        return out
+    def embed(texts: DataFrame) -> DataFrame:
+        words = texts.select("content_hash", F.explode_outer(tx.index_terms(F.col("text"))).alias("word"))
+        digest = F.md5(F.coalesce("word", F.lit("")))
+        at = F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint") % dims
+        sign = F.when(F.substring(digest, 8, 1) < "8", 1).otherwise(-1)
+        counted = words.groupBy("content_hash", at.alias("at")).agg(
+            F.sum(F.when(F.col("word").isNotNull(), sign).otherwise(0)).alias("n")
+        )
+        norm = F.sqrt(F.sum(F.col("n") * F.col("n")))
+        entries = F.map_from_entries(F.collect_list(F.struct("at", "n")))  # at most one per dimension
+        vectors = counted.groupBy("content_hash").agg(entries.alias("entries"), norm.alias("norm"))
+        values = F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)),
+            lambda d: F.when(F.col("norm") == 0, (d == 0).cast("float")).otherwise(
+                (F.coalesce(F.element_at("entries", d.cast("bigint")), F.lit(0)) / F.col("norm")).cast("float")
+            ),
+        )
+        return vectors.select("content_hash", values.alias("embedding"))
 
     return embed
 
 
 def embed_documents(texts: DataFrame, embedder: Embedder, model: str) -> DataFrame:
-    """Vectors (content_hash, model, embedding) for (content_hash, text) rows, an Arrow batch at
-    a time; `embedder` maps a list of texts to a matrix and may be any client."""
-
-    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            vectors = embedder(rows["text"].tolist())
-            yield pd.DataFrame(
-                {"content_hash": rows["content_hash"], "model": model, "embedding": list(vectors)}
-            )
-
-    return texts.select("content_hash", "text").mapInPandas(
-        embed, "content_hash string, model string, embedding array<float>"
-    )
+    """Vectors (content_hash, model, embedding) for (content_hash, text) rows; `embedder` turns one table into the
+    other and may as well call a client on Arrow batches."""
+    vectors = embedder(texts.select("content_hash", "text"))
+    return vectors.select("content_hash", F.lit(model).alias("model"), F.col("embedding").cast("array<float>"))
 
 
 def insert_missing(embeddings: DataFrame, new: DataFrame) -> DataFrame:

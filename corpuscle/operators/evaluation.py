@@ -41,12 +41,15 @@ def rank_at_k(matches: DataFrame, *, k: int = TOP_K) -> DataFrame:
 
 
 def absent_targets(cases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Ids of cases whose target is no chunk of the index at all."""
+    """Ids of cases whose target is no chunk of the index, or of the case's snapshot when cases name one."""
     targets = cases.filter("expect_path IS NOT NULL")
-    known = chunks.select("path", "name", "qualname").distinct()
+    scope = [c for c in ("snapshot_id",) if c in cases.columns and c in chunks.columns]
+    known = chunks.select("path", "name", "qualname", *scope)
     same = (targets["expect_path"] == known["path"]) & is_target(
         known["name"], known["qualname"], targets["expect_qualname"]
     )
+    for column in scope:
+        same = same & (targets[column] == known[column])
     return targets.join(known, same, "left_anti").select("case_id")
 
 

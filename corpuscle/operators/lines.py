@@ -18,11 +18,21 @@ PART_TOKENS, PART_OVERLAP = 1_200, 150
 FENCES = ("```", "~~~")
 
 
+# What tells files apart; a table of one repository may leave out the first two.
+FILE_KEY = ("repo", "snapshot_id", "path")
+
+
+def file_key(rows: DataFrame) -> list[str]:
+    """The columns that tell the files of a table apart."""
+    return [c for c in FILE_KEY if c in rows.columns]
+
+
 def number_lines(files: DataFrame) -> DataFrame:
-    """One row per line of each file: path, line_no from 1, line."""
+    """One row per line of each file: its key, line_no from 1, line."""
     lines = F.posexplode_outer(tx.line_array(F.col("text")))
-    rows = files.select("path", lines.alias("pos", "line")).filter("pos IS NOT NULL")
-    return rows.select("path", (F.col("pos") + 1).alias("line_no"), "line")
+    key = file_key(files)
+    rows = files.select(*key, lines.alias("pos", "line")).filter("pos IS NOT NULL")
+    return rows.select(*key, (F.col("pos") + 1).alias("line_no"), "line")
 
 
 def with_lines(files: DataFrame) -> DataFrame:

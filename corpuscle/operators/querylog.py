@@ -106,19 +106,35 @@ def repo_rows(query_log: DataFrame, repo_id: int) -> DataFrame:
 def medians(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """The exact median of a column per key, as (*keys, name).
 
-    Equal values are counted first, so what is sorted per key is distinct values, and the two
-    middle ones are read off the running count: nothing is held in memory, however hot the key.
+    Two passes: values are counted in buckets (by sign, exponent and eight more bits, a few thousand per key at most), which combine
+    before the shuffle however hot the key; running counts tell the buckets that hold the two middle values, and only
+    those buckets' distinct values are counted and ordered.
     """
+    size = F.abs(F.col(value).cast("double"))
+    scale = F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0))))
+    step = F.floor((size / F.pow(F.lit(2.0), scale)) * 256)
+    magnitude = F.when(size > 0, (scale + 1100) * 1024 + step).otherwise(F.lit(0))
+    bucket = F.when(F.col(value) < 0, -magnitude).otherwise(magnitude).cast("bigint")
+    given = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), bucket.alias("_b"))
     by_key = Window.partitionBy(*keys)
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count("*").alias("_n")
-    )
-    running = counted.withColumn(
-        "_upto", F.sum("_n").over(by_key.orderBy(value))
-    ).withColumn("_all", F.sum("_n").over(by_key))
-    low = F.min(F.when(F.col("_upto") * 2 >= F.col("_all"), F.col(value)))
-    high = F.min(F.when(F.col("_upto") * 2 > F.col("_all"), F.col(value)))
-    return running.groupBy(*keys).agg(((low + high) / 2.0).alias(name))
+    upto = F.sum("_n").over(by_key.orderBy("_b"))
+    buckets = given.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    buckets = buckets.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(by_key))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1  # places of the middle values
+    before = F.col("_upto") - F.col("_n")
+    middle = buckets.filter((before < high) & (F.col("_upto") >= low)).select(
+        *keys, "_b", (low - before).alias("_low"), (high - before).alias("_high")
+    )
+    counted = given.join(middle, [*keys, "_b"]).groupBy(*keys, "_b", "_v").agg(
+        F.count("*").alias("_n"), F.first("_low").alias("_low"), F.first("_high").alias("_high")
+    )
+    running = counted.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v")))
+
+    def at(place: str) -> Column:
+        here = (F.col(place) > F.col("_upto") - F.col("_n")) & (F.col(place) <= F.col("_upto"))
+        return F.max(F.when(here, F.col("_v")))
+
+    return running.groupBy(*keys).agg(((at("_low") + at("_high")) / 2.0).alias(name))
 
 
 def answer_stats(query_log: DataFrame, *keys: str) -> DataFrame:

@@ -6,6 +6,8 @@ Each takes the current tables and returns the new ones; the caller swaps them in
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.operators.lines import file_key
+
 KEEP_SNAPSHOTS = 2  # fixed value: newest non-building snapshots that are never swept
 WINDOWED_LANGUAGE = "text"  # fixed value: the language key of files that are not parsed
 
@@ -14,10 +16,10 @@ def index_stats(files: DataFrame, chunks: DataFrame, symbols: DataFrame) -> Data
     """Per snapshot: files, chunks, tallies by mode, skip reason and language, and files with
     parse errors.
 
-    Chunks and symbols are counted per file first (both keyed by snapshot and path, so the join
+    Chunks and symbols are counted per file first (both keyed as files are, so the join
     reuses that shuffle); everything else comes out of one pass with grouping sets.
     """
-    key = ["snapshot_id", "path"]
+    key = file_key(files)
     per_file = (
         files.join(chunks.groupBy(*key).agg(F.count("*").alias("chunks")), key, "left")
         .join(

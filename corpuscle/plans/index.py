@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.operators import embeddings as em
 from corpuscle.operators.chunks import chunk_files
+from corpuscle.operators.lines import file_key
 from corpuscle.operators.symbols import python_symbols
 from corpuscle.sources.files import classify_files, route_files, utf8_gate
 
@@ -20,18 +21,23 @@ class Index:
     chunks: DataFrame
 
 
-def build_index(files: DataFrame) -> Index:
-    """Triage, parse and chunk a file table (repo, snapshot_id, path, size_bytes, content).
+def build_index(files: DataFrame, parsed: DataFrame | None = None) -> Index:
+    """Triage, outline and chunk a file table (repo, snapshot_id, path, size_bytes, content).
 
-    Python files are parsed here; files of other parsed languages become one module each unless
-    symbols for them are supplied to `chunk_files` by their own parser.
+    `parsed` holds the symbols that parsers found elsewhere (the files' key, `operators.symbols.SYMBOL_COLUMNS`). Python files are
+    outlined here when it is not given; other files without symbols become one module each.
     """
     routed = route_files(utf8_gate(classify_files(files)))
-    symbols = python_symbols(routed.filter("mode = 'symbols' AND language = 'python'"))
-    errors = symbols.filter("ord = 0").select("path", "parse_errors")
+    symbols = parsed
+    if symbols is None:
+        symbols = python_symbols(routed.filter("mode = 'symbols' AND language = 'python'"))
+    if "parse_errors" not in symbols.columns:
+        symbols = symbols.withColumn("parse_errors", F.lit(0))
+    key = [c for c in file_key(files) if c in symbols.columns]
+    errors = symbols.filter("ord = 0").select(*key, "parse_errors")
     recorded = (
         routed.drop("content", "text")
-        .join(errors, "path", "left")
+        .join(errors, key, "left")
         .withColumn("parse_errors", F.coalesce("parse_errors", F.lit(0)))
     )
     chunks = chunk_files(routed.drop("content"), symbols.drop("parse_errors"))
@@ -41,8 +47,10 @@ def build_index(files: DataFrame) -> Index:
 def embed_pending(
     chunks: DataFrame, embeddings: DataFrame, embedder: em.Embedder, model: str
 ) -> DataFrame:
-    """The vector table with every hash of the chunks embedded, those over budget left out."""
+    """The vector table with every hash of the chunks embedded, whatever a snapshot holds.
+
+    A budget is the caller's: `embed_budget` says which snapshots are over one, as a row each.
+    """
     pending, _ = em.pending_embeddings(chunks, embeddings, model)
-    allowed = em.embed_budget(pending).filter(~F.col("refused")).select("snapshot_id")
-    texts = em.hash_texts(chunks, pending.join(allowed, "snapshot_id", "left_semi"))
+    texts = em.hash_texts(chunks, pending)
     return em.insert_missing(embeddings, em.embed_documents(texts, embedder, model))

@@ -10,23 +10,31 @@ from pyspark.sql import functions as F
 from corpuscle.functions import text as tx
 from corpuscle.registry.sql import view
 from corpuscle.sources.files import LFS_POINTER
-from corpuscle.sources.tables import spread
 
 LONG_TEXTS = ("documents", "pages", "conversations")
 MODEL = "given"  # the model name of the vectors in the embeddings table
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One of the given tables; those with long texts are dealt out when they come as one file."""
+    """One of the given tables; those with long texts are dealt out when they come in fewer files than there are cores.
+
+    A file of one row group is read by one task. Any large table comes in many files and nothing moves.
+    """
     rows = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(rows) if name in LONG_TEXTS else rows
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in LONG_TEXTS and len(rows.inputFiles()) < cores else rows
 
 
+# Twenty repositories of three snapshots; documents of one twenty share their path's number, so several repositories
+# have files of equal paths.
+REPO = "'repo_' || CAST(doc_id % 20 AS STRING)"
+SNAPSHOT = "CAST(1 + floor(doc_id / 20) % 3 AS BIGINT)"
+
 # ── Documents as files ────────────────────────────────────────────────────────
 
 FILE_PATH = """
 lang || '/' || CASE WHEN doc_id % 19 = 4 THEN 'node_modules/' WHEN doc_id % 19 = 9 THEN 'build/'
-ELSE '' END || source || '/doc_' || CAST(doc_id AS STRING) || CASE
+ELSE '' END || 'doc_' || CAST(CAST(floor(doc_id / 20) AS BIGINT) AS STRING) || CASE
 WHEN doc_id % 23 = 12 THEN '/.env.local' WHEN doc_id % 10 = 0 THEN '.py'
 WHEN doc_id % 10 = 1 THEN '.TS' WHEN doc_id % 10 = 2 THEN '/bundle.min.js'
 WHEN doc_id % 10 = 3 THEN '/Cargo.lock' WHEN doc_id % 10 = 4 THEN '/requirements-dev.txt'
@@ -47,8 +55,8 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(raw)
     )
     return table(spark, sf, "documents").select(
-        F.col("source").alias("repo"),
-        F.lit(1).cast("bigint").alias("snapshot_id"),
+        F.expr(REPO).alias("repo"),
+        F.expr(SNAPSHOT).alias("snapshot_id"),
         F.expr(FILE_PATH).alias("path"),
         F.octet_length(content).cast("bigint").alias("size_bytes"),
         content.alias("content"),
@@ -58,9 +66,9 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 view(
     "v_files",
     f"""
-SELECT repo, CAST(1 AS BIGINT) AS snapshot_id, path, CAST(octet_length(content) AS BIGINT)
+SELECT repo, snapshot_id, path, CAST(octet_length(content) AS BIGINT)
   AS size_bytes, content
-FROM (SELECT source AS repo, {FILE_PATH} AS path,
+FROM (SELECT {REPO} AS repo, {SNAPSHOT} AS snapshot_id, {FILE_PATH} AS path,
   CASE doc_id % 17 WHEN 3 THEN encode('{LFS_POINTER}' || chr(10)) || encode(text)
   WHEN 5 THEN '\\x00'::BLOB || encode(text) WHEN 7 THEN '\\xFF'::BLOB || encode(text)
   ELSE encode(text) END AS content FROM documents)
@@ -77,8 +85,9 @@ ELSE text END
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as (path, text); some with CRLF, some with runs of blank lines."""
+    """Documents as (repo, path, text); some with CRLF, some with runs of blank lines."""
     return table(spark, sf, "documents").select(
+        F.expr(REPO).alias("repo"),
         F.expr("'doc_' || CAST(doc_id AS STRING)").alias("path"),
         F.expr(LINED_TEXT).alias("text"),
     )
@@ -132,15 +141,15 @@ SELECT url AS path, regexp_replace(regexp_replace({_HEADINGS}, '</?(?:h[1-6]|p)>
 # 2c and lines 10c+8 .. 10c+9 are function 2c+1; lines 10c+5 .. 10c+6 are a function inside 2c.
 
 OUTLINE_PATH = """
-lang || '/' || source || '_' || CAST(doc_id AS STRING) ||
-CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.ts' END
+'src/part_' || CAST(CAST(floor(doc_id / 20) AS BIGINT) AS STRING) ||
+CASE WHEN floor(doc_id / 20) % 2 = 0 THEN '.py' ELSE '.ts' END
 """
 
 
 def outlines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(files, symbols): documents as source files, and definitions at regular lines of them."""
     sources = table(spark, sf, "documents").select(
-        F.expr(OUTLINE_PATH).alias("path"), F.expr("text").alias("text")
+        F.expr(REPO).alias("repo"), F.expr(SNAPSHOT).alias("snapshot_id"), F.expr(OUTLINE_PATH).alias("path"), "text"
     )
     total = F.size(tx.line_array(F.col("text")))
 
@@ -177,13 +186,17 @@ def outlines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         )
     )
     symbols = (
-        sources.select("path", total.alias("n"))
-        .select("path", F.inline_outer(F.concat(module, F.filter(made, lambda s: s["start_line"] <= F.col("n")))))
+        sources.select("repo", "snapshot_id", "path", total.alias("n"))
+        .select("repo", "snapshot_id", "path", F.inline_outer(F.concat(module, F.filter(made, lambda s: s["start_line"] <= F.col("n")))))
     )
     return sources, symbols
 
 
-view("v_sources", f"SELECT {OUTLINE_PATH} AS path, text FROM documents")
+# In the SQL of outlines a file is named by repository, snapshot and path in one string.
+view("v_sources", f"SELECT {REPO} || '|' || {SNAPSHOT} || '|' || {OUTLINE_PATH} AS path, text FROM documents")
+PLACE_SQL = (
+    "split_part(path, '|', 1) AS repo, CAST(split_part(path, '|', 2) AS BIGINT) AS snapshot_id, split_part(path, '|', 3) AS path"
+)
 view(
     "v_source_lists",
     """

@@ -14,6 +14,9 @@ from corpuscle.registry.adapters import split_sql, table
 from corpuscle.registry.sql import select, view
 
 
+KEY = ln.FILE_KEY
+
+
 def body_hash() -> Column:
     """A body's text, hashed."""
     return tx.content_hash(tx.join_lines(F.col("body"))).alias("body_hash")
@@ -73,9 +76,12 @@ def manifest_chunks(spark: SparkSession, sf: str) -> DataFrame:
 # ── Symbols ───────────────────────────────────────────────────────────────────
 
 
+PYTHON_PATH = "'pkg/doc_' || CAST(CAST(floor(doc_id / 20) AS BIGINT) AS STRING) || '.py'"
+
+
 def python_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Each document as a Python file: a class with one method per line, which holds a function
-    for every third line; documents of 13 and more lines end in a syntax error."""
+    for every third line; one document in nine ends in a header that never closes."""
     def method(x: Column, i: Column) -> Column:
         word = tx.strip(F.regexp_replace(x, r"[^\p{L}\p{N} ]+", ""))
         n = (i + 1).cast("string")
@@ -89,12 +95,13 @@ def python_sources(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     methods = F.transform(F.col("lines"), method)
-    broken = F.when(F.size("lines") >= 13, F.lit("def broken(:\n")).otherwise(F.lit(""))
+    broken = F.when(F.expr("doc_id % 9 = 4"), F.lit("def broken(\n")).otherwise(F.lit(""))
     return (
         table(spark, sf, "documents")
         .withColumn("lines", tx.line_array(F.col("text")))
         .select(
-            F.expr("'pkg/doc_' || CAST(doc_id AS STRING) || '.py'").alias("path"),
+            F.expr(ad.REPO).alias("repo"),
+            F.expr(PYTHON_PATH).alias("path"),
             F.concat(
                 F.lit("class Doc:\n    size = 1\n\n"), F.array_join(methods, "\n"), broken
             ).alias("text"),
@@ -108,13 +115,13 @@ def python_symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 def symbol_nesting(spark: SparkSession, sf: str) -> DataFrame:
     _, symbols = ad.outlines(spark, sf)
-    return sy.symbol_nesting(symbols).select("path", "ord", "kind", "name", "parent", "qualname")
+    return sy.symbol_nesting(symbols).select(*KEY, "ord", "kind", "name", "parent", "qualname")
 
 
 def _outline_bodies(spark: SparkSession, sf: str, operator) -> DataFrame:
     files, symbols = ad.outlines(spark, sf)
     return operator(symbols, files).select(
-        "path", "kind", "qualname", "start_line", "end_line",
+        *KEY, "kind", "qualname", "start_line", "end_line",
         F.transform("body", lambda x: x["n"]).cast("string").alias("lines"), body_hash(),
     )
 
@@ -135,7 +142,7 @@ def doc_prefix(spark: SparkSession, sf: str) -> DataFrame:
     _, symbols = ad.outlines(spark, sf)
     rows = sy.doc_prefix(symbols)
     return rows.select(
-        "path", "ord", F.array_join("lead", "|").alias("lead"),
+        *KEY, "ord", F.array_join("lead", "|").alias("lead"),
         F.array_join("first_lead", "|").alias("first_lead"),
     )
 
@@ -215,6 +222,7 @@ def chunk_key_check(spark: SparkSession, sf: str) -> DataFrame:
     """Events as chunks: those of one user, type and value range share a key."""
     chunks = table(spark, sf, "events").select(
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("path"),
+        F.expr("event_id % 2").alias("snapshot_id"),
         F.col("event_type").alias("kind"),
         F.when(F.expr("event_type <> 'view'"), F.col("event_type")).alias("qualname"),
         F.floor("value").cast("int").alias("start_line"),
@@ -306,7 +314,7 @@ view(
 SELECT c.path, c.ord, c.name, c.start_line, c.end_line, c.signature, c.doc_start_line, c.parent_ord,
   a.at AS parent,
   CASE WHEN c.kind = 'function' AND p.kind = 'class' THEN 'method' ELSE c.kind END AS kind,
-  replace(regexp_replace(c.path, '([^/])\\.[^./]+$', '\\1'), '/', '.')
+  replace(regexp_replace(split_part(c.path, '|', 3), '([^/])\\.[^./]+$', '\\1'), '/', '.')
     || CASE WHEN g.name IS NOT NULL AND g.kind <> 'module' THEN '.' || g.name ELSE '' END
     || CASE WHEN p.name IS NOT NULL AND p.kind <> 'module' THEN '.' || p.name ELSE '' END
     || CASE WHEN c.kind <> 'module' THEN '.' || c.name ELSE '' END AS qualname
@@ -358,7 +366,7 @@ WHERE NOT blank OR (above = false AND {n} < last_text)
 def body_rows(rows: str) -> str:
     """SQL for one row per body from its lines."""
     return f"""
-SELECT path, kind, qualname, start_line, end_line, CAST(list(n ORDER BY n) AS VARCHAR) AS lines,
+SELECT {ad.PLACE_SQL}, kind, qualname, start_line, end_line, CAST(list(n ORDER BY n) AS VARCHAR) AS lines,
   sha256(string_agg(line, {NL} ORDER BY n)) AS body_hash
 FROM ({rows}) GROUP BY path, kind, qualname, start_line, end_line
 """
@@ -396,16 +404,18 @@ _DOC = "regexp_replace(line, '[^\\p{L}\\p{N} ]+', '', 'g')"
 view(
     "v_python",
     f"""
-SELECT path, i, n, 4 + 10 * (i - 1) + 2 * ((i - 1) // 3) AS top, i % 3 = 0 AS has_inner, word
-FROM (SELECT 'pkg/doc_' || doc_id || '.py' AS path, unnest(range(1, len(l) + 1)) AS i, len(l) AS n,
+SELECT repo, path, broken, i, n, 4 + 10 * (i - 1) + 2 * ((i - 1) // 3) AS top, i % 3 = 0 AS has_inner, word
+FROM (SELECT repo, path, broken, unnest(range(1, len(l) + 1)) AS i, len(l) AS n,
     unnest(list_transform(l, lambda x: trim(regexp_replace(x, '[^\\p{{L}}\\p{{N}} ]+', '', 'g')))) AS word
-  FROM (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE
+  FROM (SELECT {ad.REPO} AS repo, {PYTHON_PATH} AS path, doc_id % 9 = 4 AS broken, CASE WHEN text = '' THEN [] ELSE
     string_split(regexp_replace(text, '\\n$', ''), chr(10)) END AS l FROM documents))
 """,
 )
 
 ORACLES = {
-    "number_lines": select("SELECT path, line_no, line FROM v_lines"),
+    "number_lines": select(
+        "SELECT 'repo_' || CAST(substr(path, 5) AS BIGINT) % 20 AS repo, path, line_no, line FROM v_lines"
+    ),
     "line_windows": select(
         f"""
 SELECT path, CAST(s + 1 AS INTEGER) AS start_line, CAST(least(s + 80, len(lines)) AS INTEGER)
@@ -450,29 +460,29 @@ FROM (SELECT path, string_split(regexp_replace(replace(text, chr(13) || {NL}, {N
     ),
     "python_symbols": select(
         """
-SELECT path, CAST(CASE WHEN n >= 13 THEN 1 ELSE 0 END AS INTEGER) AS parse_errors,
+SELECT repo, path, CAST(broken AS INTEGER) AS parse_errors,
   CAST(0 AS INTEGER) AS ord, 'module' AS kind, regexp_extract(path, '(doc_[0-9]+)', 1) AS name,
-  CAST(1 AS INTEGER) AS start_line, CAST(bottom + CASE WHEN n >= 13 THEN 1 ELSE 0 END AS INTEGER) AS end_line,
+  CAST(1 AS INTEGER) AS start_line, CAST(bottom + CAST(broken AS INTEGER) AS INTEGER) AS end_line,
   CAST(NULL AS VARCHAR) AS signature, CAST(NULL AS VARCHAR) AS doc
-FROM (SELECT path, n, max(top + 8 + CASE WHEN has_inner THEN 2 ELSE 0 END) AS bottom
-  FROM v_python GROUP BY path, n)
+FROM (SELECT repo, path, broken, max(top + 8 + CASE WHEN has_inner THEN 2 ELSE 0 END) AS bottom
+  FROM v_python GROUP BY ALL)
 UNION ALL
-SELECT path, 0, 1, 'class', 'Doc', 1, CAST(max(top + 8 + CASE WHEN has_inner THEN 2 ELSE 0 END) AS INTEGER),
-  'class Doc', NULL FROM v_python WHERE n < 13 GROUP BY path
+SELECT repo, path, CAST(broken AS INTEGER), 1, 'class', 'Doc', 1,
+  CAST(max(top + 8 + CASE WHEN has_inner THEN 2 ELSE 0 END) AS INTEGER), 'class Doc', NULL FROM v_python GROUP BY repo, path, broken
 UNION ALL
-SELECT path, 0, CAST(1 + i + (i - 1) // 3 AS INTEGER), 'function', 'line_' || i, CAST(top AS INTEGER),
+SELECT repo, path, CAST(broken AS INTEGER), CAST(1 + i + (i - 1) // 3 AS INTEGER), 'function', 'line_' || i, CAST(top AS INTEGER),
   CAST(top + 8 + CASE WHEN has_inner THEN 2 ELSE 0 END AS INTEGER),
   'async def line_' || i || '( text: str = ''é'', )',
   CASE WHEN word = '' THEN 'More.' ELSE word || chr(10) || chr(10) || 'More.' END
-FROM v_python WHERE n < 13
+FROM v_python
 UNION ALL
-SELECT path, 0, CAST(2 + i + (i - 1) // 3 AS INTEGER), 'function', 'inner_' || i,
+SELECT repo, path, CAST(broken AS INTEGER), CAST(2 + i + (i - 1) // 3 AS INTEGER), 'function', 'inner_' || i,
   CAST(top + 8 AS INTEGER), CAST(top + 9 AS INTEGER), 'def inner_' || i || '()', NULL
-FROM v_python WHERE n < 13 AND has_inner
+FROM v_python WHERE has_inner
 """
     ),
     "symbol_nesting": select(
-        "SELECT path, ord, kind, name, parent, qualname FROM v_qualified"
+        f"SELECT {ad.PLACE_SQL}, ord, kind, name, parent, qualname FROM v_qualified"
     ),
     "span_chunks": select(
         body_rows(
@@ -490,8 +500,8 @@ WHERE s.kind IN ('function', 'method')
         body_rows(collapsed("v_remainder", "path, qualname", "n", _PLACE))
     ),
     "doc_prefix": select(
-        """
-SELECT path, ord, CASE WHEN kind = 'function' THEN signature ELSE '' END AS lead,
+        f"""
+SELECT {ad.PLACE_SQL}, ord, CASE WHEN kind = 'function' THEN signature ELSE '' END AS lead,
   CASE WHEN kind <> 'module' AND path NOT LIKE '%.py' THEN doc ELSE '' END AS first_lead
 FROM v_symbols
 """
@@ -538,7 +548,7 @@ SELECT c_custkey AS chunk_id, {split_sql("c_name || ' ' || r_name || '.' || n_na
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 """,
     "chunk_key_check": """
-SELECT 'user_' || user_id AS path, event_type AS kind, CASE WHEN event_type <> 'view'
+SELECT 'user_' || user_id AS path, event_id % 2 AS snapshot_id, event_type AS kind, CASE WHEN event_type <> 'view'
   THEN event_type ELSE '' END AS qualname, CAST(floor(value) AS INTEGER) AS start_line,
   CAST(0 AS INTEGER) AS part, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1
 """,

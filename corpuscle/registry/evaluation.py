@@ -72,11 +72,12 @@ SELECT *, (input * 2.0::DOUBLE + output * 10.0::DOUBLE + cache_read * 0.2::DOUBL
 
 
 def log_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """The log appended to in two halves by outcome, and read back."""
+    """The log written in two runs by outcome, the second one twice, and read back."""
     out = tables.work_path(spark, "log")
     rows = log(spark, sf)
-    tables.log_queries(rows.filter("answer IS NOT NULL"), out)
-    tables.log_queries(rows.filter("answer IS NULL"), out)
+    tables.log_queries(rows.filter("answer IS NOT NULL"), out, "answered")
+    for _ in range(2):  # a retried run
+        tables.log_queries(rows.filter("answer IS NULL"), out, "failed")
     stored = tables.read_table(spark, out)
     return stored.select(
         "id", "request_id", F.col("repo_id").cast("bigint"), "answer",

@@ -1,6 +1,6 @@
 """Incremental embedding over the documents' chunks; snapshot upkeep over orders as snapshots."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as tx
@@ -12,7 +12,6 @@ from corpuscle.registry.adapters import MODEL, table
 from corpuscle.registry.sql import select, view
 
 BATCH = {"max_tokens": 10_000, "max_items": 12}
-BUDGET = 45_000
 
 # ── Embeddings ────────────────────────────────────────────────────────────────
 
@@ -42,7 +41,13 @@ def token_batches(spark: SparkSession, sf: str) -> DataFrame:
 def embed_budget(spark: SparkSession, sf: str) -> DataFrame:
     chunks = ad.document_chunks(spark, sf)
     every, _ = em.pending_embeddings(chunks, ad.vectors(spark, sf), "another model")
-    return em.embed_budget(every, cap=BUDGET)
+    return em.embed_budget(every, cap=_average(every))
+
+
+def _average(rows: DataFrame) -> int:
+    """Tokens of the average snapshot: a budget that follows the corpus."""
+    total, count = rows.agg(F.sum("tokens"), F.count_distinct("snapshot_id")).first()
+    return (total or 0) // max(1, count)
 
 
 def stored_batches(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,18 +57,20 @@ def stored_batches(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("snapshot_id", "batch_id")
         .agg(F.floor(F.sum("tokens") * 6 / 5).cast("bigint").alias("tokens"))
     )
-    return em.stored_batches(usage, cap=20_000)
+    return em.stored_batches(usage, cap=_average(usage) * 2 // 3)
 
 
 def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """A vector for every distinct document, described by its size and length."""
+    """A vector for every distinct document, all its values in ten-thousandths."""
     chunks = ad.document_chunks(spark, sf)
     texts = em.hash_texts(chunks, chunks)
     vectors = em.embed_documents(texts, em.hashed_token_vectors(64), "hashed-64")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    return vectors.select(
-        "content_hash", "model", F.size("embedding").alias("dims"), F.round(norm, 3).alias("norm")
-    )
+    return vectors.select("content_hash", "model", written(F.col("embedding")).alias("values"))
+
+
+def written(vector) -> Column:
+    """A vector's values in ten-thousandths, joined by blanks."""
+    return F.array_join(F.transform(vector, lambda x: F.floor(x.cast("double") * 10_000 + 0.5).cast("string")), " ")
 
 
 def insert_missing(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,8 +84,7 @@ def insert_missing(spark: SparkSession, sf: str) -> DataFrame:
         .select("content_hash", F.lit(MODEL).alias("model"), "embedding")
     )
     kept = em.insert_missing(ad.vectors(spark, sf), offered)
-    first = F.round(F.element_at("embedding", 1).cast("double"), 6)
-    return kept.select("content_hash", "model", first.alias("first"))
+    return kept.select("content_hash", "model", written(F.col("embedding")).alias("values"))
 
 
 def embed_cost(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,12 +98,12 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
     files = rf.routed(spark, sf).withColumn(
         "parse_errors", F.when(F.pmod(F.length("path") + F.col("size_bytes"), F.lit(5)) == 0, 1).otherwise(0)
     )
-    given = files.filter("text IS NOT NULL").select("snapshot_id", "path", "mode", "text")
+    given = files.filter("text IS NOT NULL").select("repo", "snapshot_id", "path", "mode", "text")
     pages = F.sequence(F.lit(0), F.floor(F.length("text") / 1000).cast("int"))
-    chunks = given.select("snapshot_id", "path", F.explode(pages).alias("page"))
+    chunks = given.select("repo", "snapshot_id", "path", F.explode(pages).alias("page"))
     lines = F.explode(tx.line_array(F.col("text")))
     symbols = given.filter("mode = 'symbols'").select(
-        "snapshot_id", "path", F.lit("function").alias("kind"), lines.alias("line")
+        "repo", "snapshot_id", "path", F.lit("function").alias("kind"), lines.alias("line")
     )
     stats = sn.index_stats(files.drop("content", "text"), chunks, symbols)
     return stats.select(
@@ -314,9 +320,11 @@ FROM v_routed
 def tally(key: str, value: str, where: str) -> str:
     """SQL for one JSON map of counts."""
     return f"""(SELECT '{{' || string_agg('"' || k || '":' || v, ',' ORDER BY k) || '}}' FROM (
-    SELECT {key} AS k, {value} AS v FROM v_stat_files WHERE {where} GROUP BY 1))"""
+    SELECT {key} AS k, {value} AS v FROM v_stat_files f WHERE f.snapshot_id = s.snapshot_id AND {where} GROUP BY 1))"""
 
 
+_WRITTEN = "array_to_string(list_transform({}, lambda x: CAST(floor(CAST(x AS DOUBLE) * 10000 + 0.5) AS BIGINT)), ' ')"
+
 _COUNTS = """'{"files":' || count(*) || ',"symbols":' || CAST(sum(symbols) AS BIGINT) || ',"chunks":'
   || CAST(sum(chunks) AS BIGINT) || '}'"""
 
@@ -338,28 +346,38 @@ WHERE content_hash IN (SELECT content_hash FROM v_pending)
     "token_batches": select("SELECT snapshot_id, content_hash, tokens, batch_id FROM r_batches"),
     "embed_budget": select(
         f"""
-SELECT snapshot_id, CAST(sum(tokens) AS BIGINT) AS tokens, sum(tokens) > {BUDGET} AS refused
-FROM (SELECT DISTINCT snapshot_id, content_hash, tokens FROM v_chunks) GROUP BY snapshot_id
+SELECT snapshot_id, tokens, tokens > sum(tokens) OVER () // count(*) OVER () AS refused
+FROM (SELECT snapshot_id, CAST(sum(tokens) AS BIGINT) AS tokens
+  FROM (SELECT DISTINCT snapshot_id, content_hash, tokens FROM v_chunks) GROUP BY snapshot_id)
 """
     ),
     "stored_batches": select(
         """
-SELECT *, used > 20000 AS over FROM (SELECT *, CAST(sum(tokens) OVER (PARTITION BY snapshot_id
-    ORDER BY batch_id) AS BIGINT) AS used
+SELECT snapshot_id, batch_id, tokens, used, used > cap AS over FROM (SELECT *, CAST(sum(tokens) OVER (PARTITION BY snapshot_id
+    ORDER BY batch_id) AS BIGINT) AS used,
+    sum(tokens) OVER () // (SELECT count(DISTINCT snapshot_id) FROM r_batches) * 2 // 3 AS cap
   FROM (SELECT snapshot_id, batch_id, CAST(sum(tokens) * 6 // 5 AS BIGINT) AS tokens FROM r_batches
     GROUP BY ALL))
-WHERE used - tokens <= 20000
+WHERE used - tokens <= cap
+"""
+    ),
+    "embed_documents": select(
+        f"""
+SELECT content_hash, 'hashed-64' AS model, {_WRITTEN.format("list_transform(v, lambda x: CAST(CASE WHEN norm IS NULL OR norm = 0 THEN 0.0 ELSE x / norm END AS FLOAT))")}
+  AS values
+FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm
+  FROM (SELECT content_hash, list_transform(range(64), lambda d: list_sum(list_transform(codes,
+      lambda c: CASE WHEN ('0x' || left(c, 7))::BIGINT % 64 = d THEN CASE WHEN substr(c, 8, 1) < '8' THEN 1 ELSE -1 END
+      ELSE 0 END))) AS v
+    FROM (SELECT DISTINCT sha256(text) AS content_hash, list_transform({ad.terms_sql("text")}, lambda t: md5(t)) AS codes
+      FROM documents)))
 """
     ),
-    "embed_documents": """
-SELECT DISTINCT sha256(text) AS content_hash, 'hashed-64' AS model, CAST(64 AS INTEGER) AS dims,
-  CAST(1.0 AS DOUBLE) AS norm FROM documents
-""",
     "insert_missing": select(
         f"""
-SELECT content_hash, model, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM v_vectors
+SELECT content_hash, model, {_WRITTEN.format("embedding")} AS values FROM v_vectors
 UNION ALL
-SELECT content_hash, '{MODEL}', round(CAST(min(embedding)[1] AS DOUBLE), 6)
+SELECT content_hash, '{MODEL}', {_WRITTEN.format("min(embedding)")}
 FROM (SELECT sha256(text) AS content_hash, embedding FROM documents JOIN embeddings ON doc_id = vec_id * 2)
 WHERE content_hash NOT IN (SELECT content_hash FROM v_vectors) GROUP BY content_hash
 """
@@ -377,12 +395,14 @@ GROUP BY snapshot_id
     ),
     "index_stats": select(
         f"""
-SELECT CAST(1 AS BIGINT) AS snapshot_id, (SELECT count(*) FROM v_stat_files) AS files,
-  (SELECT CAST(sum(chunks) AS BIGINT) FROM v_stat_files) AS chunks,
+SELECT snapshot_id, (SELECT count(*) FROM v_stat_files f WHERE f.snapshot_id = s.snapshot_id) AS files,
+  (SELECT CAST(sum(chunks) AS BIGINT) FROM v_stat_files f WHERE f.snapshot_id = s.snapshot_id) AS chunks,
   {tally("mode", "count(*)", "true")} AS by_mode,
   {tally("skip_reason", "count(*)", "skip_reason IS NOT NULL")} AS skipped,
   {tally("coalesce(language, 'text')", _COUNTS, "skip_reason IS NULL")} AS by_language,
-  (SELECT count(*) FROM v_stat_files WHERE broken AND skip_reason IS NULL) AS files_with_parse_errors
+  (SELECT count(*) FROM v_stat_files f WHERE f.snapshot_id = s.snapshot_id AND broken AND skip_reason IS NULL)
+    AS files_with_parse_errors
+FROM (SELECT DISTINCT snapshot_id FROM v_files) s
 """
     ),
     "activate_snapshot": select(

@@ -25,7 +25,7 @@ SNIFF_BYTES = 8192
 MAX_FILE_KB = 512
 MAX_REPO_FILES = 20_000
 MAX_REPO_MB = 200
-TREE_LINES = 100
+TREE_LINES = 100  # what a prompt may hold of a tree and a README; no limit unless asked for
 README_BYTES = 24_000
 
 
@@ -135,11 +135,12 @@ def admitted(files: DataFrame, guards: DataFrame) -> DataFrame:
 
 
 def repo_tree(
-    files: DataFrame, *, lines: int = TREE_LINES, readme_bytes: int = README_BYTES
+    files: DataFrame, *, lines: int | None = None, readme_bytes: int | None = None
 ) -> DataFrame:
     """Per repo: the top-level listing (directories with file counts, then files) and the README.
 
-    The listing is counted first and cut to `lines` before anything is collected per repo.
+    Entries are counted before anything is collected per repo. `lines` and `readme_bytes` cut what a prompt has no room for
+    (TREE_LINES, README_BYTES); by default nothing is cut.
     """
     nested = F.contains(F.col("path"), F.lit("/"))
     entries = (
@@ -158,7 +159,7 @@ def repo_tree(
             "at",
             F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("nested"), "head")),
         )
-        .filter(F.col("at") <= lines)
+        .filter(F.lit(True) if lines is None else F.col("at") <= lines)
         .groupBy("repo")
         .agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("ordered"))
         .select("repo", F.transform("ordered", lambda x: x["line"]).alias("tree"))
@@ -168,7 +169,7 @@ def repo_tree(
     )
     readmes = (
         files.filter(is_readme)
-        .select("repo", "path", F.substring("content", 1, readme_bytes).alias("head"))
+        .select("repo", "path", (F.col("content") if readme_bytes is None else F.substring("content", 1, readme_bytes)).alias("head"))
         .groupBy("repo")
         .agg(F.min_by("head", "path").alias("head"))
         .select("repo", utf8_prefix(F.col("head")).alias("readme"))

@@ -37,7 +37,8 @@ def golden_cases(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A document lists `entries` (one `question` each) and `conversations` (`turns`), pinned to a
     `repo`, `branch` and `commit`. Cases: file, case_id, turns, expect_path, expect_qualname,
-    proves. A malformed case is left out and reported as (file, case_id, problem).
+    proves. A file with anything malformed is rejected: it has no cases, and each problem is reported as
+    (file, case_id, problem).
     """
     parsed = files.select("file", F.try_parse_json("json").alias("data"))
     listed = "array<variant>"
@@ -110,4 +111,5 @@ def golden_cases(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             repeated.filter("n > 1").select("file", "case_id", F.lit(BAD_IDS).alias("problem"))
         )
     )
-    return checked.filter("problem IS NULL").drop("problem"), violations
+    sound = checked.drop("problem").join(violations.select("file").distinct(), "file", "left_anti")
+    return sound, violations

@@ -36,9 +36,12 @@ def write_index(files: DataFrame, chunks: DataFrame, path: str) -> None:
     write_partitioned(chunks, f"{path}/chunks", "repo", "snapshot_id")
 
 
-def log_queries(rows: DataFrame, path: str) -> None:
-    """Append one row per request to the log, by repo; a failed request has a null answer."""
-    write_partitioned(rows, path, "repo_id", mode="append")
+def log_queries(rows: DataFrame, path: str, run: str) -> None:
+    """Log one row per request, by run and repo; a failed request has a null answer.
+
+    A run that is repeated replaces what it wrote, so no request is logged twice.
+    """
+    write_partitioned(rows.withColumn("run", F.lit(run)), path, "run", "repo_id")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -76,12 +79,3 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     path = work_path(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a table that is read in fewer tasks than there are cores, dealt out over the cores.
-
-    Any large table is read in many tasks; it is returned as it is and nothing moves.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

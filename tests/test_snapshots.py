@@ -59,14 +59,33 @@ def test_token_batches(spark, seed):
     assert {(r.snapshot_id, r.content_hash): r.batch_id for r in found} == expected
 
 
-def test_a_snapshot_over_budget_gets_no_batches(spark):
+def test_every_snapshot_gets_batches_whatever_its_size(spark):
     pending = spark.createDataFrame(
         [(1, "a", 6), (1, "b", 5), (2, "a", 10)],
         "snapshot_id bigint, content_hash string, tokens int",
     )
     verdict = {r.snapshot_id: (r.tokens, r.refused) for r in em.embed_budget(pending, cap=10).collect()}
     assert verdict == {1: (11, True), 2: (10, False)}
-    assert [r.snapshot_id for r in em.token_batches(pending, cap=10).collect()] == [2]
+    assert em.token_batches(pending, max_tokens=10).count() == 3
+
+
+def test_large_snapshots_start_batches_anew_with_each_range_of_hashes(spark):
+    rng = random.Random(3)
+    rows = [(s, f"{rng.getrandbits(64):016x}", rng.choice([5, 20, 90])) for s in (1, 2) for _ in range(400 * s)]
+    pending = spark.createDataFrame(rows, "snapshot_id bigint, content_hash string, tokens int")
+    found = em.token_batches(pending, max_tokens=100, max_items=4, range_tokens=2_000).collect()
+    expected = {}
+    for snapshot in (1, 2):
+        own = sorted((h, t) for s, h, t in rows if s == snapshot)
+        total = sum(t for _, t in own)
+        digits = next(d for d in range(9) if 2_000 * 16**d >= total)
+        first = 0
+        for prefix in sorted({h[:digits] for h, _ in own}):
+            part = [(h, t) for h, t in own if h[:digits] == prefix]
+            local = batches_by_rule([t for _, t in part], 100, 4)
+            expected |= {(snapshot, h): first + b for (h, _), b in zip(part, local, strict=True)}
+            first += max(local) + 1
+    assert {(r.snapshot_id, r.content_hash): r.batch_id for r in found} == expected
 
 
 def test_the_batch_that_goes_over_budget_is_kept(spark):

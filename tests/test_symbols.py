@@ -6,36 +6,45 @@ from corpuscle.operators import chunks as ch
 from corpuscle.operators import symbols as sy
 from corpuscle.plans.index import build_index
 
-SOURCE = '''"""Things on sale."""
+SOURCE = '''# A queue for letters.
+"""
+    Letters on their way.
 
-from dataclasses import dataclass
+      Kept in order.
+"""
+import heapq
+from collections import deque
 
-@dataclass
-class Item:
-    """One thing."""
 
-    price: int
+class Tray(deque):
+    limit = 12
+
+    @classmethod
+    @cached
+    def empty(cls, *, limit: int = (3, 4)[0]) -> "Tray":
+        r"""One without letters."""
+
+        def grow(by):
+            return by + 1
+        return cls([], grow(limit))
 
     @property
-    def label(self) -> str:
-        """What it says."""
-        def inner():
-            return 1
-        return "x"
-
-    @label.setter
-    def label(self, value: str) -> None:
-        f"""Not a doc."""
-        self.x = value
-
-    async def reserve(
+    def weight(self):
+        f"""Not documentation."""
+        return sum(x.grams for x in self)
+
+    async def send(
         self,
-        n: int = 1,
-    ) -> bool:
-        return True
+        to: str,
+    ) -> None:
+        '''    + '""""""' + '''
+        await post(to)
 
 
-LIMIT = 3
+async def main(): await Tray.empty().send("é")
+
+
+RATE = 3
 '''
 
 
@@ -45,31 +54,51 @@ def files(spark, pairs):
 
 
 def test_python_symbols_and_nesting(spark):
-    rows = sy.symbol_nesting(sy.python_symbols(files(spark, [("shop/item.py", SOURCE)])))
+    rows = sy.symbol_nesting(sy.python_symbols(files(spark, [("post/tray.py", SOURCE)])))
     found = [
         (r.kind, r.qualname, r.parent, r.start_line, r.end_line, r.signature, r.doc)
         for r in rows.orderBy("ord").collect()
     ]
     assert found == [
-        ("module", "shop.item", None, 1, 30, None, "Things on sale."),
-        ("class", "shop.item.Item", 0, 5, 27, "class Item", "One thing."),
-        ("method", "shop.item.Item.label", 1, 11, 16, "def label(self) -> str", "What it says."),
-        ("function", "shop.item.Item.label.inner", 2, 14, 15, "def inner()", None),
-        ("method", "shop.item.Item.label", 1, 18, 21, "def label(self, value: str) -> None", None),
-        ("method", "shop.item.Item.reserve", 1, 23, 27,
-         "async def reserve( self, n: int = 1, ) -> bool", None),
+        ("module", "post.tray", None, 1, 39, None, "Letters on their way.\n\nKept in order."),
+        ("class", "post.tray.Tray", 0, 11, 33, "class Tray(deque)", None),
+        ("method", "post.tray.Tray.empty", 1, 14, 21, 'def empty(cls, *, limit: int = (3, 4)[0]) -> "Tray"', "One without letters."),
+        ("function", "post.tray.Tray.empty.grow", 2, 19, 20, "def grow(by)", None),
+        ("method", "post.tray.Tray.weight", 1, 23, 26, "def weight(self)", None),
+        ("method", "post.tray.Tray.send", 1, 28, 33, "async def send( self, to: str, ) -> None", None),
+        ("function", "post.tray.main", 0, 36, 36, "async def main()", None),
+    ]
+
+
+def test_a_header_that_never_closes_is_counted(spark):
+    rows = sy.python_symbols(files(spark, [("m.py", "def f(:\n  pass\ndef g(): pass\n"), ("n.py", ""), ("o.py", "\n\n")])).collect()
+    assert sorted((r.path, r.ord, r.name, r.parse_errors, r.end_line) for r in rows) == [
+        ("m.py", 0, "m", 1, 3), ("m.py", 1, "g", 1, 3), ("n.py", 0, "n", 0, 0), ("o.py", 0, "o", 0, 2),
     ]
 
 
-def test_docs_that_are_no_plain_string(spark):
-    text = 'def a():\n    "x" "y"\n\ndef b():\n    ("z")\n\ndef c():\n    r"""raw \\d"""\n\ndef d():\n    1\n'
-    rows = sy.python_symbols(files(spark, [("m.py", text)])).filter("kind = 'function'")
-    assert {r.name: r.doc for r in rows.collect()} == {"a": None, "b": None, "c": "raw \\d", "d": None}
+def test_equal_paths_in_two_repositories_stay_apart(spark):
+    rows = spark.createDataFrame(
+        [("r1", 1, "setup.py", "def alpha():\n  pass\n"), ("r2", 1, "setup.py", "class Beta:\n  x = 1\n"), ("r2", 2, "setup.py", "y = 1\n")],
+        "repo string, snapshot_id bigint, path string, text string",
+    ).select("repo", "snapshot_id", "path", F.octet_length("text").cast("bigint").alias("size_bytes"), F.encode("text", "utf-8").alias("content"))
+    index = build_index(rows)
+    found = {(c.repo, c.snapshot_id, c.kind, c.qualname) for c in index.chunks.collect()}
+    assert found == {
+        ("r1", 1, "function", "setup.alpha"), ("r2", 1, "class", "setup.Beta"), ("r2", 2, "module", "setup"),
+    }
+    assert index.files.count() == 3
+    ids = [c.chunk_id for c in index.chunks.collect()]
+    assert len(set(ids)) == 3 and sorted(ids) == sorted(c.chunk_id for c in build_index(rows.repartition(3)).chunks.collect())
 
 
-def test_unparsable_file_has_a_module_only(spark):
-    rows = sy.python_symbols(files(spark, [("m.py", "def f(:\n  pass\n")])).collect()
-    assert [(r.kind, r.parse_errors, r.end_line) for r in rows] == [("module", 1, 2)]
+def test_definitions_on_one_line_are_siblings(spark):
+    symbols = spark.createDataFrame(
+        [("a.ts", 0, "module", "a", 1, 3), ("a.ts", 1, "function", "f", 1, 1), ("a.ts", 2, "function", "g", 1, 1), ("a.ts", 3, "class", "C", 2, 3), ("a.ts", 4, "function", "h", 3, 3)],
+        "path string, ord int, kind string, name string, start_line int, end_line int",
+    )
+    found = {r.name: (r.parent, r.qualname) for r in sy.symbol_nesting(symbols).collect()}
+    assert found == {"a": (None, "a"), "f": (0, "a.f"), "g": (0, "a.g"), "C": (0, "a.C"), "h": (3, "a.C.h")}
 
 
 def chunks(spark, pairs):
@@ -82,22 +111,18 @@ def chunks(spark, pairs):
 
 
 def test_chunks_of_a_python_file(spark):
-    found = chunks(spark, [("shop/item.py", SOURCE)])
-    assert found["shop.item", 1].text == (
-        "shop/item.py :: shop.item (module)\n"
-        '"""Things on sale."""\n\nfrom dataclasses import dataclass\n\nLIMIT = 3'
-    )
-    assert found["shop.item.Item", 5].text == (
-        "shop/item.py :: shop.item.Item (class)\n@dataclass\nclass Item:\n"
-        '    """One thing."""\n\n    price: int\n\n    def label(self) -> str\n\n'
-        "    def label(self, value: str) -> None\n\n"
-        "    async def reserve( self, n: int = 1, ) -> bool"
+    found = chunks(spark, [("post/tray.py", SOURCE)])
+    assert found["post.tray", 1].text.endswith("import heapq\nfrom collections import deque\n\nRATE = 3")
+    assert found["post.tray.Tray", 11].text == (
+        "post/tray.py :: post.tray.Tray (class)\nclass Tray(deque):\n    limit = 12\n\n"
+        '    def empty(cls, *, limit: int = (3, 4)[0]) -> "Tray"\n\n    def weight(self)\n\n'
+        "    async def send( self, to: str, ) -> None"
     )
-    getter = found["shop.item.Item.label", 11]
+    getter = found["post.tray.Tray.weight", 23]
     assert getter.text.startswith(
-        "shop/item.py :: shop.item.Item.label (method)\ndef label(self) -> str\n    @property\n"
+        "post/tray.py :: post.tray.Tray.weight (method)\ndef weight(self)\n    @property\n"
     )
-    assert getter.search_a.split() == ["label", "shop.item.Item.label", "shop", "item", "Item", "label"]
+    assert getter.search_a.split() == ["weight", "post.tray.Tray.weight", "post", "tray", "Tray", "weight"]
 
 
 def test_crlf_makes_the_same_chunks(spark):
@@ -107,9 +132,9 @@ def test_crlf_makes_the_same_chunks(spark):
 
 def test_editing_one_function_changes_only_its_hash(spark):
     before = chunks(spark, [("a.py", SOURCE)])
-    after = chunks(spark, [("a.py", SOURCE.replace("return True", "return not n"))])
+    after = chunks(spark, [("a.py", SOURCE.replace("await post(to)", "await post(to, 2)"))])
     changed = {k for k in before if before[k].content_hash != after[k].content_hash}
-    assert changed == {("a.Item.reserve", 23)}
+    assert changed == {("a.Tray.send", 28)}
 
 
 def test_doc_comments_above_a_definition(spark):

@@ -166,7 +166,7 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     """Where each document's ids are in the token files, and their checksum as read back."""
     out = work_path(spark, "token-files")
     token_files.write_ids(_table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), out)
-    return token_files.read_ids(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_files.read_ids(spark, out, checksums=True)
 
 
 QUERIES: dict[str, Query] = {

@@ -7,6 +7,9 @@ with a block of ids (`simple8b`), the documents it holds with their lengths, and
 import gc
 import itertools
 import re
+import sys
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,18 +43,30 @@ class _Memo(dict):
         super().__init__()
         self._model, self._special, self._dtype = model, special, dtype
         self._letters = byte_letters()
+        self._space = self._letters[32]
+        self._code = "H" if dtype == "<u2" else "I"
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO_PIECES:
             self.clear()
+        rest = piece[1:]
         if piece in self._special:
             ids = [self._special[piece]]
+        elif piece[0] == " " and rest.isalnum() and rest.isascii():  # printable ASCII stands for itself
+            ids = [t.id for t in self._model.tokenize(self._space + rest)]
         else:
             ids = [t.id for t in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]
-        data = self[piece] = np.array(ids, self._dtype).tobytes()
+        data = self[piece] = _little_endian(array(self._code, ids))
         return data
 
 
+def _little_endian(ids: array) -> bytes:
+    """The bytes of an array, least significant first on any machine."""
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
+
+
 class ByteBPE:
     """A byte-level BPE file; texts are cut into pieces as the file's library does, and each piece is merged once.
 
@@ -156,32 +171,38 @@ def write_ids(docs: DataFrame, path: str, out: str, *, end_id: int = END_ID) ->
     dealt.mapInArrow(pack, _BLOCKS).write.partitionBy("range").parquet(out)
 
 
-def read_ids(spark: SparkSession, out: str) -> DataFrame:
-    """`doc_id, start, n_tokens, ids` of every document of token files; `start` counts the ids of all documents before it."""
+def read_ids(spark: SparkSession, out: str, *, checksums: bool = False) -> DataFrame:
+    """`doc_id, start, n_tokens, ids` of every document of token files; `start` counts the ids of all documents before it.
+
+    Ids are little-endian unsigned 32-bit integers; with `checksums` there is their unsigned CRC-32, `ids_crc32`, in their place.
+    """
+    last, kind = ("ids_crc32", pa.int64()) if checksums else ("ids", pa.binary())
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = decode_block(row["block"]).astype("<u4")
+                ids = memoryview(decode_block(row["block"]).astype("<u4")).cast("B")
                 ends = np.cumsum(row["lengths"])
                 starts = ends - row["lengths"]
-                blobs = [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+                blobs = [ids[a:b] for a, b in zip((starts * 4).tolist(), (ends * 4).tolist(), strict=True)]
+                values = [zlib.crc32(b) for b in blobs] if checksums else [bytes(b) for b in blobs]
                 yield pa.record_batch(
                     [
                         pa.array(row["doc_ids"], pa.int64()),
                         pa.array([row["range"]] * len(ends), pa.int32()),
                         pa.array(starts + row["before"]),
                         pa.array(row["lengths"], pa.int64()),
-                        pa.array(blobs, pa.binary()),
+                        pa.array(values, kind),
                     ],
-                    ["doc_id", "range", "at", "n_tokens", "ids"],
+                    ["doc_id", "range", "at", "n_tokens", last],
                 )
 
     blocks = spark.read.schema(_BLOCKS).parquet(out)
     sizes = blocks.groupBy("range").agg(F.sum("n_ids").alias("n"))  # one row per range
     before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     firsts = sizes.select("range", F.coalesce(before, F.lit(0)).alias("first"))
-    docs = blocks.mapInArrow(unpack, "doc_id long, range int, at long, n_tokens long, ids binary")
+    schema = f"doc_id long, range int, at long, n_tokens long, {last} {'long' if checksums else 'binary'}"
+    docs = blocks.mapInArrow(unpack, schema)
     return docs.join(F.broadcast(firsts), "range").select(
-        "doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids"
+        "doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", last
     )

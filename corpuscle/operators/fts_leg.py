@@ -1,10 +1,18 @@
 """Full-text search: weighted postings, all-words matching by cover density, any-word fallback."""
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as tx
+from corpuscle.operators.topk import TILE_CELLS, BestRows, question_blocks
 
+QUESTIONS = 4_000  # questions that go to the tasks at a time
 FTS_LIMIT = 50  # fixed value: full-text hits per query
 # Field weights A 1.0, B 0.4, C 0.2, counted in fifths so that sums are exact.
 WEIGHTS = {"search_a": 5, "search_b": 2, "search_c": 1}
@@ -12,21 +20,28 @@ UNIT = 0.2
 DIGITS = 9  # scores are compared after rounding, so the order of a sum never decides a rank
 
 
+def search_rows(chunks: DataFrame) -> DataFrame:
+    """One row per chunk, its search vector: snapshot_id, chunk_id, terms (its words in order, from field to field) and
+    weights (of each, in fifths). Worth storing with the chunks; nothing shuffles.
+    """
+    def terms(field: str) -> Column:
+        return tx.index_terms(F.coalesce(F.col(field), F.lit("")))
+
+    def weights_of(field: str) -> Column:
+        return F.array_repeat(F.lit(WEIGHTS[field]), F.size(terms(field)))
+
+    words = F.concat(*[terms(field) for field in WEIGHTS])
+    weights = F.concat(*[weights_of(field) for field in WEIGHTS])
+    return chunks.select("snapshot_id", "chunk_id", words.alias("terms"), weights.alias("weights"))
+
+
 def build_postings(chunks: DataFrame) -> DataFrame:
     """One row per word occurrence: snapshot_id, chunk_id, term, pos from 1, weight in fifths.
 
     Positions run on from field to field. A chunk's words come out of its own row: no shuffle.
     """
-    def weighted(field: str, weight: int) -> Column:
-        terms = tx.index_terms(F.coalesce(F.col(field), F.lit("")))
-        return F.transform(
-            terms, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight"))
-        )
-
-    fields = [weighted(field, weight) for field, weight in WEIGHTS.items()]
-    rows = chunks.select(
-        "snapshot_id", "chunk_id", F.posexplode_outer(F.concat(*fields)).alias("at", "p")
-    )
+    pairs = F.arrays_zip(F.col("terms").alias("term"), F.col("weights").alias("weight"))
+    rows = search_rows(chunks).select("snapshot_id", "chunk_id", F.posexplode_outer(pairs).alias("at", "p"))
     return rows.filter("at IS NOT NULL").select(
         "snapshot_id", "chunk_id", "p.term", (F.col("at") + 1).alias("pos"), "p.weight"
     )
@@ -46,49 +61,140 @@ def any_terms(plans: DataFrame) -> DataFrame:
     return rows.filter("term IS NOT NULL")
 
 
-def matching_lists(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """Occurrences of the wanted terms as one list per chunk and term: places (pos, weight).
-
-    Keyed by term and chunk together, so a term that is everywhere spreads over all tasks; a list
-    is no longer than its chunk, which the size cap bounds.
-    """
-    wanted = terms.select("snapshot_id", "term").distinct()
-    return (
-        postings.join(wanted, ["snapshot_id", "term"], "left_semi")
-        .groupBy("snapshot_id", "term", "chunk_id")
-        .agg(F.collect_list(F.struct("pos", "weight")).alias("places"))
+# ── Chunks against blocks of questions ────────────────────────────────────────
+
+
+class _Terms:
+    """The wanted terms of a block's questions in one snapshot."""
+
+    def __init__(self, rows: list[tuple[int, str]]) -> None:
+        words = sorted({term for _, term in rows})
+        place = {w: k for k, w in enumerate(words)}
+        self.words = pa.array(words, pa.string())
+        self.questions = np.array(sorted({q for q, _ in rows}), np.int64)
+        spot = {q: k for k, q in enumerate(self.questions.tolist())}
+        pairs = sorted({(place[t], spot[q]) for q, t in rows})
+        self.of_term = np.array([q for _, q in pairs], np.int64)  # questions of each term, one after the other
+        self.first = np.searchsorted([t for t, _ in pairs], np.arange(len(words) + 1))
+        self.need = np.bincount(self.of_term, minlength=len(self.questions))
+        self.by_question: dict[int, list[int]] = {}
+        for term, question in pairs:
+            self.by_question.setdefault(question, []).append(term)
+
+    def sums(self, row: np.ndarray, term: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+        """For each question and row, the sum of a value over the question's terms that the row has."""
+        count = self.first[term + 1] - self.first[term]
+        ends = np.cumsum(count)
+        spread = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[term] - (ends - count), count)
+        key = self.of_term[spread] * rows + np.repeat(row, count)
+        return np.bincount(key, np.repeat(value, count), len(self.questions) * rows).reshape(len(self.questions), rows)
+
+
+def _tiles(batch: pa.RecordBatch, asked: dict[int, _Terms]) -> Iterator[tuple]:
+    """Rows of one snapshot at a time, with the occurrences of the terms that its questions want: the snapshot, its terms,
+    chunk ids, and of each occurrence its row, term, position and weight."""
+    snapshots = batch.column("snapshot_id").to_numpy()
+    for snapshot in np.unique(snapshots).tolist():
+        wanted = asked.get(snapshot)
+        if wanted is None:
+            continue
+        mine = np.flatnonzero(snapshots == snapshot)
+        step = max(1, TILE_CELLS // len(wanted.questions))
+        for first in range(0, len(mine), step):
+            some = batch.take(pa.array(mine[first : first + step]))
+            lists = some.column("terms")
+            length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            term = pc.fill_null(pc.index_in(lists.flatten(), value_set=wanted.words), -1).to_numpy()
+            row = np.repeat(np.arange(len(length)), length)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length) + 1
+            keep = np.flatnonzero(term >= 0)
+            weight = some.column("weights").flatten().to_numpy()[keep]
+            yield snapshot, wanted, some.column("chunk_id").to_numpy(), row[keep], term[keep], pos[keep], weight
+
+
+def _blocks(terms: DataFrame) -> Iterator[dict[int, _Terms]]:
+    """Questions' terms (query_id, snapshot_id, term) by snapshot, in blocks of bounded size."""
+    for block in question_blocks(terms, QUESTIONS):
+        by_snapshot: dict[int, list[tuple[int, str]]] = {}
+        columns = (block.column(c).to_pylist() for c in ("snapshot_id", "query_id", "term"))
+        for snapshot, question, term in zip(*columns, strict=True):
+            by_snapshot.setdefault(snapshot, []).append((question, term))
+        yield {snapshot: _Terms(rows) for snapshot, rows in by_snapshot.items()}
+
+
+def _over_chunks(search: DataFrame, terms: DataFrame, work, schema: str) -> DataFrame:
+    """`work` over the chunks of the snapshots that are asked, once for each block of questions."""
+    session = search.sparkSession
+    here = search.join(terms.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
+    found = None
+    for block in _blocks(terms):
+        part = here.mapInArrow(partial(work, session.sparkContext.broadcast(block)), schema)
+        found = part if found is None else found.unionByName(part)
+    return session.createDataFrame([], schema) if found is None else found
+
+
+_MATCHES = (
+    "query_id bigint, snapshot_id bigint, chunk_id bigint, "
+    "matches array<struct<term:string,places:array<struct<pos:int,weight:int>>>>"
+)
+_PLACES = pa.list_(
+    pa.struct([("term", pa.string()), ("places", pa.list_(pa.struct([("pos", pa.int32()), ("weight", pa.int32())])))])
+)
+
+
+def _match_all(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that hold every term of a question, with the places of each."""
+    for batch in batches:
+        for snapshot, wanted, chunk_ids, row, term, pos, weight in _tiles(batch, shared.value):
+            key, first = np.unique(row * len(wanted.words) + term, return_index=True)
+            has = wanted.sums(key // len(wanted.words), key % len(wanted.words), np.ones(len(key)), len(chunk_ids))
+            question, at = np.nonzero(has == wanted.need[:, None])
+            order = np.lexsort((pos, term, row))
+            keyed = (row * len(wanted.words) + term)[order]
+            names = wanted.words.to_pylist()
+            matches = []
+            for q, r in zip(question.tolist(), at.tolist(), strict=True):
+                found = []
+                for t in wanted.by_question[q]:
+                    a, b = np.searchsorted(keyed, [r * len(names) + t, r * len(names) + t + 1])
+                    spots = order[a:b]
+                    places = [{"pos": int(p), "weight": int(w)} for p, w in zip(pos[spots], weight[spots], strict=True)]
+                    found.append({"term": names[t], "places": places})
+                matches.append(found)
+            columns = [
+                pa.array(wanted.questions[question], pa.int64()),
+                pa.array([snapshot] * len(question), pa.int64()),
+                pa.array(chunk_ids[at], pa.int64()),
+                pa.array(matches, _PLACES),
+            ]
+            yield pa.record_batch(columns, ["query_id", "snapshot_id", "chunk_id", "matches"])
+
+
+def _score_any(k: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best rows of each question by the weight of its words in them."""
+    best = BestRows(k)
+    for batch in batches:
+        for _, wanted, chunk_ids, row, term, _, weight in _tiles(batch, shared.value):
+            scores = wanted.sums(row, term, weight.astype(np.float64), len(chunk_ids)).astype(np.float64)
+            scores[scores == 0] = -np.inf
+            best.add_scores(wanted.questions, scores, chunk_ids, chunk_ids)
+    query_id, chunk_id, score, _ = best.best()
+    yield pa.record_batch(
+        [pa.array(query_id, pa.int64()), pa.array(chunk_id, pa.int64()), pa.array(score, pa.float64())],
+        ["query_id", "chunk_id", "score"],
     )
 
 
-def all_words(terms: DataFrame, lists: DataFrame) -> DataFrame:
+def all_words(plans: DataFrame, search: DataFrame) -> DataFrame:
     """Chunks that hold every term of a query, with the places of each term:
     query_id, snapshot_id, chunk_id, matches array<(term, places)>.
 
-    Candidates come from each query's rarest term only and are then checked for the others, so a
-    common word never multiplies the queries that use it.
+    The questions go to the chunks' search vectors in blocks of bounded size; only matches come out, and nothing shuffles.
     """
-    frequency = lists.groupBy("snapshot_id", "term").agg(F.count("*").alias("chunks"))
-    rarest = (
-        terms.join(frequency, ["snapshot_id", "term"], "left")
-        .groupBy("query_id", "snapshot_id")
-        .agg(
-            F.count("*").alias("terms"),
-            F.count("chunks").alias("known"),
-            F.min_by("term", F.struct("chunks", "term")).alias("term"),
-        )
-        .filter("known = terms")
-    )
-    candidates = rarest.join(
-        lists.select("snapshot_id", "term", "chunk_id"), ["snapshot_id", "term"]
-    ).drop("known", "term")
-    wanted = candidates.join(terms.select("query_id", "term"), "query_id")
-    return (
-        wanted.join(lists, ["snapshot_id", "term", "chunk_id"])
-        .groupBy("query_id", "snapshot_id", "chunk_id", "terms")
-        .agg(F.collect_list(F.struct("term", "places")).alias("matches"))
-        .filter(F.size("matches") == F.col("terms"))
-        .select("query_id", "snapshot_id", "chunk_id", "matches")
-    )
+    return _over_chunks(search, and_terms(plans), _match_all, _MATCHES)
+
+
+# ── Scores ────────────────────────────────────────────────────────────────────
 
 
 def cover_score(matches: Column) -> Column:
@@ -166,33 +272,19 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     )
 
 
-def query_lists(plans: DataFrame, postings: DataFrame) -> DataFrame:
-    """Lists for every term of the plans, all-words and any-word alike, so that both searches
-    read one shuffle."""
-    return matching_lists(postings, and_terms(plans).unionByName(any_terms(plans)))
-
-
-def fts_and(plans: DataFrame, lists: DataFrame, *, k: int = FTS_LIMIT) -> DataFrame:
+def fts_and(plans: DataFrame, search: DataFrame, *, k: int = FTS_LIMIT) -> DataFrame:
     """Hits that hold every term of the query, by cover density."""
-    return ranked(cover_density(all_words(and_terms(plans), lists)), k)
+    return ranked(cover_density(all_words(plans, search)), k)
 
 
 def fts_or(
-    plans: DataFrame, and_hits: DataFrame, lists: DataFrame, *, k: int = FTS_LIMIT
+    plans: DataFrame, and_hits: DataFrame, search: DataFrame, *, k: int = FTS_LIMIT
 ) -> DataFrame:
     """For queries without an all-words hit: chunks with any term, by the weight of its words.
 
-    Weights are added up per chunk and term before any query is involved, and per query before
-    the shuffle; the best `k` are kept per task first.
+    A task adds weights up for the chunks it reads and keeps the best `k` for each query; pairs of queries and chunks
+    are never rows.
     """
     terms = any_terms(plans.join(and_hits.select("query_id"), "query_id", "left_anti"))
-    weight = F.aggregate("places", F.lit(0), lambda s, p: s + p["weight"])
-    scored = (
-        terms.join(
-            lists.select("snapshot_id", "term", "chunk_id", weight.alias("weight")),
-            ["snapshot_id", "term"],
-        )
-        .groupBy("query_id", "chunk_id")
-        .agg((F.sum("weight") * UNIT).alias("score"))
-    )
-    return ranked(scored.withColumn("score", F.round("score", DIGITS)), k)
+    scored = _over_chunks(search, terms, partial(_score_any, k), "query_id bigint, chunk_id bigint, score double")
+    return ranked(scored.withColumn("score", F.round(F.col("score") * UNIT, DIGITS)), k)

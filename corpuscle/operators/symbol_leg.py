@@ -62,7 +62,7 @@ def symbol_aliases(chunks: DataFrame) -> DataFrame:
 
 def resolve_identifiers(candidates: DataFrame, aliases: DataFrame) -> DataFrame:
     """The candidates that are an alias of some chunk of their snapshot; case-sensitive."""
-    known = aliases.select("snapshot_id", F.col("alias").alias("identifier")).distinct()
+    known = aliases.select("snapshot_id", F.col("alias").alias("identifier"))
     return candidates.join(known, ["snapshot_id", "identifier"], "left_semi")
 
 
@@ -113,6 +113,12 @@ def top_aliases(aliases: DataFrame, *, k: int = SYMBOL_LIMIT) -> DataFrame:
     )
 
 
+def asked_aliases(aliases: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The aliases that some candidate names; all that a search has to rank."""
+    wanted = candidates.select("snapshot_id", F.col("identifier").alias("alias"))
+    return aliases.join(wanted, ["snapshot_id", "alias"], "left_semi")
+
+
 # ── Containment ───────────────────────────────────────────────────────────────
 
 

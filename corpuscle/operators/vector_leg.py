@@ -1,4 +1,8 @@
-"""Vector search: exact nearest chunks in blocks, and an approximate search over clusters."""
+"""Vector search: exact nearest chunks, and an approximate search over an index of cells."""
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -7,11 +11,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.sources.tables import stored
+from corpuscle.operators.topk import TILE_CELLS, BestRows, question_blocks
+from corpuscle.sources.tables import read_table, stored, write_partitioned
 
 VECTOR_LIMIT = 20  # fixed value: vector hits per query
-BLOCK_VECTORS, BLOCK_QUERIES = 50_000, 5_000  # rows of either side one task holds at a time
-TILE = 256  # queries scored in one matrix product
+QUESTIONS = 4_000  # query vectors that go to the tasks at a time
+SAMPLE = 50_000  # bound on the vectors that cells are fitted on
 DIGITS = 9  # scores are compared after rounding, so the order of a sum never decides a rank
 
 
@@ -31,85 +36,70 @@ def hash_vectors(first: DataFrame, embeddings: DataFrame, model: str) -> DataFra
     return first.filter("n = 1").drop("n").join(vectors, "content_hash")
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.Array) -> np.ndarray:
     """A list column as unit rows of a float64 matrix (a zero vector stays zero)."""
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(len(column), -1)
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norms == 0.0, 1.0, norms)
 
 
-def block_scores(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The best `k` hashes of each query within each block of vectors.
-
-    Both sides are cut into blocks sized by count, and every block of queries meets every block of
-    vectors of its snapshot and cell. A block pair is one matrix product and only its best `k`
-    rows come out, so neither a large snapshot nor many queries end up in one task, and no pair
-    of rows is ever emitted.
-    """
-    key = ["snapshot_id", "cell"]
-
-    def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-        return rows.groupBy(*key).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-
-    sizes = blocks(vectors, BLOCK_VECTORS, "vector_blocks").join(
-        blocks(queries, BLOCK_QUERIES, "query_blocks"), key
-    )
+_SCORES = "query_id bigint, snapshot_id bigint, content_hash string, chunk_id bigint, score double"
 
-    def spread(rows: DataFrame, own: str, id_: str, own_n: str, other: str, other_n: str):
-        block = F.pmod(F.xxhash64(id_), F.col(own_n)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.col(other_n) - 1))
-        return rows.join(sizes, key).withColumn(own, block).withColumn(other, copies)
 
-    left = spread(
-        vectors, "vector_block", "content_hash", "vector_blocks", "query_block", "query_blocks"
-    )
-    right = spread(
-        queries, "query_block", "query_id", "query_blocks", "vector_block", "vector_blocks"
-    )
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The best `k` hashes of each query among the vectors that each task reads.
 
-    def best(vector_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
-        out = {"query_id": [], "snapshot_id": [], "content_hash": [], "chunk_id": [], "score": []}
-        if vector_rows.num_rows and query_rows.num_rows:
-            matrix = _matrix(vector_rows["embedding"])
-            wanted = _matrix(query_rows["embedding"])
-            chunk_ids = vector_rows["chunk_id"].to_numpy()
-            hashes = vector_rows["content_hash"].to_pylist()
-            snapshot = vector_rows["snapshot_id"][0].as_py()
-            query_ids = query_rows["query_id"].to_pylist()
-            for start in range(0, len(wanted), TILE):
-                scores = np.round(wanted[start : start + TILE] @ matrix.T, DIGITS)
-                for row, query_id in zip(scores, query_ids[start : start + TILE], strict=True):
-                    floor = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    at = np.flatnonzero(row >= floor)
-                    at = at[np.lexsort((chunk_ids[at], -row[at]))][:k]
-                    out["query_id"] += [query_id] * len(at)
-                    out["snapshot_id"] += [snapshot] * len(at)
-                    out["content_hash"] += [hashes[i] for i in at]
-                    out["chunk_id"] += chunk_ids[at].tolist()
-                    out["score"] += row[at].tolist()
-        return pa.table(out, schema=schema)
-
-    schema = pa.schema(
-        [
-            ("query_id", pa.int64()),
-            ("snapshot_id", pa.int64()),
-            ("content_hash", pa.string()),
-            ("chunk_id", pa.int64()),
-            ("score", pa.float64()),
-        ]
-    )
-    group = [*key, "vector_block", "query_block"]
-    return (
-        left.select(*group, "content_hash", "chunk_id", "embedding")
-        .groupBy(*group)
-        .cogroup(right.select(*group, "query_id", "embedding").groupBy(*group))
-        .applyInArrow(
-            best,
-            "query_id bigint, snapshot_id bigint, content_hash string, chunk_id bigint, "
-            "score double",
+    Queries (query_id, snapshot_id, embedding, and cell when the vectors have one) go to the vectors in blocks of bounded size; the
+    vectors stay where they are. A query meets the vectors of its snapshot and cell.
+    """
+    context = vectors.sparkSession.sparkContext
+    found = None
+    for block in question_blocks(queries, QUESTIONS):
+        shared = context.broadcast(
+            (
+                _matrix(block.column("embedding").combine_chunks()),
+                block.column("query_id").to_numpy(),
+                block.column("snapshot_id").to_numpy(),
+                block.column("cell").to_numpy(),
+            )
         )
-    )
+        part = vectors.mapInArrow(partial(_score, shared, k), _SCORES)
+        found = part if found is None else found.unionByName(part)
+    return vectors.sparkSession.createDataFrame([], _SCORES) if found is None else found
+
+
+def _score(shared, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Score the vectors of a task against a block of queries."""
+    wanted, query_ids, snapshots, cells = shared.value
+    best: dict[int, BestRows] = {}
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        matrix = _matrix(rows.column("embedding"))
+        own, cell = rows.column("snapshot_id").to_numpy(), rows.column("cell").to_numpy()
+        chunk_ids = rows.column("chunk_id").to_numpy()
+        hashes = rows.column("content_hash").to_numpy(zero_copy_only=False)
+        for snapshot, at_cell in np.unique(np.stack([own, cell], 1), axis=0).tolist():
+            asked = np.flatnonzero((snapshots == snapshot) & (cells == at_cell))
+            if not len(asked):
+                continue
+            mine = np.flatnonzero((own == snapshot) & (cell == at_cell))
+            step = max(1, TILE_CELLS // len(asked))
+            for first in range(0, len(mine), step):
+                some = mine[first : first + step]
+                scores = np.round(wanted[asked] @ matrix[some].T, DIGITS)
+                best.setdefault(snapshot, BestRows(k)).add_scores(query_ids[asked], scores, chunk_ids[some], hashes[some])
+    for snapshot, kept in best.items():
+        query_id, chunk_id, score, content_hash = kept.best()
+        columns = [
+            pa.array(query_id, pa.int64()),
+            pa.array([snapshot] * len(query_id), pa.int64()),
+            pa.array(content_hash.tolist(), pa.string()),
+            pa.array(chunk_id, pa.int64()),
+            pa.array(score, pa.float64()),
+        ]
+        yield pa.record_batch(columns, ["query_id", "snapshot_id", "content_hash", "chunk_id", "score"])
 
 
 def chunk_hits(scores: DataFrame, first: DataFrame, k: int) -> DataFrame:
@@ -127,6 +117,11 @@ def chunk_hits(scores: DataFrame, first: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _asked_chunks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """The chunks of snapshots that a query asks."""
+    return chunks.join(queries.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
+
+
 def vector_topk(
     queries: DataFrame,
     chunks: DataFrame,
@@ -137,73 +132,85 @@ def vector_topk(
 ) -> DataFrame:
     """The `k` chunks of its snapshot nearest each query vector (query_id, snapshot_id,
     embedding), by cosine; exact."""
-    first = first_chunks(chunks, k)
-    one_cell = F.lit(0).alias("cell")
+    first = first_chunks(_asked_chunks(chunks, queries), k)
+    one_cell = F.lit(0).cast("int").alias("cell")
     vectors = hash_vectors(first, embeddings, model).select("*", one_cell)
-    scores = block_scores(
-        vectors, queries.select("query_id", "snapshot_id", "embedding", one_cell), k
-    )
+    scores = nearest(vectors, queries.select("query_id", "snapshot_id", "embedding", one_cell), k)
     return chunk_hits(scores, first, k)
 
 
+@dataclass(frozen=True)
+class VectorIndex:
+    """Vectors of chunks by cell, and the cells' centres."""
+
+    vectors: DataFrame
+    centres: np.ndarray
+
+
+def index_vectors(vectors: DataFrame, path: str) -> VectorIndex:
+    """Place vectors (snapshot_id, content_hash, chunk_id, embedding) in cells and store them under `path`, by cell.
+
+    As many cells as the root of the number of vectors; their centres are fitted on at most SAMPLE of them, every vector is
+    placed.
+    """
+    count = vectors.count()
+    as_doubles = F.col("embedding").cast("array<double>")
+    sample = vectors.select(as_doubles.alias("features")).orderBy(F.xxhash64("features")).limit(SAMPLE)
+    points = sample.select(array_to_vector("features").alias("features"))
+    cells = max(1, int(count**0.5))
+    centres = np.array(KMeans(k=cells, seed=42, maxIter=10).fit(points).clusterCenters()) if cells > 1 else np.zeros((1, 1))
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+    schema = f"{vectors.select('snapshot_id', 'content_hash', 'chunk_id', 'embedding').schema.simpleString()[7:-1]},cell:int"
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle = shared.value
+        for rows in batches:
+            cell = np.zeros(rows.num_rows, np.int32)
+            if rows.num_rows and len(middle) > 1:
+                flat = rows.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                points = flat.reshape(rows.num_rows, -1)
+                cell = ((middle**2).sum(1) - 2 * points @ middle.T).argmin(1).astype(np.int32)
+            yield pa.record_batch([*rows.columns, pa.array(cell)], [*rows.schema.names, "cell"])
+
+    placed = vectors.select("snapshot_id", "content_hash", "chunk_id", "embedding").mapInArrow(place, schema)
+    write_partitioned(placed, path, "cell")
+    return VectorIndex(read_table(vectors.sparkSession, path), centres)
+
+
 def vector_topk_approx(
-    queries: DataFrame,
-    chunks: DataFrame,
-    embeddings: DataFrame,
-    model: str,
-    *,
-    k: int = VECTOR_LIMIT,
-    cells: int = 16,
-    probes: int = 6,
+    queries: DataFrame, chunks: DataFrame, index: VectorIndex, *, k: int = VECTOR_LIMIT, share: float = 0.4
 ) -> DataFrame:
-    """Like `vector_topk`, but each query only meets the `probes` clusters of vectors nearest it.
+    """Like `vector_topk` over an index, but each query only meets the `share` of cells nearest it.
 
-    Scores are exact; a near chunk in an unprobed cluster may be missed. A query that finds fewer
+    Scores are exact; a near chunk in an unprobed cell may be missed. A query that finds fewer
     than `k` chunks this way (few of them in its snapshot) is searched exactly instead.
     """
-    first = first_chunks(chunks, k)
-    vectors = stored(hash_vectors(first, embeddings, model), "vectors")
-    points = vectors.select(
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
-    )
-    means = KMeans(k=cells, seed=42, maxIter=10).fit(points)
-    centers = np.array(means.clusterCenters())
-
-    placed = (
-        means.transform(
-            vectors.withColumn(
-                "features", array_to_vector(F.col("embedding").cast("array<double>"))
-            )
-        )
-        .withColumnRenamed("prediction", "cell")
-        .drop("features")
-    )
+    first = first_chunks(_asked_chunks(chunks, queries), k)
     asked = queries.select("query_id", "snapshot_id", "embedding")
-    distance = F.array(
-        *[
-            F.struct(
-                F.aggregate(
-                    F.zip_with(
-                        F.col("embedding"),
-                        F.array(*[F.lit(float(x)) for x in center]),
-                        lambda a, b: (a - b) * (a - b),
-                    ),
-                    F.lit(0.0),
-                    lambda s, x: s + x,
-                ).alias("distance"),
-                F.lit(i).alias("cell"),
+    shared = queries.sparkSession.sparkContext.broadcast(index.centres)
+    probes = max(1, -(-int(len(index.centres) * share * 100) // 100))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle = shared.value
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            near = np.zeros((rows.num_rows, 1), np.int32)
+            if len(middle) > 1:
+                flat = rows.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                points = flat.reshape(rows.num_rows, -1)
+                away = (middle**2).sum(1) - 2 * points @ middle.T
+                near = np.argsort(away, axis=1, kind="stable")[:, :probes].astype(np.int32)
+            again = pa.array(np.repeat(np.arange(rows.num_rows), near.shape[1]))
+            yield pa.record_batch(
+                [*(c.take(again) for c in rows.columns), pa.array(near.ravel())], [*rows.schema.names, "cell"]
             )
-            for i, center in enumerate(centers)
-        ]
-    )
-    nearest = F.slice(F.array_sort(distance), 1, probes)
-    probing = asked.withColumn(
-        "cell", F.explode(F.transform(nearest, lambda x: x["cell"]))
-    )
-    found = stored(chunk_hits(block_scores(placed, probing, k), first, k), "approximate")
+
+    probing = asked.mapInArrow(probe, "query_id bigint, snapshot_id bigint, embedding array<float>, cell int")
+    found = stored(chunk_hits(nearest(index.vectors, stored(probing, "probes"), k), first, k), "approximate")
     enough = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
-    short = asked.join(enough, "query_id", "left_anti")
-    here = chunks.join(short.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
+    short = asked.join(enough, "query_id", "left_anti").withColumn("cell", F.lit(0).cast("int"))
+    here = _asked_chunks(index.vectors, short).withColumn("cell", F.lit(0).cast("int"))
     return found.join(short.select("query_id"), "query_id", "left_anti").unionByName(
-        vector_topk(short, here, embeddings, model, k=k)
+        chunk_hits(nearest(here, stored(short, "short"), k), first, k)
     )

@@ -43,8 +43,9 @@ class Retrieval:
 
 def search_symbols(plans: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(identifiers, hits) of the symbol leg."""
-    aliases = symbol_leg.top_aliases(symbol_leg.symbol_aliases(chunks))
     candidates = symbol_leg.candidate_identifiers(plans)
+    asked = symbol_leg.asked_aliases(symbol_leg.symbol_aliases(chunks), candidates)
+    aliases = stored(symbol_leg.top_aliases(asked), "aliases")
     identifiers = stored(symbol_leg.resolve_identifiers(candidates, aliases), "identifiers")
     exact = stored(symbol_leg.ladder_exact(identifiers, aliases), "exact")
     contains = symbol_leg.ladder_contains(identifiers, chunks, exact)
@@ -53,10 +54,13 @@ def search_symbols(plans: DataFrame, chunks: DataFrame) -> tuple[DataFrame, Data
 
 
 def search_texts(plans: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all-words hits, any-word hits) of the full-text leg, from one list of occurrences."""
-    lists = stored(fts_leg.query_lists(plans, fts_leg.build_postings(chunks)), "lists")
-    and_hits = stored(fts_leg.fts_and(plans, lists), "fts-and")
-    return and_hits, stored(fts_leg.fts_or(plans, and_hits, lists), "fts-or")
+    """(all-words hits, any-word hits) of the full-text leg, from the chunks' search vectors: stored ones when the chunks
+    have them (`terms`, `weights`), else made once here."""
+    search = chunks.select("snapshot_id", "chunk_id", "terms", "weights") if "terms" in chunks.columns else (
+        stored(fts_leg.search_rows(chunks), "search-rows")
+    )
+    and_hits = stored(fts_leg.fts_and(plans, search), "fts-and")
+    return and_hits, stored(fts_leg.fts_or(plans, and_hits, search), "fts-or")
 
 
 def search_legs(

@@ -12,7 +12,7 @@ from corpuscle.plans import retrieve as rt
 from corpuscle.registry import adapters as ad
 from corpuscle.registry.adapters import MODEL, split_sql, terms_sql
 from corpuscle.registry.sql import select, view
-from corpuscle.sources.tables import stored
+from corpuscle.sources.tables import stored, work_path
 
 # ── Symbol leg ────────────────────────────────────────────────────────────────
 
@@ -81,21 +81,20 @@ def build_postings(spark: SparkSession, sf: str) -> DataFrame:
     return fts.build_postings(ad.corpus(spark, sf)).drop("snapshot_id")
 
 
-def lists(spark: SparkSession, sf: str) -> DataFrame:
-    """Occurrences of the plans' terms in the corpus."""
-    found = fts.query_lists(ad.plans(spark, sf), fts.build_postings(ad.corpus(spark, sf)))
-    return stored(found, "lists")
+def search_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The search vectors of the corpus."""
+    return fts.search_rows(ad.corpus(spark, sf))
 
 
 def cover_density(spark: SparkSession, sf: str) -> DataFrame:
-    matches = fts.all_words(fts.and_terms(ad.plans(spark, sf)), lists(spark, sf))
+    matches = fts.all_words(ad.plans(spark, sf), search_rows(spark, sf))
     return fts.cover_density(matches).select(
         "query_id", "chunk_id", F.round("score", 6).alias("score")
     )
 
 
 def fts_and(spark: SparkSession, sf: str) -> DataFrame:
-    return hit_rows(fts.fts_and(ad.plans(spark, sf), lists(spark, sf)))
+    return hit_rows(fts.fts_and(ad.plans(spark, sf), search_rows(spark, sf)))
 
 
 def fts_or(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,13 +105,23 @@ def fts_or(spark: SparkSession, sf: str) -> DataFrame:
 # ── Vector leg ────────────────────────────────────────────────────────────────
 
 
-def vector_hits(spark: SparkSession, sf: str, search=vl.vector_topk) -> DataFrame:
+def asked_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The plans' vectors with their snapshot."""
+    return ad.query_vectors(spark, sf).withColumn("snapshot_id", F.col("embedding").isNotNull().cast("bigint"))
+
+
+def vector_hits(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest chunks of each plan's vector."""
-    asked = ad.query_vectors(spark, sf).withColumn(
-        "snapshot_id", F.col("embedding").isNotNull().cast("bigint")
-    )
     chunks = ad.corpus(spark, sf).select("snapshot_id", "content_hash", "chunk_id")
-    return stored(search(asked, chunks, ad.vectors(spark, sf), MODEL), "vector")
+    return stored(vl.vector_topk(asked_vectors(spark, sf), chunks, ad.vectors(spark, sf), MODEL), "vector")
+
+
+def approximate_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest chunks of each plan's vector by an index of cells."""
+    chunks = ad.corpus(spark, sf).select("snapshot_id", "content_hash", "chunk_id")
+    first = vl.first_chunks(chunks, vl.VECTOR_LIMIT)
+    index = vl.index_vectors(vl.hash_vectors(first, ad.vectors(spark, sf), MODEL), work_path(spark, "vector-index"))
+    return vl.vector_topk_approx(asked_vectors(spark, sf), chunks, index)
 
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,7 +129,15 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_topk_approx(spark: SparkSession, sf: str) -> DataFrame:
-    return hit_rows(vector_hits(spark, sf, vl.vector_topk_approx))
+    return hit_rows(approximate_hits(spark, sf))
+
+
+def vector_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """How many questions the index was asked, and whether it found at least nine of ten exact hits."""
+    key = ["query_id", "chunk_id"]
+    exact = vector_hits(spark, sf).select(*key)
+    found = exact.join(approximate_hits(spark, sf).select(*key, F.lit(1).alias("found")), key, "left")
+    return found.agg(F.count_distinct("query_id").alias("questions"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
 
 
 # ── Fusion ────────────────────────────────────────────────────────────────────
@@ -166,7 +183,7 @@ def relevance_floor(spark: SparkSession, sf: str) -> DataFrame:
     """The floor set high, so that it fires."""
     plans = ad.plans(spark, sf)
     _, symbol = rt.search_symbols(plans, ad.corpus(spark, sf))
-    and_hits = fts.fts_and(plans, lists(spark, sf))
+    and_hits = fts.fts_and(plans, search_rows(spark, sf))
     verdict = fu.relevance_floor(plans, symbol, and_hits, vector_hits(spark, sf), floor=0.5)
     return verdict.withColumn("best_cosine", F.round("best_cosine", 6))
 
@@ -204,6 +221,7 @@ QUERIES = {
     "cover_density": cover_density,
     "vector_topk": vector_topk,
     "vector_topk_approx": vector_topk_approx,
+    "vector_recall": vector_recall,
     "leg_trace": leg_trace,
     "rrf_fuse": rrf_fuse,
     "collapse_parts": collapse_parts,
@@ -460,6 +478,7 @@ def hits_sql(rows: str) -> str:
 
 
 ORACLES = {
+    "vector_recall": select("SELECT count(*) AS questions, true AS enough FROM v_query_vectors"),
     "candidate_tokens": select(
         f"""
 SELECT * FROM v_candidates UNION ALL SELECT * FROM ({candidates_sql('''(SELECT page_id AS query_id,

@@ -179,8 +179,8 @@ def test_cover_density_on_random_texts(spark):
     texts = [[rng.choice("abcdefgh") for _ in range(rng.randint(3, 25))] for _ in range(60)]
     rows = [(1, i, "p", None, None, 1, " ".join(t)) for i, t in enumerate(texts)]
     asked = plans(spark, [(1, 1, "a b c", [])])
-    lists = fts.query_lists(asked, fts.build_postings(corpus(spark, rows)))
-    scored = fts.cover_density(fts.all_words(fts.and_terms(asked), lists)).collect()
+    search = fts.search_rows(corpus(spark, rows))
+    scored = fts.cover_density(fts.all_words(asked, search)).collect()
     expected = {i: density_by_rule(t, set("abc")) for i, t in enumerate(texts) if set("abc") <= set(t)}
     assert {r.chunk_id: r.score for r in scored} == pytest.approx(expected)
 
@@ -209,8 +209,7 @@ def vector_world(spark, n, hot):
 
 
 def test_vector_topk_is_exact_whole_and_stays_in_its_snapshot(spark, monkeypatch):
-    monkeypatch.setattr(vl, "BLOCK_VECTORS", 17)  # many blocks
-    monkeypatch.setattr(vl, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(vl, "QUESTIONS", 2)  # many blocks
     chunks, vectors, queries, matrix, owners = vector_world(spark, 120, 60)
     rows = vl.vector_topk(queries, chunks, vectors, "m", k=10).collect()
     found = {}
@@ -225,14 +224,16 @@ def test_vector_topk_is_exact_whole_and_stays_in_its_snapshot(spark, monkeypatch
     assert best[3] == pytest.approx(1.0)
 
 
-def test_approximate_search_recalls_most_and_tops_up(spark):
+def test_approximate_search_recalls_most_and_tops_up(spark, tmp_path):
     chunks, vectors, queries, _, _ = vector_world(spark, 300, 3)
 
     def pairs(rows):
         return {(r.query_id, r.chunk_id) for r in rows.collect()}
 
     exact = pairs(vl.vector_topk(queries, chunks, vectors, "m"))
-    found = pairs(vl.vector_topk_approx(queries, chunks, vectors, "m", cells=4, probes=3))
+    index = vl.index_vectors(vl.hash_vectors(vl.first_chunks(chunks, 20), vectors, "m"), str(tmp_path / "index"))
+    assert len(index.centres) > 10
+    found = pairs(vl.vector_topk_approx(queries, chunks, index, share=0.7))
     assert len(found & exact) >= 0.9 * len(exact)
     assert {p for p in exact if p[0] == 99} <= found
 

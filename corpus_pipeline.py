@@ -28,7 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id in each group linked by shingles of five words at a similarity of about 0.8 or more."""
+    """The document of least id in each group linked by a similarity of 0.8 or more of its sets of five-word shingles."""
     return simhash.without_near_duplicates(docs)
 
 

@@ -8,6 +8,7 @@ bits they differ in so far and are dropped beyond the budget. A task emits a spa
 a thousand near copies give a thousand rows and not a million.
 """
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ def fingerprint_words(texts: pa.Array, words: int, bits: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, *, words: int = 4, bits: int = 64) -> DataFrame:
-    """`doc_id, code` for every document: the fingerprint as bytes, least significant byte first.
+    """`doc_id, mark, code` for every document: a hash of its text, and the fingerprint as bytes, least significant first.
 
     A text of fewer words is one shingle; a null or empty text has the fingerprint zero. `bits` is a multiple of 64.
     """
@@ -58,10 +59,11 @@ def fingerprints(docs: DataFrame, *, words: int = 4, bits: int = 64) -> DataFram
                 rows = fingerprint_words(part.column("text"), words, bits).astype("<u8")
                 data = pa.py_buffer(np.ascontiguousarray(rows))
                 codes = pa.Array.from_buffers(pa.binary(bits // 8), len(rows), [None, data]).cast(pa.binary())
-                yield pa.record_batch([part.column("doc_id"), codes], ["doc_id", "code"])
+                yield pa.record_batch([part.column("doc_id"), part.column("mark"), codes], ["doc_id", "mark", "code"])
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInArrow(run, "doc_id long, code binary")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, code binary")
 
 
 def hex_digits(code: str, size: int = 8) -> Column:
@@ -237,7 +239,7 @@ def fingerprint_links(classes: DataFrame, *, bits: int, budget: int, parts: int,
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = 64, budget: int = 4, parts: int = 5) -> DataFrame:
-    """`doc_id, code, component_id` for every document.
+    """`doc_id, mark, code, component, component_id` for every document.
 
     component_id is the smallest doc_id that links reach (null ids aside; null when all of them are). Rows of one
     fingerprint, whatever their ids, are one class; a repeated row gives a row each time. Other columns are not read.
@@ -250,18 +252,118 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = 64, budget:
     reached = components(links)
     named = classes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("code", "component_id")
-    return coded.join(named, "code").select("doc_id", "code", "component_id")
+    named = named.join(least, "component").select("code", "component", "component_id")
+    return coded.join(named, "code").select("doc_id", "mark", "code", "component", "component_id")
+
+
+# ── Similarity by shingles ────────────────────────────────────────────────────
+
+CHUNK = 512  # texts of a component that are compared with as many at a time
+COLUMNS = 8_192  # shingles counted in one matrix product
+FEW = 500_000  # rows of ids that are given to every task rather than shuffled with the texts
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers each, to be broadcast when there are no more than `FEW`."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def alike(sets: list[np.ndarray], least: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of numbers whose Jaccard similarity is `least` or more; with `split` only pairs across that position."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.flatnonzero(np.bincount(column) > 1)
+    place = np.full(int(column.max(initial=-1)) + 1, -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    left = slice(None) if split is None else slice(0, split)
+    right = slice(None) if split is None else slice(split, None)
+    both = np.zeros((len(size[left]), len(size[right])), np.float32)
+    for first in range(0, len(shared), COLUMNS):
+        some = (column >= first) & (column < first + COLUMNS)
+        has = np.zeros((len(sets), min(COLUMNS, len(shared) - first)), np.float32)
+        has[owner[some], column[some] - first] = 1
+        both += has[left] @ has[right].T
+    union = size[left][:, None] + size[right] - both
+    a, b = np.nonzero((both >= least * union) & (union > 0))
+    if split is None:
+        a, b = a[a < b], b[a < b]
+        return a, b
+    return a, b + split
+
+
+def similar_documents(
+    docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bits: int = 512, budget: int = 92, parts: int = 39
+) -> DataFrame:
+    """`doc_id, mark, component_id` for documents linked with another: components of texts whose sets of word shingles have
+    a Jaccard similarity of `similarity` or more.
+
+    Fingerprints wide enough to tell similarities apart find what may be alike: 92 of 512 bits differ at a similarity of 0.77 on
+    average, and nearly all pairs of 0.8 are within. Inside each component of those, similarity is computed exactly, between chunks of
+    texts; a task gives a spanning forest of the links it finds. `mark` is a hash of the text; component_id is the least doc_id
+    that links reach, null when none has one. Texts without words are alike to none.
+    """
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark, F.col("text").cast("string").alias("text"))
+    near = near_duplicates(texts, words=words, bits=bits, budget=budget, parts=parts)
+    loose = near.select("doc_id", "mark", F.col("component").alias("group")).distinct()
+    many = loose.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(loose.join(many, "group"), "members")
+    pick = members.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "group", "n")
+    chosen = texts.join(_few(pick), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                split = split_words(part.column("text"))
+                start, end, doc = shingles(split, words)
+                hashes = xxh64(split.data, start, end)
+                cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+                columns = [part.column(c) for c in ("doc_id", "mark", "group", "n")]
+                yield pa.record_batch([*columns, pa.array(sets, pa.binary())], ["doc_id", "mark", "group", "n", "shingles"])
+
+    columns = chosen.select("doc_id", "mark", "group", "n", "text")
+    sets = columns.mapInArrow(shingled, "doc_id long, mark long, group long, n long, shingles binary")
+    sets = sets.dropDuplicates(["doc_id", "mark"])
+    sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
+    chunked = sets.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    low, high = F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")
+    pairs = chunked.withColumn("other", other).select("group", low, high, "chunk", "node", "shingles")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for (_, low, high), group in itertools.groupby(rows, key=lambda r: r[:3]):
+            found = sorted(group, key=lambda r: r[3])
+            sets = [np.frombuffer(r[5], np.uint64) for r in found]
+            node = np.array([r[4] for r in found])
+            split = None if low == high else sum(r[3] == low for r in found)
+            forest = Forest(len(sets))
+            forest.join(*alike(sets, similarity, split))
+            ends = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (forest.left, forest.right)]
+            yield pa.record_batch([pa.array(node[x], pa.int64()) for x in ends], ["a", "b"])
+
+    keys = ["group", "low", "high"]
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.repartition(partitions, *keys).sortWithinPartitions(*keys)
+    reached = components(dealt.mapInArrow(verified, "a long, b long"))
+    named = sets.select("doc_id", "mark", "node").join(reached, "node")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return stored(named.join(least, "component").select("doc_id", "mark", "component_id"), "similar")
 
 
-def without_near_duplicates(docs: DataFrame, *, words: int = 5, bits: int = 512, budget: int = 88, parts: int = 39) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns: of each component the least doc_id.
+def without_near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns: of each component of similar documents the least doc_id.
 
-    The bits are wide enough to tell similarities apart: 88 of 512 differing bits are what a Jaccard similarity of 0.78 gives on
-    average, which finds nearly all pairs of 0.8 and more. Rows without an id stay unless linked to one with an id.
+    Rows of one text and id stay or go together. A row without an id stays unless it is linked to one with an id.
     """
-    found = near_duplicates(docs, words=words, bits=bits, budget=budget, parts=parts)
-    gone = found.where("doc_id IS NULL OR doc_id != component_id").where("component_id IS NOT NULL")
-    gone = gone.select(F.col("doc_id").alias("gone")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("doc"))
-    return rows.join(gone, F.col("id").eqNullSafe(F.col("gone")), "left_anti").select("doc.*")
+    found = similar_documents(docs, words=words, similarity=similarity)
+    gone = found.where("component_id IS NOT NULL AND (doc_id IS NULL OR doc_id != component_id)")
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), mark.alias("mark"), F.struct("*").alias("doc"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    return rows.join(_few(gone), same, "left_anti").select("doc.*")

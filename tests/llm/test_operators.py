@@ -306,18 +306,43 @@ def test_near_copies_go_and_others_stay(documents):
             rows.append((len(rows), " ".join(w if rng.random() > 0.015 * copy else "other" for w in own)))
     kept = {r.doc_id for r in simhash.without_near_duplicates(documents(rows)).collect()}
     five = {k: {tuple(t.split()[i : i + 5]) for i in range(396)} for k, t in rows}
-    close = [(a, b) for a in five for b in five if a < b and groups[a] == groups[b] and jaccard(five[a], five[b]) >= 0.85]
+    close = [(a, b) for a in five for b in five if a < b and groups[a] == groups[b] and jaccard(five[a], five[b]) >= 0.8]
     root = union_find(five, close)
-    for group in {root[k] for k in five}:
-        assert sum(root[k] == group for k in kept) <= 1
-    assert {groups[k] for k in kept} == set(range(30))
+    assert len(close) > 20 and kept == set(root.values())
+
+
+@pytest.mark.parametrize("split", [None, 4])
+def test_similar_sets_by_brute_force(monkeypatch, split):
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    rng = np.random.default_rng(17)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(0, 25))).astype(np.uint64) for _ in range(10)]
+    sets += [sets[0], sets[0][1:]]
+    got = set(zip(*(x.tolist() for x in simhash.alike(sets, 0.5, split)), strict=True))
+    want = {
+        (i, j)
+        for i, a in enumerate(sets)
+        for j, b in enumerate(sets)
+        if i < j and (split is None or i < split <= j) and len(a) + len(b) and jaccard(set(a.tolist()), set(b.tolist())) >= 0.5
+    }
+    assert got == want
+
+
+def test_a_large_group_is_compared_in_chunks(documents, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 6)
+    rng = random.Random(18)
+    own = words(rng, 200).split()
+    rows = [(k, " ".join([*own[:k], f"new{k}", *own[k + 1 :]])) for k in range(0, 200, 5)] + [(1000, words(rng, 200))]
+    kept = {r.doc_id for r in simhash.without_near_duplicates(documents(rows)).collect()}
+    assert kept == {0, 1000}
 
 
 def test_near_copies_in_odd_tables(odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.without_near_duplicates(nothing).count() == 0
     kept = simhash.without_near_duplicates(odd)
     assert kept.columns == odd.columns
-    assert {r.doc_id for r in kept.collect()} == {0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 30, 40, 41, 42}
+    # texts without words are alike to none; of the rows without an id the one with prose goes
+    ids = sorted((r.doc_id for r in kept.collect()), key=str)
+    assert ids == sorted([0, 1, 2, 3, 3, 3, 4, 5, 6, 7, 8, 9, 10, 11, 30, 31, 32, 40, 41, 42, None], key=str)
 
 
 # ── 6 personal data ───────────────────────────────────────────────────────────

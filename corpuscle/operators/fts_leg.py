@@ -20,10 +20,8 @@ UNIT = 0.2
 DIGITS = 9  # scores are compared after rounding, so the order of a sum never decides a rank
 
 
-def search_rows(chunks: DataFrame) -> DataFrame:
-    """One row per chunk, its search vector: snapshot_id, chunk_id, terms (its words in order, from field to field) and
-    weights (of each, in fifths). Worth storing with the chunks; nothing shuffles.
-    """
+def search_vector() -> tuple[Column, Column]:
+    """A chunk's words in order, from field to field, and the weight of each in fifths."""
     def terms(field: str) -> Column:
         return tx.index_terms(F.coalesce(F.col(field), F.lit("")))
 
@@ -32,6 +30,14 @@ def search_rows(chunks: DataFrame) -> DataFrame:
 
     words = F.concat(*[terms(field) for field in WEIGHTS])
     weights = F.concat(*[weights_of(field) for field in WEIGHTS])
+    return words, weights
+
+
+def search_rows(chunks: DataFrame) -> DataFrame:
+    """One row per chunk, its search vector: snapshot_id, chunk_id, terms and weights; stored ones are read as they are."""
+    if "terms" in chunks.columns:
+        return chunks.select("snapshot_id", "chunk_id", "terms", "weights")
+    words, weights = search_vector()
     return chunks.select("snapshot_id", "chunk_id", words.alias("terms"), weights.alias("weights"))
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from corpuscle.operators import embeddings as em
 from corpuscle.operators.chunks import chunk_files
+from corpuscle.operators.fts_leg import search_vector
 from corpuscle.operators.lines import file_key
 from corpuscle.operators.symbols import python_symbols
 from corpuscle.sources.files import classify_files, route_files, utf8_gate
+from corpuscle.sources.tables import write_index
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,17 @@ def build_index(files: DataFrame, parsed: DataFrame | None = None) -> Index:
     return Index(recorded, symbols, chunks)
 
 
+def searchable(chunks: DataFrame) -> DataFrame:
+    """Chunks with their search vectors (`terms`, `weights`), so that searches need not split texts again."""
+    search = search_vector()
+    return chunks.withColumns({"terms": search[0], "weights": search[1]})
+
+
+def store_index(index: Index, path: str) -> None:
+    """Write an index's files and searchable chunks under `path`, by repo and snapshot."""
+    write_index(index.files, searchable(index.chunks), path)
+
+
 def embed_pending(
     chunks: DataFrame, embeddings: DataFrame, embedder: em.Embedder, model: str
 ) -> DataFrame:

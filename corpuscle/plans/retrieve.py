@@ -56,9 +56,9 @@ def search_symbols(plans: DataFrame, chunks: DataFrame) -> tuple[DataFrame, Data
 def search_texts(plans: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all-words hits, any-word hits) of the full-text leg, from the chunks' search vectors: stored ones when the chunks
     have them (`terms`, `weights`), else made once here."""
-    search = chunks.select("snapshot_id", "chunk_id", "terms", "weights") if "terms" in chunks.columns else (
-        stored(fts_leg.search_rows(chunks), "search-rows")
-    )
+    search = fts_leg.search_rows(chunks)
+    if "terms" not in chunks.columns:
+        search = stored(search, "search-rows")
     and_hits = stored(fts_leg.fts_and(plans, search), "fts-and")
     return and_hits, stored(fts_leg.fts_or(plans, and_hits, search), "fts-or")
 

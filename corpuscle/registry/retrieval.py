@@ -9,10 +9,11 @@ from corpuscle.operators import fusion as fu
 from corpuscle.operators import symbol_leg as sl
 from corpuscle.operators import vector_leg as vl
 from corpuscle.plans import retrieve as rt
+from corpuscle.plans.index import searchable
 from corpuscle.registry import adapters as ad
 from corpuscle.registry.adapters import MODEL, split_sql, terms_sql
 from corpuscle.registry.sql import select, view
-from corpuscle.sources.tables import stored, work_path
+from corpuscle.sources.tables import stored, work_path, write_partitioned
 
 # ── Symbol leg ────────────────────────────────────────────────────────────────
 
@@ -195,9 +196,21 @@ def symbol_parts(spark: SparkSession, sf: str) -> DataFrame:
     return fu.symbol_parts(hits, chunks).select("query_id", "hit_chunk_id", "chunk_id", "part")
 
 
+def stored_retrieve(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship over chunks that an index job stored with their search vectors, by snapshot."""
+    out = work_path(spark, "searchable")
+    write_partitioned(searchable(ad.corpus(spark, sf)), out, "snapshot_id")
+    chunks = spark.read.parquet(out).withColumn("snapshot_id", F.col("snapshot_id").cast("bigint"))
+    return shown_hits(spark, sf, chunks)
+
+
 def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: every plan through the three legs to its shown hits and verdict."""
-    chunks = ad.corpus(spark, sf)
+    return shown_hits(spark, sf, ad.corpus(spark, sf))
+
+
+def shown_hits(spark: SparkSession, sf: str, chunks: DataFrame) -> DataFrame:
+    """Hits and verdicts of all plans on some chunks."""
     found = rt.hybrid_retrieve(
         ad.plans(spark, sf), chunks, ad.vectors(spark, sf), ad.query_vectors(spark, sf), MODEL
     )
@@ -229,6 +242,7 @@ QUERIES = {
     "relevance_floor": relevance_floor,
     "symbol_parts": symbol_parts,
     "hybrid_retrieve": hybrid_retrieve,
+    "stored_retrieve": stored_retrieve,
 }
 
 # ── Reference SQL ─────────────────────────────────────────────────────────────
@@ -544,3 +558,4 @@ FROM ({shown_sql('v_collapsed_full')}) JOIN ({floor_sql(0.25)}) USING (query_id)
 """
     ),
 }
+ORACLES["stored_retrieve"] = ORACLES["hybrid_retrieve"]

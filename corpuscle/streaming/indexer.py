@@ -8,10 +8,9 @@ from corpuscle.operators import embeddings as em
 from corpuscle.plans.index import build_index
 from corpuscle.sources.tables import write_partitioned
 
-BATCH_FILES = 50  # fixed value: files per commit
+BATCH_FILES = 50  # Parquet files, each a table of source files, per commit
 FILE_SCHEMA = "repo string, snapshot_id bigint, path string, size_bytes bigint, content binary"
 VECTOR_SCHEMA = "content_hash string, model string, embedding array<float>, batch int"
-CHUNK_KEY = ("path", "kind", "qualname", "start_line", "part")
 
 
 def stream_index(
@@ -27,8 +26,8 @@ def stream_index(
     """Index file tables that land under `in_path` (Parquet with FILE_SCHEMA), as one stream.
 
     Each micro-batch overwrites its own `batch` partition of files, chunks and embeddings, so a
-    batch that is replayed after a lost driver or executor leaves the same rows. The vectors of
-    earlier batches are read back to embed new hashes only.
+    batch that is replayed after a lost driver or executor leaves the same rows. The hashes of
+    earlier vectors (that column alone) are read back to embed new ones only.
     """
     embed = embedder or em.hashed_token_vectors()
 
@@ -40,10 +39,10 @@ def stream_index(
         write_partitioned(index.chunks.select("*", stamp), f"{out_path}/chunks", "batch")
         stored = session.read.schema(index.chunks.select("*", stamp).schema)
         chunks = stored.parquet(f"{out_path}/chunks").filter(F.col("batch") == batch_id)
-        keyed = chunks.withColumn("chunk_id", F.xxhash64("snapshot_id", *CHUNK_KEY))
         known = _earlier(session, f"{out_path}/embeddings", batch_id)
-        pending, _ = em.pending_embeddings(keyed, known, model)
-        fresh = em.embed_documents(em.hash_texts(keyed, pending), embed, model)
+        known = known.join(chunks.select("content_hash").distinct(), "content_hash", "left_semi")
+        pending, _ = em.pending_embeddings(chunks, known, model)
+        fresh = em.embed_documents(em.hash_texts(chunks, pending), embed, model)
         write_partitioned(fresh.select("*", stamp), f"{out_path}/embeddings", "batch")
 
     return (

@@ -11,6 +11,7 @@ from corpuscle.operators import fts_leg as fts
 from corpuscle.operators import fusion as fu
 from corpuscle.operators import symbol_leg as sl
 from corpuscle.operators import vector_leg as vl
+from corpuscle.plans import index
 from corpuscle.plans import retrieve as rt
 
 CHUNK = (
@@ -311,6 +312,20 @@ def test_hybrid_retrieval_without_vectors(spark):
     assert {r.query_id: r.no_relevant_sources for r in found.floor.collect()} == {1: False, 2: True}
 
 
+def test_what_the_index_job_stores_can_be_searched(spark, tmp_path):
+    files = spark.createDataFrame(
+        [("r", 1, "shop.py", "class Item:\n    def label(self):\n        return price\n"), ("r", 1, "tests.py", "def test_label():\n    pass\n"), ("s", 2, "shop.py", "class Item:\n    pass\n")],
+        "repo string, snapshot_id bigint, path string, text string",
+    ).select("repo", "snapshot_id", "path", F.octet_length("text").cast("bigint").alias("size_bytes"), F.encode("text", "utf-8").alias("content"))
+    index.store_index(index.build_index(files), str(tmp_path))
+    chunks = spark.read.parquet(str(tmp_path / "chunks")).withColumn("snapshot_id", F.col("snapshot_id").cast("bigint"))
+    asked = plans(spark, [(1, 1, "label price", ["Item.label"]), (2, 2, "Item", ["Item"])])
+    shown = rt.hybrid_retrieve(asked, chunks, None, None, "m").hits.join(chunks.select("chunk_id", "qualname", "repo"), "chunk_id")
+    first = {r.query_id: (r.repo, r.qualname) for r in shown.filter("rank = 1").collect()}
+    assert first == {1: ("r", "shop.Item.label"), 2: ("s", "shop.Item")}
+    assert {r.repo for r in shown.filter("query_id = 2").collect()} == {"s"}
+
+
 def test_symbol_parts_match_null_names(spark):
     rows = corpus(spark, [(1, i, "R.md", None if i < 3 else "Use", None, i, "t") for i in range(1, 5)])
     rows = rows.withColumn("part", F.lit(1))

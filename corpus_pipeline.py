@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) of every document, and digests of them and of their decoding."""
     path = tokenizer_file("word_bpe_49k.json")
-    found = bpe.decode(bpe.encode(docs, path), path)
+    found = bpe.encode(docs, path, decoded=True)
     digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
     return found.select("doc_id", "n_tokens", "ids", *digests)
 

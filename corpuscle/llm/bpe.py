@@ -5,7 +5,6 @@ published as a file and memory-mapped by the workers. Words it does not hold are
 the lexicon holds changes the speed and nothing else.
 """
 
-import gc
 import itertools
 import json
 import re
@@ -22,7 +21,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from corpuscle.llm.counting import frequent, stored_counts
 from corpuscle.llm.lexicon import Lexicon, compile_lexicon
-from corpuscle.llm.words import text_slices
+from corpuscle.llm.words import text_slices, without_collector
 from corpuscle.sources.tables import work_path
 
 LEXICON_WORDS = 1 << 17  # bound on the words that are collected and compiled
@@ -195,28 +194,32 @@ class WordEncoder:
         return ids, ends[np.concatenate([[0], np.cumsum(sizes)])]
 
 
-def encode(docs: DataFrame, path: str, *, limit: int = LEXICON_WORDS) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, limit: int = LEXICON_WORDS, decoded: bool = False) -> DataFrame:
     """`doc_id, n_tokens, ids` for every row of `docs(doc_id, text)`: ids as little-endian unsigned 32-bit integers.
 
     Equal to the library's ids without added tokens, truncation or padding. A null or empty text has no ids. Rows are
-    kept as they are, repeated ids and null ids too; other columns are not read.
+    kept as they are, repeated ids and null ids too; other columns are not read. With `decoded` the ids are decoded where they
+    are made, as `decode` would, into `text`.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     name = publish_lexicon(texts.select("text"), path, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # many remembered words, and no cycles among them
-        encoder = WordEncoder(WordBPE(path), Lexicon.mapped(SparkFiles.get(name)))
-        for batch in batches:
-            for part in text_slices(batch):
-                ids, first = encoder.encode(part.column("text").to_pylist())
-                blob = pa.Array.from_buffers(
-                    pa.large_binary(), part.num_rows, [None, pa.py_buffer(first * 4), pa.py_buffer(ids.astype("<u4"))]
-                )
-                columns = [part.column("doc_id"), pa.array(np.diff(first)), blob.cast(pa.binary())]
-                yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids"])
-
-    return texts.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+        with without_collector():
+            bpe = WordBPE(path)
+            encoder = WordEncoder(bpe, Lexicon.mapped(SparkFiles.get(name)))
+            for batch in batches:
+                for part in text_slices(batch):
+                    ids, first = encoder.encode(part.column("text").to_pylist())
+                    blob = pa.Array.from_buffers(
+                        pa.large_binary(), part.num_rows, [None, pa.py_buffer(first * 4), pa.py_buffer(ids.astype("<u4"))]
+                    )
+                    columns = [part.column("doc_id"), pa.array(np.diff(first)), blob.cast(pa.binary())]
+                    if decoded:
+                        columns.append(bpe.texts(ids, first).cast(pa.string()))
+                    yield pa.record_batch(columns, ["doc_id", "n_tokens", "ids", "text"][: len(columns)])
+
+    return texts.mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

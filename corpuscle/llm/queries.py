@@ -94,7 +94,7 @@ def op3_ngram_lm(spark: SparkSession, sf: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of the ids of every document and of their decoding."""
     path = tokenizer_file("word_bpe_49k.json")
-    found = bpe.decode(bpe.encode(_table(spark, sf, "documents"), path), path)
+    found = bpe.encode(_table(spark, sf, "documents"), path, decoded=True)
     digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
     return found.select("doc_id", "n_tokens", *digests)
 

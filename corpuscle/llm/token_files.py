@@ -4,7 +4,6 @@ A file set is a Parquet folder, so any store that Spark writes will do: one fold
 with a block of ids (`simple8b`), the documents it holds with their lengths, and how many ids of its range come before it.
 """
 
-import gc
 import itertools
 import re
 import sys
@@ -22,7 +21,7 @@ from tokenizers.models import BPE
 
 from corpuscle.llm.bpe import byte_letters
 from corpuscle.llm.simple8b import decode_block, encode_block
-from corpuscle.llm.words import text_slices
+from corpuscle.llm.words import text_slices, without_collector
 
 END_ID = 2
 BLOCK_IDS = 1 << 18  # a block is closed once it holds so many ids; documents are not split
@@ -110,7 +109,10 @@ def encode_ids(docs: DataFrame, path: str, end_id: int = END_ID, cuts: np.ndarra
     edges = np.zeros(0, np.int64) if cuts is None else cuts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # a million remembered pieces, and no cycles among them
+        with without_collector():
+            yield from encoded(batches)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(path)
         end = np.array([end_id], bpe.dtype).tobytes()
         for batch in batches:

@@ -4,14 +4,16 @@ A word is a run of bytes other than `[\\x20\\x09-\\x0D]`. Texts are read in slic
 depends on the longest text and not on the number of rows in a batch.
 """
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20  # texts handled together; one longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # texts handled together; one longer text is a slice of its own
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -96,6 +98,18 @@ def split_words(texts: pa.Array, *, lower: bool = True) -> Words:
     return Words(out, ends - lengths, ends, np.searchsorted(begins, at), begins)
 
 
+@contextmanager
+def without_collector() -> Iterator[None]:
+    """Python's garbage collector rests while a task holds a million small objects without cycles; workers are reused, so it
+    is switched on again and what is left goes."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+        gc.collect()
+
+
 # ── Hashes ────────────────────────────────────────────────────────────────────
 
 _P1, _P2, _P3, _P4, _P5 = (

@@ -235,6 +235,8 @@ def test_ids_and_texts_equal_the_library(documents, odd_rows):
             ids = library.encode(t or "", add_special_tokens=False).ids
             want.append((k, len(ids), np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False)))
         assert found == sorted(want, key=str)
+    both = bpe.encode(documents(rows), WORD_FILE, decoded=True).collect()
+    assert sorted(((r.doc_id, r.n_tokens, bytes(r.ids), r.text) for r in both), key=str) == found
 
 
 def test_nothing_to_encode(nothing, odd):

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from corpuscle.operators import evaluation as ev
 from corpuscle.operators import querylog as ql
+from corpuscle.plans.evaluate import Evaluation, evaluate
 from corpuscle.registry import adapters as ad
 from corpuscle.registry import retrieval as rr
-from corpuscle.registry.adapters import table
+from corpuscle.registry.adapters import MODEL, table
 from corpuscle.registry.sql import select, view
 from corpuscle.sources import tables
 from corpuscle.sources.tables import stored
@@ -223,15 +224,20 @@ def absent_targets(spark: SparkSession, sf: str) -> DataFrame:
     return ev.absent_targets(cases(spark, sf), ad.corpus(spark, sf))
 
 
-def outcomes(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
-    """Outcomes of the cases by their hits; some failed, some were skipped."""
-    given = cases(spark, sf)
-    answers = given.select(
+def answers_of(given: DataFrame) -> DataFrame:
+    """What became of each case's answer: some failed, some were skipped."""
+    return given.select(
         "case_id",
         F.expr("case_id % 13 = 7").alias("failed"),
         F.expr("CASE WHEN expect_path IS NULL THEN case_id % 2 = 1 END").alias("not_found"),
         F.expr("case_id % 11 = 3").alias("skipped"),
     )
+
+
+def outcomes(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
+    """Outcomes of the cases by their hits."""
+    given = cases(spark, sf)
+    answers = answers_of(given)
     absent = ev.absent_targets(given, ad.corpus(spark, sf))
     ranked = ev.rank_at_k(ev.match_expected(hits, given))
     return ev.case_outcomes(given, ranked, absent, answers)
@@ -260,7 +266,31 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eval_report(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ev.eval_report(results(spark, sf))
+    return rounded(ev.eval_report(results(spark, sf)))
+
+
+def hybrid_run(spark: SparkSession, sf: str) -> Evaluation:
+    """The cases through hybrid retrieval, as two runs."""
+    given = stored(cases(spark, sf), "cases")
+    spent = ql.cost_usd(log(spark, sf)).select(
+        F.expr("id % 2").alias("run_id"), F.col("id").alias("case_id"), F.col("timings.total_ms").alias("ms"), "usd"
+    )
+    return evaluate(
+        given, ad.plans(spark, sf), ad.corpus(spark, sf), ad.vectors(spark, sf), ad.query_vectors(spark, sf), MODEL,
+        answers_of(given), spent,
+    )
+
+
+def hybrid_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return hybrid_run(spark, sf).outcomes
+
+
+def hybrid_report(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(hybrid_run(spark, sf).report)
+
+
+def rounded(rows: DataFrame) -> DataFrame:
+    """A report with sums and means to six places."""
     for name in ("total_usd", "median_usd", "lowest_cosine"):
         rows = rows.withColumn(name, F.round(name, 6))
     return rows
@@ -316,6 +346,8 @@ QUERIES = {
     "absent_targets": absent_targets,
     "case_outcomes": case_outcomes,
     "eval_report": eval_report,
+    "hybrid_outcomes": hybrid_outcomes,
+    "hybrid_report": hybrid_report,
     "floor_calibration": floor_calibration,
     "paired_compare": paired_compare,
     "stream_index": stream_index,
@@ -369,9 +401,48 @@ LEFT JOIN (SELECT id AS case_id, ms, usd FROM v_costs) USING (case_id)
 """,
 )
 
+view(
+    "v_hybrid_ranks",
+    f"""
+SELECT query_id AS case_id, min(rank) AS rank, arg_min(tier, rank) AS tier
+FROM ({rr.shown_sql("v_collapsed_full")}) JOIN v_cases ON case_id = query_id AND expect_path = path
+WHERE coalesce({_TARGET}, false) AND rank <= 5 GROUP BY 1
+""",
+)
+view(
+    "v_hybrid_outcomes",
+    """
+SELECT o.case_id, o.expect_path, h.rank, h.tier, CASE WHEN o.outcome NOT IN ('hit', 'miss', 'absent') THEN o.outcome
+  WHEN h.rank IS NOT NULL THEN 'hit' WHEN o.case_id IN (SELECT case_id FROM v_absent) THEN 'absent' ELSE 'miss' END AS outcome
+FROM v_outcomes o LEFT JOIN v_hybrid_ranks h USING (case_id)
+""",
+)
+view(
+    "v_hybrid_results",
+    """
+SELECT o.case_id, o.expect_path, o.outcome, r.cosine, r.ms, r.usd, r.run_id
+FROM v_hybrid_outcomes o JOIN v_results r USING (case_id)
+""",
+)
+
 _SCORED = "expect_path IS NOT NULL AND outcome <> 'skipped'"
 _NULL = "expect_path IS NULL AND outcome <> 'skipped'"
 
+def report_sql(results: str) -> str:
+    """SQL for the report over results."""
+    return f"""
+SELECT run_id, count(*) FILTER ({_SCORED} AND outcome = 'hit') AS hits, count(*) FILTER ({_SCORED})
+  AS scored, count(*) FILTER ({_SCORED} AND outcome = 'absent') AS absent,
+  count(*) FILTER ({_NULL} AND outcome = 'not_found') AS not_found, count(*) FILTER ({_NULL})
+  AS null_cases, round(sum(CASE WHEN ({_SCORED}) OR outcome = 'skipped' THEN usd ELSE 0 END), 6) AS total_usd,
+  median(ms) FILTER ({_SCORED} AND outcome <> 'error') AS median_ms,
+  round(median(usd) FILTER ({_SCORED} AND outcome <> 'error'), 6) AS median_usd,
+  round(min(cosine) FILTER ({_SCORED} AND outcome = 'hit'), 6) AS lowest_cosine,
+  (arg_min(case_id, (cosine, case_id)) FILTER ({_SCORED} AND outcome = 'hit')) AS lowest_case
+FROM {results} GROUP BY run_id
+"""
+
+
 ORACLES = {
     "log_queries": select("SELECT id, request_id, repo_id, answer, ms AS total_ms FROM v_log"),
     "apply_feedback": select(
@@ -434,19 +505,9 @@ SELECT stage, count(*) AS n, round(avg(v), 6) AS mean_ms, max(v) AS max_ms, medi
     "rank_at_k": select("SELECT case_id, rank, 'vector' AS tier FROM v_ranks"),
     "absent_targets": select("SELECT case_id FROM v_absent"),
     "case_outcomes": select("SELECT * FROM v_outcomes"),
-    "eval_report": select(
-        f"""
-SELECT run_id, count(*) FILTER ({_SCORED} AND outcome = 'hit') AS hits, count(*) FILTER ({_SCORED})
-  AS scored, count(*) FILTER ({_SCORED} AND outcome = 'absent') AS absent,
-  count(*) FILTER ({_NULL} AND outcome = 'not_found') AS not_found, count(*) FILTER ({_NULL})
-  AS null_cases, round(sum(CASE WHEN ({_SCORED}) OR outcome = 'skipped' THEN usd ELSE 0 END), 6) AS total_usd,
-  median(ms) FILTER ({_SCORED} AND outcome <> 'error') AS median_ms,
-  round(median(usd) FILTER ({_SCORED} AND outcome <> 'error'), 6) AS median_usd,
-  round(min(cosine) FILTER ({_SCORED} AND outcome = 'hit'), 6) AS lowest_cosine,
-  (arg_min(case_id, (cosine, case_id)) FILTER ({_SCORED} AND outcome = 'hit')) AS lowest_case
-FROM v_results GROUP BY run_id
-"""
-    ),
+    "hybrid_outcomes": select("SELECT case_id, expect_path, outcome, rank, tier FROM v_hybrid_outcomes"),
+    "eval_report": select(report_sql("v_results")),
+    "hybrid_report": select(report_sql("v_hybrid_results")),
     "floor_calibration": select(
         f"""
 SELECT threshold, count(*) FILTER (outcome = 'hit') AS hits,

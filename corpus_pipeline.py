@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import bpe, mixing, naming, quality, simhash
 from corpuscle.llm.queries import tokenizer_file
+from corpuscle.llm.words import small_batches
 from corpuscle.sources.tables import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,6 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.5 or more."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.scores(docs, labels).where("score >= 0.5").select("doc.*")
 
@@ -29,6 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id in each group linked by a similarity of 0.8 or more of its sets of five-word shingles."""
+    small_batches(spark)
     return simhash.without_near_duplicates(docs)
 
 
@@ -39,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) of every document, and digests of them and of their decoding."""
+    small_batches(spark)
     path = tokenizer_file("word_bpe_49k.json")
     found = bpe.encode(docs, path, decoded=True)
     digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")

@@ -5,7 +5,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import binary_codes, bpe, crf, licences, mixing, naming, ngram_lm, private_data, quality, simhash, token_files
+from corpuscle.llm import (
+    binary_codes,
+    bpe,
+    crf,
+    licences,
+    mixing,
+    naming,
+    ngram_lm,
+    private_data,
+    quality,
+    simhash,
+    token_files,
+)
+from corpuscle.llm.words import small_batches
 from corpuscle.sources.tables import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +32,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

@@ -23,6 +23,7 @@ from corpuscle.sources.tables import stored
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)  # little-endian bits of a byte
 DIRECT = 64  # node pairs with at most so many pairs below them are compared outright
 PIECE = 1 << 18  # node pairs or pairs handled at a time
+LARGE = 20_000  # fingerprints that agree in a part; more than that meet in chunks of so many
 
 
 # ── Fingerprints ──────────────────────────────────────────────────────────────
@@ -194,18 +195,36 @@ def _codes(column: pa.Array, bits: int) -> np.ndarray:
     return np.frombuffer(data, "<u8").reshape(-1, bits // 64)
 
 
+FEW = 500_000  # rows of ids that are given to every task rather than shuffled with the texts
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers each, to be broadcast when there are no more than `FEW`."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def fingerprint_links(classes: DataFrame, *, bits: int, budget: int, parts: int, partitions: int) -> DataFrame:
     """Links `a, b` that connect the distinct fingerprints `node long, code binary` as all pairs within the budget would.
 
-    Exact when `parts > budget`. With fewer parts a pair is found when one of its parts agrees.
+    Exact when `parts > budget`. With fewer parts a pair is found when one of its parts agrees. Where more than `LARGE` fingerprints
+    agree in a part, chunks of them meet pair by pair, in tasks of their own.
     """
 
+    def keys(batch: pa.RecordBatch) -> Iterator[pa.Array]:
+        codes = _codes(batch.column("code"), bits)
+        for k, (first, width) in enumerate(_part_edges(bits, parts)):
+            yield pa.array((np.int64(k) << np.int64(32)) | _bit_range(codes, first, width).astype(np.int64))
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = _codes(batch.column("code"), bits)
-            for k, (first, width) in enumerate(_part_edges(bits, parts)):
-                key = (np.int64(k) << np.int64(32)) | _bit_range(codes, first, width).astype(np.int64)
-                yield pa.record_batch([pa.array(key), batch.column("node"), batch.column("code")], ["part", "node", "code"])
+            for key in keys(batch):
+                yield pa.record_batch([key, batch.column("node"), batch.column("code")], ["part", "node", "code"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key in keys(batch):
+                part, n = np.unique(key.to_numpy(), return_counts=True)
+                yield pa.record_batch([pa.array(part), pa.array(n)], ["part", "n"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -232,7 +251,18 @@ def fingerprint_links(classes: DataFrame, *, bits: int, budget: int, parts: int,
         a, b = trie_links(part[order], codes[order], budget)
         return pa.record_batch([pa.array(node[order][a]), pa.array(node[order][b])], ["a", "b"])
 
+    sizes = classes.select("code").mapInArrow(count, "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    large = stored(sizes.where(F.col("n") > LARGE), "large-parts")
     placed = classes.select("node", "code").mapInArrow(place, "part long, node long, code binary")
+    if not large.isEmpty():
+        joined = placed.join(_few(large), "part", "left")
+        chunks = F.coalesce(F.ceil(F.col("n") / LARGE), F.lit(1)).cast("int")
+        joined = joined.withColumn("chunks", chunks)
+        joined = joined.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        joined = joined.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        # keys of two groups that happen to be equal make one group, which only compares more
+        pair = F.xxhash64("part", F.least("chunk", "other"), F.greatest("chunk", "other"))
+        placed = joined.select(F.when(F.col("chunks") == 1, F.col("part")).otherwise(pair).alias("part"), "node", "code")
     return (
         placed.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(link, "a long, b long").distinct()
     )
@@ -260,12 +290,6 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = 64, budget:
 
 CHUNK = 512  # texts of a component that are compared with as many at a time
 COLUMNS = 8_192  # shingles counted in one matrix product
-FEW = 500_000  # rows of ids that are given to every task rather than shuffled with the texts
-
-
-def _few(rows: DataFrame) -> DataFrame:
-    """Rows of a few numbers each, to be broadcast when there are no more than `FEW`."""
-    return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
 def alike(sets: list[np.ndarray], least: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
+BATCH_LIMITS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 2_000,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20,
+}
 SLICE_BYTES = 1 << 20  # texts handled together; one longer text is a slice of its own
 
 _SPACE = np.zeros(256, bool)
@@ -98,6 +103,17 @@ def split_words(texts: pa.Array, *, lower: bool = True) -> Words:
     return Words(out, ends - lengths, ends, np.searchsorted(begins, at), begins)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to Python a few megabytes at a time, unless the session has set less.
+
+    By default a batch is ten thousand rows, whatever they weigh.
+    """
+    for name, most in BATCH_LIMITS.items():
+        now = int((spark.conf.get(name, "0") or "0").rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
 @contextmanager
 def without_collector() -> Iterator[None]:
     """Python's garbage collector rests while a task holds a million small objects without cycles; workers are reused, so it
@@ -108,6 +124,7 @@ def without_collector() -> Iterator[None]:
     finally:
         gc.enable()
         gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 # ── Hashes ────────────────────────────────────────────────────────────────────

@@ -280,6 +280,15 @@ def test_fingerprints_and_components_by_brute_force(spark, documents, odd, odd_r
     assert check_simhash(rows, documents(rows)) > 20
 
 
+def test_large_parts_meet_in_chunks(documents, odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", 2)
+    check_simhash(odd_rows, odd)
+    rng = random.Random(19)
+    own = words(rng, 400).split()
+    rows = [(k, " ".join([*own[:k], "new", *own[k + 1 :]])) for k in range(60)]
+    assert check_simhash(rows, documents(rows)) > 200
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_trie_finds_every_link(seed):
     rng = np.random.default_rng(seed)

@@ -109,7 +109,7 @@ def small_batches(spark: SparkSession) -> None:
     By default a batch is ten thousand rows, whatever they weigh.
     """
     for name, most in BATCH_LIMITS.items():
-        now = int((spark.conf.get(name, "0") or "0").rstrip("b"))
+        now = int(spark.conf.get(name).rstrip("b"))
         if not 0 < now <= most:
             spark.conf.set(name, str(most))
 

@@ -16,7 +16,7 @@ def local_session(cores: int | str = 8, *, name: str = "corpuscle") -> SparkSess
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
     local = {
         "spark.sql.shuffle.partitions": "8",
-        "spark.driver.memory": "16g",
+        "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }

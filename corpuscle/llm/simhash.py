@@ -29,12 +29,21 @@ LARGE = 20_000  # fingerprints that agree in a part; more than that meet in chun
 # ── Fingerprints ──────────────────────────────────────────────────────────────
 
 
-def fingerprint_words(texts: pa.Array, words: int, bits: int) -> np.ndarray:
-    """One row of `bits / 64` unsigned words per text: bit set when over half of the shingle hashes have it."""
+def fingerprint_words(texts: pa.Array, words: int, bits: int, *, once: bool = False) -> np.ndarray:
+    """One row of `bits / 64` unsigned words per text: bit set when over half of the shingle hashes have it.
+
+    A repeated shingle votes each time, or with `once` a single time.
+    """
     split = split_words(texts)
     start, end, doc = shingles(split, words)
     base = xxh64(split.data, start, end)
     docs = len(split.first) - 1
+    if once:
+        order = np.lexsort([base, doc])
+        base, doc = base[order], doc[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (base[1:] != base[:-1]) | (doc[1:] != doc[:-1])
+        base, doc = base[new], doc[new]
     total = np.bincount(doc, minlength=docs)[:, None]
     out = np.zeros((docs, bits // 64), np.uint64)
     for k in range(bits // 64):
@@ -48,16 +57,17 @@ def fingerprint_words(texts: pa.Array, words: int, bits: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, *, words: int = 4, bits: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, *, words: int = 4, bits: int = 64, once: bool = False) -> DataFrame:
     """`doc_id, mark, code` for every document: a hash of its text, and the fingerprint as bytes, least significant first.
 
-    A text of fewer words is one shingle; a null or empty text has the fingerprint zero. `bits` is a multiple of 64.
+    A text of fewer words is one shingle; a null or empty text has the fingerprint zero. `bits` is a multiple of 64. With `once`
+    a shingle that a text repeats votes a single time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                rows = fingerprint_words(part.column("text"), words, bits).astype("<u8")
+                rows = fingerprint_words(part.column("text"), words, bits, once=once).astype("<u8")
                 data = pa.py_buffer(np.ascontiguousarray(rows))
                 codes = pa.Array.from_buffers(pa.binary(bits // 8), len(rows), [None, data]).cast(pa.binary())
                 yield pa.record_batch([part.column("doc_id"), part.column("mark"), codes], ["doc_id", "mark", "code"])
@@ -268,14 +278,17 @@ def fingerprint_links(classes: DataFrame, *, bits: int, budget: int, parts: int,
     )
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 4, bits: int = 64, budget: int = 4, parts: int = 5) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, *, words: int = 4, bits: int = 64, budget: int = 4, parts: int = 5, once: bool = False
+) -> DataFrame:
     """`doc_id, mark, code, component, component_id` for every document.
 
     component_id is the smallest doc_id that links reach (null ids aside; null when all of them are). Rows of one
-    fingerprint, whatever their ids, are one class; a repeated row gives a row each time. Other columns are not read.
+    fingerprint, whatever their ids, are one class; a repeated row gives a row each time. Other columns are not read. `once` as in
+    `fingerprints`.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    coded = stored(fingerprints(docs, words=words, bits=bits), "fingerprints")
+    coded = stored(fingerprints(docs, words=words, bits=bits, once=once), "fingerprints")
     classes = coded.groupBy("code").agg(F.min("doc_id").alias("least"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     links = fingerprint_links(classes, bits=bits, budget=budget, parts=parts, partitions=partitions)
@@ -330,7 +343,7 @@ def similar_documents(
     """
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark, F.col("text").cast("string").alias("text"))
-    near = near_duplicates(texts, words=words, bits=bits, budget=budget, parts=parts)
+    near = near_duplicates(texts, words=words, bits=bits, budget=budget, parts=parts, once=True)
     loose = near.select("doc_id", "mark", F.col("component").alias("group")).distinct()
     many = loose.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(loose.join(many, "group"), "members")

@@ -347,6 +347,18 @@ def test_a_large_group_is_compared_in_chunks(documents, monkeypatch):
     assert kept == {0, 1000}
 
 
+def test_repeated_lines_do_not_keep_near_copies_apart(documents):
+    rng = random.Random(20)
+    rows = []
+    for times in (5, 20, 100, 300):
+        own, line = words(rng, 200), words(rng, 12)
+        rows += [(len(rows), f"{own}\n{line}"), (len(rows) + 1, "\n".join([own, *[line] * times]))]
+    sets = [{tuple(lower(t).split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    assert all(jaccard(sets[k], sets[k + 1]) >= 0.9 for k in range(0, len(rows), 2))
+    kept = {r.doc_id for r in simhash.without_near_duplicates(documents(rows)).collect()}
+    assert kept == {k for k, _ in rows if k % 2 == 0}
+
+
 def test_near_copies_in_odd_tables(odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.without_near_duplicates(nothing).count() == 0
     kept = simhash.without_near_duplicates(odd)

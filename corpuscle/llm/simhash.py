@@ -213,6 +213,25 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows sorted by key as tables that hold all rows of each of their keys."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:  # everything before the last key's first row is complete
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < 50_000:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        values = table.column(key).to_numpy()
+        cut = int(np.searchsorted(values, values[-1]))
+        if cut:
+            yield table.slice(0, cut)
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def fingerprint_links(classes: DataFrame, *, bits: int, budget: int, parts: int, partitions: int) -> DataFrame:
     """Links `a, b` that connect the distinct fingerprints `node long, code binary` as all pairs within the budget would.
 
@@ -237,21 +256,8 @@ def fingerprint_links(classes: DataFrame, *, bits: int, budget: int, parts: int,
                 yield pa.record_batch([pa.array(part), pa.array(n)], ["part", "n"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:  # sorted by part: everything before the last part's first row is complete
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 50_000:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            part = table.column("part").to_numpy()
-            cut = int(np.searchsorted(part, part[-1]))
-            if cut:
-                yield found(table.slice(0, cut))
-                held, rows = table.slice(cut).to_batches(), table.num_rows - cut
-        if rows:
-            yield found(pa.Table.from_batches(held).combine_chunks())
+        for table in _whole_groups(batches, "part"):
+            yield found(table)
 
     def found(table: pa.Table) -> pa.RecordBatch:
         part = table.column("part").to_numpy()
@@ -330,41 +336,191 @@ def alike(sets: list[np.ndarray], least: float, split: int | None = None) -> tup
     return a, b + split
 
 
+SAMPLE = 8_192  # texts, about, whose shingles tell which ones are common
+COMMON = 1 << 17  # common shingles that are kept, by count
+HOT = 20_000  # texts that a common shingle is thought to be in; of more, chunks meet in tasks of their own
+
+
+def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, sorted, on end; and where each text's begin (one more entry at the end)."""
+    split = split_words(texts)
+    start, end, doc = shingles(split, words)
+    hashes = xxh64(split.data, start, end)
+    order = np.lexsort([hashes, doc])
+    hashes, doc = hashes[order], doc[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
+
+
+def rare_shingles(
+    hashes: np.ndarray, cuts: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first shingles of each text in one order of all shingles, rare ones first: so many that texts with a Jaccard
+    similarity of `least` share one. Gives hash, text, place in the order, distinct shingles of the text, and count if common.
+
+    Such texts share `least` times the larger set or more, so what they share is not all among what comes after. `common` is sorted
+    and only sets the order.
+    """
+    size = np.diff(cuts)
+    doc = np.repeat(np.arange(len(size)), size)
+    count = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        count = np.where(common[at] == hashes, counts[at], 0)
+    order = np.lexsort([hashes, count, doc])
+    place = np.arange(len(hashes)) - cuts[:-1][doc]
+    first = place < (size - np.ceil(least * size - 1e-6) + 1)[doc]
+    order = order[first]
+    return hashes[order], doc[first], place[first], size[doc[first]], count[order]
+
+
+def pairs_sharing(
+    key: np.ndarray, node: np.ndarray, group: np.ndarray, place: np.ndarray, size: np.ndarray, least: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of equal key that may have a Jaccard similarity of `least`, by sizes and places; none inside a group >= 0."""
+    order = np.lexsort([node, size, key])
+    key, node, group, place, size = (x[order] for x in (key, node, group, place, size))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])  # a repeated row is one
+    key, node, group, place, size = (x[new] for x in (key, node, group, place, size))
+    rank = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) << 32
+    last = np.searchsorted(rank + size, rank + np.floor(size / least + 1e-6).astype(np.int64), side="right")
+    each = last - np.arange(len(key)) - 1
+    sums = np.cumsum(each)
+    first = 0
+    while first < len(each):
+        before = sums[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(sums, before + PIECE, side="right")))
+        n = each[first:end]
+        a = np.repeat(np.arange(first, end), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        most = np.minimum(place[a], place[b]) + np.minimum(size[a] - place[a], size[b] - place[b])
+        may = (most >= least / (1 + least) * (size[a] + size[b]) - 1e-6) & (node[a] != node[b])
+        may &= (group[a] != group[b]) | (group[a] < 0)
+        x, y = node[a[may]], node[b[may]]
+        if len(x):
+            yield np.minimum(x, y), np.maximum(x, y)
+        first = end
+
+
+def _common_shingles(texts: DataFrame, count: int, words: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles of more than one text of a sample, sorted, how many have them, and how many texts one of the sample stands for."""
+    step = max(1, count // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                yield pa.record_batch([pa.array(shingle_sets(part.column("text"), words)[0].view(np.int64))], ["shingle"])
+
+    sample = texts.where(F.pmod("mark", F.lit(step)) == 0).select("text").mapInArrow(run, "shingle long")
+    found = sample.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
+    hashes, counts = found.column("shingle").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order], step
+
+
+def pairs_by_shingles(texts: DataFrame, grouped: DataFrame, count: int, *, words: int, similarity: float) -> DataFrame:
+    """Pairs `a, b` of `mark` of `texts(mark, text)` that may have a Jaccard similarity of `similarity` or more: all that do, but for
+    pairs whose marks have the same group in `grouped(mark, group)`.
+    """
+    common = _common_shingles(texts, count, words)
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts, step = shared.value
+        for batch in batches:
+            for part in text_slices(batch):
+                sets = shingle_sets(part.column("text"), words)
+                hashes, doc, at, size, n = rare_shingles(*sets, common, counts, similarity)
+                mark, group = (part.column(c).to_numpy()[doc] for c in ("mark", "group"))
+                chunks = -(-n * step // HOT)
+                key, spot = hashes.copy(), (size << 32) | at
+                usual = chunks <= 1
+                columns = [(key[usual].view(np.int64), mark[usual], group[usual], spot[usual])]
+                for k in np.flatnonzero(~usual):  # keys of two chunks that happen to be equal only compare more
+                    own = mark[k] % chunks[k]
+                    other = np.arange(chunks[k])
+                    with np.errstate(over="ignore"):
+                        both = (np.minimum(own, other) * chunks[k] + np.maximum(own, other) + 1).astype(np.uint64)
+                        keys = mix64(hashes[k] + both * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                    columns.append((keys, *(np.full(len(keys), x[k]) for x in (mark, group, spot))))
+                rows = [pa.array(np.concatenate(x)) for x in zip(*columns, strict=True)]
+                yield pa.record_batch(rows, ["key", "node", "group", "spot"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, "key"):
+            key, node, group, spot = (table.column(c).to_numpy() for c in ("key", "node", "group", "spot"))
+            for a, b in pairs_sharing(key, node, group, spot & 0xFFFFFFFF, spot >> 32, similarity):
+                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    named = texts.join(_few(grouped.withColumnRenamed("mark", "_mark")), F.col("mark") == F.col("_mark"), "left")
+    named = named.select("mark", F.coalesce("group", F.lit(-1)).cast("long").alias("group"), "text")
+    rows = named.mapInArrow(place, "key long, node long, group long, spot long")
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(partitions, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(pair, "a long, b long").distinct()
+
+
+def verified_pairs(texts: DataFrame, pairs: DataFrame, *, words: int, similarity: float) -> DataFrame:
+    """The pairs `a, b` of marks whose texts have a Jaccard similarity of `similarity` or more."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                hashes, cuts = shingle_sets(part.column("text"), words)
+                sets = [hashes[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
+                yield pa.record_batch([part.column("mark"), pa.array(sets, pa.binary())], ["mark", "shingles"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("left", "right"))
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
+            union = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - both
+            keep = pa.array(both >= similarity * union - 1e-9)
+            yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    marks = pairs.select(F.col("a").alias("_mark")).union(pairs.select("b")).distinct()
+    chosen = texts.join(_few(marks), F.col("mark") == F.col("_mark"), "left_semi").select("mark", "text")
+    sets = chosen.mapInArrow(shingled, "mark long, shingles binary").dropDuplicates(["mark"])
+    sets = stored(sets, "pair-sets")
+    left = sets.select(F.col("mark").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("mark").alias("b"), F.col("shingles").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+
+
 def similar_documents(
     docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bits: int = 512, budget: int = 92, parts: int = 39
 ) -> DataFrame:
     """`doc_id, mark, component_id` for documents linked with another: components of texts whose sets of word shingles have
     a Jaccard similarity of `similarity` or more.
 
-    Fingerprints wide enough to tell similarities apart find what may be alike: 92 of 512 bits differ at a similarity of 0.77 on
-    average, and nearly all pairs of 0.8 are within. Inside each component of those, similarity is computed exactly, between chunks of
-    texts; a task gives a spanning forest of the links it finds. `mark` is a hash of the text; component_id is the least doc_id
-    that links reach, null when none has one. Texts without words are alike to none.
+    Fingerprints wide enough to tell similarities apart propose most of what is alike: 92 of 512 bits differ at a similarity of 0.77 on
+    average. Inside each component of those, similarity is computed exactly, between chunks of texts; a task gives a spanning forest of the
+    links it finds. Fingerprints miss some pairs, most of them short texts; so all texts are then joined on their rarest shingles, of which alike
+    texts share one, and pairs that are not linked yet are computed exactly too. `mark` is a hash of the text; component_id is the least
+    doc_id that links reach, null when none has one. Texts without words are alike to none.
     """
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark, F.col("text").cast("string").alias("text"))
     near = near_duplicates(texts, words=words, bits=bits, budget=budget, parts=parts, once=True)
     loose = near.select("doc_id", "mark", F.col("component").alias("group")).distinct()
+    loose = stored(loose.withColumn("node", F.monotonically_increasing_id()), "loose")
     many = loose.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(loose.join(many, "group"), "members")
-    pick = members.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "group", "n")
+    pick = members.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "group", "n", "node")
     chosen = texts.join(_few(pick), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                split = split_words(part.column("text"))
-                start, end, doc = shingles(split, words)
-                hashes = xxh64(split.data, start, end)
-                cuts = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-                columns = [part.column(c) for c in ("doc_id", "mark", "group", "n")]
-                yield pa.record_batch([*columns, pa.array(sets, pa.binary())], ["doc_id", "mark", "group", "n", "shingles"])
-
-    columns = chosen.select("doc_id", "mark", "group", "n", "text")
-    sets = columns.mapInArrow(shingled, "doc_id long, mark long, group long, n long, shingles binary")
-    sets = sets.dropDuplicates(["doc_id", "mark"])
-    sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
+                hashes, cuts = shingle_sets(part.column("text"), words)
+                sets = [hashes[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
+                columns = [part.column(c) for c in ("group", "n", "node")]
+                yield pa.record_batch([*columns, pa.array(sets, pa.binary())], ["group", "n", "node", "shingles"])
+
+    sets = chosen.select("group", "n", "node", "text").mapInArrow(shingled, "group long, n long, node long, shingles binary")
+    sets = stored(sets.dropDuplicates(["node"]), "shingle-sets")
     chunked = sets.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
@@ -387,7 +543,15 @@ def similar_documents(
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pairs.repartition(partitions, *keys).sortWithinPartitions(*keys)
     reached = components(dealt.mapInArrow(verified, "a long, b long"))
-    named = sets.select("doc_id", "mark", "node").join(reached, "node")
+
+    grouped = loose.join(reached, "node").groupBy("mark").agg(F.min("component").alias("group"))
+    rest = pairs_by_shingles(texts.select("mark", "text"), grouped, loose.count(), words=words, similarity=similarity)
+    more = stored(verified_pairs(texts, stored(rest, "pairs"), words=words, similarity=similarity), "more-links")
+    if not more.isEmpty():
+        one = loose.groupBy("mark").agg(F.min("node").alias("node"))
+        ends = more.join(one.toDF("a", "left"), "a").join(one.toDF("b", "right"), "b").select("left", "right").toDF("a", "b")
+        reached = components(reached.toDF("a", "b").union(ends))
+    named = loose.select("doc_id", "mark", "node").join(reached, "node")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return stored(named.join(least, "component").select("doc_id", "mark", "component_id"), "similar")
 

@@ -359,6 +359,37 @@ def test_repeated_lines_do_not_keep_near_copies_apart(documents):
     assert kept == {k for k, _ in rows if k % 2 == 0}
 
 
+@pytest.mark.parametrize("common", [0, 40])
+def test_pairs_by_rare_shingles_are_complete(common):
+    rng = np.random.default_rng(21)
+    sets = []
+    for size in rng.integers(1, 60, 150):  # and each set again with some numbers more
+        own = rng.choice(400, size, replace=False)
+        sets += [own, np.union1d(own, rng.choice(400, max(1, size // 5)))]
+    sets = [np.unique(x).astype(np.uint64) for x in sets]
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    order = np.sort(rng.choice(400, common, replace=False)).astype(np.uint64)
+    key, node, place, size, _ = simhash.rare_shingles(np.concatenate(sets), cuts, order, rng.integers(2, 9, common), 0.8)
+    none = np.full(len(node), -1)
+    got = {p for a, b in simhash.pairs_sharing(key, node, none, place, size, 0.8) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    want = set(zip(*(x.tolist() for x in simhash.alike(sets, 0.8)), strict=True))
+    assert len(want) > 50 and want <= got
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_short_texts_at_the_threshold_are_linked(documents, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = random.Random(22)
+    shared = words(rng, 12)
+    texts = [words(rng, 8) for _ in range(60)]  # 4 shingles against 5, and 12 against 15
+    texts += [words(rng, 16) for _ in range(20)]
+    rows = [(2 * k, t) for k, t in enumerate(texts)]
+    rows += [(2 * k + 1, f"{t} {words(rng, 1 if k < 60 else 3)}") for k, t in enumerate(texts)]
+    rows += [(1000 + k, f"{shared} {words(rng, 20)}") for k in range(20)]  # all share eight shingles, too few
+    kept = {r.doc_id for r in simhash.without_near_duplicates(documents(rows)).collect()}
+    assert kept == {2 * k for k in range(80)} | set(range(1000, 1020))
+
+
 def test_near_copies_in_odd_tables(odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.without_near_duplicates(nothing).count() == 0
     kept = simhash.without_near_duplicates(odd)

@@ -2,7 +2,8 @@
 
 Each source's documents are put in a shuffled order and laid end to end, epoch after epoch; every `BLOCK` words are a block. Slots of the
 mix are the points of the golden-ratio sequence: a slot goes to the source whose stretch of the cumulative weights
-holds its point, and the k-th slot of a source takes the k-th block. Everything is built-in functions.
+holds its point, and the k-th slot of a source takes the k-th block. A source that has too few points for its blocks, as small ones
+may, gets the rest in slots after the schedule. Everything is built-in functions.
 
 No window holds a source: documents are placed by sums over hash buckets and then within a bucket, slots are ranked by
 counts over chunks of the schedule and then within a chunk.
@@ -59,11 +60,20 @@ def targets(sources: DataFrame, share: float = SHARE, cap: float = CAP) -> DataF
     return out.withColumn("target", target).drop("_full", "_left", "_open", "_is_full", "_rate")
 
 
-def _schedule(sources: DataFrame, block: int) -> DataFrame:
-    """`place, rank, slot`: the slots of the mix and which of its source's slots each is."""
+def _quota(cap: float) -> Column:
+    """Words of a source that the mix takes."""
+    return F.least(F.floor("target"), F.floor(F.col("source_size") * F.lit(float(cap))))
+
+
+def _schedule(sources: DataFrame, block: int, cap: float) -> DataFrame:
+    """`place, rank, slot`: the slots of the mix and which of its source's slots each is.
+
+    Slots that a source's quota needs beyond those of the schedule come after it, source by source.
+    """
     spark = sources.sparkSession
     total, count = sources.agg(F.sum("target"), F.count("*")).first()
-    slots = spark.range(int((total or 0) * 1.01 / block) + 8 * count + 1 if total else 0).withColumnRenamed("id", "slot")
+    planned = int((total or 0) * 1.01 / block) + 8 * count + 1 if total else 0
+    slots = spark.range(planned).withColumnRenamed("id", "slot")
     slots = slots.withColumn("point", F.col("slot") % _TURN * _GOLDEN % _TURN)
     order = Window.orderBy("place")
     ends = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -75,11 +85,18 @@ def _schedule(sources: DataFrame, block: int) -> DataFrame:
     placed = slots.join(cells, "cell").where("point >= low AND point < high")
     placed = placed.select("place", "slot", F.floor(F.col("slot") / _CHUNK).alias("chunk"))
     before = Window.partitionBy("place").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = placed.groupBy("place", "chunk").agg(F.count("*").alias("n"))
-    chunks = chunks.select("place", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("passed"))
+    sums = stored(placed.groupBy("place", "chunk").agg(F.count("*").alias("n")), "slots")
+    chunks = sums.select("place", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("passed"))
     within = F.row_number().over(Window.partitionBy("place", "chunk").orderBy("slot"))
     ranked = placed.withColumn("nth", within).join(chunks, ["place", "chunk"])
-    return ranked.select("place", "slot", (F.col("passed") + F.col("nth") - 1).alias("rank"))
+    ranked = ranked.select("place", "slot", (F.col("passed") + F.col("nth") - 1).alias("rank"))
+    has = sums.groupBy("place").agg(F.sum("n").alias("has"))
+    needs = sources.select("place", F.ceil(_quota(cap) / block).alias("needs")).join(has, "place", "left")
+    short = needs.withColumn("has", F.coalesce("has", F.lit(0))).where("needs > has")  # one row per source at most
+    passed = F.coalesce(F.sum(F.col("needs") - F.col("has")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    short = short.withColumn("start", passed + F.lit(planned) - F.col("has"))
+    more = short.select("place", "start", F.explode(F.sequence("has", F.col("needs") - 1)).alias("rank"))
+    return ranked.unionByName(more.select("place", (F.col("start") + F.col("rank")).alias("slot"), "rank"))
 
 
 def _laid_out(rows: DataFrame) -> DataFrame:
@@ -123,14 +140,13 @@ def mix(docs: DataFrame, *, weights=repeating_weights, share: float = SHARE, cap
     rows = sized.join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = stored(_laid_out(rows).drop("bucket", "within", "passed"), "laid-out")
 
-    quota = F.least(F.floor("target"), F.floor(F.col("source_size") * F.lit(float(cap))))
     epochs = F.sequence(F.lit(0), F.lit(max(0, -int(-cap // 1) - 1)))
-    spans = rows.where("size > 0").select("place", "row", quota.alias("quota"), "at", "size", "source_size", F.explode(epochs).alias("epoch"))
+    spans = rows.where("size > 0").select("place", "row", _quota(cap).alias("quota"), "at", "size", "source_size", F.explode(epochs).alias("epoch"))
     first = F.col("at") + F.col("epoch") * F.col("source_size")
     spans = spans.withColumn("first", first).withColumn("last", F.least(F.col("first") + F.col("size"), "quota")).where("last > first")
     ranks = F.sequence(F.floor(F.col("first") / block), F.floor((F.col("last") - 1) / block))
     spans = spans.select("place", "row", "epoch", "first", "last", F.explode(ranks).alias("rank"))
-    joined = spans.join(_schedule(sources, block), ["place", "rank"])
+    joined = spans.join(_schedule(sources, block, cap), ["place", "rank"])
     n_words = F.least("last", (F.col("rank") + 1) * block) - F.greatest("first", F.col("rank") * block)
     return rows, joined.select("slot", "row", "epoch", n_words.alias("n_words"))
 

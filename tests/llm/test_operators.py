@@ -132,6 +132,24 @@ def test_pieces_follow_the_schedule(documents):
         assert abs(shares[name] - 160 * target / sum(targets.values())) < 8
 
 
+def test_small_sources_reach_their_targets(documents):
+    rng = random.Random(25)
+    rows = [(k, words(rng, 3000), "big") for k in range(40)]
+    rows += [(100 + k, words(rng, rng.randint(10, 300)), f"s{k:03}") for k in range(150)]
+    docs = documents(rows)
+    taken, target = collections.Counter(), {}
+    of = {k: s for k, _, s in rows}
+    for r in mixing.taken_words(docs).collect():
+        taken[of[r.doc_id]] += r.taken
+        target[of[r.doc_id]] = r.target
+    assert {s: taken[s] for s in target} == {s: math.floor(t) for s, t in target.items()}
+    _, pieces = mixing.mix(docs)
+    filled = collections.Counter()
+    for p in pieces.collect():
+        filled[p.slot] += p.n_words
+    assert max(filled.values()) <= mixing.BLOCK
+
+
 def test_mixed_documents_hold_the_words_taken(odd, odd_rows):
     mixed = mixing.mixed_documents(odd)
     assert mixed.columns == odd.columns

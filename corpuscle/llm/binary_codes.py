@@ -1,9 +1,10 @@
 """Near-duplicate vectors by randomly rotated binary codes with correction factors.
 
-Equal vectors are one class. Classes are placed in cells around centres fitted on a bounded sample, each in its nearest few cells. Within a
+Equal vectors are one class. Classes live in the cell of the nearest of some centres, fitted on a bounded sample, and visit every other
+cell in which a vector near enough to link may live; where that would be too many, all vectors are one cell. Within a
 cell a vector less its centre is rotated at random and kept as signs, with its norm and its agreement with its signs. From
 these the inner product of two vectors is estimated without bias; only pairs whose confidence bound reaches the
-threshold are computed exactly, in double precision. A pair that shares cells is settled in the first of them, so links are counted
+threshold are computed exactly, in double precision. A pair is settled in the first of the two cells it lives in, so links are counted
 once; tasks give counts and a spanning forest of the links, never the pairs of a dense group.
 """
 
@@ -21,7 +22,7 @@ from corpuscle.llm.simhash import Forest
 from corpuscle.sources.tables import stored
 
 SAMPLE = 16_384  # bound on the vectors the centres are fitted on
-CELLS = 4  # cells a vector is placed in
+COPIES = 4  # cells a vector may be in on average, or as many as all vectors have chunks; with more, all vectors are one cell
 TILE = 1_024  # vectors compared with as many at a time
 CHUNK = 8_192  # vectors of a cell that go to one task; larger cells go chunk by chunk
 BOUND = 4.0  # half-width of the confidence bound, in standard deviations
@@ -81,19 +82,26 @@ class Codes:
         return base + scale * (estimate + spread + 1e-4) >= least
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray, cell: int) -> np.ndarray:
-    """Pairs of cell lists that share no cell before this one."""
-    earlier = np.zeros(len(a), bool)
-    for k in range(a.shape[1]):
-        mine = a[:, k]
-        earlier |= (mine < cell) & (mine[:, None] == b).any(1)
-    return ~earlier
+def visits(vectors: np.ndarray, middle: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cell each unit vector lives in, and (row by cell) the earlier cells in which one lives that it may link with.
 
-
-def links_between(left: tuple, right: tuple, cell: int, centre: np.ndarray, turn: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked pairs of two chunks of a cell; each pair once when both are the same chunk."""
-    same = left is right
-    (a, a_cells), (b, b_cells) = left, right
+    A vector that lives in a cell is nearer to its centre than to any other; among vectors within `least` of a given one, the greatest
+    inner product with the difference of two centres tells whether one can be nearer to the first than to the second.
+    """
+    along = vectors @ middle.T
+    home = along.argmax(1)
+    own = along[np.arange(len(home)), home][:, None]
+    inner = middle @ middle.T
+    norms = np.diag(inner)
+    apart = norms[home][:, None] + norms[None] - 2 * inner[home]  # squared distance from the own centre to each
+    ahead = along - own
+    reach = least * ahead + np.sqrt(1 - least**2) * np.sqrt(np.maximum(apart - ahead**2, 0))
+    return home, (reach >= -1e-6) & (np.arange(len(middle)) < home[:, None])
+
+
+def links_between(a: np.ndarray, b: np.ndarray, centre: np.ndarray, turn: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of linked pairs of two sets of vectors of a cell; each pair once when both are the same set."""
+    same = a is b
     ca = Codes.of(a, centre, turn)
     cb = ca if same else Codes.of(b, centre, turn)
     own = float(centre @ centre)
@@ -106,8 +114,6 @@ def links_between(left: tuple, right: tuple, cell: int, centre: np.ndarray, turn
                 x, y = x[x < y], y[x < y]
             for k in range(0, len(x), 1 << 18):
                 p, q = x[k : k + (1 << 18)], y[k : k + (1 << 18)]
-                keep = _first_shared(a_cells[p], b_cells[q], cell)
-                p, q = p[keep], q[keep]
                 exact = np.einsum("ij,ij->i", a[p], b[q])
                 found.append((p[exact >= least], q[exact >= least]))
     if not found:
@@ -135,7 +141,7 @@ def _as_bytes(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, vector binary")
 
 
-def near_vectors(vectors: DataFrame, *, least: float = 0.9, cells: int = CELLS, sample: int = SAMPLE) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, least: float = 0.9, sample: int = SAMPLE) -> DataFrame:
     """`vec_id, n_links, component_id, kept` for every row of `vectors(vec_id, embedding)`.
 
     Linked are pairs found with a cosine of `least` or more. Null or empty vectors, ones of zeros, ones with null or non-finite parts and ones whose length is
@@ -157,7 +163,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, cells: int = CELLS,
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
     count = classes.count()
     if count:
-        found = _linked(classes, count, size, least, cells, sample)
+        found = _linked(classes, count, size, least, sample)
         links, counts = found.where("b IS NOT NULL").select("a", "b"), found.where("b IS NULL")
         named = classes.join(components(links), "node", "left")
         counts = counts.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
@@ -170,25 +176,33 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.9, cells: int = CELLS,
     return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _linked(classes: DataFrame, count: int, size: int, least: float, cells: int, sample: int) -> DataFrame:
+def _linked(classes: DataFrame, count: int, size: int, least: float, sample: int) -> DataFrame:
     """Rows `a, b, n`: links of a spanning forest (b given), and how many rows a class links to (b null)."""
     spark = classes.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     drawn = classes.select("vector").orderBy(F.xxhash64("vector")).limit(sample).toArrow().sort_by("vector")
-    middle = centres(_unit(drawn.column("vector").combine_chunks(), size), max(1, int(count**0.5)))
+    known = _unit(drawn.column("vector").combine_chunks(), size)
+    middle = centres(known, max(1, int(count**0.5)))
+    copies = 1 + np.mean([visits(known[k : k + 4096], middle, least)[1].sum(1).mean() for k in range(0, len(known), 4096)])
+    if copies > max(COPIES, -(-count // CHUNK)):
+        middle = centres(known, 1)
     turn = rotation(size)
-    width = min(cells, len(middle))
     shared = spark.sparkContext.broadcast((middle, turn))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         middle, _ = shared.value
+        names = ["cell", "node", "vector", "weight", "lives"]
         for batch in batches:
-            near = np.sort(np.argpartition(-(_unit(batch.column("vector"), size) @ middle.T), width - 1, axis=1)[:, :width], axis=1)
-            lists = pa.array([x.astype("<i4").tobytes() for x in near], pa.binary())
-            for k in range(width):
-                yield pa.record_batch([pa.array(near[:, k]), *batch.columns, lists], ["cell", *batch.schema.names, "cells"])
-
-    schema = "cell long, node long, vector binary, weight long, cells binary"
+            for first in range(0, batch.num_rows, 2_000):
+                part = batch.slice(first, 2_000)
+                home, others = visits(_unit(part.column("vector"), size), middle, least)
+                yield pa.record_batch([pa.array(home), *part.columns, pa.array(np.ones(len(home), bool))], names)
+                rows, cell = np.nonzero(others)
+                for k in range(0, len(rows), 8_192):
+                    some = part.take(pa.array(rows[k : k + 8_192]))
+                    yield pa.record_batch([pa.array(cell[k : k + 8_192]), *some.columns, pa.array(np.zeros(some.num_rows, bool))], names)
+
+    schema = "cell long, node long, vector binary, weight long, lives boolean"
     placed = stored(classes.select("node", "vector", "weight").mapInArrow(place, schema), "placed")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     chunked = placed.join(sizes, "cell").withColumn("chunk", (F.pmod(F.xxhash64("node"), F.col("chunks"))).cast("int"))
@@ -203,23 +217,28 @@ def _linked(classes: DataFrame, count: int, size: int, least: float, cells: int,
         "node",
         "vector",
         "weight",
-        "cells",
+        "lives",
     )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         middle, turn = shared.value
         for key, group in _groups(batches):
             vectors = _unit(group.column("vector").combine_chunks(), size)
-            lists = np.frombuffer(b"".join(group.column("cells").to_pylist()), "<i4").reshape(len(vectors), -1)
             node, weight = group.column("node").to_numpy(), group.column("weight").to_numpy()
-            chunk = group.column("chunk").to_numpy()
+            chunk, lives = group.column("chunk").to_numpy(), group.column("lives").to_numpy()
             cell, low, high = key
-            first = np.flatnonzero(chunk == low)
-            second = first if low == high else np.flatnonzero(chunk == high)
-            left = (vectors[first], lists[first])
-            right = left if low == high else (vectors[second], lists[second])
-            a, b = links_between(left, right, cell, middle[cell], turn, least)
-            a, b = first[a], second[b]
+            own, guests = ([np.flatnonzero((chunk == c) & x) for c in (low, high)] for x in (lives, ~lives))
+            if low == high:
+                met = [(own[0], own[0]), (own[0], guests[0])]
+            else:
+                met = [(own[0], own[1]), (own[0], guests[1]), (own[1], guests[0])]
+            ends = []
+            for first, second in met:  # two guests meet where one of them lives
+                left = vectors[first]
+                right = left if second is first else vectors[second]
+                p, q = links_between(left, right, middle[cell], turn, least)
+                ends.append((first[p], second[q]))
+            a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
             forest = Forest(len(vectors))
             forest.join(a, b)
             n = np.bincount(a, weight[b], len(vectors)) + np.bincount(b, weight[a], len(vectors))

@@ -591,6 +591,36 @@ def test_recall_of_pairs_at_the_threshold(spark):
     assert 0.98 <= found / (near.sum() - len(rows)) <= 1
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.1, 1.0])
+def test_vectors_visit_where_partners_live(spread):
+    rng = np.random.default_rng(23)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(40, 16))[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 16)) * spread)
+    side = rng.normal(size=x.shape)
+    side = unit(side - (side * x).sum(1, keepdims=True) * x)
+    x = np.concatenate([x, 0.9001 * x + np.sqrt(1 - 0.9001**2) * side])
+    home, others = binary_codes.visits(x, binary_codes.centres(x, 50), 0.9)
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    a, b = np.where(home[a] < home[b], a, b), np.where(home[a] < home[b], b, a)
+    assert (others[b, home[a]] | (home[a] == home[b])).all() and (home[a] != home[b]).sum() > 100
+    assert spread > 0.1 or others.mean() < 0.5
+
+
+@pytest.mark.parametrize("copies", [0, 1000])
+def test_every_pair_just_above_the_threshold_is_linked(spark, monkeypatch, copies):
+    monkeypatch.setattr(binary_codes, "COPIES", copies)  # all vectors in one cell, or in many
+    monkeypatch.setattr(binary_codes, "CHUNK", 1500)
+    rng = np.random.default_rng(24)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(2500, 64)))
+    side = rng.normal(size=base.shape)
+    side = unit(side - (side * base).sum(1, keepdims=True) * base)
+    rows = np.concatenate([base, 0.901 * base + np.sqrt(1 - 0.901**2) * side])
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    near = (rows @ rows.T >= 0.9).sum(1) - 1
+    assert {r.vec_id: r.n_links for r in binary_codes.near_vectors(frame).collect()} == dict(enumerate(near.tolist()))
+
+
 def test_bounds_hold_for_estimates():
     rng = np.random.default_rng(15)
     x = rng.normal(size=(400, 64))

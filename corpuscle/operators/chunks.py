@@ -102,6 +102,81 @@ def cap_chunk(bodies: DataFrame, *, tokens: int = CAP_TOKENS) -> DataFrame:
     )
 
 
+def further_parts(bodies: DataFrame, *, tokens: int = CAP_TOKENS) -> DataFrame:
+    """Bodies over `tokens` with their header and lead as further parts, so that `cap_chunk` cuts nothing; others as they are.
+
+    Parts are runs of lines; a line that is over by itself is split between characters, each piece a part of its own. Piece k
+    of part p of n becomes part p + k * n, so parts stay apart. A lead that leaves less than half of the
+    room moves into the body.
+    """
+    part = F.greatest("part", F.lit(1))
+    parts = F.greatest("parts", F.lit(1))
+    widest = F.lit(2**31 - 1)  # room for any part number
+    header = tx.chunk_header(
+        F.col("path"), F.col("kind"), F.col("name"), F.col("qualname"), widest, widest
+    )
+    whole = tokens * tx.BYTES_PER_TOKEN
+
+    def room(lead: Column) -> Column:
+        return F.lit(whole) - F.octet_length(F.concat_ws("\n", F.array(header), lead)) - 1
+
+    long_lead = room(F.col("lead")) < whole // 2
+    moved = F.transform("lead", lambda x: F.struct(F.col("start_line").alias("n"), x.alias("line")))
+    size = F.aggregate(
+        "body", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["line"]) + 1
+    )
+    rows = bodies.withColumn("over", size > room(F.col("lead")))
+    lead_moves = F.col("over") & long_lead
+    rows = rows.withColumn(
+        "body", F.when(lead_moves, F.concat(moved, "body")).otherwise(F.col("body"))
+    ).withColumn("lead", F.when(lead_moves, F.slice("lead", 1, 0)).otherwise(F.col("lead")))
+    rows = rows.withColumn("room", F.greatest(room(F.col("lead")), F.lit(64)))
+
+    def pieces(x: Column) -> Column:
+        ascii_only = F.octet_length(x["line"]) == F.char_length(x["line"])
+        width = F.when(ascii_only, F.col("room")).otherwise(F.floor(F.col("room") / 4))
+        pattern = F.concat(F.lit("(?s).{1,"), width.cast("string"), F.lit("}"))
+        cut = F.regexp_extract_all(x["line"], pattern, F.lit(0))
+        fits = F.octet_length(x["line"]) <= F.col("room")
+        lines = F.when(fits, F.array(x["line"])).otherwise(cut)
+        return F.transform(
+            lines, lambda y: F.struct(x["n"].alias("n"), y.alias("line"), (~fits).alias("alone"))
+        )
+
+    def take(acc: Column, x: Column) -> Column:
+        used = acc["used"] + F.octet_length(x["line"]) + 1
+        new = (acc["at"] == 0) | x["alone"] | acc["alone"] | (used - 1 > F.col("room"))
+        own = F.octet_length(x["line"]).cast("long") + 1
+        return F.struct(
+            F.when(new, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"),
+            F.when(new, own).otherwise(used).alias("used"),
+            (acc["at"] + 1).alias("at"),
+            x["alone"].alias("alone"),
+        )
+
+    state = F.struct(
+        F.array().cast("array<int>").alias("starts"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("at"),
+        F.lit(False).alias("alone"),
+    )
+    rows = rows.withColumn("pieces", F.when(F.col("over"), F.flatten(F.transform("body", pieces))))
+    rows = rows.withColumn("starts", F.when(F.col("over"), F.aggregate("pieces", state, take, lambda a: a["starts"])))
+    rows = rows.select("*", F.posexplode(F.coalesce("starts", F.array(F.lit(0)))).alias("k", "s"))
+    end = F.coalesce(F.get("starts", F.col("k") + 1), F.size("pieces"))
+    some = F.slice("pieces", F.col("s") + 1, end - F.col("s"))
+    lines = F.transform(some, lambda x: F.struct(x["n"].alias("n"), x["line"].alias("line")))
+    over = F.col("over")
+    many = over & (F.size("starts") > 1)
+    return rows.withColumns(
+        {
+            "body": F.when(over, lines).otherwise(F.col("body")),
+            "start_line": F.when(many, some[0]["n"]).otherwise(F.col("start_line")),
+            "end_line": F.when(many, F.element_at(some, -1)["n"]).otherwise(F.col("end_line")),
+            "part": F.when(many, part + F.col("k") * parts).otherwise(F.col("part")),
+            "parts": F.when(many, parts * F.size("starts")).otherwise(F.col("parts")),
+        }
+    ).drop("over", "room", "pieces", "starts", "k", "s").select(*bodies.columns)
+
+
 def search_fields(chunks: DataFrame) -> DataFrame:
     """Add search_a (name, qualname), search_b (signature, doc) and search_c (code)."""
     return (
@@ -180,4 +255,4 @@ def chunk_files(files: DataFrame, symbols: DataFrame) -> DataFrame:
     plain = files.filter("mode = 'windows'").select(*keep)
     extra = ("ord", "parent", "doc_start_line", "parse_errors")
     split = weighted_windows(symbol_bodies(parsed, symbols, every_file=True).drop(*extra))
-    return finish_chunks(split.unionByName(window_bodies(plain)))
+    return finish_chunks(further_parts(split.unionByName(window_bodies(plain))))

@@ -27,9 +27,9 @@ def build_index(files: DataFrame, parsed: DataFrame | None = None) -> Index:
     """Triage, outline and chunk a file table (repo, snapshot_id, path, size_bytes, content).
 
     `parsed` holds the symbols that parsers found elsewhere (the files' key, `operators.symbols.SYMBOL_COLUMNS`). Python files are
-    outlined here when it is not given; other files without symbols become one module each.
+    outlined here when it is not given; other files without symbols become one module each. Files of any size are indexed.
     """
-    routed = route_files(utf8_gate(classify_files(files)))
+    routed = route_files(utf8_gate(classify_files(files, max_kb=None)))
     symbols = parsed
     if symbols is None:
         symbols = python_symbols(routed.filter("mode = 'symbols' AND language = 'python'"))

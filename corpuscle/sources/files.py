@@ -54,7 +54,7 @@ def glob_regex(patterns: Sequence[str]) -> str:
 
 
 def skip_reason(
-    files: DataFrame, *, max_kb: int, ignore: Sequence[str], keep: Sequence[str], root: str
+    files: DataFrame, *, max_kb: int | None, ignore: Sequence[str], keep: Sequence[str], root: str
 ) -> Column:
     """Why a file is not indexed: the first check that fails, cheapest first; null when none."""
     name = F.lower(tx.basename(F.col("path")))
@@ -68,7 +68,7 @@ def skip_reason(
         F.when(link, "symlink")
         .when(outside, "outside_root")
         .when(name.rlike(glob_regex(ignore)) & ~name.isin(*keep), "ignored")
-        .when(F.col("size_bytes") > max_kb * 1024, "too_large")
+        .when(never if max_kb is None else F.col("size_bytes") > max_kb * 1024, "too_large")
         .when(F.startswith(head, F.encode(F.lit(LFS_POINTER), "utf-8")), "lfs_pointer")
         .when(F.contains(head, F.unhex(F.lit("00"))), "binary")
     )
@@ -77,13 +77,14 @@ def skip_reason(
 def classify_files(
     files: DataFrame,
     *,
-    max_kb: int = MAX_FILE_KB,
+    max_kb: int | None = MAX_FILE_KB,
     prune: Sequence[str] = PRUNED_DIRS,
     ignore: Sequence[str] = IGNORED_FILES,
     keep: Sequence[str] = KEPT_FILES,
     root: str = "",
 ) -> DataFrame:
-    """Drop files under a pruned directory and add `skip_reason`; one scan, no shuffle."""
+    """Drop files under a pruned directory and add `skip_reason`; one scan, no shuffle. Without
+    `max_kb` no file is too large."""
     parts = F.split("path", "/")
     directories = F.slice(parts, 1, F.size(parts) - 1)
     pruned = F.arrays_overlap(directories, F.array(*map(F.lit, prune)))

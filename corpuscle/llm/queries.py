@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuscle.llm import (
     binary_codes,
     bpe,
+    clusters,
     crf,
     licences,
     mixing,
@@ -16,7 +17,9 @@ from corpuscle.llm import (
     private_data,
     quality,
     simhash,
+    survival,
     token_files,
+    vector_forest,
 )
 from corpuscle.llm.words import small_batches
 from corpuscle.sources.tables import work_path
@@ -183,6 +186,96 @@ def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_ids(spark, out, checksums=True)
 
 
+def op11_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return vector_forest.nearest_vectors(_table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+# The exact answer. It is the forest's too where a tree has one leaf (up to 512 distinct vectors); beyond, tests measure its recall.
+OP11_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id != v.vec_id
+      AND len(q.e) = len(v.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What each of five filters removes at each step of all their orders, by language."""
+    return survival.filter_audit(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (
+  SELECT d.doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS e,
+         coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic
+  FROM d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+m AS (SELECT part, good, toxic, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits, a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+      FROM x a JOIN x b ON b.bit != a.bit JOIN x c ON c.bit NOT IN (a.bit, b.bit) JOIN x d ON d.bit NOT IN (a.bit, b.bit, c.bit)
+      JOIN x e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)),
+s AS (SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step])::INT - bits[step] AS earlier FROM o, range(1, 6) r(step)),
+p AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (WHERE mask & (earlier + bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE mask & earlier = 0 AND mask & bit != 0), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & earlier != 0 AND mask & bit != 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (WHERE mask & earlier = 0 AND mask & bit != 0 AND good), 0) AS good_lost,
+    coalesce(sum(n) FILTER (WHERE mask & earlier = 0 AND mask & bit != 0 AND toxic), 0) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM p
+"""
+
+
+def op13_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The cluster of every vector after three rounds."""
+    return clusters.clusters(_table(spark, sf, "embeddings"))
+
+
+def _clusters_sql() -> str:
+    """The rounds of clustering one after another."""
+    nearest = (
+        "SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, c, sum((v.x - k.x) * (v.x - k.x))::BIGINT AS d "
+        "FROM v JOIN c{0} k USING (i) GROUP BY vec_id, c) GROUP BY vec_id"
+    )
+    steps = []
+    for k in range(3):
+        steps.append(f"a{k} AS MATERIALIZED ({nearest.format(k)})")
+        steps.append(
+            f"c{k + 1} AS MATERIALIZED (SELECT c, i, coalesce(m, k.x) AS x FROM c{k} k LEFT JOIN (SELECT c, i, "
+            f"floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM a{k} JOIN v USING (vec_id) GROUP BY c, i) USING (c, i))"
+        )
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, unnest(range(1, 65)) AS i, unnest(list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM (SELECT DISTINCT vec_id FROM v) QUALIFY c < 16),
+c0 AS MATERIALIZED (SELECT c, i, x FROM f JOIN v USING (vec_id)),
+{", ".join(steps)},
+a3 AS MATERIALIZED ({nearest.format(3)}),
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a3 JOIN h USING (c)
+"""
+
+
+OP13_SQL = _clusters_sql()
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_licences": op2_licences,
@@ -194,10 +287,16 @@ QUERIES: dict[str, Query] = {
     "op8_binary_codes": op8_binary_codes,
     "op9_quality": op9_quality,
     "op10_token_files": op10_token_files,
+    "op11_forest": op11_forest,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_clusters": op13_clusters,
 }
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1_SQL,
     "op2_licences": OP2_SQL,
     "op7_block_naming": OP7_SQL,
     "op8_binary_codes": OP8_SQL,
+    "op11_forest": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_clusters": OP13_SQL,
 }

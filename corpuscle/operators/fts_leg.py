@@ -176,6 +176,64 @@ def _match_all(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.record_batch(columns, ["query_id", "snapshot_id", "chunk_id", "matches"])
 
 
+def cover_scores(
+    match: np.ndarray, pos: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, matches: int
+) -> np.ndarray:
+    """Cover density of each match, from the places of a question's terms (numbered from 0) in the chunks that hold all of them.
+
+    Places are put in order; the last place of each term so far is carried along, and the earliest of those is where the span ending here
+    starts. Sums over a span are differences of running sums, which are whole numbers.
+    """
+    order = np.lexsort((term, pos, match))
+    match, pos, term, weight = (x[order] for x in (match, pos, term, weight))
+    wide = int(pos.max(initial=0)) + 2
+    keyed = match * wide + pos
+    start = None
+    for t in range(terms):
+        last = np.maximum.accumulate(np.where(term == t, keyed, 0))
+        start = last if start is None else np.minimum(start, last)
+    before = np.concatenate([[-1], start[:-1]])
+    ends = np.flatnonzero((start > match * wide) & (start > before))
+    first = np.searchsorted(keyed, start[ends])
+    running = np.concatenate([[0.0], np.cumsum(10.0 / weight)])
+    count = ends + 1 - first
+    inverse = running[ends + 1] - running[first]
+    gap = keyed[ends] - start[ends] + 1 - count
+    return np.bincount(match[ends], (count * 2.0 / inverse) / (gap + 1), matches)
+
+
+_SCORED = "query_id bigint, chunk_id bigint, score double"
+
+
+def _score_all(k: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best rows of each question among those that hold all of its terms, by cover density."""
+    best = BestRows(k)
+    for batch in batches:
+        for _, wanted, chunk_ids, row, term, pos, weight in _tiles(batch, shared.value):
+            names = len(wanted.words)
+            key, count = np.unique(row * names + term, return_counts=True)
+            has = wanted.sums(key // names, key % names, np.ones(len(key)), len(chunk_ids))
+            question, at = np.nonzero(has == wanted.need[:, None])
+            if not len(question):
+                continue
+            order = np.lexsort((pos, term, row))
+            pos, weight = pos[order], weight[order]
+            first = np.cumsum(count) - count
+            for q in np.unique(question).tolist():
+                rows = at[question == q]
+                terms = np.array(wanted.by_question[q])
+                spots = np.searchsorted(key, (rows[:, None] * names + terms).ravel())
+                n = count[spots]
+                places = np.arange(int(n.sum())) + np.repeat(first[spots] - (np.cumsum(n) - n), n)
+                match = np.repeat(np.repeat(np.arange(len(rows)), len(terms)), n)
+                own = np.repeat(np.tile(np.arange(len(terms)), len(rows)), n)
+                scores = cover_scores(match, pos[places], own, weight[places], len(terms), len(rows))
+                best.add_scores(wanted.questions[q : q + 1], np.round(scores, DIGITS)[None], chunk_ids[rows], chunk_ids[rows])
+    query_id, chunk_id, score, _ = best.best()
+    columns = [pa.array(query_id, pa.int64()), pa.array(chunk_id, pa.int64()), pa.array(score, pa.float64())]
+    yield pa.record_batch(columns, ["query_id", "chunk_id", "score"])
+
+
 def _score_any(k: int, shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The best rows of each question by the weight of its words in them."""
     best = BestRows(k)
@@ -279,8 +337,11 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
 
 
 def fts_and(plans: DataFrame, search: DataFrame, *, k: int = FTS_LIMIT) -> DataFrame:
-    """Hits that hold every term of the query, by cover density."""
-    return ranked(cover_density(all_words(plans, search)), k)
+    """Hits that hold every term of the query, by cover density.
+
+    Matches are scored where the chunks are read, and a task keeps the best `k` of each query; no match is a row.
+    """
+    return ranked(_over_chunks(search, and_terms(plans), partial(_score_all, k), _SCORED), k)
 
 
 def fts_or(

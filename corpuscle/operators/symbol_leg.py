@@ -133,15 +133,26 @@ def grams(text: Column, least: int = 1, most: int = GRAM) -> Column:
     return F.array_distinct(F.concat(*[runs(n) for n in range(least, most + 1)]))
 
 
-def containing_names(identifiers: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Distinct (snapshot_id, identifier, name) where name contains identifier and differs.
+def name_grams(chunks: DataFrame) -> DataFrame:
+    """`snapshot_id, gram, name`: the character runs of every distinct name."""
+    names = chunks.filter("name <> ''").select("snapshot_id", "name").distinct()
+    return names.select("snapshot_id", F.explode_outer(grams(F.col("name"))).alias("gram"), "name")
+
+
+def name_chunks(chunks: DataFrame, *, k: int) -> DataFrame:
+    """`snapshot_id, name, chunk_id`: the first `k` chunks of each name."""
+    by_name = Window.partitionBy("snapshot_id", "name").orderBy("chunk_id")
+    numbered = chunks.select("snapshot_id", "name", "chunk_id").withColumn("n", F.row_number().over(by_name))
+    return numbered.filter(F.col("n") <= k).drop("n")
+
+
+def containing_names(identifiers: DataFrame, index: DataFrame) -> DataFrame:
+    """Distinct (snapshot_id, identifier, name) where name contains identifier and differs; `index` is `name_grams`.
 
     Each identifier meets only the names that share its rarest character run, so neither side is
     crossed with the other; names are made distinct before their runs are listed.
     """
     wanted = identifiers.select("snapshot_id", "identifier").distinct()
-    names = chunks.filter("name <> ''").select("snapshot_id", "name").distinct()
-    index = names.withColumn("gram", F.explode_outer(grams(F.col("name"))))
     short = F.least(F.length("identifier"), F.lit(GRAM))
     own = F.filter(grams(F.col("identifier")), lambda g: F.length(g) == short)
     probes = wanted.withColumn("gram", F.explode(own))
@@ -163,20 +174,12 @@ def containing_names(identifiers: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def containing_chunks(identifiers: DataFrame, chunks: DataFrame, *, k: int) -> DataFrame:
-    """Per identifier the first `k` chunks, shorter names first, whose name contains it."""
-    key = ["snapshot_id", "name"]
-    by_name = Window.partitionBy(*key).orderBy("chunk_id")
+def containing_chunks(names: DataFrame, first: DataFrame, *, k: int) -> DataFrame:
+    """Per identifier the first `k` chunks, shorter names first, whose name contains it: `names` is `containing_names`,
+    `first` has `k` chunks of each name at least (`name_chunks`)."""
     by_identifier = Window.partitionBy("snapshot_id", "identifier")
-    first = (
-        chunks.select(*key, "chunk_id")
-        .withColumn("n", F.row_number().over(by_name))
-        .filter(F.col("n") <= k)
-        .drop("n")
-    )
     return (
-        containing_names(identifiers, chunks)
-        .join(first, key)
+        names.join(first, ["snapshot_id", "name"])
         .withColumn("length", F.length("name"))
         .withColumn("n", F.row_number().over(by_identifier.orderBy("length", "chunk_id")))
         .filter(F.col("n") <= k)
@@ -185,27 +188,23 @@ def containing_chunks(identifiers: DataFrame, chunks: DataFrame, *, k: int) -> D
 
 
 def ladder_contains(
-    identifiers: DataFrame,
-    chunks: DataFrame,
-    exact: DataFrame,
-    *,
-    k: int = CONTAINS_LIMIT,
-    exact_limit: int = SYMBOL_LIMIT,
+    identifiers: DataFrame, chunks: DataFrame, exact: DataFrame, *, k: int = CONTAINS_LIMIT
 ) -> DataFrame:
     """Rung 4: chunks whose name contains an identifier, that no exact rung found; the first `k`
-    per query by identifier order, name length and id.
+    per query by identifier order, name length and id, however many exact hits it has.
 
-    Once `exact_limit` exact hits exist none of these is ever shown, so a query needs at most
-    `k` + `exact_limit` chunks of one identifier; each identifier is cut there before the join.
+    Exact hits can push out at most as many chunks as there are of them, so each identifier is cut at `k` and the largest number of
+    exact hits of a query before the join.
     """
-    found = containing_chunks(identifiers, chunks, k=k + exact_limit)
+    most = exact.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    names = containing_names(identifiers, name_grams(chunks))
+    found = containing_chunks(names, name_chunks(chunks, k=k + most), k=k + most)
+    return first_containing(identifiers, found, exact, k=k)
+
+
+def first_containing(identifiers: DataFrame, found: DataFrame, exact: DataFrame, *, k: int = CONTAINS_LIMIT) -> DataFrame:
+    """The first `k` chunks per query of `containing_chunks` that are not exact hits."""
     order = Window.partitionBy("query_id").orderBy("ord", "length", "chunk_id")
-    full = (
-        exact.groupBy("query_id")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= exact_limit)
-        .select("query_id")
-    )
     return (
         identifiers.join(found, ["snapshot_id", "identifier"])
         .groupBy("query_id", "snapshot_id", "chunk_id")
@@ -218,7 +217,6 @@ def ladder_contains(
             (F.col("m") % LONGEST).alias("length"),
         )
         .join(exact.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-        .join(full, "query_id", "left_anti")
         .withColumn("n", F.row_number().over(order))
         .filter(F.col("n") <= k)
         .withColumn("rung", F.lit(CONTAINS))
@@ -233,10 +231,10 @@ def symbol_search(
     order = Window.partitionBy("query_id").orderBy(
         F.col("rung") == CONTAINS, "ord", "rung", "path", "start_line", "part", "chunk_id"
     )
-    place = chunks.select("snapshot_id", "chunk_id", "path", "start_line", "part")
+    place = chunks.select("chunk_id", "path", "start_line", "part")
     return (
         exact.unionByName(contains)
-        .join(place, ["snapshot_id", "chunk_id"])
+        .join(place, "chunk_id")
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .select(

@@ -1,20 +1,41 @@
 """The three legs and their fusion: benchmark texts as questions over the documents."""
 
+from threading import Lock
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as tx
 from corpuscle.operators import fts_leg as fts
 from corpuscle.operators import fusion as fu
+from corpuscle.operators import postings
 from corpuscle.operators import symbol_leg as sl
 from corpuscle.operators import vector_leg as vl
 from corpuscle.plans import retrieve as rt
 from corpuscle.plans.index import searchable
+from corpuscle.plans.search_index import SearchIndex, store_search_index
 from corpuscle.registry import adapters as ad
 from corpuscle.registry.adapters import MODEL, split_sql, terms_sql
 from corpuscle.registry.sql import select, view
 from corpuscle.sources.tables import stored, work_path, write_partitioned
 
+# ── The stored index ──────────────────────────────────────────────────────────
+
+_STORED: dict[tuple[str, str], SearchIndex] = {}
+_STORING = Lock()
+
+
+def search_index(spark: SparkSession, sf: str) -> SearchIndex:
+    """The search tables of the corpus, which the index job writes once for all searches of a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    with _STORING:
+        if key not in _STORED:
+            path = work_path(spark, "search-index")
+            chunks = stored(ad.corpus(spark, sf), "corpus")
+            _STORED[key] = store_search_index(chunks, ad.vectors(spark, sf), MODEL, path)
+        return _STORED[key]
+
+
 # ── Symbol leg ────────────────────────────────────────────────────────────────
 
 
@@ -71,6 +92,13 @@ def hit_rows(hits: DataFrame) -> DataFrame:
 
 
 def symbol_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The symbol leg over stored aliases and names."""
+    _, hits = rt.search_symbols(ad.plans(spark, sf), ad.corpus(spark, sf), search_index(spark, sf))
+    return hit_rows(hits)
+
+
+def symbol_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The symbol leg over chunks that no index job has seen."""
     _, hits = rt.search_symbols(ad.plans(spark, sf), ad.corpus(spark, sf))
     return hit_rows(hits)
 
@@ -95,14 +123,30 @@ def cover_density(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fts_and(spark: SparkSession, sf: str) -> DataFrame:
-    return hit_rows(fts.fts_and(ad.plans(spark, sf), search_rows(spark, sf)))
+    """All-words hits from stored postings."""
+    return hit_rows(postings.search_all(ad.plans(spark, sf), search_index(spark, sf).postings))
 
 
 def fts_or(spark: SparkSession, sf: str) -> DataFrame:
-    _, hits = rt.search_texts(ad.plans(spark, sf), ad.corpus(spark, sf))
+    """Any-word hits from stored postings."""
+    _, hits = rt.search_texts(ad.plans(spark, sf), ad.corpus(spark, sf), search_index(spark, sf))
     return hit_rows(hits)
 
 
+def fts_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Both kinds of full-text hits over chunks that no index job has seen."""
+    and_hits, or_hits = rt.search_texts(ad.plans(spark, sf), ad.corpus(spark, sf))
+    return hit_rows(and_hits.unionByName(or_hits))
+
+
+def stored_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """How many chunks and places each term has in the stored postings, and the most it weighs in one."""
+    rows = search_index(spark, sf).postings
+    return rows.groupBy("term").agg(
+        F.sum(F.size("chunks")).alias("chunks"), F.sum(F.size(F.flatten("places"))).alias("places"), F.max("top").alias("top")
+    )
+
+
 # ── Vector leg ────────────────────────────────────────────────────────────────
 
 
@@ -117,12 +161,10 @@ def vector_hits(spark: SparkSession, sf: str) -> DataFrame:
     return stored(vl.vector_topk(asked_vectors(spark, sf), chunks, ad.vectors(spark, sf), MODEL), "vector")
 
 
-def approximate_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """The nearest chunks of each plan's vector by an index of cells."""
-    chunks = ad.corpus(spark, sf).select("snapshot_id", "content_hash", "chunk_id")
-    first = vl.first_chunks(chunks, vl.VECTOR_LIMIT)
-    index = vl.index_vectors(vl.hash_vectors(first, ad.vectors(spark, sf), MODEL), work_path(spark, "vector-index"))
-    return vl.vector_topk_approx(asked_vectors(spark, sf), chunks, index)
+def probed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The nearest chunks of each plan's vector by the stored cells, and how many cells it read."""
+    index = search_index(spark, sf)
+    return vl.probed_topk(asked_vectors(spark, sf), index.copies, index.vectors)
 
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,14 +172,25 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_topk_approx(spark: SparkSession, sf: str) -> DataFrame:
-    return hit_rows(approximate_hits(spark, sf))
+    return hit_rows(probed(spark, sf)[0])
+
+
+def vector_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored cells searched with whole cells as bounds: as exact as reading all vectors."""
+    index = search_index(spark, sf)
+    return hit_rows(vl.vector_topk_approx(asked_vectors(spark, sf), index.copies, index.vectors, tail=1.0))
+
+
+def vector_probes(spark: SparkSession, sf: str) -> DataFrame:
+    """How many cells each question read, of how many."""
+    return probed(spark, sf)[1]
 
 
 def vector_recall(spark: SparkSession, sf: str) -> DataFrame:
     """How many questions the index was asked, and whether it found at least nine of ten exact hits."""
     key = ["query_id", "chunk_id"]
     exact = vector_hits(spark, sf).select(*key)
-    found = exact.join(approximate_hits(spark, sf).select(*key, F.lit(1).alias("found")), key, "left")
+    found = exact.join(probed(spark, sf)[0].select(*key, F.lit(1).alias("found")), key, "left")
     return found.agg(F.count_distinct("query_id").alias("questions"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
 
 
@@ -148,7 +201,7 @@ def legs(spark: SparkSession, sf: str) -> rt.Legs:
     """All legs of the plans."""
     return rt.search_legs(
         ad.plans(spark, sf), ad.corpus(spark, sf), ad.vectors(spark, sf),
-        ad.query_vectors(spark, sf), MODEL,
+        ad.query_vectors(spark, sf), MODEL, search_index(spark, sf),
     )
 
 
@@ -197,7 +250,7 @@ def symbol_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored_retrieve(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship over chunks that an index job stored with their search vectors, by snapshot."""
+    """The flagship over chunks that an index job stored with their search vectors, by snapshot, but without search tables."""
     out = work_path(spark, "searchable")
     write_partitioned(searchable(ad.corpus(spark, sf)), out, "snapshot_id")
     chunks = spark.read.parquet(out).withColumn("snapshot_id", F.col("snapshot_id").cast("bigint"))
@@ -205,14 +258,14 @@ def stored_retrieve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship: every plan through the three legs to its shown hits and verdict."""
-    return shown_hits(spark, sf, ad.corpus(spark, sf))
+    """The flagship: every plan through the three legs over the stored index to its shown hits and verdict."""
+    return shown_hits(spark, sf, ad.corpus(spark, sf), search_index(spark, sf))
 
 
-def shown_hits(spark: SparkSession, sf: str, chunks: DataFrame) -> DataFrame:
+def shown_hits(spark: SparkSession, sf: str, chunks: DataFrame, index: SearchIndex | None = None) -> DataFrame:
     """Hits and verdicts of all plans on some chunks."""
     found = rt.hybrid_retrieve(
-        ad.plans(spark, sf), chunks, ad.vectors(spark, sf), ad.query_vectors(spark, sf), MODEL
+        ad.plans(spark, sf), chunks, ad.vectors(spark, sf), ad.query_vectors(spark, sf), MODEL, index
     )
     return found.hits.join(found.floor, "query_id").select(
         "query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "tier", "shown",
@@ -228,13 +281,18 @@ QUERIES = {
     "ladder_exact": ladder_exact,
     "ladder_contains": ladder_contains,
     "symbol_search": symbol_search,
+    "symbol_scan": symbol_scan,
     "build_postings": build_postings,
     "fts_and": fts_and,
     "fts_or": fts_or,
+    "fts_scan": fts_scan,
+    "stored_postings": stored_postings,
     "cover_density": cover_density,
     "vector_topk": vector_topk,
     "vector_topk_approx": vector_topk_approx,
     "vector_recall": vector_recall,
+    "vector_bounded": vector_bounded,
+    "vector_probes": vector_probes,
     "leg_trace": leg_trace,
     "rrf_fuse": rrf_fuse,
     "collapse_parts": collapse_parts,
@@ -312,7 +370,7 @@ SELECT query_id, chunk_id, CAST(ord AS INTEGER) AS ord, CAST(4 AS INTEGER) AS ru
     FROM v_identifiers i JOIN v_corpus c ON contains(c.name, i.identifier) AND c.name <> i.identifier
     WHERE NOT EXISTS (SELECT 1 FROM v_exact e WHERE e.query_id = i.query_id AND e.chunk_id = c.chunk_id)
     GROUP BY i.query_id, c.chunk_id, c.name)
-  WHERE query_id NOT IN (SELECT query_id FROM v_exact GROUP BY query_id HAVING count(*) >= 50))
+)
 WHERE n <= 20
 """,
 )
@@ -558,4 +616,13 @@ FROM ({shown_sql('v_collapsed_full')}) JOIN ({floor_sql(0.25)}) USING (query_id)
 """
     ),
 }
+ORACLES["symbol_scan"] = ORACLES["symbol_search"]
+ORACLES["vector_bounded"] = ORACLES["vector_topk"]
+ORACLES["fts_scan"] = hits_sql("(SELECT * FROM v_and_hits UNION ALL SELECT * FROM v_or_hits)")
+ORACLES["stored_postings"] = select(
+    """
+SELECT term, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS places, CAST(max(w) AS INTEGER) AS top
+FROM (SELECT chunk_id, term, count(*) AS n, sum(weight) AS w FROM v_postings GROUP BY chunk_id, term) GROUP BY term
+"""
+)
 ORACLES["stored_retrieve"] = ORACLES["hybrid_retrieve"]

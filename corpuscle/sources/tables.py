@@ -3,7 +3,11 @@
 Rewriting a batch is idempotent, and everything is written where every executor can read it.
 """
 
+import hashlib
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +53,32 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_bucketed(rows: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
+    """Write rows under `path` in buckets by hash of `keys`, sorted by them, so that joins on these keys need not move them."""
+    name = _bucketed_name(path)
+    rows.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    dealt = rows.repartition(buckets, *keys)  # one file for each bucket
+    dealt.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+
+
+def read_bucketed(spark: SparkSession, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """A table that `write_bucketed` stored, in whatever session: its files are made known again with their buckets."""
+    name = _bucketed_name(path)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        by = ", ".join(keys)
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+            f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+    return spark.table(name)
+
+
+def _bucketed_name(path: str) -> str:
+    """The table's name in the session's catalog."""
+    return f"corpuscle_{hashlib.md5(path.encode()).hexdigest()}"
+
+
 # ── Intermediate results ──────────────────────────────────────────────────────
 
 
@@ -61,21 +91,51 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/work").rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    """A path and its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in this run's part of the shared folder, which goes when the session's JVM ends."""
-    jvm = spark.sparkContext._jvm
+    """A fresh path in this run's part of the shared folder, which goes with the `scratch` it was made in, or else when the
+    session's JVM ends."""
     folder = f"{shared_dir(spark)}/corpuscle/{spark.sparkContext.applicationId}"
-    place = jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+    place, files = _place(spark, folder)
+    files.deleteOnExit(place)
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+    made = _SCRATCH.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Work folders made inside go at the end; what is needed of them must be stored outside by then.
+
+    For steps that give a small result after many large ones, so that a long job does not keep them all.
+    """
+    made: list[str] = []
+    token = _SCRATCH.set(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in made:
+            place, files = _place(spark, path)
+            files.delete(place, True)
 
 
-def stored(rows: DataFrame, name: str) -> DataFrame:
-    """Rows written once to the shared folder and read back.
+def stored(rows: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Rows written once to the shared folder and read back; under `path` when one was taken before.
 
     For results that several later steps read: it cuts their lineage, survives lost executors, and
     lets the planner see how large they are.
     """
-    path = work_path(rows.sparkSession, name)
+    path = path or work_path(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

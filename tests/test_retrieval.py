@@ -82,7 +82,7 @@ def test_ladder(spark):
 def test_short_identifiers_are_found_inside_names(spark):
     found = sl.containing_names(
         spark.createDataFrame([(1, "X"), (1, "be"), (1, "zz"), (2, "te"), (2, "abel")], "snapshot_id bigint, identifier string"),
-        corpus(spark, SHOP),
+        sl.name_grams(corpus(spark, SHOP)),
     )
     assert sorted((r.identifier, r.name) for r in found.collect()) == [
         ("X", "aXb"), ("be", "label"), ("be", "label_test_all"), ("be", "test_label"), ("te", "Item"),
@@ -234,7 +234,7 @@ def test_approximate_search_recalls_most_and_tops_up(spark, tmp_path):
     exact = pairs(vl.vector_topk(queries, chunks, vectors, "m"))
     index = vl.index_vectors(vl.hash_vectors(vl.first_chunks(chunks, 20), vectors, "m"), str(tmp_path / "index"))
     assert len(index.centres) > 10
-    found = pairs(vl.vector_topk_approx(queries, chunks, index, share=0.7))
+    found = pairs(vl.vector_topk_approx(queries, vl.first_chunks(chunks, 20), index))
     assert len(found & exact) >= 0.9 * len(exact)
     assert {p for p in exact if p[0] == 99} <= found
 

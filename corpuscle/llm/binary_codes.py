@@ -26,6 +26,8 @@ COPIES = 4  # cells a vector may be in on average, or as many as all vectors hav
 TILE = 1_024  # vectors compared with as many at a time
 CHUNK = 8_192  # vectors of a cell that go to one task; larger cells go chunk by chunk
 BOUND = 4.0  # half-width of the confidence bound, in standard deviations
+ROUNDING = 2e-5  # more than sums of single precision are off by
+CELLS = 4_096  # bound on cells
 
 
 def rotation(size: int, seed: int = 7) -> np.ndarray:
@@ -49,49 +51,46 @@ def centres(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
 
 @dataclass
 class Codes:
-    """Signs of rotated residuals, their norms, and how far each residual agrees with its signs."""
+    """Signs of rotated residuals with their norms and correction factors, laid out so that one product of two rows is the most
+    that an inner product may be."""
 
-    rotated: np.ndarray  # unit residuals, rotated
-    signs: np.ndarray  # plus and minus one over the root of the dimension
-    norm: np.ndarray
-    agree: np.ndarray
-    along: np.ndarray  # inner product with the centre
+    full: np.ndarray  # rotated residual, then inner product with the centre, one, norm
+    coded: np.ndarray  # signs with norm and correction, then one, inner product with the centre less its square, norm times the bound
 
     @classmethod
     def of(cls, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> "Codes":
-        """Codes of unit vectors around a centre."""
+        """Codes of unit vectors around a centre.
+
+        A residual agrees with its own signs by a factor that is stored; another residual's product with the signs, divided by
+        that factor, estimates the product of the two without bias, and the factor also says how far off it may be.
+        """
+        size = vectors.shape[1]
         rest = vectors - centre
         norm = np.linalg.norm(rest, axis=1)
         rotated = (rest / np.where(norm > 0, norm, 1)[:, None]) @ turn
-        signs = np.where(rotated >= 0, 1.0, -1.0) / np.sqrt(vectors.shape[1])
-        return cls(
-            rotated.astype(np.float32),
-            signs.astype(np.float32),
-            norm,
-            np.maximum((rotated * signs).sum(1), 1e-6),
-            vectors @ centre,
-        )
-
-    def reaches(self, rows: slice, other: "Codes", columns: slice, centre: float, least: float) -> np.ndarray:
+        signs = np.where(rotated >= 0, 1.0, -1.0) / np.sqrt(size)
+        agree = np.maximum((rotated * signs).sum(1), 1e-6)
+        spread = BOUND * np.sqrt((1 - np.minimum(agree**2, 1)) / (agree**2 * max(size - 1, 1)))
+        along, one = vectors @ centre, np.ones(len(vectors))
+        full = np.column_stack([rotated * norm[:, None], along, one, norm])
+        coded = np.column_stack([signs * (norm / agree)[:, None], one, along - centre @ centre, norm * (spread + 1e-4)])
+        return cls(full.astype(np.float32), coded.astype(np.float32))
+
+    def reaches(self, rows: slice, other: "Codes", columns: slice, least: float) -> np.ndarray:
         """Pairs whose inner product may be `least` or more, as the estimate and its bound tell."""
-        agree = other.agree[columns]
-        estimate = (self.rotated[rows] @ other.signs[columns].T) / agree
-        spread = BOUND * np.sqrt((1 - np.minimum(agree**2, 1)) / (agree**2 * max(self.signs.shape[1] - 1, 1)))
-        scale = self.norm[rows][:, None] * other.norm[columns]
-        base = self.along[rows][:, None] + other.along[columns] - centre
-        return base + scale * (estimate + spread + 1e-4) >= least
+        return self.full[rows] @ other.coded[columns].T >= np.float32(least - ROUNDING)
 
 
-def visits(vectors: np.ndarray, middle: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def visits(vectors: np.ndarray, middle: np.ndarray, inner: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """The cell each unit vector lives in, and (row by cell) the earlier cells in which one lives that it may link with.
 
     A vector that lives in a cell is nearer to its centre than to any other; among vectors within `least` of a given one, the greatest
-    inner product with the difference of two centres tells whether one can be nearer to the first than to the second.
+    inner product with the difference of two centres tells whether one can be nearer to the first than to the second. `inner` are the
+    products of all centres with each other.
     """
     along = vectors @ middle.T
     home = along.argmax(1)
     own = along[np.arange(len(home)), home][:, None]
-    inner = middle @ middle.T
     norms = np.diag(inner)
     apart = norms[home][:, None] + norms[None] - 2 * inner[home]  # squared distance from the own centre to each
     ahead = along - own
@@ -104,11 +103,10 @@ def links_between(a: np.ndarray, b: np.ndarray, centre: np.ndarray, turn: np.nda
     same = a is b
     ca = Codes.of(a, centre, turn)
     cb = ca if same else Codes.of(b, centre, turn)
-    own = float(centre @ centre)
     found = []
     for i in range(0, len(a), TILE):
         for j in range(i if same else 0, len(b), TILE):
-            x, y = np.nonzero(ca.reaches(slice(i, i + TILE), cb, slice(j, j + TILE), own, least))
+            x, y = np.nonzero(ca.reaches(slice(i, i + TILE), cb, slice(j, j + TILE), least))
             x, y = x + i, y + j
             if same:
                 x, y = x[x < y], y[x < y]
@@ -144,36 +142,37 @@ def _as_bytes(vectors: DataFrame, size: int) -> DataFrame:
 def near_vectors(vectors: DataFrame, *, least: float = 0.9, sample: int = SAMPLE) -> DataFrame:
     """`vec_id, n_links, component_id, kept` for every row of `vectors(vec_id, embedding)`.
 
-    Linked are pairs found with a cosine of `least` or more. Null or empty vectors, ones of zeros, ones with null or non-finite parts and ones whose length is
-    not the most frequent link with nothing. component_id is the least id that links reach; null ids do not count, and
-    a row without id that reaches none has none. Other columns are not read.
+    Linked are pairs found with a cosine of `least` or more. Null or empty vectors, ones of zeros and ones with null or non-finite parts link with
+    nothing, and vectors of different lengths do not link with each other. component_id is the least id that links reach; null ids do not
+    count, and a row without id that reaches none has none. Other columns are not read.
     """
     numbers = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce((F.size("embedding") > 0) & finite & some, F.lit(False)))
-    sizes = rows.where("sound").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    size = sizes.d if sizes else 1
-    rows = rows.withColumn("sound", F.col("sound") & (F.size("embedding") == size))
-    able = stored(_as_bytes(rows.where("sound").select("vec_id", "embedding"), size), "vectors")
-    alone = rows.where(~F.col("sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    found = rows.where(~F.col("sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    sizes = rows.where("sound").select(F.size("embedding").alias("d")).distinct().orderBy("d")
+    for size in sizes.toLocalIterator():  # as many jobs as there are lengths
+        one = rows.where(F.col("sound") & (F.size("embedding") == size.d)).select("vec_id", "embedding")
+        found = found.union(_near(one, size.d, least, sample))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
+
+def _near(rows: DataFrame, size: int, least: float, sample: int) -> DataFrame:
+    """`vec_id, n_links, component_id` of sound vectors of one length."""
+    able = stored(_as_bytes(rows, size), "vectors")
     classes = able.groupBy("vector").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
-    count = classes.count()
-    if count:
-        found = _linked(classes, count, size, least, sample)
-        links, counts = found.where("b IS NOT NULL").select("a", "b"), found.where("b IS NULL")
-        named = classes.join(components(links), "node", "left")
-        counts = counts.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-        named = named.join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        reached = named.groupBy("component").agg(F.min("least").alias("component_id"))
-        total = (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")
-        named = named.join(reached, "component").select("vector", total, "component_id")
-        linked = able.join(named, "vector").select("vec_id", "n_links", "component_id")
-        alone = linked.union(alone)
-    return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    found = _linked(classes, classes.count(), size, least, sample)
+    links, counts = found.where("b IS NOT NULL").select("a", "b"), found.where("b IS NULL")
+    named = classes.join(components(links), "node", "left")
+    counts = counts.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    named = named.join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    reached = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    total = (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+    named = named.join(reached, "component").select("vector", total, "component_id")
+    return able.join(named, "vector").select("vec_id", "n_links", "component_id")
 
 
 def _linked(classes: DataFrame, count: int, size: int, least: float, sample: int) -> DataFrame:
@@ -182,20 +181,22 @@ def _linked(classes: DataFrame, count: int, size: int, least: float, sample: int
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     drawn = classes.select("vector").orderBy(F.xxhash64("vector")).limit(sample).toArrow().sort_by("vector")
     known = _unit(drawn.column("vector").combine_chunks(), size)
-    middle = centres(known, max(1, int(count**0.5)))
-    copies = 1 + np.mean([visits(known[k : k + 4096], middle, least)[1].sum(1).mean() for k in range(0, len(known), 4096)])
+    middle = centres(known, max(1, min(CELLS, int(count**0.5))))
+    inner = middle @ middle.T
+    copies = 1 + np.mean([visits(known[k : k + 2048], middle, inner, least)[1].sum(1).mean() for k in range(0, len(known), 2048)])
     if copies > max(COPIES, -(-count // CHUNK)):
         middle = centres(known, 1)
+        inner = middle @ middle.T
     turn = rotation(size)
-    shared = spark.sparkContext.broadcast((middle, turn))
+    shared = spark.sparkContext.broadcast((middle, inner, turn))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        middle, _ = shared.value
+        middle, inner, _ = shared.value
         names = ["cell", "node", "vector", "weight", "lives"]
         for batch in batches:
             for first in range(0, batch.num_rows, 2_000):
                 part = batch.slice(first, 2_000)
-                home, others = visits(_unit(part.column("vector"), size), middle, least)
+                home, others = visits(_unit(part.column("vector"), size), middle, inner, least)
                 yield pa.record_batch([pa.array(home), *part.columns, pa.array(np.ones(len(home), bool))], names)
                 rows, cell = np.nonzero(others)
                 for k in range(0, len(rows), 8_192):
@@ -221,7 +222,7 @@ def _linked(classes: DataFrame, count: int, size: int, least: float, sample: int
     )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        middle, turn = shared.value
+        middle, _, turn = shared.value
         for key, group in _groups(batches):
             vectors = _unit(group.column("vector").combine_chunks(), size)
             node, weight = group.column("node").to_numpy(), group.column("weight").to_numpy()

@@ -61,12 +61,7 @@ f AS (SELECT * FROM fill WHERE step = 60),
 t AS (SELECT source, place, s, CASE WHEN held THEN 2 * s ELSE w *
     (1.5 * sum(s) OVER () - coalesce(sum(2 * s) FILTER (WHERE held) OVER (), 0)) / sum(w) FILTER (WHERE NOT held) OVER () END
     AS target FROM f),
-v AS (SELECT *, floor(sum(target) OVER (ORDER BY place) / sum(target) OVER () * 2147483648) AS high FROM t),
-i AS (SELECT *, coalesce(lag(high) OVER (ORDER BY place), 0) AS low FROM v),
-slots AS (SELECT slot % 2147483648 * 1327217885 % 2147483648 AS point
-  FROM range((SELECT CASE WHEN sum(target) > 0 THEN floor(sum(target) * 1.01 / 128)::BIGINT + 8 * count(*) + 1 ELSE 0 END FROM t)) r(slot)),
-c AS (SELECT place, count(*) * 128 AS words FROM slots JOIN i ON point >= low AND point < high GROUP BY place),
-q AS (SELECT t.*, least(floor(target), 2 * s, coalesce(words, 0)) AS quota FROM t LEFT JOIN c USING (place)),
+q AS (SELECT t.*, least(floor(target), 2 * s) AS quota FROM t),
 o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY mixed, doc_id ROWS UNBOUNDED PRECEDING) - size AS pos FROM d)
 SELECT o.doc_id, o.size::BIGINT AS size, q.s::BIGINT AS source_size, q.target,
   (greatest(0, least(pos + size, quota) - pos) + greatest(0, least(pos + size + s, quota) - pos - s))::BIGINT AS taken

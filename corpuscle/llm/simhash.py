@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm.components import components
 from corpuscle.llm.words import mix64, shingles, split_words, text_slices, xxh64
-from corpuscle.sources.tables import stored
+from corpuscle.sources.tables import scratch, stored, work_path
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)  # little-endian bits of a byte
 DIRECT = 64  # node pairs with at most so many pairs below them are compared outright
@@ -420,9 +420,64 @@ def _common_shingles(texts: DataFrame, count: int, words: int) -> tuple[np.ndarr
     return hashes[order], counts[order], step
 
 
+def _groups_below(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Rows sorted by key: tables of whole keys with at most `most` rows each, and (True) pieces of the keys that have more."""
+    held: list[pa.RecordBatch] = []
+    large = None  # the key whose rows go out in pieces
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy()
+        if large is not None:
+            cut = int(np.searchsorted(values, large, side="right"))
+            if cut:
+                yield pa.Table.from_batches([batch.slice(0, cut)]), True
+            if cut == batch.num_rows:
+                continue
+            batch, large = batch.slice(cut), None
+        held.append(batch)
+        if sum(b.num_rows for b in held) < 2 * most:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield from _cut_groups(table, key, most, last=False)
+        values = table.column(key).to_numpy()
+        cut = int(np.searchsorted(values, values[-1]))
+        held = []
+        if table.num_rows - cut > most:
+            large = values[-1]
+            yield table.slice(cut), True
+        else:
+            held = table.slice(cut).to_batches()
+    if held:
+        yield from _cut_groups(pa.Table.from_batches(held).combine_chunks(), key, most, last=True)
+
+
+def _cut_groups(table: pa.Table, key: str, most: int, *, last: bool) -> Iterator[tuple[pa.Table, bool]]:
+    """The keys of a sorted table, small ones together; not the last key, whose rows may go on, unless it is said to be complete."""
+    values = table.column(key).to_numpy()
+    cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
+    if not last:
+        cuts = cuts[:-1]
+    size = np.diff(cuts)
+    first = 0
+    for k in np.flatnonzero(size > most).tolist():
+        if cuts[k] > first:
+            yield table.slice(first, cuts[k] - first), False
+        yield table.slice(cuts[k], size[k]), True
+        first = int(cuts[k + 1])
+    if cuts[-1] > first:
+        yield table.slice(first, cuts[-1] - first), False
+
+
+_SHARING = "a long, b long, key long, group long, spot long"
+
+
 def pairs_by_shingles(texts: DataFrame, grouped: DataFrame, count: int, *, words: int, similarity: float) -> DataFrame:
     """Pairs `a, b` of `mark` of `texts(mark, text)` that may have a Jaccard similarity of `similarity` or more: all that do, but for
     pairs whose marks have the same group in `grouped(mark, group)`.
+
+    Texts meet by each of their rarest shingles. One that the sample shows to be very common is dealt out in chunks at once; any other
+    that turns out to be in more than HOT texts is handed back by its task and dealt out then.
     """
     common = _common_shingles(texts, count, words)
     shared = texts.sparkSession.sparkContext.broadcast(common)
@@ -448,29 +503,99 @@ def pairs_by_shingles(texts: DataFrame, grouped: DataFrame, count: int, *, words
                 rows = [pa.array(np.concatenate(x)) for x in zip(*columns, strict=True)]
                 yield pa.record_batch(rows, ["key", "node", "group", "spot"])
 
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, node, group, spot = (table.column(c).to_numpy() for c in ("key", "node", "group", "spot"))
+        for a, b in pairs_sharing(key, node, group, spot & 0xFFFFFFFF, spot >> 32, similarity):
+            ends = np.unique(np.stack([a, b], axis=1), axis=0)
+            none = pa.nulls(len(ends), pa.int64())
+            yield pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1]), none, none, none], ["a", "b", "key", "group", "spot"])
+
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, large in _groups_below(batches, "key", HOT):
+            if not large:
+                yield from found(table)
+                continue
+            for rows in table.to_batches():
+                none = pa.nulls(rows.num_rows, pa.int64())
+                columns = [rows.column("node"), none, *(rows.column(c) for c in ("key", "group", "spot"))]
+                yield pa.record_batch(columns, ["a", "b", "key", "group", "spot"])
+
+    def pair_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, "key"):
-            key, node, group, spot = (table.column(c).to_numpy() for c in ("key", "node", "group", "spot"))
-            for a, b in pairs_sharing(key, node, group, spot & 0xFFFFFFFF, spot >> 32, similarity):
-                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+            yield from found(table)
 
     named = texts.join(_few(grouped.withColumnRenamed("mark", "_mark")), F.col("mark") == F.col("_mark"), "left")
     named = named.select("mark", F.coalesce("group", F.lit(-1)).cast("long").alias("group"), "text")
     rows = named.mapInArrow(place, "key long, node long, group long, spot long")
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(partitions, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(pair, "a long, b long").distinct()
+    met = stored(dealt.mapInArrow(pair, _SHARING), "sharing")
+    pairs = met.where("b IS NOT NULL").select("a", "b")
+    back = met.where("b IS NULL")
+    sizes = back.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("chunks"))
+    if not sizes.isEmpty():
+        chunked = back.join(_few(sizes), "key").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
+        chunked = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        both = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key")
+        dealt = chunked.select(both, F.col("a").alias("node"), "group", "spot").repartition(partitions, "key").sortWithinPartitions("key")
+        pairs = pairs.union(dealt.mapInArrow(pair_chunks, _SHARING).select("a", "b"))
+    return pairs.distinct()
 
 
-def verified_pairs(texts: DataFrame, pairs: DataFrame, *, words: int, similarity: float) -> DataFrame:
-    """The pairs `a, b` of marks whose texts have a Jaccard similarity of `similarity` or more."""
+PARITIES = 2_048  # bits of a parity sketch
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def parity_sketch(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """One row of bytes per set: bit k tells whether the set has an odd number of hashes with remainder k.
+
+    Two sets that differ in d members differ in at most d bits, so the bits say how many members two sets can share at most.
+    """
+    size = np.diff(cuts)
+    spot = np.repeat(np.arange(len(size)), size) * PARITIES + (hashes % np.uint64(PARITIES)).astype(np.int64)
+    odd = np.bincount(spot, minlength=len(size) * PARITIES).reshape(len(size), PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1)
+
+
+def _shingled(texts: DataFrame, marks: DataFrame, words: int, *, sketch: bool) -> DataFrame:
+    """`mark, size, shingles` of the texts with these marks, one row each; the shingles as bytes, or their parity sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                hashes, cuts = shingle_sets(part.column("text"), words)
-                sets = [hashes[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
-                yield pa.record_batch([part.column("mark"), pa.array(sets, pa.binary())], ["mark", "shingles"])
+                for rows in (part.slice(k, 512) for k in range(0, part.num_rows, 512)):
+                    hashes, cuts = shingle_sets(rows.column("text"), words)
+                    values = [x.tobytes() for x in parity_sketch(hashes, cuts)] if sketch else None
+                    values = values or [hashes[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
+                    columns = [rows.column("mark"), pa.array(np.diff(cuts)), pa.array(values, pa.binary())]
+                    yield pa.record_batch(columns, ["mark", "size", "shingles"])
+
+    chosen = texts.join(_few(marks.toDF("_mark")), F.col("mark") == F.col("_mark"), "left_semi").select("mark", "text")
+    return chosen.mapInArrow(run, "mark long, size long, shingles binary").dropDuplicates(["mark"])
+
+
+def _with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with sizes and shingles of either side."""
+    left = sets.select(F.col("mark").alias("a"), F.col("size").alias("left_size"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("mark").alias("b"), F.col("size").alias("right_size"), F.col("shingles").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left_size", "right_size", "left", "right")
+
+
+def verified_pairs(texts: DataFrame, pairs: DataFrame, *, words: int, similarity: float) -> DataFrame:
+    """The pairs `a, b` of marks whose texts have a Jaccard similarity of `similarity` or more.
+
+    Parity sketches of 256 bytes rule most of the others out; only texts of pairs that are left have their shingles compared.
+    """
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("left", "right"))
+            differ = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+            both = batch.column("left_size").to_numpy() + batch.column("right_size").to_numpy()
+            shared = (both - differ) / 2  # at most
+            keep = pa.array(shared >= similarity * (both - shared) - 1e-9)
+            yield pa.record_batch([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -480,27 +605,33 @@ def verified_pairs(texts: DataFrame, pairs: DataFrame, *, words: int, similarity
             keep = pa.array(both >= similarity * union - 1e-9)
             yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    marks = pairs.select(F.col("a").alias("_mark")).union(pairs.select("b")).distinct()
-    chosen = texts.join(_few(marks), F.col("mark") == F.col("_mark"), "left_semi").select("mark", "text")
-    sets = chosen.mapInArrow(shingled, "mark long, shingles binary").dropDuplicates(["mark"])
-    sets = stored(sets, "pair-sets")
-    left = sets.select(F.col("mark").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("mark").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+    ends = pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct()
+    sketches = stored(_shingled(texts, ends, words, sketch=True), "sketches")
+    pairs = stored(_with_both(pairs, sketches).mapInArrow(near, "a long, b long"), "near-pairs")
+    ends = pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct()
+    sets = stored(_shingled(texts, ends, words, sketch=False), "pair-sets")
+    return _with_both(pairs, sets).mapInArrow(check, "a long, b long")
 
 
 def similar_documents(
-    docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bits: int = 512, budget: int = 92, parts: int = 39
+    docs: DataFrame, *, words: int = 5, similarity: float = 0.8, bits: int = 256, budget: int = 46, parts: int = 20
 ) -> DataFrame:
     """`doc_id, mark, component_id` for documents linked with another: components of texts whose sets of word shingles have
     a Jaccard similarity of `similarity` or more.
 
-    Fingerprints wide enough to tell similarities apart propose most of what is alike: 92 of 512 bits differ at a similarity of 0.77 on
+    Fingerprints wide enough to tell similarities apart propose most of what is alike: 46 of 256 bits differ at a similarity of 0.77 on
     average. Inside each component of those, similarity is computed exactly, between chunks of texts; a task gives a spanning forest of the
     links it finds. Fingerprints miss some pairs, most of them short texts; so all texts are then joined on their rarest shingles, of which alike
     texts share one, and pairs that are not linked yet are computed exactly too. `mark` is a hash of the text; component_id is the least
-    doc_id that links reach, null when none has one. Texts without words are alike to none.
+    doc_id that links reach, null when none has one. Texts without words are alike to none. Only the result is kept in the shared folder.
     """
+    path = work_path(docs.sparkSession, "similar")
+    with scratch(docs.sparkSession):
+        return _similar(docs, path, words=words, similarity=similarity, bits=bits, budget=budget, parts=parts)
+
+
+def _similar(docs: DataFrame, path: str, *, words: int, similarity: float, bits: int, budget: int, parts: int) -> DataFrame:
+    """`similar_documents`, stored under a path."""
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark, F.col("text").cast("string").alias("text"))
     near = near_duplicates(texts, words=words, bits=bits, budget=budget, parts=parts, once=True)
@@ -553,7 +684,7 @@ def similar_documents(
         reached = components(reached.toDF("a", "b").union(ends))
     named = loose.select("doc_id", "mark", "node").join(reached, "node")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return stored(named.join(least, "component").select("doc_id", "mark", "component_id"), "similar")
+    return stored(named.join(least, "component").select("doc_id", "mark", "component_id"), "similar", path)
 
 
 def without_near_duplicates(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:

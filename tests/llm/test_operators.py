@@ -6,9 +6,11 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ from corpuscle.llm import (
     token_files,
 )
 from corpuscle.llm.components import components
-from corpuscle.sources.tables import work_path
+from corpuscle.sources.tables import shared_dir, work_path
 
 from .conftest import SF, words
 
@@ -408,6 +410,51 @@ def test_short_texts_at_the_threshold_are_linked(documents, monkeypatch, hot):
     assert kept == {2 * k for k in range(80)} | set(range(1000, 1020))
 
 
+@pytest.mark.parametrize("most", [3, 10, 1000])
+def test_large_groups_are_handed_back_and_small_ones_kept_whole(most):
+    rng = random.Random(most)
+    keys = sorted(rng.choice([1, 2, 3, 4, 5, 6, 6, 6, 6, 9, 9, 9]) for _ in range(300))
+    table = pa.table({"key": pa.array(keys), "row": pa.array(range(300))})
+    batches = [b for k in range(0, 300, 7) for b in table.slice(k, 7).to_batches()]
+    small, large = [], []
+    for part, over in simhash._groups_below(iter(batches), "key", most):
+        (large if over else small).append(part)
+    count = collections.Counter(keys)
+    assert sorted(r for t in [*small, *large] for r in t.column("row").to_pylist()) == list(range(300))
+    assert {k for t in large for k in t.column("key").to_pylist()} == {k for k, n in count.items() if n > most}
+    seen = [k for t in small for k in set(t.column("key").to_pylist())]
+    assert len(seen) == len(set(seen))  # no key is cut
+
+
+def test_parity_sketches_never_say_too_little_is_shared():
+    rng = np.random.default_rng(31)
+    for size in (1, 5, 300, 9_000):
+        a = rng.integers(0, 1 << 63, size=size, dtype=np.uint64)
+        b = np.concatenate([a[: size * 9 // 10], rng.integers(0, 1 << 63, size=size // 5, dtype=np.uint64)])
+        left, right = simhash.parity_sketch(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        differ = int(np.bitwise_count(left ^ right).sum())
+        assert differ <= len(np.setxor1d(a, b)) and (size < 100 or size > 1_000 or differ > 0.8 * len(np.setxor1d(a, b)))
+
+
+def test_middle_sized_hot_shingles_are_found_without_the_sample(documents, monkeypatch):
+    """A passage in many texts that the sample does not show: its shingles are handed back and met in chunks."""
+    monkeypatch.setattr(simhash, "HOT", 5)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    rng = random.Random(32)
+    passage = words(rng, 60)
+    rows = [(k, f"{passage} {words(rng, 2)}") for k in range(40)] + [(100 + k, words(rng, 40)) for k in range(40)]
+    got = simhash.similar_documents(documents(rows), budget=0, parts=8).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(k, 0) for k in range(40)}
+
+
+def test_work_folders_of_near_copies_go(spark, documents, tmp_path):
+    rows = [(k, "one two three four five six seven " + "x " * (k % 2)) for k in range(4)]
+    root = Path(shared_dir(spark).removeprefix("file:")) / "corpuscle" / spark.sparkContext.applicationId
+    before = set(root.iterdir()) if root.exists() else set()
+    assert simhash.similar_documents(documents(rows)).count() > 0
+    assert {p.name.rsplit("-", 1)[0] for p in set(root.iterdir()) - before} == {"similar"}
+
+
 def test_near_copies_in_odd_tables(odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.without_near_duplicates(nothing).count() == 0
     kept = simhash.without_near_duplicates(odd)
@@ -566,7 +613,8 @@ def test_links_of_vectors_by_brute_force(spark):
     rows = [(int(k), (base[k % 60] + rng.normal(size=16) * 0.1 * (k // 60)).tolist()) for k in range(240)]
     rows += [(300 + k, base[0].tolist()) for k in range(30)] + [(0, base[5].tolist()), (0, base[5].tolist())]
     rows += [(400, None), (401, []), (402, [0.0] * 16), (403, [float("nan")] * 16), (404, [float("inf")] + [1.0] * 15), (405, [None] + [1.0] * 15)]
-    rows += [(406, [1.0] * 3), (None, base[7].tolist()), (None, None)]
+    rows += [(406, [1.0] * 3), (407, [2.0] * 3), (408, [1.0, -1.0, 0.0]), (409, [1.0, -1.0, 0.1]), (410, [3.0]), (411, [1e-3])]
+    rows += [(None, base[7].tolist()), (None, None)]
     check_vectors(spark, rows)
 
 
@@ -599,7 +647,8 @@ def test_vectors_visit_where_partners_live(spread):
     side = rng.normal(size=x.shape)
     side = unit(side - (side * x).sum(1, keepdims=True) * x)
     x = np.concatenate([x, 0.9001 * x + np.sqrt(1 - 0.9001**2) * side])
-    home, others = binary_codes.visits(x, binary_codes.centres(x, 50), 0.9)
+    middle = binary_codes.centres(x, 50)
+    home, others = binary_codes.visits(x, middle, middle @ middle.T, 0.9)
     a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
     a, b = np.where(home[a] < home[b], a, b), np.where(home[a] < home[b], b, a)
     assert (others[b, home[a]] | (home[a] == home[b])).all() and (home[a] != home[b]).sum() > 100
@@ -629,7 +678,7 @@ def test_bounds_hold_for_estimates():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     centre = x[:20].mean(0)
     codes = binary_codes.Codes.of(x, centre, binary_codes.rotation(64))
-    may = codes.reaches(slice(None), codes, slice(None), float(centre @ centre), 0.9)
+    may = codes.reaches(slice(None), codes, slice(None), 0.9)
     assert may[x @ x.T >= 0.9].mean() > 0.999 and may[x @ x.T < 0.5].mean() < 0.02
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as tx
-from corpuscle.operators.querylog import medians
+from corpuscle.operators.querylog import medians_of
 
 TOP_K = 5  # fixed value: how deep a case's target may rank
 
@@ -104,8 +104,7 @@ def eval_report(results: DataFrame) -> DataFrame:
     )
     timed = results.filter(scored & (F.col("outcome") != "error"))
     return (
-        totals.join(medians(timed, ["run_id"], "ms", "median_ms"), "run_id", "left")
-        .join(medians(timed, ["run_id"], "usd", "median_usd"), "run_id", "left")
+        totals.join(medians_of(timed, ["run_id"], {"median_ms": "ms", "median_usd": "usd"}), "run_id", "left")
         .withColumn("lowest_cosine", F.col("low.cosine"))
         .withColumn("lowest_case", F.col("low.case_id"))
         .drop("low")

@@ -137,6 +137,15 @@ def medians(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> Data
     return running.groupBy(*keys).agg(((at("_low") + at("_high")) / 2.0).alias(name))
 
 
+def medians_of(rows: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """The exact medians of several columns per key, as (*keys, one column for each name in `values`): all selected together, as one
+    column of values with the name of their measure. A key whose values are all null has null."""
+    measures = F.array(*[F.struct(F.lit(n).alias("_m"), F.col(c).cast("double").alias("_x")) for n, c in values.items()])
+    stacked = rows.select(*keys, F.inline(measures))
+    found = medians(stacked, [*keys, "_m"], "_x", "_median")
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_m") == n, F.col("_median"))).alias(n) for n in values])
+
+
 def answer_stats(query_log: DataFrame, *keys: str) -> DataFrame:
     """Per key over answered rows: n, median total ms, median dollars, and the share of prompt
     tokens read from cache (null without prompt tokens)."""
@@ -150,10 +159,7 @@ def answer_stats(query_log: DataFrame, *keys: str) -> DataFrame:
     totals = answered.groupBy(*keys).agg(
         F.count("*").alias("n"), F.when(prompt > 0, read / prompt).alias("cache_read_share")
     )
-    return (
-        totals.join(medians(answered, keys, "ms", "median_ms"), list(keys))
-        .join(medians(answered, keys, "usd", "median_usd"), list(keys))
-    )
+    return totals.join(medians_of(answered, keys, {"median_ms": "ms", "median_usd": "usd"}), list(keys), "left")
 
 
 def latency_stages(query_log: DataFrame, *, stages: Sequence[str] = STAGES) -> DataFrame:

@@ -121,11 +121,8 @@ def active_snapshots(repos: DataFrame, snapshots: DataFrame) -> DataFrame:
     return repos.select("id", "owner", "name", "url").join(active, "id")
 
 
-def sweep_snapshots(
-    snapshots: DataFrame, files: DataFrame, chunks: DataFrame, *, keep: int = KEEP_SNAPSHOTS
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Drop retired and failed snapshots outside a repo's newest `keep` that are not building,
-    and their files and chunks.
+def swept_snapshots(snapshots: DataFrame, *, keep: int = KEEP_SNAPSHOTS) -> DataFrame:
+    """The ids of retired and failed snapshots outside a repo's newest `keep` that are not building.
 
     The newest `keep` per repo are found with a limited row_number, which Spark applies before
     the shuffle, so a repo with very many snapshots stays cheap.
@@ -137,11 +134,14 @@ def sweep_snapshots(
         .filter(F.col("n") <= keep)
         .select("id")
     )
-    swept = (
-        snapshots.filter("status IN ('retired', 'failed')")
-        .select("id")
-        .join(kept, "id", "left_anti")
-    )
+    return snapshots.filter("status IN ('retired', 'failed')").select("id").join(kept, "id", "left_anti")
+
+
+def sweep_snapshots(
+    snapshots: DataFrame, files: DataFrame, chunks: DataFrame, *, keep: int = KEEP_SNAPSHOTS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left of snapshots, files and chunks when the swept ones are dropped; `manifest.sweep_index` drops them from disk."""
+    swept = swept_snapshots(snapshots, keep=keep)
     gone = swept.withColumnRenamed("id", "snapshot_id")
     return (
         snapshots.join(swept, "id", "left_anti"),
@@ -216,3 +216,46 @@ def snapshot_diff(chunks: DataFrame, old_id: int, new_id: int) -> DataFrame:
             .alias("change"),
         )
     )
+
+
+# ── Digests of hash ranges ────────────────────────────────────────────────────
+
+FOLDER, RANGE = 2, 4  # hex digits of a content hash that name its folder and its range
+
+
+def distinct_hashes(chunks: DataFrame) -> DataFrame:
+    """`snapshot_id, folder, range, content_hash`: the distinct hashes of each snapshot, by their first hex digits."""
+    digits = lambda n: F.substring("content_hash", 1, n)
+    return chunks.select("snapshot_id", digits(FOLDER).alias("folder"), digits(RANGE).alias("range"), "content_hash").distinct()
+
+
+def range_digests(hashes: DataFrame) -> DataFrame:
+    """`snapshot_id, folder, range, n, digest` of `distinct_hashes`: ranges of equal content have equal digests.
+
+    A digest adds up two independent 64-bit hashes of what is in the range, so order and batches do not matter.
+    """
+    total = lambda seed: F.sum(F.xxhash64("content_hash", F.lit(seed)).cast("decimal(38,0)")).cast("string")
+    return hashes.groupBy("snapshot_id", "folder", "range").agg(
+        F.count("*").alias("n"), F.concat_ws(":", total(1), total(2)).alias("digest")
+    )
+
+
+def changed_ranges(digests: DataFrame, old_id: int, new_id: int) -> DataFrame:
+    """`folder, range` in which two snapshots differ."""
+    side = lambda i: digests.filter(F.col("snapshot_id") == i).select("folder", "range", "n", "digest")
+    old, new = side(old_id), side(new_id)
+    same = old.join(new, ["folder", "range", "n", "digest"], "left_semi").select("folder", "range")
+    return old.union(new).select("folder", "range").distinct().join(same, ["folder", "range"], "left_anti")
+
+
+def digest_diff(hashes: DataFrame, digests: DataFrame, old_id: int, new_id: int) -> DataFrame:
+    """The distinct hashes that one of two snapshots has and the other has not: `content_hash, change` (added or removed).
+
+    Digests of ranges are compared first. Folders without a changed range are not listed, and of the others only the rows of
+    changed ranges pass the scan, so the work follows the change and not the size of the snapshots. `hashes` is stored by snapshot and folder.
+    """
+    ranges = changed_ranges(digests, old_id, new_id)
+    folders = [r.folder for r in ranges.select("folder").distinct().collect()]  # 256 at most
+    here = hashes.filter(F.col("folder").isin(folders) & F.col("snapshot_id").isin(old_id, new_id))
+    changed = here.join(ranges, ["folder", "range"], "left_semi")
+    return snapshot_diff(changed, old_id, new_id).filter("change <> 'kept'")

@@ -7,11 +7,13 @@ from corpuscle.functions import text as tx
 from corpuscle.operators import citations as ci
 from corpuscle.operators import context as cx
 from corpuscle.operators import fusion as fu
+from corpuscle.plans import answer as an
 from corpuscle.plans.answer import full_sources
 from corpuscle.registry import adapters as ad
 from corpuscle.registry import retrieval as rr
 from corpuscle.registry.adapters import table
 from corpuscle.registry.sql import select, view
+from corpuscle.sources.tables import stored
 
 COMMIT = "cb74"
 
@@ -172,10 +174,10 @@ def placed(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
 
 
 def replay_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Hits of this turn, after the symbol leg's first three were cited in three earlier turns."""
+    """Hits of this turn, after each hit of the symbol leg was cited in an earlier turn."""
     now = placed(spark, sf, hits(spark, sf)).select("query_id", F.col("rank").alias("pos"), "source")
     _, symbol = rr.rt.search_symbols(ad.plans(spark, sf), ad.corpus(spark, sf))
-    before = placed(spark, sf, symbol.filter("rank <= 3")).select(
+    before = placed(spark, sf, symbol).select(
         "query_id", F.col("rank").alias("turn"), F.lit(0).alias("pos"), "source"
     )
     return cx.replay_dedup(before, now).select("query_id", "turn", "source", "index")
@@ -290,7 +292,70 @@ def uncited_fallback(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ── The answer path ───────────────────────────────────────────────────────────
+
+REPLY = """
+CASE WHEN query_id % 7 = 0 THEN 'Not found in the indexed code: ' || query ELSE 'It is so: ' || query END
+"""
+
+
+def given(spark: SparkSession, sf: str) -> an.Requests:
+    """What every plan is given after hybrid retrieval over the stored index."""
+    chunks, plans, index = ad.corpus(spark, sf), ad.plans(spark, sf), rr.search_index(spark, sf)
+    found = rr.rt.hybrid_retrieve(plans, chunks, None, ad.query_vectors(spark, sf), ad.MODEL, index)
+    hits = found.hits.join(plans.select("query_id", "snapshot_id"), "query_id")
+    return an.requests(stored(hits, "shown"), chunks, commits(spark, sf))
+
+
+def answered(spark: SparkSession, sf: str) -> tuple[an.Answers, DataFrame]:
+    """Replies that cite the first block of each source, every third of them under a wrong index; every fifth question cites nothing."""
+    requests = given(spark, sf)
+    requests = an.Requests(stored(requests.briefed, "briefed"), requests.lines)
+    plans = ad.plans(spark, sf)
+    cited = requests.briefed.filter("query_id % 5 <> 1").groupBy("query_id").agg(
+        F.collect_list(
+            F.struct(
+                F.col("pos").cast("int").alias("pos"),
+                F.expr("CAST(index + CASE WHEN pos % 3 = 0 THEN 1 ELSE 0 END AS INT)").alias("search_result_index"),
+                "source", F.lit(0).alias("start_block"), F.lit(1).alias("end_block"),
+            )
+        ).alias("citations")
+    )
+    replies = plans.select("query_id", F.expr(REPLY).alias("answer"), F.expr("query_id % 4 = 0").alias("truncated"))
+    none = F.array().cast(cited.schema["citations"].dataType)
+    replies = replies.join(cited, "query_id", "left").withColumn("citations", F.coalesce("citations", none))
+    repos = ad.table(spark, sf, "region").select(
+        F.col("r_regionkey").cast("bigint").alias("repo_id"), F.concat(F.lit("https://example.com/"), "r_name").alias("url")
+    )
+    asked = plans.select("query_id", (F.col("query_id") % 5).alias("repo_id"), F.col("query").alias("question"))
+    return an.answers(replies, requests, asked, repos), asked
+
+
+def answer_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The sources that are shown with every answer, from question to link."""
+    found, _ = answered(spark, sf)
+    return found.sources.select("query_id", "pos", "source", "start_line", "end_line", "cited", "url")
+
+
+def answer_log(spark: SparkSession, sf: str) -> DataFrame:
+    """What is logged of every answer."""
+    found, asked = answered(spark, sf)
+    rows = an.log_rows(found, asked)
+    return rows.select(
+        "query_id", "repo_id", "answer", "not_found", F.array_join("notes", "|").alias("notes"), F.size("sources").alias("sources"),
+        F.array_join(F.transform("sources", lambda s: s["source"]), " ").alias("listed"),
+    )
+
+
+def request_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines on hits that are not given in full."""
+    return given(spark, sf).lines
+
+
 QUERIES = {
+    "answer_sources": answer_sources,
+    "answer_log": answer_log,
+    "request_lines": request_lines,
     "recent_turns": recent_turns,
     "validate_plans": validate_plans,
     "validate_summaries": validate_summaries,
@@ -401,7 +466,7 @@ view(
     """
 SELECT h.query_id, h.rank AS turn, CAST(0 AS INTEGER) AS pos,
   c.path || ':' || c.start_line || '-' || c.end_line AS source
-FROM v_symbol_hits h JOIN v_corpus c ON c.chunk_id = h.chunk_id WHERE h.rank <= 3
+FROM v_symbol_hits h JOIN v_corpus c ON c.chunk_id = h.chunk_id 
 """,
 )
 view(
@@ -526,3 +591,78 @@ WHERE rank <= 3 AND intent <> 'lookup' AND query_id % 5 <> 0
 """
     ),
 }
+
+view("v_shown", f"SELECT * FROM ({rr.shown_sql('v_collapsed_full')})")
+view(
+    "v_full_top",
+    """
+SELECT h.query_id, h.chunk_id AS query_hit, c.* EXCLUDE (chunk_id) FROM v_shown h
+JOIN v_corpus c ON c.chunk_id = h.chunk_id WHERE h.rank = 1
+""",
+)
+view(
+    "v_full_top_runs",
+    """
+SELECT t.query_id, t.query_hit, c.chunk_id, c.tokens, 1 AS run FROM v_full_top t JOIN v_corpus c
+  ON t.part > 0 AND c.part > 0 AND c.path = t.path AND c.kind = t.kind AND c.qualname = t.qualname
+UNION ALL SELECT query_id, query_hit, query_hit, tokens, 1 FROM v_full_top WHERE part = 0
+""",
+)
+GROWN_FULL = grow_sql("v_full_top_runs", "grown_full", 4000)
+view(
+    "v_given",
+    f"""
+SELECT query_id, CAST(rank AS INTEGER) AS pos, arg_min(path, block) AS path, arg_min(kind, block) AS kind,
+  arg_min(start_line, block) AS start_line, arg_min(end_line, block) AS end_line,
+  arg_max(end_line, block) AS last_line, arg_min(path, block) || CASE WHEN arg_min(kind, block)
+  = 'module' THEN '' ELSE ':' || arg_min(start_line, block) || '-' || arg_max(end_line, block) END AS source
+FROM (SELECT query_id, 1 AS rank, block, chunk_id FROM {GROWN_FULL}
+  UNION ALL SELECT query_id, rank, 0, chunk_id FROM v_shown WHERE shown = 'full' AND rank > 1)
+JOIN v_corpus USING (chunk_id) GROUP BY query_id, rank
+""",
+)
+view(
+    "v_replies",
+    f"""
+SELECT query_id, query_id % 5 AS repo_id, {REPLY} AS answer, query_id % 7 = 0 AS not_found,
+  query_id % 4 = 0 AS truncated, query_id % 5 <> 1 AS cites FROM v_plans
+""",
+)
+view(
+    "v_answer_sources",
+    """
+SELECT query_id, repo_id, pos, source, path, kind, start_line, CASE WHEN cited THEN end_line ELSE last_line END AS end_line, cited
+FROM (SELECT *, cites AS cited FROM v_given JOIN v_replies USING (query_id))
+WHERE CASE WHEN cited THEN pos % 3 <> 0 ELSE pos <= 3 AND NOT not_found END
+""",
+)
+ORACLES["answer_sources"] = select(
+    """
+SELECT query_id, pos, source, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, cited,
+  'https://example.com/' || r_name || '/blob/cb74/' || path
+  || CASE WHEN kind = 'module' THEN '' ELSE '#L' || start_line || '-L' || end_line END AS url
+FROM v_answer_sources JOIN region ON r_regionkey = repo_id
+"""
+)
+ORACLES["answer_log"] = select(
+    """
+SELECT query_id, repo_id, answer, not_found, concat_ws('|',
+  CASE WHEN dropped = 1 THEN '1 citation was dropped: not a source that was provided.'
+    WHEN dropped > 1 THEN dropped || ' citations were dropped: not a source that was provided.' END,
+  CASE WHEN standing = 0 AND NOT not_found THEN 'The answer cites no sources.' END,
+  CASE WHEN truncated THEN 'The answer was cut off at the token limit.' END) AS notes,
+  CAST(coalesce(n, 0) AS INTEGER) AS sources, coalesce(listed, '') AS listed
+FROM v_replies LEFT JOIN (SELECT query_id, count(*) AS n, string_agg(source, ' ' ORDER BY pos) AS listed
+  FROM v_answer_sources GROUP BY query_id) USING (query_id)
+LEFT JOIN (SELECT query_id, count(CASE WHEN cites AND pos % 3 = 0 THEN 1 END) AS dropped,
+  count(CASE WHEN cites AND pos % 3 <> 0 THEN 1 END) AS standing FROM v_given JOIN v_replies USING (query_id) GROUP BY query_id)
+  USING (query_id)
+"""
+)
+ORACLES["request_lines"] = select(
+    f"""
+SELECT query_id, '{cx.INDEX_HEADER}' || {NL} || string_agg(s.path || coalesce(' :: ' || coalesce(s.qualname, s.name), '')
+  || coalesce(' — ' || c.signature, ''), {NL} ORDER BY rank) AS text
+FROM v_shown s JOIN v_corpus c ON c.chunk_id = s.chunk_id WHERE shown = 'index' GROUP BY query_id
+"""
+)

@@ -319,9 +319,7 @@ def stream_index(spark: SparkSession, sf: str) -> DataFrame:
         .write.option("maxRecordsPerFile", 2_000_000)
         .parquet(landed)
     )
-    start_index(
-        spark, landed, out, tables.work_path(spark, "stream-state"), files_per_batch=2
-    ).awaitTermination()
+    start_index(spark, landed, out, tables.work_path(spark, "stream-state"), files_per_batch=2)
     chunks = tables.read_table(spark, f"{out}/chunks")
     vectors = tables.read_table(spark, f"{out}/embeddings").select("content_hash", "model")
     return chunks.join(vectors, "content_hash").select(

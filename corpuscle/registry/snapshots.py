@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 from corpuscle.functions import text as tx
 from corpuscle.operators import embeddings as em
 from corpuscle.operators import snapshots as sn
+from corpuscle.plans.index_job import run_index_job
 from corpuscle.registry import adapters as ad
 from corpuscle.registry import files as rf
 from corpuscle.registry.adapters import MODEL, table
 from corpuscle.registry.sql import select, view
+from corpuscle.sources import manifest
+from corpuscle.sources.tables import read_table, stored, work_path, write_partitioned
 
 BATCH = {"max_tokens": 10_000, "max_items": 12}
 
@@ -166,14 +169,18 @@ def repos(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def activate_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    """Urgent orders finish building."""
-    urgent = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(
+def urgent(spark: SparkSession, sf: str) -> DataFrame:
+    """Urgent orders as snapshots to activate."""
+    return table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(
         F.col("o_orderkey").alias("id"),
         F.concat(F.lit('{"files":'), F.col("o_custkey").cast("string"), F.lit("}")).alias("stats"),
         F.lit("now").alias("indexed_at"),
     )
-    return sn.activate_snapshot(snapshots(spark, sf), urgent)
+
+
+def activate_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """Urgent orders finish building."""
+    return sn.activate_snapshot(snapshots(spark, sf), urgent(spark, sf))
 
 
 def fail_snapshots(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,8 +246,8 @@ def skip_unchanged(spark: SparkSession, sf: str) -> DataFrame:
     return sn.skip_unchanged(requests, snapshots(spark, sf)).select("request_id", "repo_id")
 
 
-def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents before and after a clean-up: toxic ones removed, poor ones edited."""
+def two_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of two snapshots: the documents before and after a clean-up, toxic ones removed, poor ones edited."""
     before = table(spark, sf, "documents").select("doc_id", "text")
     labels = table(spark, sf, "labels")
     after = (
@@ -248,12 +255,60 @@ def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
         .join(labels.filter("quality = 0").select("doc_id", "quality"), "doc_id", "left")
         .select(F.when(F.col("quality").isNotNull(), F.concat("text", F.lit("\nedited"))).otherwise(F.col("text")).alias("text"))
     )
-    chunks = (
+    return (
         before.select(F.lit(1).alias("snapshot_id"), "text")
         .unionByName(after.select(F.lit(2).alias("snapshot_id"), "text"))
         .withColumn("content_hash", tx.content_hash(F.col("text")))
     )
-    return sn.snapshot_diff(chunks, 1, 2)
+
+
+def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """What the clean-up changes."""
+    return sn.snapshot_diff(two_versions(spark, sf), 1, 2)
+
+
+def digest_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """What the clean-up adds and removes, by digests of stored hash ranges."""
+    out = work_path(spark, "hashes")
+    write_partitioned(sn.distinct_hashes(two_versions(spark, sf)), out, "snapshot_id", "folder")
+    hashes = spark.read.schema("range string, content_hash string, snapshot_id int, folder string").parquet(out)
+    return sn.digest_diff(hashes, stored(sn.range_digests(hashes), "digests"), 1, 2)
+
+
+# ── The index on disk ─────────────────────────────────────────────────────────
+
+OWN_SNAPSHOT = "CAST((doc_id % 20) * 3 + CAST(floor(doc_id / 20) AS BIGINT) % 3 AS BIGINT)"  # ids of all repositories' own
+
+
+def manifest_activate(spark: SparkSession, sf: str) -> DataFrame:
+    """Urgent orders finish building, by a swap of the manifest; what readers of the next version see."""
+    path = work_path(spark, "manifest")
+    manifest.commit_manifest(spark, path, snapshots(spark, sf), 0)
+    manifest.update_manifest(spark, path, lambda rows: sn.activate_snapshot(rows, urgent(spark, sf)))
+    return manifest.read_manifest(spark, path)
+
+
+def manifest_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as chunks of three snapshots of each repository; what is on disk after the sweep."""
+    path = work_path(spark, "swept")
+    rows = table(spark, sf, "documents").select(F.expr(ad.REPO).alias("repo"), F.expr(OWN_SNAPSHOT).alias("snapshot_id"), "doc_id")
+    write_partitioned(rows, f"{path}/chunks", "repo", "snapshot_id")
+    status = F.expr("CASE id % 3 WHEN 2 THEN 'active' WHEN 1 THEN 'retired' ELSE CASE WHEN id % 2 = 0 THEN 'failed' ELSE 'retired' END END")
+    known = rows.select("repo", F.col("snapshot_id").alias("id")).distinct()
+    manifest.commit_manifest(spark, path, known.select("*", F.xxhash64("repo").alias("repo_id"), status.alias("status")), 0)
+    manifest.sweep_index(spark, path, tables=("chunks",))
+    return spark.read.schema("doc_id bigint, repo string, snapshot_id bigint").parquet(f"{path}/chunks")
+
+
+def index_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole index job over the documents' files; the snapshots that are left, with the files that are left of each."""
+    path = work_path(spark, "index")
+    own = F.expr("CAST(substr(repo, 6) AS BIGINT) * 3 + snapshot_id - 1")  # as OWN_SNAPSHOT
+    files = ad.files(spark, sf).withColumn("snapshot_id", own)
+    run_index_job(spark, stored(files, "job-files"), path, "nightly", batches=3)
+    found = read_table(spark, f"{path}/files").groupBy(F.col("snapshot_id").cast("bigint").alias("id")).agg(F.count("*").alias("files"))
+    counted = F.get_json_object("stats", "$.files").cast("bigint").alias("counted")
+    return manifest.read_manifest(spark, path).join(found, "id", "left").select("repo", "id", "status", "files", counted)
 
 
 QUERIES = {
@@ -274,6 +329,10 @@ QUERIES = {
     "upsert_repos": upsert_repos,
     "skip_unchanged": skip_unchanged,
     "snapshot_diff": snapshot_diff,
+    "digest_diff": digest_diff,
+    "manifest_activate": manifest_activate,
+    "manifest_sweep": manifest_sweep,
+    "index_job": index_job,
 }
 
 # ── Reference SQL ─────────────────────────────────────────────────────────────
@@ -467,3 +526,15 @@ FULL JOIN (SELECT DISTINCT sha256(CASE WHEN quality = 0 THEN text || chr(10) ||
   FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) <> 1) n ON o.h = n.h
 """,
 }
+ORACLES["digest_diff"] = f"SELECT * FROM ({ORACLES['snapshot_diff']}) WHERE change <> 'kept'"
+ORACLES["manifest_activate"] = ORACLES["activate_snapshot"]
+ORACLES["manifest_sweep"] = f"""
+SELECT * FROM (SELECT doc_id, {ad.REPO} AS repo, {OWN_SNAPSHOT} AS snapshot_id FROM documents) WHERE snapshot_id % 3 > 0
+"""
+ORACLES["index_job"] = select(
+    """
+SELECT repo, id, CASE WHEN n = 1 THEN 'active' ELSE 'retired' END AS status, files, files AS counted
+FROM (SELECT repo, id, count(*) AS files, row_number() OVER (PARTITION BY repo ORDER BY id DESC) AS n
+  FROM (SELECT repo, CAST(substr(repo, 6) AS BIGINT) * 3 + snapshot_id - 1 AS id FROM v_routed) GROUP BY repo, id) WHERE n <= 2
+"""
+)

@@ -91,12 +91,18 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/work").rstrip("/")
 
 
-def _place(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """A path and its file system."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it, if it is there."""
+    place, files = file_system(spark, path)
+    files.delete(place, True)
+
+
 _SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
@@ -104,7 +110,7 @@ def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in this run's part of the shared folder, which goes with the `scratch` it was made in, or else when the
     session's JVM ends."""
     folder = f"{shared_dir(spark)}/corpuscle/{spark.sparkContext.applicationId}"
-    place, files = _place(spark, folder)
+    place, files = file_system(spark, folder)
     files.deleteOnExit(place)
     path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
     made = _SCRATCH.get()
@@ -126,8 +132,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _SCRATCH.reset(token)
         for path in made:
-            place, files = _place(spark, path)
-            files.delete(place, True)
+            delete_folder(spark, path)
 
 
 def stored(rows: DataFrame, name: str, path: str | None = None) -> DataFrame:

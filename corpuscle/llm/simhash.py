@@ -338,7 +338,7 @@ def alike(sets: list[np.ndarray], least: float, split: int | None = None) -> tup
 
 SAMPLE = 8_192  # texts, about, whose shingles tell which ones are common
 COMMON = 1 << 17  # common shingles that are kept, by count
-HOT = 20_000  # texts that a common shingle is thought to be in; of more, chunks meet in tasks of their own
+HOT = 20_000  # texts that share a shingle; of more, chunks meet in tasks of their own
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -404,8 +404,8 @@ def pairs_sharing(
         first = end
 
 
-def _common_shingles(texts: DataFrame, count: int, words: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Shingles of more than one text of a sample, sorted, how many have them, and how many texts one of the sample stands for."""
+def _common_shingles(texts: DataFrame, count: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than one text of a sample, sorted, and how many have them."""
     step = max(1, count // SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +417,7 @@ def _common_shingles(texts: DataFrame, count: int, words: int) -> tuple[np.ndarr
     found = sample.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
     hashes, counts = found.column("shingle").to_numpy().view(np.uint64), found.column("count").to_numpy()
     order = np.argsort(hashes)
-    return hashes[order], counts[order], step
+    return hashes[order], counts[order]
 
 
 def _groups_below(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[tuple[pa.Table, bool]]:
@@ -469,80 +469,48 @@ def _cut_groups(table: pa.Table, key: str, most: int, *, last: bool) -> Iterator
         yield table.slice(first, cuts[-1] - first), False
 
 
-_SHARING = "a long, b long, key long, group long, spot long"
+_SHARED = "key long, node long, group long, spot long"
 
 
-def pairs_by_shingles(texts: DataFrame, grouped: DataFrame, count: int, *, words: int, similarity: float) -> DataFrame:
-    """Pairs `a, b` of `mark` of `texts(mark, text)` that may have a Jaccard similarity of `similarity` or more: all that do, but for
-    pairs whose marks have the same group in `grouped(mark, group)`.
+def shared_shingles(texts: DataFrame, grouped: DataFrame, count: int, *, words: int, similarity: float) -> DataFrame:
+    """Rows `key, node, group, spot` of `texts(mark, text)` (node is the mark, spot its size and the place of the shingle): the rarest
+    shingles of each text, but for those that no two texts have, or only texts of one group in `grouped(mark, group)`.
 
-    Texts meet by each of their rarest shingles. One that the sample shows to be very common is dealt out in chunks at once; any other
-    that turns out to be in more than HOT texts is handed back by its task and dealt out then.
+    Texts with a Jaccard similarity of `similarity` or more that are not of one group have a row of the same key each. Most shingles are of one text,
+    so few rows are left. A key with very many rows passes its task a batch at a time.
     """
     common = _common_shingles(texts, count, words)
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts, step = shared.value
         for batch in batches:
             for part in text_slices(batch):
                 sets = shingle_sets(part.column("text"), words)
-                hashes, doc, at, size, n = rare_shingles(*sets, common, counts, similarity)
+                hashes, doc, at, size, _ = rare_shingles(*sets, *shared.value, similarity)
                 mark, group = (part.column(c).to_numpy()[doc] for c in ("mark", "group"))
-                chunks = -(-n * step // HOT)
-                key, spot = hashes.copy(), (size << 32) | at
-                usual = chunks <= 1
-                columns = [(key[usual].view(np.int64), mark[usual], group[usual], spot[usual])]
-                for k in np.flatnonzero(~usual):  # keys of two chunks that happen to be equal only compare more
-                    own = mark[k] % chunks[k]
-                    other = np.arange(chunks[k])
-                    with np.errstate(over="ignore"):
-                        both = (np.minimum(own, other) * chunks[k] + np.maximum(own, other) + 1).astype(np.uint64)
-                        keys = mix64(hashes[k] + both * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                    columns.append((keys, *(np.full(len(keys), x[k]) for x in (mark, group, spot))))
-                rows = [pa.array(np.concatenate(x)) for x in zip(*columns, strict=True)]
+                rows = [pa.array(hashes.view(np.int64)), pa.array(mark), pa.array(group), pa.array((size << 32) | at)]
                 yield pa.record_batch(rows, ["key", "node", "group", "spot"])
 
-    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, node, group, spot = (table.column(c).to_numpy() for c in ("key", "node", "group", "spot"))
-        for a, b in pairs_sharing(key, node, group, spot & 0xFFFFFFFF, spot >> 32, similarity):
-            ends = np.unique(np.stack([a, b], axis=1), axis=0)
-            none = pa.nulls(len(ends), pa.int64())
-            yield pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1]), none, none, none], ["a", "b", "key", "group", "spot"])
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, large in _groups_below(batches, "key", HOT):
             if not large:
-                yield from found(table)
-                continue
-            for rows in table.to_batches():
-                none = pa.nulls(rows.num_rows, pa.int64())
-                columns = [rows.column("node"), none, *(rows.column(c) for c in ("key", "group", "spot"))]
-                yield pa.record_batch(columns, ["a", "b", "key", "group", "spot"])
-
-    def pair_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, "key"):
-            yield from found(table)
+                key, node, group = (table.column(c).to_numpy() for c in ("key", "node", "group"))
+                cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                ends = np.append(cuts, len(key))[1:] - 1
+                several = np.minimum.reduceat(node, cuts) != np.maximum.reduceat(node, cuts)
+                low, high = np.minimum.reduceat(group, cuts), np.maximum.reduceat(group, cuts)
+                several &= (low != high) | (low < 0)
+                table = table.filter(pa.array(np.repeat(several, ends - cuts + 1)))
+            yield from table.to_batches()
 
     named = texts.join(_few(grouped.withColumnRenamed("mark", "_mark")), F.col("mark") == F.col("_mark"), "left")
     named = named.select("mark", F.coalesce("group", F.lit(-1)).cast("long").alias("group"), "text")
-    rows = named.mapInArrow(place, "key long, node long, group long, spot long")
+    rows = named.mapInArrow(place, _SHARED)
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(partitions, "key").sortWithinPartitions("key")
-    met = stored(dealt.mapInArrow(pair, _SHARING), "sharing")
-    pairs = met.where("b IS NOT NULL").select("a", "b")
-    back = met.where("b IS NULL")
-    sizes = back.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("chunks"))
-    if not sizes.isEmpty():
-        chunked = back.join(_few(sizes), "key").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
-        chunked = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        both = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key")
-        dealt = chunked.select(both, F.col("a").alias("node"), "group", "spot").repartition(partitions, "key").sortWithinPartitions("key")
-        pairs = pairs.union(dealt.mapInArrow(pair_chunks, _SHARING).select("a", "b"))
-    return pairs.distinct()
+    return rows.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(keep, _SHARED)
 
 
-PARITIES = 2_048  # bits of a parity sketch
+PARITIES = 1_024  # bits of a parity sketch
 
 
 def parity_sketch(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -557,7 +525,7 @@ def parity_sketch(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def _shingled(texts: DataFrame, marks: DataFrame, words: int, *, sketch: bool) -> DataFrame:
-    """`mark, size, shingles` of the texts with these marks, one row each; the shingles as bytes, or their parity sketch."""
+    """`mark, shingles` of the texts with these marks, one row each; the shingles as bytes, or their parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -566,36 +534,67 @@ def _shingled(texts: DataFrame, marks: DataFrame, words: int, *, sketch: bool) -
                     hashes, cuts = shingle_sets(rows.column("text"), words)
                     values = [x.tobytes() for x in parity_sketch(hashes, cuts)] if sketch else None
                     values = values or [hashes[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
-                    columns = [rows.column("mark"), pa.array(np.diff(cuts)), pa.array(values, pa.binary())]
-                    yield pa.record_batch(columns, ["mark", "size", "shingles"])
+                    yield pa.record_batch([rows.column("mark"), pa.array(values, pa.binary())], ["mark", "shingles"])
 
     chosen = texts.join(_few(marks.toDF("_mark")), F.col("mark") == F.col("_mark"), "left_semi").select("mark", "text")
-    return chosen.mapInArrow(run, "mark long, size long, shingles binary").dropDuplicates(["mark"])
+    return chosen.mapInArrow(run, "mark long, shingles binary").dropDuplicates(["mark"])
 
 
-def _with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs with sizes and shingles of either side."""
-    left = sets.select(F.col("mark").alias("a"), F.col("size").alias("left_size"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("mark").alias("b"), F.col("size").alias("right_size"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left_size", "right_size", "left", "right")
+def pairs_by_sketches(rows: DataFrame, sketches: DataFrame, *, similarity: float, forest: bool) -> DataFrame:
+    """Pairs `a, b` of nodes that share a key in `rows` (`shared_shingles`), are not of one group, and may have a similarity of `similarity` by
+    sizes, places and parity sketches (`mark, shingles`).
 
+    With `forest` a task leaves out pairs that the pairs it has given connect already, so a dense group gives about as many pairs as it has
+    members. A key of more than HOT rows meets in chunks, pair by pair, in tasks of their own.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def verified_pairs(texts: DataFrame, pairs: DataFrame, *, words: int, similarity: float) -> DataFrame:
-    """The pairs `a, b` of marks whose texts have a Jaccard similarity of `similarity` or more.
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, "key"):
+            key, node, group, spot = (table.column(c).to_numpy() for c in ("key", "node", "group", "spot"))
+            names, first, local = np.unique(node, return_index=True, return_inverse=True)
+            size = (spot >> 32)[first]
+            sketch = np.frombuffer(b"".join(table.column("shingles").take(pa.array(first)).to_pylist()), np.uint8).reshape(len(names), -1)
+            connected = Forest(len(names))
+            own = group[first]
+            _, chief, member = np.unique(np.where(own >= 0, own, -1 - np.arange(len(own))), return_index=True, return_inverse=True)
+            connected.root = chief[member]  # members of a group are linked already
+            out = []
+            for a, b in pairs_sharing(key, local, group, spot & 0xFFFFFFFF, spot >> 32, similarity):
+                if forest:
+                    new = connected.apart(a, b)
+                    a, b = a[new], b[new]
+                if not len(a):
+                    continue
+                ends = np.unique(np.stack([a, b], axis=1), axis=0)
+                a, b = ends[:, 0], ends[:, 1]
+                differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
+                both = size[a] + size[b]
+                shared = (both - differ) / 2  # at most
+                near = shared >= similarity * (both - shared) - 1e-9
+                if forest:
+                    connected.join(a[near], b[near])
+                else:
+                    out.append((a[near], b[near]))
+            if forest:
+                out = list(zip(connected.left, connected.right, strict=True))
+            for a, b in out:
+                yield pa.record_batch([pa.array(np.minimum(names[a], names[b])), pa.array(np.maximum(names[a], names[b]))], ["a", "b"])
+
+    sizes = stored(rows.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("chunks")).where("chunks > 1"), "hot-shingles")
+    if not sizes.isEmpty():
+        chunks = F.coalesce("chunks", F.lit(1))
+        chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")
+        dealt = rows.join(_few(sizes), "key", "left").withColumn("chunks", chunks).select("*", chunk)
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        both = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))
+        rows = dealt.select(F.when(F.col("chunks") == 1, F.col("key")).otherwise(both).alias("key"), "node", "group", "spot")
+    met = rows.join(sketches, F.col("node") == F.col("mark")).select("key", "node", "group", "spot", "shingles")
+    return met.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long").distinct()
 
-    Parity sketches of 256 bytes rule most of the others out; only texts of pairs that are left have their shingles compared.
-    """
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("left", "right"))
-            differ = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
-            both = batch.column("left_size").to_numpy() + batch.column("right_size").to_numpy()
-            shared = (both - differ) / 2  # at most
-            keep = pa.array(shared >= similarity * (both - shared) - 1e-9)
-            yield pa.record_batch([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+def verified_pairs(texts: DataFrame, pairs: DataFrame, *, words: int, similarity: float) -> DataFrame:
+    """The pairs `a, b` of marks whose texts have a Jaccard similarity of `similarity` or more."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -605,12 +604,11 @@ def verified_pairs(texts: DataFrame, pairs: DataFrame, *, words: int, similarity
             keep = pa.array(both >= similarity * union - 1e-9)
             yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    ends = pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct()
-    sketches = stored(_shingled(texts, ends, words, sketch=True), "sketches")
-    pairs = stored(_with_both(pairs, sketches).mapInArrow(near, "a long, b long"), "near-pairs")
     ends = pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct()
     sets = stored(_shingled(texts, ends, words, sketch=False), "pair-sets")
-    return _with_both(pairs, sets).mapInArrow(check, "a long, b long")
+    left = sets.select(F.col("mark").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("mark").alias("b"), F.col("shingles").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
 def similar_documents(
@@ -675,13 +673,28 @@ def _similar(docs: DataFrame, path: str, *, words: int, similarity: float, bits:
     dealt = pairs.repartition(partitions, *keys).sortWithinPartitions(*keys)
     reached = components(dealt.mapInArrow(verified, "a long, b long"))
 
-    grouped = loose.join(reached, "node").groupBy("mark").agg(F.min("component").alias("group"))
-    rest = pairs_by_shingles(texts.select("mark", "text"), grouped, loose.count(), words=words, similarity=similarity)
-    more = stored(verified_pairs(texts, stored(rest, "pairs"), words=words, similarity=similarity), "more-links")
-    if not more.isEmpty():
-        one = loose.groupBy("mark").agg(F.min("node").alias("node"))
-        ends = more.join(one.toDF("a", "left"), "a").join(one.toDF("b", "right"), "b").select("left", "right").toDF("a", "b")
-        reached = components(reached.toDF("a", "b").union(ends))
+    links = reached.toDF("a", "b")
+    one = loose.groupBy("mark").agg(F.min("node").alias("node"))
+    marked = texts.select("mark", "text")
+    limits = {"words": words, "similarity": similarity}
+
+    def groups(reached: DataFrame) -> DataFrame:
+        return loose.join(reached, "node").groupBy("mark").agg(F.min("component").alias("group"))
+
+    rows = stored(shared_shingles(marked, groups(reached), loose.count(), **limits), "shared-shingles")
+    if not rows.isEmpty():
+        sketches = stored(_shingled(marked, rows.select("node").distinct(), words, sketch=True), "sketches")
+        # first what connects each task's rows, which unites dense groups; then every pair that is still apart
+        for forest in (True, False):
+            pairs = stored(pairs_by_sketches(rows, sketches, similarity=similarity, forest=forest), "pairs")
+            found = stored(verified_pairs(marked, pairs, **limits), "more-links")
+            ends = found.join(one.toDF("a", "left"), "a").join(one.toDF("b", "right"), "b").select("left", "right").toDF("a", "b")
+            links = links.union(ends)
+            reached = components(links)
+            if forest:
+                now = stored(groups(reached), "groups").toDF("_mark", "_group")
+                known = rows.join(_few(now), F.col("node") == F.col("_mark"), "left")
+                rows = known.select("key", "node", F.coalesce("_group", F.lit(-1)).cast("long").alias("group"), "spot")
     named = loose.select("doc_id", "mark", "node").join(reached, "node")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return stored(named.join(least, "component").select("doc_id", "mark", "component_id"), "similar", path)

@@ -191,6 +191,17 @@ def test_spellings_case_and_copyright_lines_do_not_matter(spark, documents):
     }
 
 
+def test_notice_after_a_copyright_sentence_is_met(spark, documents):
+    rows = [
+        (1, "Copyright 2020 X. Licensed under the MIT License."),
+        (2, "some prose\n(c) 2021 J. Doe Inc. Released under the ISC License\nmore"),
+        (3, "Copyright 2020 X. All rights reserved."),
+        (4, "Copyright licensed under something else"),
+    ]
+    found = licences.scan_licences(documents(rows), licences.known_licences(spark)).collect()
+    assert {r.doc_id: (r.licence, r.notices) for r in found} == {1: ("MIT", "MIT"), 2: (None, "ISC"), 3: (None, ""), 4: (None, "")}
+
+
 def test_licences_of_odd_tables(spark, odd, nothing):
     known = licences.known_licences(spark)
     assert licences.scan_licences(odd, known).count() == odd.count()
@@ -437,7 +448,7 @@ def test_parity_sketches_never_say_too_little_is_shared():
 
 
 def test_middle_sized_hot_shingles_are_found_without_the_sample(documents, monkeypatch):
-    """A passage in many texts that the sample does not show: its shingles are handed back and met in chunks."""
+    """A passage in many texts that the sample does not show: its shingles are counted and met in chunks."""
     monkeypatch.setattr(simhash, "HOT", 5)
     monkeypatch.setattr(simhash, "SAMPLE", 1)
     rng = random.Random(32)
@@ -447,6 +458,24 @@ def test_middle_sized_hot_shingles_are_found_without_the_sample(documents, monke
     assert {(r.doc_id, r.component_id) for r in got} == {(k, 0) for k in range(40)}
 
 
+def test_a_dense_group_that_no_fingerprint_proposes_gives_few_pairs(documents, monkeypatch):
+    """Near copies that all share most shingles are united by a forest; what is then apart is met pair by pair."""
+    rng = random.Random(33)
+    base = words(rng, 120).split()
+    rows = [(k, " ".join([*base, *words(rng, 1 + k % 5).split()])) for k in range(150)] + [(500 + k, words(rng, 60)) for k in range(30)]
+    given = []
+    verify = simhash.verified_pairs
+
+    def watched(texts, pairs, **limits):
+        given.append(pairs.count())
+        return verify(texts, pairs, **limits)
+
+    monkeypatch.setattr(simhash, "verified_pairs", watched)
+    got = simhash.similar_documents(documents(rows), budget=0, parts=8).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(k, 0) for k in range(150)}
+    assert sum(given) < 1_500 and given[1] == 0
+
+
 def test_work_folders_of_near_copies_go(spark, documents, tmp_path):
     rows = [(k, "one two three four five six seven " + "x " * (k % 2)) for k in range(4)]
     root = Path(shared_dir(spark).removeprefix("file:")) / "corpuscle" / spark.sparkContext.applicationId
@@ -704,6 +733,25 @@ def test_quality_of_odd_tables(spark, odd, nothing):
     assert quality.scores(nothing, labels).count() == 0
 
 
+def test_quality_of_one_id_in_many_rows(spark, documents):
+    """Rows of one id are one row to learn from, so what is collected stays bounded."""
+    rng = random.Random(42)
+    rows = [(k, words(rng, 30)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    hot = next(k for k in range(1, 60, 2) if zlib.crc32(str(k).encode()) % 3 != 1)
+    many = documents(rows).union(documents([(hot, f"copy {k % 100}") for k in range(5_000)]))
+    texts = many.where("doc_id = 3").select("doc_id", "text")
+    assert texts.count() >= 1
+    seen = []
+    fit = quality.fit
+    try:
+        quality.fit = lambda good, other, prior: seen.append((len(good), len(other))) or fit(good, other, prior)
+        model = quality.train(many, labels)
+    finally:
+        quality.fit = fit
+    assert model is not None and max(seen[0]) <= 60
+
+
 def test_risk_that_is_kept_from_going_negative_learns_from_positives():
     rng = np.random.default_rng(16)
     good, bad = rng.normal(1, 1, (3000, 6)), rng.normal(-1, 1, (1000, 6))
@@ -728,6 +776,27 @@ def test_token_files_equal_the_library(spark, documents, odd_rows):
     assert all(r.n_tokens == len(r.ids) // 4 for r in got)
 
 
+def test_token_files_of_one_id_in_many_rows(spark, documents, odd_rows):
+    """An id, and rows without one, that fill several ranges: every row comes back, in order, with nothing between."""
+    rng = random.Random(41)
+    rows = [*odd_rows, *[(7, words(rng, 5)) for _ in range(400)], *[(None, words(rng, 4)) for _ in range(300)], (8, "x"), (6, "y")]
+    out = work_path(spark, "token-files")
+    token_files.write_ids(documents(rows), BYTE_FILE, out)
+    got = token_files.read_ids(spark, out).collect()
+    library = Tokenizer.from_file(BYTE_FILE)
+    want = collections.Counter()
+    for r in rows:
+        ids = [*library.encode(r[1] or "", add_special_tokens=False).ids, 2]
+        want[r[0], np.array(ids, "<u4").tobytes()] += 1
+    assert collections.Counter((r.doc_id, bytes(r.ids)) for r in got) == want
+    got.sort(key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    order = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert order == sorted(order)
+    ranges = spark.read.parquet(out).select("range", F.explode("doc_ids").alias("d")).distinct().collect()
+    assert sum(r.d == 7 for r in ranges) > 1 and sum(r.d is None for r in ranges) > 1
+
+
 def test_token_files_of_nothing(spark, nothing):
     out = work_path(spark, "test-no-token-files")
     token_files.write_ids(nothing, BYTE_FILE, out)

@@ -24,6 +24,7 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"),
     ("per cent", "percent"),
 )
+COPYRIGHT_SENTENCE = r"(^|\n)[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*?\. +(licensed|released|distributed|available|this) "
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -103,7 +104,9 @@ def known_texts() -> list[tuple[str, str]]:
 def canonical(text: Column) -> Column:
     """A text in its one form; a null text is empty."""
     out = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    out = F.regexp_replace(out, COPYRIGHT_LINE, " ")
+    plain = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_SENTENCE, "$1$2 "), COPYRIGHT_LINE, " ")
+    named = F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("(c)")) | F.contains(out, F.lit("©"))
+    out = F.when(named, plain).otherwise(out)
     out = F.concat(F.lit(" "), F.regexp_replace(out, NOT_WORD, " "), F.lit(" "))
     for other, kept in SPELLINGS:
         out = F.replace(out, F.lit(f" {other} "), F.lit(f" {kept} "))

@@ -76,7 +76,8 @@ def op2_licences(spark: SparkSession, sf: str) -> DataFrame:
 
 def _canonical_sql(text: str) -> str:
     """The canonical form of a text in SQL."""
-    out = f"regexp_replace(lower(coalesce({text}, '')), '{licences.COPYRIGHT_LINE}', ' ', 'g')"
+    out = f"regexp_replace(lower(coalesce({text}, '')), '{licences.COPYRIGHT_SENTENCE}', '\\1\\2 ', 'g')"
+    out = f"regexp_replace({out}, '{licences.COPYRIGHT_LINE}', ' ', 'g')"
     out = f"' ' || regexp_replace({out}, '{licences.NOT_WORD}', ' ', 'g') || ' '"
     for other, kept in licences.SPELLINGS:
         out = f"replace({out}, ' {other} ', ' {kept} ')"

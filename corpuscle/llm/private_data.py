@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import crf
 from corpuscle.llm.words import Words, split_words, text_bytes, text_slices
+from corpuscle.sources.tables import stored
 
 TRAIN_DOCS, TRAIN_LINES, TRAIN_WORDS = 16_384, 1_200, 24  # bounds on what the field is fitted on
 Span = tuple[int, int, int]  # kind, start, end
@@ -151,7 +152,7 @@ def train(docs: DataFrame, *, docs_bound: int = TRAIN_DOCS, lines_bound: int = T
             yield pa.RecordBatch.from_pydict(out, schema=_WINDOWS)
 
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text")).join(F.broadcast(keys), "key").select("key", "text")
-    found = keyed.mapInArrow(run, "key long, place long, found boolean, shape binary, labels binary")
+    found = stored(keyed.mapInArrow(run, "key long, place long, found boolean, shape binary, labels binary"), "labelled-lines")
     order = F.xxhash64("key", "place"), F.col("key"), F.col("place"), F.col("shape")
     some = found.where("found").orderBy(*order).limit(lines_bound).toArrow().to_pylist()
     none = found.where("NOT found").orderBy(*order).limit(lines_bound // 4).toArrow().to_pylist()

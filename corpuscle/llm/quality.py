@@ -170,7 +170,7 @@ def _sample(ids: DataFrame, size: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier | None:
     """Fit on at most `positives` rows labelled good and `unlabelled` rows, none of them held out; None without a good one.
 
-    An id with several labels is good when all of them are. Null ids are not learnt from.
+    An id with several labels is good when all of them are; of a repeated id one text is learnt from. Null ids are not learnt from.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull())
     ids = ids.where(~held_out(F.col("doc_id")))
@@ -190,7 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unl
                 yield pa.record_batch(columns, ["doc_id", "kind", "row"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(chosen), "doc_id")
+    texts = texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    one = texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))  # of a repeated id
+    texts = one.join(F.broadcast(chosen), "doc_id")
     found = texts.mapInArrow(run, "doc_id long, kind int, row binary").toArrow().sort_by([("doc_id", "ascending"), ("row", "ascending")])
     kind = found.column("kind").to_numpy()
     if not (kind == 1).any():

@@ -100,11 +100,13 @@ class ByteBPE:
         return _LATIN.findall(text)
 
 
-def encode_ids(docs: DataFrame, path: str, end_id: int = END_ID, cuts: np.ndarray | None = None) -> DataFrame:
+def encode_ids(
+    docs: DataFrame, path: str, end_id: int = END_ID, cuts: np.ndarray | None = None, null_ranges: int = 1
+) -> DataFrame:
     """`range, doc_id, ids`: ids of every text with `end_id` after them, in the width of the vocabulary.
 
-    The range counts the `cuts` up to the doc_id, from 1; a null id is in range 0. A null or empty text has the end id only.
-    Other columns are not read.
+    The range counts the `cuts` up to the doc_id, from 1; null ids are in `null_ranges` ranges up to 0. An id that several cuts name has
+    as many ranges, dealt by a checksum of the ids. A null or empty text has the end id only. Other columns are not read.
     """
     edges = np.zeros(0, np.int64) if cuts is None else cuts
 
@@ -119,8 +121,14 @@ def encode_ids(docs: DataFrame, path: str, end_id: int = END_ID, cuts: np.ndarra
             for part in text_slices(batch):
                 ids = [bpe.encode(t or "") + end for t in part.column("text").to_pylist()]
                 doc_id = part.column("doc_id")
-                at = np.searchsorted(edges, doc_id.fill_null(0).to_numpy(zero_copy_only=False), side="right") + 1
-                ranges = np.where(doc_id.is_valid().to_numpy(zero_copy_only=False), at, 0).astype(np.int32)
+                known = doc_id.is_valid().to_numpy(zero_copy_only=False)
+                numbers = doc_id.fill_null(0).to_numpy(zero_copy_only=False)
+                ranges = np.searchsorted(edges, numbers, side="right") + 1
+                many = np.where(known, ranges - 1 - np.searchsorted(edges, numbers), null_ranges)  # ranges of this very id
+                ranges[~known] = 0
+                for k in np.flatnonzero(many > 1):
+                    ranges[k] -= zlib.crc32(ids[k]) * int(many[k]) >> 32
+                ranges = ranges.astype(np.int32)
                 yield pa.record_batch([pa.array(ranges), doc_id, pa.array(ids, pa.binary())], ["range", "doc_id", "ids"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -132,21 +140,26 @@ def encode_ids(docs: DataFrame, path: str, end_id: int = END_ID, cuts: np.ndarra
 _BLOCKS = "range int, seq int, before long, n_ids long, doc_ids array<long>, lengths array<long>, block binary"
 
 
-def _cuts(docs: DataFrame, ranges: int) -> np.ndarray:
-    """Values of doc_id that cut the rows into about equal ranges."""
+def _cuts(docs: DataFrame, ranges: int) -> tuple[np.ndarray, int]:
+    """Values of doc_id that cut the rows into about equal ranges, one that many rows share as often as it fills a range; and how many
+    ranges the rows without an id fill."""
     shares = [k / ranges for k in range(1, ranges)]
-    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, max(10_000, 20 * ranges))).first()[0]
-    return np.unique(np.array(found or [], np.int64))
+    doc_id = F.col("doc_id").cast("long")
+    found, nulls, rows = docs.agg(
+        F.percentile_approx(doc_id, shares, max(10_000, 20 * ranges)), F.count_if(doc_id.isNull()), F.count("*")
+    ).first()
+    return np.sort(np.array(found or [], np.int64)), max(1, nulls * ranges // max(1, rows))
 
 
 def write_ids(docs: DataFrame, path: str, out: str, *, end_id: int = END_ID) -> None:
     """Encode `docs(doc_id, text)` and write its token files to `out`, in ascending doc_id order.
 
-    Null ids come first; rows of one id are ordered by their ids' bytes, so repeated rows do not disturb the order.
+    Null ids come first; rows of one id are ordered by a checksum where they fill several ranges, and then by their ids' bytes, so
+    repeated rows do not disturb the order.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _cuts(docs, partitions * RANGES_PER_PARTITION)
+    cuts, null_ranges = _cuts(docs, partitions * RANGES_PER_PARTITION)
     dtype = np.dtype(ByteBPE(path).dtype)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +182,7 @@ def write_ids(docs: DataFrame, path: str, out: str, *, end_id: int = END_ID) ->
         arrays = [pa.array([v], k) for v, k in zip(values, kinds, strict=True)]
         return pa.record_batch(arrays, ["range", "seq", "before", "n_ids", "doc_ids", "lengths", "block"])
 
-    dealt = encode_ids(docs, path, end_id, cuts).repartition(partitions, "range").sortWithinPartitions("range", "doc_id", "ids")
+    dealt = encode_ids(docs, path, end_id, cuts, null_ranges).repartition(partitions, "range").sortWithinPartitions("range", "doc_id", "ids")
     dealt.mapInArrow(pack, _BLOCKS).write.partitionBy("range").parquet(out)
 
 

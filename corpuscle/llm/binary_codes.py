@@ -187,11 +187,17 @@ def _linked(classes: DataFrame, count: int, size: int, least: float, sample: int
     if copies > max(COPIES, -(-count // CHUNK)):
         middle = centres(known, 1)
         inner = middle @ middle.T
+    # codes are taken around the mean of a cell's sampled vectors, from which residuals and so bounds are least
+    home = np.concatenate([(known[k : k + 4096] @ middle.T).argmax(1) for k in range(0, len(known), 4096)])
+    held = np.bincount(home, minlength=len(middle))[:, None]
+    means = np.zeros_like(middle)
+    np.add.at(means, home, known)
+    means = np.where(held > 0, means / np.maximum(held, 1), middle)
     turn = rotation(size)
-    shared = spark.sparkContext.broadcast((middle, inner, turn))
+    shared = spark.sparkContext.broadcast((middle, inner, means, turn))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        middle, inner, _ = shared.value
+        middle, inner, _, _ = shared.value
         names = ["cell", "node", "vector", "weight", "lives"]
         for batch in batches:
             for first in range(0, batch.num_rows, 2_000):
@@ -222,7 +228,7 @@ def _linked(classes: DataFrame, count: int, size: int, least: float, sample: int
     )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        middle, _, turn = shared.value
+        _, _, means, turn = shared.value
         for key, group in _groups(batches):
             vectors = _unit(group.column("vector").combine_chunks(), size)
             node, weight = group.column("node").to_numpy(), group.column("weight").to_numpy()
@@ -237,7 +243,7 @@ def _linked(classes: DataFrame, count: int, size: int, least: float, sample: int
             for first, second in met:  # two guests meet where one of them lives
                 left = vectors[first]
                 right = left if second is first else vectors[second]
-                p, q = links_between(left, right, middle[cell], turn, least)
+                p, q = links_between(left, right, means[cell], turn, least)
                 ends.append((first[p], second[q]))
             a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
             forest = Forest(len(vectors))

@@ -22,6 +22,7 @@ from corpuscle.llm import (
     licences,
     mixing,
     naming,
+    ngram_filter,
     ngram_lm,
     private_data,
     quality,
@@ -231,13 +232,39 @@ def test_scores_of_odd_tables(odd, odd_rows):
         assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
-def test_routed_filter_gives_the_same_scores(spark):
+@pytest.mark.parametrize("keys", [1 << 20, 300, 10])  # one segment, about 2^7, about 2^12
+def test_routed_filter_gives_the_same_scores(spark, monkeypatch, keys):
+    monkeypatch.setattr(ngram_lm, "SEGMENT_KEYS", keys)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     fold = ngram_lm.held_out_fold(F.col("doc_id"))
     near, far = ({r.doc_id: r.score for r in ngram_lm.score_documents(docs, learn=~fold, filter_bytes=n).collect()} for n in (1 << 30, 0))
     assert near == far
 
 
+def test_scores_are_those_of_a_smoothed_bigram_model(documents):
+    """Counts by dictionaries, quantised as the filter keeps them; what the filter answers wrongly moves few scores."""
+    rng = random.Random(44)
+    vocabulary = [words(rng, 1) for _ in range(60)]
+    rows = [(k, " ".join(rng.choice(vocabulary[: 5 + k % 50]) for _ in range(rng.randint(0, 40)))) for k in range(300)]
+    tokens = {k: [*lower(t).split(), None] for k, t in rows}
+    single = collections.Counter(w for ts in tokens.values() for w in ts)
+    pairs = collections.Counter(p for ts in tokens.values() for p in zip([None, *ts[:-1]], ts, strict=True))
+    total, kinds = sum(single.values()), len(single)
+
+    def score(ts):
+        out = 0.0
+        for before, word in zip([None, *ts[:-1]], ts, strict=True):
+            base = (single[word] + 1) / (total + kinds + 1)
+            kept = float(ngram_filter.count_of(ngram_filter.level_of(np.array([pairs[before, word]])))[0])
+            kept = min(kept, single[before], single[word])
+            out += math.log10((kept + ngram_lm.SMOOTHING * base) / (single[before] + ngram_lm.SMOOTHING))
+        return out
+
+    got = {r.doc_id: r.score for r in ngram_lm.score_documents(documents(rows)).collect()}
+    away = sorted(abs(got[k] - score(ts)) for k, ts in tokens.items())
+    assert away[len(away) * 9 // 10] < 1e-6 and away[-1] < 0.5
+
+
 def test_bigrams_tell_more_than_unigrams(spark):
     rows = queries.op3_ngram_lm(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert sum(r.score for r in rows) > 0.95 * sum(r.base_score for r in rows)

@@ -510,7 +510,8 @@ def shared_shingles(texts: DataFrame, grouped: DataFrame, count: int, *, words:
     return rows.repartition(partitions, "key").sortWithinPartitions("key").mapInArrow(keep, _SHARED)
 
 
-PARITIES = 1_024  # bits of a parity sketch
+PARITIES = 1_024  # bits of the short parity sketches that travel with every shared shingle
+WIDEST = 1 << 20  # bound on the bits of a wide one
 
 
 def parity_sketch(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -524,20 +525,52 @@ def parity_sketch(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1)
 
 
-def _shingled(texts: DataFrame, marks: DataFrame, words: int, *, sketch: bool) -> DataFrame:
-    """`mark, shingles` of the texts with these marks, one row each; the shingles as bytes, or their parity sketch."""
+def wide_sketch(hashes: np.ndarray) -> bytes:
+    """A parity sketch of one set with about a bit for each member: a power of two from PARITIES to WIDEST."""
+    bits = min(WIDEST, max(PARITIES, 1 << int(len(hashes)).bit_length()))
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ; the wider one is folded, as remainders fold."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _shingled(texts: DataFrame, marks: DataFrame, words: int, form: str) -> DataFrame:
+    """`mark, size, shingles` of the texts with these marks, one row each; the shingles as bytes (form `whole`), or their parity sketch
+    (`short`, `wide`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 for rows in (part.slice(k, 512) for k in range(0, part.num_rows, 512)):
                     hashes, cuts = shingle_sets(rows.column("text"), words)
-                    values = [x.tobytes() for x in parity_sketch(hashes, cuts)] if sketch else None
-                    values = values or [hashes[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
-                    yield pa.record_batch([rows.column("mark"), pa.array(values, pa.binary())], ["mark", "shingles"])
+                    if form == "short":
+                        values = [x.tobytes() for x in parity_sketch(hashes, cuts)]
+                    else:
+                        as_bytes = wide_sketch if form == "wide" else np.ndarray.tobytes
+                        values = [as_bytes(hashes[a:b]) for a, b in itertools.pairwise(cuts)]
+                    columns = [rows.column("mark"), pa.array(np.diff(cuts)), pa.array(values, pa.binary())]
+                    yield pa.record_batch(columns, ["mark", "size", "shingles"])
 
     chosen = texts.join(_few(marks.toDF("_mark")), F.col("mark") == F.col("_mark"), "left_semi").select("mark", "text")
-    return chosen.mapInArrow(run, "mark long, shingles binary").dropDuplicates(["mark"])
+    return chosen.mapInArrow(run, "mark long, size long, shingles binary").dropDuplicates(["mark"])
+
+
+def _with_both(pairs: DataFrame, texts: DataFrame, words: int, form: str) -> DataFrame:
+    """Pairs `a, b` with the sizes and shingles of either side, in a form of `_shingled`."""
+    ends = pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct()
+    sets = stored(_shingled(texts, ends, words, form), f"{form}-sets")
+    left = sets.select(F.col("mark").alias("a"), F.col("size").alias("left_size"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("mark").alias("b"), F.col("size").alias("right_size"), F.col("shingles").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left_size", "right_size", "left", "right")
 
 
 def pairs_by_sketches(rows: DataFrame, sketches: DataFrame, *, similarity: float, forest: bool) -> DataFrame:
@@ -594,7 +627,18 @@ def pairs_by_sketches(rows: DataFrame, sketches: DataFrame, *, similarity: float
 
 
 def verified_pairs(texts: DataFrame, pairs: DataFrame, *, words: int, similarity: float) -> DataFrame:
-    """The pairs `a, b` of marks whose texts have a Jaccard similarity of `similarity` or more."""
+    """The pairs `a, b` of marks whose texts have a Jaccard similarity of `similarity` or more.
+
+    Wide sketches, which are a sixty-fourth of the shingles, travel with the pairs first; the shingles follow for pairs that these leave.
+    """
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = [differing_bits(x, y) for x, y in zip(*(batch.column(c).to_pylist() for c in ("left", "right")), strict=True)]
+            both = batch.column("left_size").to_numpy() + batch.column("right_size").to_numpy()
+            shared = (both - np.array(differ, np.int64)) / 2  # at most
+            keep = pa.array(shared >= similarity * (both - shared) - 1e-9)
+            yield pa.record_batch([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -604,11 +648,8 @@ def verified_pairs(texts: DataFrame, pairs: DataFrame, *, words: int, similarity
             keep = pa.array(both >= similarity * union - 1e-9)
             yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    ends = pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct()
-    sets = stored(_shingled(texts, ends, words, sketch=False), "pair-sets")
-    left = sets.select(F.col("mark").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("mark").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+    left = stored(_with_both(pairs, texts, words, "wide").mapInArrow(near, "a long, b long"), "near-pairs")
+    return _with_both(left, texts, words, "whole").mapInArrow(check, "a long, b long")
 
 
 def similar_documents(
@@ -683,7 +724,7 @@ def _similar(docs: DataFrame, path: str, *, words: int, similarity: float, bits:
 
     rows = stored(shared_shingles(marked, groups(reached), loose.count(), **limits), "shared-shingles")
     if not rows.isEmpty():
-        sketches = stored(_shingled(marked, rows.select("node").distinct(), words, sketch=True), "sketches")
+        sketches = stored(_shingled(marked, rows.select("node").distinct(), words, "short"), "sketches")
         # first what connects each task's rows, which unites dense groups; then every pair that is still apart
         for forest in (True, False):
             pairs = stored(pairs_by_sketches(rows, sketches, similarity=similarity, forest=forest), "pairs")

@@ -471,6 +471,9 @@ def test_parity_sketches_never_say_too_little_is_shared():
         b = np.concatenate([a[: size * 9 // 10], rng.integers(0, 1 << 63, size=size // 5, dtype=np.uint64)])
         left, right = simhash.parity_sketch(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
         differ = int(np.bitwise_count(left ^ right).sum())
+        wide = simhash.differing_bits(simhash.wide_sketch(a), simhash.wide_sketch(b))
+        assert differ <= wide <= len(np.setxor1d(a, b)) and wide > 0.7 * len(np.setxor1d(a, b))
+        assert simhash.differing_bits(simhash.wide_sketch(np.tile(a, 3)), simhash.wide_sketch(b)) <= len(np.setxor1d(a, b))
         assert differ <= len(np.setxor1d(a, b)) and (size < 100 or size > 1_000 or differ > 0.8 * len(np.setxor1d(a, b)))
 
 

@@ -116,7 +116,7 @@ def test_stream_equals_batch_and_embeds_each_text_once(spark, tmp_path):
     files.repartition(3, "path").write.parquet(str(tmp_path / "in"))
     stream_index(
         spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), files_per_batch=1
-    ).awaitTermination()
+    )
     streamed = tables.read_table(spark, str(tmp_path / "out/chunks"))
     batch = build_index(files).chunks
     assert sorted((r.path, r.content_hash) for r in streamed.collect()) == sorted(

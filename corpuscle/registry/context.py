@@ -316,7 +316,7 @@ def answered(spark: SparkSession, sf: str) -> tuple[an.Answers, DataFrame]:
         F.collect_list(
             F.struct(
                 F.col("pos").cast("int").alias("pos"),
-                F.expr("CAST(index + CASE WHEN pos % 3 = 0 THEN 1 ELSE 0 END AS INT)").alias("search_result_index"),
+                F.expr("CAST(index + CASE WHEN pos % 3 = 0 THEN 1000 ELSE 0 END AS INT)").alias("search_result_index"),
                 "source", F.lit(0).alias("start_block"), F.lit(1).alias("end_block"),
             )
         ).alias("citations")
@@ -631,9 +631,11 @@ SELECT query_id, query_id % 5 AS repo_id, {REPLY} AS answer, query_id % 7 = 0 AS
 view(
     "v_answer_sources",
     """
-SELECT query_id, repo_id, pos, source, path, kind, start_line, CASE WHEN cited THEN end_line ELSE last_line END AS end_line, cited
+SELECT query_id, repo_id, min(pos) AS pos, source, any_value(path) AS path, any_value(kind) AS kind,
+  min(start_line) AS start_line, max(CASE WHEN cited THEN end_line ELSE last_line END) AS end_line, cited
 FROM (SELECT *, cites AS cited FROM v_given JOIN v_replies USING (query_id))
 WHERE CASE WHEN cited THEN pos % 3 <> 0 ELSE pos <= 3 AND NOT not_found END
+GROUP BY query_id, repo_id, source, cited, CASE WHEN cited THEN 0 ELSE pos END
 """,
 )
 ORACLES["answer_sources"] = select(

@@ -117,12 +117,12 @@ def token_batches(
     return assigned.join(firsts, ["snapshot_id", "range"]).select("snapshot_id", "content_hash", "tokens", batch_id)
 
 
-def embed_budget(pending: DataFrame, *, cap: int = SNAPSHOT_TOKENS) -> DataFrame:
-    """Per snapshot: its pending tokens and whether they are over the budget (then none is sent)."""
+def embed_budget(pending: DataFrame, *, cap: int | None = SNAPSHOT_TOKENS) -> DataFrame:
+    """Per snapshot: its pending tokens and whether they are over the budget, if there is one (then none is sent)."""
     return (
         pending.groupBy("snapshot_id")
         .agg(F.sum("tokens").cast("long").alias("tokens"))
-        .withColumn("refused", F.col("tokens") > cap)
+        .withColumn("refused", F.lit(False) if cap is None else F.col("tokens") > cap)
     )
 
 

@@ -80,7 +80,7 @@ def write_batches(
 
 
 def embed_job(
-    spark: SparkSession, chunks: DataFrame, path: str, job: str, embedder: em.Embedder, model: str, budget: int
+    spark: SparkSession, chunks: DataFrame, path: str, job: str, embedder: em.Embedder, model: str, budget: int | None
 ) -> DataFrame:
     """Embed what no other job has embedded, snapshots over the budget aside; gives `snapshot_id, tokens, refused`."""
     known = spark.createDataFrame([], VECTORS)
@@ -109,9 +109,9 @@ def run_index_job(
     batches: int = BATCHES,
     embedder: em.Embedder | None = None,
     model: str = "hashed-64",
-    budget: int = em.SNAPSHOT_TOKENS,
-    max_files: int = MAX_REPO_FILES,
-    max_mb: float = MAX_REPO_MB,
+    budget: int | None = em.SNAPSHOT_TOKENS,
+    max_files: int | None = MAX_REPO_FILES,
+    max_mb: float | None = MAX_REPO_MB,
     indexed_at: str = "now",
     keep: int = sn.KEEP_SNAPSHOTS,
 ) -> JobReport:
@@ -119,13 +119,15 @@ def run_index_job(
 
     Snapshot ids are unique over all repositories and grow. Repositories that a guard refuses are left out; snapshots whose new texts are over the
     token budget fail and nothing of theirs is embedded; the others are activated together, by one swap of the manifest, and what they
-    push out is swept.
+    push out is swept. A limit that is None refuses nothing. When every repository is refused, the manifest stays as it is, or is committed empty.
     """
     guards = corpus_guards(files, max_files=max_files, max_mb=max_mb)
     refused = guards.filter("refusal IS NOT NULL")
     wanted = admitted(files, guards)
     if wanted.isEmpty():
         none = spark.createDataFrame([], "snapshot_id bigint, tokens bigint, refused boolean")
+        if manifest.manifest_version(spark, path) == 0:
+            enter_building(spark, path, wanted)
         return JobReport(refused, [], none, 0, manifest.manifest_version(spark, path))
     if ENTERED not in manifest.committed_batches(spark, path, job):
         enter_building(spark, path, wanted)

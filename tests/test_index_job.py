@@ -4,11 +4,13 @@ import os
 import threading
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.operators import snapshots as sn
 from corpuscle.plans import index_job as ij
+from corpuscle.registry import snapshots
 from corpuscle.sources import manifest as mf
 from corpuscle.sources.tables import write_partitioned
 from corpuscle.streaming import indexer
@@ -208,3 +210,30 @@ def test_stream_embeds_each_text_once_and_a_replayed_batch_leaves_equal_rows(spa
     assert {h for h, _ in later} == {r.content_hash for r in spark.read.parquet(f"{out}/chunks").collect()}
     state = vectors.lastProgress["stateOperators"][0] if isinstance(vectors.lastProgress, dict) else vectors.lastProgress.stateOperators[0]
     assert "rocksdb" in str(state).lower()
+
+
+# ── Whole corpora ─────────────────────────────────────────────────────────────
+
+
+def test_a_job_that_refuses_every_repository_leaves_a_manifest_to_read(spark, tmp_path):
+    path = str(tmp_path)
+    report = ij.run_index_job(spark, source_files(spark, 100), path, "j", max_files=1)
+    assert report.written == [] and report.refused_repos.count() == 3
+    assert mf.read_manifest(spark, path).count() == 0 and report.version == 1
+
+
+def test_limits_of_none_refuse_nothing(spark, tmp_path):
+    path = str(tmp_path)
+    report = ij.run_index_job(spark, source_files(spark, 100), path, "j", batches=1, max_files=None, max_mb=None, budget=None)
+    assert report.refused_repos.isEmpty() and not any(r.refused for r in report.over_budget.collect())
+    assert status(mf.read_manifest(spark, path)) == {100: "active", 101: "active", 102: "active"}
+
+
+def test_the_query_of_the_job_takes_repositories_of_more_files_than_the_guard_lets_in(spark, tmp_path):
+    text = F.concat(F.lit("line "), F.col("id").cast("string"))
+    rows = spark.range(20_001).select((F.col("id") * 20).alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = con.sql(snapshots.ORACLES["index_job"]).fetchall()
+    assert sorted(map(tuple, snapshots.index_job(spark, str(tmp_path)).collect())) == sorted(wanted) and len(wanted) == 2

@@ -137,11 +137,12 @@ def stored_batches(usage: DataFrame, *, cap: int = SNAPSHOT_TOKENS) -> DataFrame
     )
 
 
-def hashed_token_vectors(dims: int = 64) -> Embedder:
+def hashed_token_vectors(dims: int = 64, *, unit: bool = True) -> Embedder:
     """The built-in embedder: each word adds +-1 to a hashed dimension; unit norm.
 
     Equal texts have equal vectors and texts that share words are close; no model, no network, and no Python: words are
-    counted per text and dimension before they move. A text whose words cancel out, or without any, is the first unit vector.
+    counted per text and dimension before they move. A text whose words cancel out, or without any, is the first unit vector, or zero
+    when not all vectors have to be of unit length.
     """
 
     def embed(texts: DataFrame) -> DataFrame:
@@ -157,7 +158,7 @@ def hashed_token_vectors(dims: int = 64) -> Embedder:
         vectors = counted.groupBy("content_hash").agg(entries.alias("entries"), norm.alias("norm"))
         values = F.transform(
             F.sequence(F.lit(0), F.lit(dims - 1)),
-            lambda d: F.when(F.col("norm") == 0, (d == 0).cast("float")).otherwise(
+            lambda d: F.when(F.col("norm") == 0, ((d == 0) & F.lit(unit)).cast("float")).otherwise(
                 (F.coalesce(F.element_at("entries", d.cast("bigint")), F.lit(0)) / F.col("norm")).cast("float")
             ),
         )

@@ -1,13 +1,16 @@
 """Incremental embedding, budgets, and the life of snapshots."""
 
+import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.operators import embeddings as em
 from corpuscle.operators import snapshots as sn
+from corpuscle.registry import snapshots as queries
 
 
 def chunk_table(spark, rows):
@@ -131,6 +134,22 @@ def test_index_stats(spark):
     )
     (row,) = sn.index_stats(files, chunks, symbols).collect()
     assert (row.files, row.chunks, row.files_with_parse_errors) == (3, 3, 1)
+def test_the_query_of_vectors_equals_its_sql_where_texts_have_no_words_or_cancel_out(spark, tmp_path):
+    signs = {}
+    for k in range(5_000):  # two words of one dimension and opposite signs
+        code = hashlib.md5(f"w{k}".encode()).hexdigest()
+        signs.setdefault(int(code[:7], 16) % 64, {})[code[7] < "8"] = f"w{k}"
+    pair = signs[9][True] + " " + signs[9][False]
+    rows = [(k, t, "en", "src1") for k, t in enumerate(["", " .,- ", pair, pair + " fox", "red fox", "red fox", None, None])]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    relation = con.sql(queries.ORACLES["embed_documents"])
+    found = queries.embed_documents(spark, str(tmp_path)).select(*relation.columns)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, relation.fetchall()))
+    assert found.count() == 6
+
+
     assert row.by_mode == {"symbols": 1, "windows": 1, "skipped": 1}
     assert row.skipped == {"ignored": 1}
     assert {k: tuple(v) for k, v in row.by_language.items()} == {"python": (1, 1, 2), "text": (1, 0, 1)}

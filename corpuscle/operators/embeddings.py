@@ -15,6 +15,7 @@ from corpuscle.sources.tables import stored
 BATCH_TOKENS = 100_000
 BATCH_ITEMS = 1_000
 SNAPSHOT_TOKENS = 5_000_000
+RANGE_ROWS = 65_536  # hashes of a range that one task gives batches, about
 EMBED_USD_PER_MTOK = 0.12
 
 Embedder = Callable[[DataFrame], DataFrame]  # (content_hash, text) to (content_hash, embedding)
@@ -61,22 +62,125 @@ def token_batches(
     *,
     max_tokens: int = BATCH_TOKENS,
     max_items: int = BATCH_ITEMS,
-    range_tokens: int = SNAPSHOT_TOKENS,
+    range_tokens: int | None = None,
 ) -> DataFrame:
     """Pending hashes with the request batch (from 0, in hash order per snapshot) each goes in.
 
     A batch closes when the next hash would exceed either limit; an oversize hash goes alone. Whatever a snapshot holds gets
-    batches. The rule depends on everything before, so a snapshot is cut into ranges of its hashes' first digits, as many as
-    bring a range to `range_tokens` on average; batches start anew with each range, and ranges are read by different tasks.
+    batches. The rule depends on everything before, so a snapshot is cut into ranges of its hashes' first digits, which different
+    tasks read. A range first says, for each of its rows that a batch may start with, how many batches follow and what the last of
+    them holds; with that the ranges of a snapshot are put one after another, and batches run on over their borders.
+
+    With `range_tokens` batches start anew with each range instead, and ranges are of that many tokens on average.
     """
-    sizes = embed_budget(pending).select(
-        "snapshot_id",
-        F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("tokens") / range_tokens))).cast("int").alias("digits"),
-    )
+    rows = F.lit(0.0) if range_tokens else F.col("n") / RANGE_ROWS
+    sizes = pending.groupBy("snapshot_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    parts = F.greatest(F.lit(1.0), rows, F.col("tokens") / (range_tokens or SNAPSHOT_TOKENS))
+    sizes = sizes.select("snapshot_id", F.ceil(F.log(16.0, parts)).cast("int").alias("digits"))
     keyed = pending.join(sizes, "snapshot_id").select(
-        "snapshot_id", F.expr("substring(content_hash, 1, digits)").alias("range"), "content_hash", "tokens"
+        "snapshot_id", F.expr("substring(content_hash, 1, digits)").alias("range"), "content_hash", F.col("tokens").cast("int").alias("tokens")
+    )
+    if range_tokens:
+        return _batches_of_ranges(keyed, max_tokens, max_items)
+
+    def limited(work) -> Callable[[pa.Table], pa.Table]:
+        """`work` with the limits, as a function of one table."""
+
+        def run(rows: pa.Table) -> pa.Table:
+            return work(max_tokens, max_items, rows)
+
+        return run
+
+    ranges = keyed.groupBy("snapshot_id", "range").applyInArrow(limited(_entries), _ENTRIES)
+    entered = ranges.groupBy("snapshot_id").applyInArrow(limited(_entered), _ENTERED)
+    return (
+        keyed.join(entered, ["snapshot_id", "range"])
+        .groupBy("snapshot_id", "range")
+        .applyInArrow(limited(_numbered), _BATCHES)
     )
 
+
+_ENTRIES = "snapshot_id bigint, range string, rows bigint, entry bigint, upto bigint, batches bigint, total bigint, items bigint"
+_ENTERED = "snapshot_id bigint, range string, entry bigint, first bigint"
+_BATCHES = "snapshot_id bigint, content_hash string, tokens int, batch_id int"
+
+
+def _next_batch(tokens: np.ndarray, max_tokens: int, max_items: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the tokens before each row and at the end; and the row after the batch that starts with each row."""
+    upto = np.concatenate([[0], np.cumsum(tokens)])
+    rows = np.arange(len(tokens))
+    fits = np.searchsorted(upto, upto[:-1] + max_tokens, side="right") - 1
+    return upto, np.maximum(rows + 1, np.minimum(fits, rows + max_items))
+
+
+def _tokens(rows: pa.Table) -> np.ndarray:
+    return rows.column("tokens").fill_null(0).to_numpy().astype(np.int64)
+
+
+def _entries(max_tokens: int, max_items: int, rows: pa.Table) -> pa.Table:
+    """For each row of a range that its first new batch may start with: batches from there, and the last one's tokens and items.
+
+    No batch from before holds more than `max_items` rows of the range, so later rows need no entry.
+    """
+    rows = rows.sort_by("content_hash")
+    count = rows.num_rows
+    upto, after = _next_batch(_tokens(rows), max_tokens, max_items)
+    batches, last = [0] * (count + 1), [count] * (count + 1)
+    for row, stop in zip(range(count - 1, -1, -1), after[::-1].tolist(), strict=True):
+        batches[row] = batches[stop] + 1
+        last[row] = row if stop == count else last[stop]
+    entry = np.arange(min(count, max_items) + 1)
+    start = np.array(last)[entry]
+    columns = {
+        "snapshot_id": pa.array([rows.column("snapshot_id")[0].as_py()] * len(entry), pa.int64()),
+        "range": pa.array([rows.column("range")[0].as_py()] * len(entry), pa.string()),
+        "rows": pa.array(np.full(len(entry), count)),
+        "entry": pa.array(entry),
+        "upto": pa.array(upto[entry]),
+        "batches": pa.array(np.array(batches)[entry]),
+        "total": pa.array(upto[-1] - upto[start]),
+        "items": pa.array(count - start),
+    }
+    return pa.table(columns)
+
+
+def _entered(max_tokens: int, max_items: int, ranges: pa.Table) -> pa.Table:
+    """The row that the first new batch of each range of a snapshot starts with, and its number."""
+    ranges = ranges.sort_by([("range", "ascending"), ("entry", "ascending")])
+    columns = (ranges.column(c).to_numpy() for c in ("rows", "entry", "upto", "batches", "total", "items"))
+    count, entry, upto, batches, ends, held = columns
+    found, number, total, items = [], 0, 0, 0
+    for at in np.flatnonzero(entry == 0).tolist():
+        here = upto[at : at + min(int(count[at]), max_items) + 1]
+        fits = int(np.searchsorted(here, max_tokens - total, side="right")) - 1
+        place = max(0, min(fits, max_items - items)) if items else 0
+        found.append((place, number))
+        if place == count[at]:  # the batch from before holds the whole range
+            total, items = total + int(here[place]), items + place
+        else:
+            number += int(batches[at + place])
+            total, items = int(ends[at + place]), int(held[at + place])
+    first = ranges.filter(pa.array(entry == 0))
+    places, numbers = (pa.array(x, pa.int64()) for x in zip(*found, strict=True))
+    return pa.table([first.column("snapshot_id"), first.column("range"), places, numbers], ["snapshot_id", "range", "entry", "first"])
+
+
+def _numbered(max_tokens: int, max_items: int, rows: pa.Table) -> pa.Table:
+    """The batches of a range, given the row that the first new one starts with."""
+    rows = rows.sort_by("content_hash")
+    _, after = _next_batch(_tokens(rows), max_tokens, max_items)
+    stops, row = after.tolist(), rows.column("entry")[0].as_py()
+    starts = np.zeros(rows.num_rows, np.int64)
+    while row < len(starts):
+        starts[row] = 1
+        row = stops[row]
+    batch_id = np.cumsum(starts) + rows.column("first")[0].as_py() - 1
+    return rows.select(["snapshot_id", "content_hash", "tokens"]).append_column("batch_id", pa.array(batch_id, pa.int32()))
+
+
+def _batches_of_ranges(keyed: DataFrame, max_tokens: int, max_items: int) -> DataFrame:
+    """Batches that start anew with each range of hashes, numbered over the snapshot."""
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at, total, items = None, 0, 0, 0
         for rows in batches:

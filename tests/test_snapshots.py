@@ -91,6 +91,28 @@ def test_large_snapshots_start_batches_anew_with_each_range_of_hashes(spark):
     assert {(r.snapshot_id, r.content_hash): r.batch_id for r in found} == expected
 
 
+@pytest.mark.parametrize(("rows", "most", "items"), [(1, 100, 4), (7, 100, 4), (60, 1_000, 50), (60, 90, 1_000)])
+def test_batches_run_on_over_the_ranges_of_a_large_snapshot(spark, monkeypatch, rows, most, items):
+    monkeypatch.setattr(em, "RANGE_ROWS", rows)  # up to hundreds of ranges, some smaller than a batch
+    rng = random.Random(rows)
+    given = [(s, f"{rng.getrandbits(64):016x}", rng.choice([0, 1, 5, 20, 90, 150])) for s in (1, 2) for _ in range(500 * s)]
+    pending = spark.createDataFrame(given, "snapshot_id bigint, content_hash string, tokens int")
+    expected = {}
+    for snapshot in (1, 2):
+        own = sorted((h, t) for s, h, t in given if s == snapshot)
+        numbers = batches_by_rule([t for _, t in own], most, items)
+        expected |= {(snapshot, h): b for (h, _), b in zip(own, numbers, strict=True)}
+    found = em.token_batches(pending, max_tokens=most, max_items=items).collect()
+    assert {(r.snapshot_id, r.content_hash): r.batch_id for r in found} == expected and len(found) == len(given)
+
+
+def test_a_snapshot_of_more_than_five_million_tokens_is_batched_as_one(spark):
+    given = [(1, f"{k * 2654435761 % 2**32:08x}", 1_000) for k in range(6_000)]
+    pending = spark.createDataFrame(given, "snapshot_id bigint, content_hash string, tokens int")
+    found = sorted((r.content_hash, r.batch_id) for r in em.token_batches(pending, max_tokens=7_000, max_items=100).collect())
+    assert [b for _, b in found] == [k // 7 for k in range(6_000)]
+
+
 def test_the_batch_that_goes_over_budget_is_kept(spark):
     usage = spark.createDataFrame(
         [(1, 0, 6), (1, 1, 5), (1, 2, 1), (2, 0, 10)], "snapshot_id int, batch_id int, tokens int"
@@ -112,6 +134,22 @@ def test_embedding_is_deterministic_and_of_unit_length(spark):
     assert all(abs(np.linalg.norm(v) - 1) < 1e-6 for v in found.values())
 
 
+def test_the_query_of_vectors_equals_its_sql_where_texts_have_no_words_or_cancel_out(spark, tmp_path):
+    signs = {}
+    for k in range(5_000):  # two words of one dimension and opposite signs
+        code = hashlib.md5(f"w{k}".encode()).hexdigest()
+        signs.setdefault(int(code[:7], 16) % 64, {})[code[7] < "8"] = f"w{k}"
+    pair = signs[9][True] + " " + signs[9][False]
+    rows = [(k, t, "en", "src1") for k, t in enumerate(["", " .,- ", pair, pair + " fox", "red fox", "red fox", None, None])]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    relation = con.sql(queries.ORACLES["embed_documents"])
+    found = queries.embed_documents(spark, str(tmp_path)).select(*relation.columns)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, relation.fetchall()))
+    assert found.count() == 6
+
+
 def test_existing_vectors_are_kept(spark):
     old = vectors(spark, [("a", "m", [1.0])])
     new = vectors(spark, [("a", "m", [2.0]), ("b", "m", [3.0]), ("b", "m", [3.0]), ("a", "n", [4.0])])
@@ -134,22 +172,6 @@ def test_index_stats(spark):
     )
     (row,) = sn.index_stats(files, chunks, symbols).collect()
     assert (row.files, row.chunks, row.files_with_parse_errors) == (3, 3, 1)
-def test_the_query_of_vectors_equals_its_sql_where_texts_have_no_words_or_cancel_out(spark, tmp_path):
-    signs = {}
-    for k in range(5_000):  # two words of one dimension and opposite signs
-        code = hashlib.md5(f"w{k}".encode()).hexdigest()
-        signs.setdefault(int(code[:7], 16) % 64, {})[code[7] < "8"] = f"w{k}"
-    pair = signs[9][True] + " " + signs[9][False]
-    rows = [(k, t, "en", "src1") for k, t in enumerate(["", " .,- ", pair, pair + " fox", "red fox", "red fox", None, None])]
-    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    relation = con.sql(queries.ORACLES["embed_documents"])
-    found = queries.embed_documents(spark, str(tmp_path)).select(*relation.columns)
-    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, relation.fetchall()))
-    assert found.count() == 6
-
-
     assert row.by_mode == {"symbols": 1, "windows": 1, "skipped": 1}
     assert row.skipped == {"ignored": 1}
     assert {k: tuple(v) for k, v in row.by_language.items()} == {"python": (1, 1, 2), "text": (1, 0, 1)}

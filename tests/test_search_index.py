@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as tx
+from corpuscle.operators import embeddings as em
 from corpuscle.operators import fts_leg as fts
 from corpuscle.operators import postings as po
 from corpuscle.operators import vector_leg as vl
@@ -231,3 +232,28 @@ def test_cells_of_no_vectors_and_of_unknown_snapshots(spark, tmp_path):
     index = vl.index_vectors(one, str(tmp_path / "o"))
     rows = vl.vector_topk_approx(asked.union(asked.selectExpr("2L", "7L", "embedding")), vl.first_chunks(one, 20), index).collect()
     assert [(r.query_id, r.chunk_id, r.score) for r in rows] == [(1, 5, 0.0)]
+
+
+# ── One snapshot, many tasks ──────────────────────────────────────────────────
+
+
+def test_no_task_gets_all_of_a_snapshot(spark):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in zip(names, ("8", "-1", "false"), strict=True):  # as when no side of a join is small enough to be sent
+        spark.conf.set(name, value)
+    try:
+        rows = spark.range(400).select(F.lit(1).cast("bigint").alias("snapshot_id"), F.col("id").alias("chunk_id"), F.sha2(F.col("id").cast("string"), 256).alias("content_hash"))
+        search = rows.select("snapshot_id", "chunk_id", F.array(F.lit("a")).alias("terms"), F.array(F.lit(1)).alias("weights"))
+        asked = spark.createDataFrame([(1, 1)], "query_id bigint, snapshot_id bigint")
+        pending = rows.select("snapshot_id", "content_hash", F.lit(2_000_000).alias("tokens"))
+        parts = [
+            po.index_postings(search, size=10),
+            vl.first_chunks(vl._asked_chunks(rows, asked), 20),
+            em.token_batches(pending),
+        ]
+        for part in parts:
+            assert part.select(F.spark_partition_id().alias("task")).distinct().count() > 4
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -77,7 +77,7 @@ def token_batches(
     sizes = pending.groupBy("snapshot_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     parts = F.greatest(F.lit(1.0), rows, F.col("tokens") / (range_tokens or SNAPSHOT_TOKENS))
     sizes = sizes.select("snapshot_id", F.ceil(F.log(16.0, parts)).cast("int").alias("digits"))
-    keyed = pending.join(sizes, "snapshot_id").select(
+    keyed = pending.join(F.broadcast(sizes), "snapshot_id").select(  # moved by snapshot, its ranges would stay in one task
         "snapshot_id", F.expr("substring(content_hash, 1, digits)").alias("range"), "content_hash", F.col("tokens").cast("int").alias("tokens")
     )
     if range_tokens:

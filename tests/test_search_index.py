@@ -243,7 +243,7 @@ def test_no_task_gets_all_of_a_snapshot(spark):
     for name, value in zip(names, ("8", "-1", "false"), strict=True):  # as when no side of a join is small enough to be sent
         spark.conf.set(name, value)
     try:
-        rows = spark.range(400).select(F.lit(1).cast("bigint").alias("snapshot_id"), F.col("id").alias("chunk_id"), F.sha2(F.col("id").cast("string"), 256).alias("content_hash"))
+        rows = spark.range(400).select(F.expr("id div 1000 + 1").alias("snapshot_id"), F.col("id").alias("chunk_id"), F.sha2(F.col("id").cast("string"), 256).alias("content_hash"))
         search = rows.select("snapshot_id", "chunk_id", F.array(F.lit("a")).alias("terms"), F.array(F.lit(1)).alias("weights"))
         asked = spark.createDataFrame([(1, 1)], "query_id bigint, snapshot_id bigint")
         pending = rows.select("snapshot_id", "content_hash", F.lit(2_000_000).alias("tokens"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,31 @@ def test_cover_density_on_random_texts(spark):
 # ── Vectors ───────────────────────────────────────────────────────────────────
 
 
+def test_chunks_are_scored_a_bounded_number_of_words_at_a_time():
+    words = pa.array([["a", "b", "c", "d"] * 250] * 1_000, pa.list_(pa.string()))
+    weights = pa.array([[1] * 1_000] * 1_000, pa.list_(pa.int32()))
+    ids = pa.array(range(1_000), pa.int64())
+    batch = pa.record_batch([pa.array([1] * 1_000, pa.int64()), ids, words, weights], ["snapshot_id", "chunk_id", "terms", "weights"])
+    tiles = list(fts._tiles(batch, {1: fts._Terms([(1, "a"), (2, "b")])}))
+    assert sum((tile[2].tolist() for tile in tiles), []) == list(range(1_000))
+    assert max(len(tile[2]) for tile in tiles) * 1_000 <= 1 << 18 and sum(len(tile[3]) for tile in tiles) == 500_000
+
+
+@pytest.mark.parametrize("spread", [1, 7, 1 << 20])
+def test_sums_over_pairs_of_words_and_questions_in_parts(monkeypatch, spread):
+    monkeypatch.setattr(fts, "SPREAD", spread, raising=False)
+    rng = np.random.default_rng(spread)
+    wanted = fts._Terms([(q, w) for q in range(9) for w in "abcdefg" if rng.random() < 0.5])
+    row, term = np.sort(rng.integers(0, 20, 300)), rng.integers(0, len(wanted.words), 300)
+    value = rng.integers(1, 9, 300).astype(float)
+    want = np.zeros((len(wanted.questions), 20))
+    for q, own in wanted.by_question.items():
+        for r, t, v in zip(row, term, value, strict=True):
+            want[q, r] += v * (t in own)
+    assert np.array_equal(wanted.sums(row, term, value, 20), want)
+    assert wanted.sums(row[:0], term[:0], value[:0], 3).tolist() == [[0.0] * 3] * len(wanted.questions)
+
+
 def vector_world(spark, n, hot):
     """(chunks, vectors, queries, matrix): `hot` chunks share the first of `n` texts."""
     rng = np.random.default_rng(5)

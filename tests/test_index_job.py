@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.operators import snapshots as sn
 from corpuscle.plans import index_job as ij
-from corpuscle.registry import snapshots
+from corpuscle.registry import evaluation, snapshots
 from corpuscle.sources import manifest as mf
 from corpuscle.sources.tables import write_partitioned
 from corpuscle.streaming import indexer
@@ -237,3 +237,16 @@ def test_the_query_of_the_job_takes_repositories_of_more_files_than_the_guard_le
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     wanted = con.sql(snapshots.ORACLES["index_job"]).fetchall()
     assert sorted(map(tuple, snapshots.index_job(spark, str(tmp_path)).collect())) == sorted(wanted) and len(wanted) == 2
+
+
+def test_the_stream_of_the_query_lands_a_file_for_every_core_and_takes_them_in_two_batches(spark, monkeypatch):
+    seen = {}
+
+    def start(session, landed, out, state, *, files_per_batch):
+        seen["files"], seen["batch"] = len(session.read.parquet(landed).inputFiles()), files_per_batch
+        raise RuntimeError("seen")
+
+    monkeypatch.setattr(evaluation, "start_index", start)
+    with pytest.raises(RuntimeError, match="seen"):
+        evaluation.stream_index(spark, "/root/testdata/sf0.001")
+    assert spark.sparkContext.defaultParallelism <= seen["files"] <= 2 * seen["batch"]

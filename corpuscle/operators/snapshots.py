@@ -134,15 +134,18 @@ def swept_snapshots(snapshots: DataFrame, *, keep: int = KEEP_SNAPSHOTS) -> Data
         .filter(F.col("n") <= keep)
         .select("id")
     )
-    return snapshots.filter("status IN ('retired', 'failed')").select("id").join(kept, "id", "left_anti")
+    return snapshots.filter("status IN ('retired', 'failed')").select("id").join(kept.hint("shuffle_hash"), "id", "left_anti")
 
 
 def sweep_snapshots(
     snapshots: DataFrame, files: DataFrame, chunks: DataFrame, *, keep: int = KEEP_SNAPSHOTS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What is left of snapshots, files and chunks when the swept ones are dropped; `manifest.sweep_index` drops them from disk."""
-    swept = swept_snapshots(snapshots, keep=keep)
-    gone = swept.withColumnRenamed("id", "snapshot_id")
+    """What is left of snapshots, files and chunks when the swept ones are dropped; `manifest.sweep_index` drops them from disk.
+
+    A task holds its part of the swept ids and lets files and chunks pass; it does not sort them.
+    """
+    swept = swept_snapshots(snapshots, keep=keep).hint("shuffle_hash")
+    gone = swept.withColumnRenamed("id", "snapshot_id").hint("shuffle_hash")
     return (
         snapshots.join(swept, "id", "left_anti"),
         files.join(gone, "snapshot_id", "left_anti"),

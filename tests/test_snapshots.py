@@ -246,3 +246,19 @@ def test_snapshot_diff(spark):
     )
     found = {r.content_hash: r.change for r in sn.snapshot_diff(chunks, 1, 2).collect()}
     assert found == {"a": "removed", "b": "kept", "c": "added"}
+
+
+def test_a_sweep_sorts_no_files(spark):
+    known = spark.range(50).selectExpr("id", "id % 5 AS repo_id", "CASE WHEN id % 3 = 0 THEN 'active' ELSE 'retired' END AS status")
+    items = spark.range(500).selectExpr("id % 60 AS snapshot_id", "id AS no")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more swept ids than can be sent
+    try:
+        _, files, chunks = sn.sweep_snapshots(known, items, items)
+        left = sorted(r.no for r in files.collect())
+        plan = files._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    swept = {r.id for r in sn.swept_snapshots(known).collect()}
+    assert swept and left == [k for k in range(500) if k % 60 not in swept] and chunks.count() == len(left)
+    assert "SortMergeJoin" not in plan.split("Initial Plan")[0] and "ShuffledHashJoin" in plan

@@ -293,16 +293,23 @@ def near_duplicates(
     fingerprint, whatever their ids, are one class; a repeated row gives a row each time. Other columns are not read. `once` as in
     `fingerprints`.
     """
+    coded, named = _linked_classes(docs, words=words, bits=bits, budget=budget, parts=parts, once=once)
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("code", "component", "component_id")
+    return coded.join(named, "code").select("doc_id", "mark", "code", "component", "component_id")
+
+
+def _linked_classes(
+    docs: DataFrame, *, words: int, bits: int, budget: int, parts: int, once: bool
+) -> tuple[DataFrame, DataFrame]:
+    """`doc_id, mark, code` of every document, and `code, component, least` (the least doc_id) of every class of one fingerprint."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     coded = stored(fingerprints(docs, words=words, bits=bits, once=once), "fingerprints")
     classes = coded.groupBy("code").agg(F.min("doc_id").alias("least"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     links = fingerprint_links(classes, bits=bits, budget=budget, parts=parts, partitions=partitions)
-    reached = components(links)
-    named = classes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("code", "component", "component_id")
-    return coded.join(named, "code").select("doc_id", "mark", "code", "component", "component_id")
+    named = classes.join(components(links), "node", "left")
+    return coded, named.select("code", F.coalesce("component", "node").alias("component"), "least")
 
 
 # ── Similarity by shingles ────────────────────────────────────────────────────
@@ -566,7 +573,7 @@ def _shingled(texts: DataFrame, marks: DataFrame, words: int, form: str) -> Data
 
 def _with_both(pairs: DataFrame, texts: DataFrame, words: int, form: str) -> DataFrame:
     """Pairs `a, b` with the sizes and shingles of either side, in a form of `_shingled`."""
-    ends = pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct()
+    ends = stored(pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct(), "ends")
     sets = stored(_shingled(texts, ends, words, form), f"{form}-sets")
     left = sets.select(F.col("mark").alias("a"), F.col("size").alias("left_size"), F.col("shingles").alias("left"))
     right = sets.select(F.col("mark").alias("b"), F.col("size").alias("right_size"), F.col("shingles").alias("right"))
@@ -673,8 +680,8 @@ def _similar(docs: DataFrame, path: str, *, words: int, similarity: float, bits:
     """`similar_documents`, stored under a path."""
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark, F.col("text").cast("string").alias("text"))
-    near = near_duplicates(texts, words=words, bits=bits, budget=budget, parts=parts, once=True)
-    loose = near.select("doc_id", "mark", F.col("component").alias("group")).distinct()
+    coded, named = _linked_classes(texts, words=words, bits=bits, budget=budget, parts=parts, once=True)
+    loose = coded.join(named, "code").select("doc_id", "mark", F.col("component").alias("group")).distinct()
     loose = stored(loose.withColumn("node", F.monotonically_increasing_id()), "loose")
     many = loose.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(loose.join(many, "group"), "members")
@@ -720,7 +727,7 @@ def _similar(docs: DataFrame, path: str, *, words: int, similarity: float, bits:
     limits = {"words": words, "similarity": similarity}
 
     def groups(reached: DataFrame) -> DataFrame:
-        return loose.join(reached, "node").groupBy("mark").agg(F.min("component").alias("group"))
+        return stored(loose.join(reached, "node").groupBy("mark").agg(F.min("component").alias("group")), "groups")
 
     rows = stored(shared_shingles(marked, groups(reached), loose.count(), **limits), "shared-shingles")
     if not rows.isEmpty():
@@ -728,12 +735,16 @@ def _similar(docs: DataFrame, path: str, *, words: int, similarity: float, bits:
         # first what connects each task's rows, which unites dense groups; then every pair that is still apart
         for forest in (True, False):
             pairs = stored(pairs_by_sketches(rows, sketches, similarity=similarity, forest=forest), "pairs")
+            if pairs.isEmpty():
+                break  # of no pairs the first pass leaves the second none either
             found = stored(verified_pairs(marked, pairs, **limits), "more-links")
+            if found.isEmpty():
+                continue
             ends = found.join(one.toDF("a", "left"), "a").join(one.toDF("b", "right"), "b").select("left", "right").toDF("a", "b")
             links = links.union(ends)
             reached = components(links)
             if forest:
-                now = stored(groups(reached), "groups").toDF("_mark", "_group")
+                now = groups(reached).toDF("_mark", "_group")
                 known = rows.join(_few(now), F.col("node") == F.col("_mark"), "left")
                 rows = known.select("key", "node", F.coalesce("_group", F.lit(-1)).cast("long").alias("group"), "spot")
     named = loose.select("doc_id", "mark", "node").join(reached, "node")

@@ -30,6 +30,7 @@ from corpuscle.llm import (
     simhash,
     token_files,
 )
+from corpuscle.llm import components as components_module
 from corpuscle.llm.components import components
 from corpuscle.sources.tables import shared_dir, work_path
 
@@ -72,6 +73,17 @@ def test_components_of_random_links(spark):
     assert set(want) - set(got) <= {n for n in want if list(want.values()).count(want[n]) == 1}
 
 
+def test_components_of_stars_are_not_contracted_again(spark, monkeypatch):
+    """Links are written once, and once for each round: none for stars, and none more when a round has left only stars."""
+    written = []
+    keep = components_module.stored
+    monkeypatch.setattr(components_module, "stored", lambda *a: written.append(a[1]) or keep(*a))
+    for links, rounds in (([(2, 1), (3, 1), (9, 7), (1, 3)], 0), ([(1, 2), (2, 3)], 1)):
+        written.clear()
+        found = components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert len(found) == len({r.node for r in found}) and len(written) == 1 + rounds
+
+
 def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 

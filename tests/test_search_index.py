@@ -257,3 +257,11 @@ def test_no_task_gets_all_of_a_snapshot(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_lists_of_terms_that_nobody_asks_do_not_move(spark):
+    words = [f"w{n}" for n in range(500)]  # several in each folder
+    search = spark.createDataFrame([(1, n, words, [1] * 500) for n in range(3)], "snapshot_id bigint, chunk_id bigint, terms array<string>, weights array<int>")
+    asked = spark.createDataFrame([(7, 1, "w1"), (7, 1, "w2"), (8, 1, "w2"), (8, 2, "w3")], "query_id bigint, snapshot_id bigint, term string")
+    lists = po._Search(asked, po.index_postings(search), "terms").postings
+    assert {r.term for r in lists.collect()} == {"w1", "w2"}

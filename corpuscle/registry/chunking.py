@@ -83,7 +83,7 @@ def python_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Each document as a Python file: a class with one method per line, which holds a function
     for every third line; one document in nine ends in a header that never closes."""
     def method(x: Column, i: Column) -> Column:
-        word = tx.strip(F.regexp_replace(x, r"[^\p{L}\p{N} ]+", ""))
+        word = F.trim(F.regexp_replace(x, r"[^a-z \p{L}\p{N}]+", ""))
         n = (i + 1).cast("string")
         doc = F.concat(F.lit('        """'), word, F.lit('\n\n            More.\n        """\n'))
         inner = F.when(

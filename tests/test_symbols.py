@@ -77,6 +77,31 @@ def test_a_header_that_never_closes_is_counted(spark):
     ]
 
 
+def test_a_definition_is_matched_once_for_its_signature_and_once_for_its_doc(spark):
+    rows = sy.python_symbols(files(spark, [("m.py", SOURCE)]))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?:def|class)\s+") == 2
+    assert plan.count("regexp_extract_all(") == 1
+
+
+def test_lines_that_close_nothing_do_not_reach_the_pass_over_a_file(spark):
+    text = (
+        "class A:\n    x = 1\n\n    y = 2\n    def f(self):\n        \"\"\"One.\n\n  Two.\n        \"\"\"\n        a = 1\n        b = (\n"
+        "  2)\n        c = 3\n        def g(): pass\n      # aside\n    z = 3\n\nw = 4\nv = 5\n\ndef h():\n    return \'\'\'\n\n\nend\n"
+    )
+    rows = sy.python_symbols(files(spark, [("m.py", text)])).orderBy("ord").collect()
+    assert [(r.name, r.start_line, r.end_line, r.doc) for r in rows] == [
+        ("m", 1, 25, None), ("A", 1, 16, None), ("f", 5, 15, "One.\n\nTwo."), ("g", 14, 14, None), ("h", 21, 25, None),
+    ]
+    lines = spark.range(1).select(F.array(*[
+        F.struct(F.lit(n).alias("n"), F.lit(line).alias("line")) for n, line in enumerate(text.split("\n")[:-1], 1)
+    ]).alias("lines"), F.split(sy.masked(F.lit(text)), "\n").alias("masks"))
+    spoken = F.transform(F.filter("lines", lambda x: F.trim(x["line"]) != ""), lambda x: x["n"])
+    coded = lines.withColumn("spoken", spoken).withColumn("code", sy.described(F.col("lines"), F.col("masks"), F.col("spoken")))
+    kept = coded.select(F.size("spoken").alias("all"), F.transform(sy.decisive(F.col("code")), lambda x: x["n"]).alias("kept")).first()
+    assert (kept["all"], kept["kept"]) == (19, [1, 5, 10, 11, 12, 13, 14, 15, 16, 18, 21])
+
+
 def test_equal_paths_in_two_repositories_stay_apart(spark):
     rows = spark.createDataFrame(
         [("r1", 1, "setup.py", "def alpha():\n  pass\n"), ("r2", 1, "setup.py", "class Beta:\n  x = 1\n"), ("r2", 2, "setup.py", "y = 1\n")],

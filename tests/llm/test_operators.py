@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import math
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -253,6 +255,46 @@ def test_routed_filter_gives_the_same_scores(spark, monkeypatch, keys):
     assert near == far
 
 
+def test_counting_ngrams_holds_a_bounded_number_and_hands_on_whole_counts(monkeypatch):
+    """A task of 10 MB of text needs little besides the n-grams it may hold, and hands them on in pieces."""
+    rng = np.random.default_rng(45)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, 20_000))) for _ in range(40)]
+    batches = [pa.record_batch([pa.array(texts)], ["text"])]
+    tracemalloc.start()
+    try:
+        sent = sum(1 for _ in ngram_lm.gathered(4, iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 120 << 20 and sent > 4
+    monkeypatch.setattr(ngram_lm, "HELD_KEYS", 3_000)
+    monkeypatch.setattr(ngram_lm, "SENT_KEYS", 100)
+    batches = [pa.record_batch([pa.array(["a b a", None, "", *texts[:1], "a b a"])], ["text"])] * 2
+    want = collections.Counter()
+    for batch in batches:
+        for keys in ngram_lm.ngram_keys(*ngram_lm.tokens(batch.column("text"))):
+            want.update(keys.tolist())
+    got = collections.Counter()
+    for row in (r for b in ngram_lm.gathered(4, iter(batches)) for r in b.to_pylist()):
+        rest = np.frombuffer(row["low"], "<u4").astype(np.uint64) | np.frombuffer(row["high"], np.uint8).astype(np.uint64) << np.uint64(32)
+        for key, n in zip(rest.tolist(), np.frombuffer(row["counts"], "<u4").tolist(), strict=True):
+            got[row["segment"], key] += n
+    segment, rest = ngram_filter.split_key(np.array(list(want), np.uint64), 4)
+    assert got == dict(zip(zip(segment.tolist(), rest.tolist(), strict=True), want.values(), strict=True))
+
+
+def test_workers_map_the_filter_and_are_not_sent_it(spark, documents, monkeypatch):
+    """A filter below its limit is a file of the machine: what is broadcast does not grow with it."""
+    rng = random.Random(46)
+    sent = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (sent.append(len(pickle.dumps(value))), broadcast(self, value))[1])
+    docs = documents([(k, words(rng, 400)) for k in range(60)])
+    near, far = ({r.doc_id: r.score for r in ngram_lm.score_documents(docs, frequent_words=10, filter_bytes=n).collect()} for n in (1 << 30, 0))
+    assert near == far and len(near) == 60
+    assert max(sent) < 5_000
+
+
 def test_scores_are_those_of_a_smoothed_bigram_model(documents):
     """Counts by dictionaries, quantised as the filter keeps them; what the filter answers wrongly moves few scores."""
     rng = random.Random(44)

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from corpuscle.operators import citations as ci
 from corpuscle.operators import context as cx
 from corpuscle.operators.fusion import symbol_parts
+from corpuscle.sources.tables import stored
+
+SENT_BLOCKS = 500_000  # blocks whose ids are sent to the chunks
 
 
 def full_sources(hits: DataFrame, chunks: DataFrame, commits: DataFrame) -> DataFrame:
     """Sources of the hits shown in full (query_id, snapshot_id, rank, chunk_id, tier): the top
     one grown to the parts of its symbol that fit, every other one by itself.
 
-    Only ids and token counts travel through the expansion; text is joined for the final blocks.
+    Only ids and token counts travel through the expansion; text is joined for the final blocks, and other chunks' texts do not move
+    (below SENT_BLOCKS blocks, whose ids go to the chunks).
     """
     place = ["chunk_id", "path", "kind", "name", "qualname", "part"]
     top = hits.filter("rank = 1").join(chunks.select(*place), "chunk_id")
@@ -39,8 +43,10 @@ def full_sources(hits: DataFrame, chunks: DataFrame, commits: DataFrame) -> Data
         "snapshot_id", "chunk_id", "path", "kind", "name", "qualname", "start_line", "end_line",
         "text",
     )
-    blocks = first.unionByName(rest).join(text, "chunk_id").join(commits, "snapshot_id")
-    return cx.brief_sources(blocks)
+    shown = stored(first.unionByName(rest), "blocks")
+    if shown.count() <= SENT_BLOCKS:
+        text = text.join(F.broadcast(shown.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    return cx.brief_sources(shown.join(text, "chunk_id").join(commits, "snapshot_id"))
 
 
 @dataclass(frozen=True)

@@ -1,6 +1,8 @@
 """Stored search tables against the searches that read chunks, and what they leave unread."""
 
 import random
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -11,8 +13,10 @@ from corpuscle.operators import embeddings as em
 from corpuscle.operators import fts_leg as fts
 from corpuscle.operators import postings as po
 from corpuscle.operators import vector_leg as vl
+from corpuscle.plans import answer as an
 from corpuscle.plans import retrieve as rt
 from corpuscle.plans import search_index as si
+from corpuscle.sources import tables
 from corpuscle.sources.tables import read_bucketed, write_bucketed
 
 CHUNK = (
@@ -265,3 +269,78 @@ def test_lists_of_terms_that_nobody_asks_do_not_move(spark):
     asked = spark.createDataFrame([(7, 1, "w1"), (7, 1, "w2"), (8, 1, "w2"), (8, 2, "w3")], "query_id bigint, snapshot_id bigint, term string")
     lists = po._Search(asked, po.index_postings(search), "terms").postings
     assert {r.term for r in lists.collect()} == {"w1", "w2"}
+
+
+# ── What lies on the disks meanwhile ──────────────────────────────────────────
+
+
+def shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = manager.getAllFiles()
+    return {files.apply(k).getPath() for k in range(files.size()) if "shuffle" in files.apply(k).getName()}
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    """Also when writes run side by side; the session's setting is as before."""
+    before, setting = shuffle_files(spark), spark.conf.get(tables.REMOVED)
+    rows = spark.range(3_000).select((F.col("id") % 9).alias("a"), F.col("id").alias("b"))
+    writes = [
+        lambda: tables.stored(rows.groupBy("b").count().repartition(3, "count"), "t", str(tmp_path / "t")),
+        lambda: tables.write_partitioned(rows, str(tmp_path / "p"), "a"),
+        lambda: write_bucketed(rows, str(tmp_path / "b"), ("a",), 3),
+    ]
+    with ThreadPoolExecutor(3) as pool:
+        for job in [pool.submit(w) for w in writes]:
+            job.result()
+    for _ in range(50):  # files go in the background
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(tables.REMOVED) == setting
+    assert spark.read.parquet(str(tmp_path / "t")).count() == spark.read.parquet(str(tmp_path / "p")).count() == 3_000
+
+
+def posted(rows):
+    return sorted((r.snapshot_id, r.range, r.term, r.top, r.chunks, r.weights, r.places, r.bucket) for r in rows.collect())
+
+
+@pytest.mark.parametrize("held", [po.HELD, 1])
+def test_postings_move_packed_and_arrive_whole(spark, tmp_path, monkeypatch, held):
+    monkeypatch.setattr(po, "HELD", held)
+    chunks = corpus(spark, 6).unionByName(corpus(spark, 7).filter("chunk_id < 30"))  # some ids come twice
+    rows = po.index_postings(chunks, size=50)
+    po.write_postings(rows, str(tmp_path / "p"))
+    back = spark.read.schema(f"{po.POSTINGS}, bucket int").parquet(str(tmp_path / "p"))
+    assert posted(back) == posted(rows)
+    po.write_postings(rows.limit(0), str(tmp_path / "none"))
+
+
+def test_search_fields_move_to_their_range_and_are_split_there(spark):
+    """Chunks give the postings of their search vectors; the words do not move, and nothing moves twice."""
+    chunks = corpus(spark, 8)
+    rows = po.index_postings(chunks, size=50)
+    assert posted(rows) == posted(po.index_postings(fts.search_rows(chunks), size=50))
+    above, _, below = executed(rows).partition("REPARTITION_BY_COL")
+    assert "Exchange hashpartitioning" not in above.rpartition("Exchange")[0] and "search_c" in below.split("\n")[1]
+
+
+def test_search_tables_keep_no_texts(spark, tmp_path, monkeypatch):
+    kept = []
+    store = si.stored
+    monkeypatch.setattr(si, "stored", lambda rows, name: (kept.append(rows.columns), store(rows, name))[1])
+    si.store_search_index(corpus(spark, 9), None, "m", str(tmp_path / "index"), buckets=4)
+    assert kept and not {"text", "terms", "search_c"} & {c for columns in kept for c in columns}
+
+
+def test_only_shown_texts_move(spark, monkeypatch):
+    """Sources of few blocks read the texts of their chunks; those of many move all."""
+    chunks = corpus(spark, 12).withColumn("tokens", F.lit(5))
+    rank = F.expr("CASE chunk_id WHEN 3 THEN 1 WHEN 5 THEN 2 ELSE 3 END").alias("rank")
+    hits = chunks.filter("chunk_id IN (3, 5, 8)").select(F.lit(1).alias("query_id"), "snapshot_id", rank, "chunk_id", F.lit("fts").alias("tier"))
+    commits = chunks.select("snapshot_id").distinct().withColumn("commit_sha", F.lit("c"))
+    few = an.full_sources(hits, chunks, commits)
+    assert "LeftSemi" in executed(few) and few.count() == 3
+    monkeypatch.setattr(an, "SENT_BLOCKS", 0)
+    moved = an.full_sources(hits, chunks, commits)
+    assert "LeftSemi" not in executed(moved) and sorted(map(str, moved.collect())) == sorted(map(str, few.collect()))
